@@ -32,4 +32,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The SQL of those that SQL can express; the others are tested against brute force."""
-    return {}
+    from sonaria.llm import lines
+
+    return {"op7_line_spread": lines.ORACLE_SQL}
