@@ -103,6 +103,8 @@ NAMES = {
     "public-domain": ("domain", r"public domain(?: dedication)?", "pd"),
     "proprietary": ("proprietary", r"(?:proprietary|commercial) licen[sc]e", "proprietary"),
 }
+#: Names that are common words too count on their own only beside the word for a licence.
+BARE = {"mit": r"(?:mit|mit x11|x11 mit) licen[sc]e"}
 THE = r"(?:(?:the )?terms (?:and conditions )?of )?(?:the |an? )?"
 #: form of a notice: (expression around {name} and {spdx}, score); the first has the highest priority
 FORMS = [
@@ -130,7 +132,7 @@ NOTICES = [
 def rules() -> list[tuple[int, str, str, str, float]]:
     """(priority, label, keyword, expression, score), in order of priority."""
     found = [(label, word, pattern, score) for label, word, pattern, score in NOTICES]
-    found += [(label, word if "spdx" not in form else "spdx", form.format(name=name, spdx=spdx), score) for form, score in FORMS for label, (word, name, spdx) in NAMES.items()]
+    found += [(label, word if "spdx" not in form else "spdx", form.format(name=BARE.get(label, name) if form == "{name}" else name, spdx=spdx), score) for form, score in FORMS for label, (word, name, spdx) in NAMES.items()]
     return [(i, label.removesuffix("-short"), word, rf"(?<= )(?:{pattern})(?= )", score) for i, (label, word, pattern, score) in enumerate(found)]
 
 
