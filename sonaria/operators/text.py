@@ -111,7 +111,7 @@ def bm25(docs: DataFrame, key: str, tokens: str, query: list[str], k: int) -> Da
     terms = sorted(set(query))
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).orderBy(key).limit(k)
-    tf = [F.size(F.filter(tokens, lambda t, q=q: t == q)).alias(f"__tf{i}") for i, q in enumerate(terms)]
+    tf = [F.size(F.filter(tokens, lambda t: t == F.lit(q))).alias(f"__tf{i}") for i, q in enumerate(terms)]
     rows = docs.select(key, F.size(tokens).alias("__len"), *tf)
     stats = rows.agg(F.count("*").alias("n"), F.avg("__len").alias("avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
@@ -181,7 +181,7 @@ def diversify(rows: DataFrame, key: str, relevance: str, vec: str, k: int, weigh
         out = frame.loc[sorted(chosen), [key, relevance]]
         return out.rename(columns={relevance: "relevance"})
 
-    return rows.groupBy(F.lit(1)).applyInPandas(lambda f: pick(f), f"{key} {kind}, relevance double")
+    return rows.withColumn("__group", F.lit(0)).groupBy("__group").applyInPandas(pick, f"{key} {kind}, relevance double")
 
 
 def hybrid(chunks: DataFrame, key: str, text: str, query: str, k: int) -> DataFrame:

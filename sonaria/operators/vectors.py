@@ -103,7 +103,7 @@ def dense_clusters(points: DataFrame, cell: float, min_points: int = 5, min_size
     cells make a cluster if it holds ``min_size`` points; the label is its smallest cell. The work
     is on cells, so its cost does not grow with the points of a cell.
     """
-    at = points.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
+    at = points.select("clip_id", "x", "y").withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
     counts = at.groupBy("gx", "gy").agg(F.count("*").alias("n"))
     shift = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s")
     near = counts.select("gx", "gy", "n", shift).select((F.col("gx") + F.col("s.dx")).alias("gx"), (F.col("gy") + F.col("s.dy")).alias("gy"), "n").groupBy("gx", "gy").agg(F.sum("n").alias("around"))

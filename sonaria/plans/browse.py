@@ -165,7 +165,7 @@ def dim_majority_filter(c):
 
 
 @query("find_audition", "clips libraries", """SELECT c.id, l.name AS library, CASE WHEN contains(lower(c.name), 'clip 12') THEN 'name' ELSE 'path' END AS evidence FROM clips c JOIN libraries l ON c.library_id = l.id
-    WHERE contains(lower(c.name), 'clip') AND contains(lower(c.name), '12') ORDER BY c.id LIMIT 100""")
+    WHERE (contains(lower(c.name), '12') OR contains(lower(c.rel_path), '12')) ORDER BY c.id LIMIT 100""")
 def find_audition(c):
     """Clips of all libraries that match, with where they do."""
     rows = c("clips").where(S.term_and_match(F.col("name"), F.col("rel_path"), "clip 12"))

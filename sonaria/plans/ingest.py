@@ -33,11 +33,11 @@ def scan_manuals(c):
     return files.manuals(_files(c)).select("library", "rel_path")
 
 
-@query("rescan_manuals", "manuals", "SELECT id, name FROM manuals WHERE library_id = 4 AND (contains(lower(name), 'manual') OR (NOT contains(lower(name), 'readme') AND size_bytes >= 51200)) ORDER BY is_primary DESC, size_bytes DESC, id LIMIT 40")
+@query("rescan_manuals", "manuals", "SELECT id, name FROM manuals WHERE library_id = 6 AND (contains(lower(name), 'manual') OR (NOT contains(lower(name), 'readme') AND size_bytes >= 51200)) ORDER BY is_primary DESC, size_bytes DESC, id LIMIT 40")
 def rescan_manuals(c):
     from sonaria.functions.scalars import looks_like_manual
 
-    rows = c("manuals").where((F.col("library_id") == 4) & looks_like_manual(F.col("name"), F.col("size_bytes")))
+    rows = c("manuals").where((F.col("library_id") == 6) & looks_like_manual(F.col("name"), F.col("size_bytes")))
     return rows.orderBy(F.desc("is_primary"), F.desc("size_bytes"), "id").limit(40).select("id", "name")
 
 

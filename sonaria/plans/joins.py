@@ -45,10 +45,10 @@ def tag_left_join_count(c):
     return c("tags").join(uses, "id", "left").select("id", "name", F.coalesce("uses", F.lit(0)).alias("uses"))
 
 
-@query("library_instrument_tree", "libraries instruments", "SELECT l.id, l.name, i.id AS instrument_id, i.name AS instrument FROM libraries l LEFT JOIN instruments i ON i.library_id = l.id AND i.kind = 'nki' AND i.size_bytes > 40000")
+@query("library_instrument_tree", "libraries instruments", "SELECT l.id, l.name, CAST(i.id AS VARCHAR) AS instrument_id, i.name AS instrument FROM libraries l LEFT JOIN instruments i ON i.library_id = l.id AND i.kind = 'nki' AND i.size_bytes > 40000")
 def library_instrument_tree(c):
     """The condition on instruments is part of the join: libraries without any stay."""
-    some = c("instruments").where("kind = 'nki' AND size_bytes > 40000").select(F.col("library_id").alias("l_id"), F.col("id").alias("instrument_id"), F.col("name").alias("instrument"))
+    some = c("instruments").where("kind = 'nki' AND size_bytes > 40000").select(F.col("library_id").alias("l_id"), F.col("id").cast("string").alias("instrument_id"), F.col("name").alias("instrument"))
     return c("libraries").join(some, F.col("id") == F.col("l_id"), "left").select("id", "name", "instrument_id", "instrument")
 
 

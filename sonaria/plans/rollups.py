@@ -141,7 +141,7 @@ def parent_folder_rollup(c):
 
 @query("coverage_stats", "clips", "SELECT count(*) AS total, count(*) FILTER (ext <> 'nkx') AS decodable, count(*) FILTER (ext <> 'nkx' AND id % 3 = 0) AS extracted, round_even(100.0 * count(*) FILTER (ext <> 'nkx' AND id % 3 = 0) / count(*) FILTER (ext <> 'nkx'), 1) AS percent FROM clips")
 def coverage_stats(c):
-    done = c("clips").where("id % 3 = 0").select("id", F.lit(True).alias("done"))
+    done = c("clips").where("id % 3 = 0").select("id").distinct().withColumn("done", F.lit(True))
     can = S.is_decodable(F.col("ext"))
     rows = c("clips").select("id", can.alias("can")).join(done, "id", "left")
     n, k = F.count_if("can"), F.count_if(F.col("can") & F.col("done"))

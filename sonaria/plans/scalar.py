@@ -11,7 +11,7 @@ def _one(name, views, sql, table, key, make):
 
 
 col = F.col
-_one("parent_dir", "instruments", "regexp_replace(regexp_replace(rel_path, '/[^/]*$', ''), '/', '\\', 'g')", "instruments", "id", lambda: S.parent_dir(col("rel_path")))
+_one("parent_dir", "instruments", "replace(regexp_replace(rel_path, '/[^/]*$', ''), '/', '\\')", "instruments", "id", lambda: S.parent_dir(col("rel_path")))
 _one("leaf_name", "instruments", "split_part(rel_path, '/', 3)", "instruments", "id", lambda: S.leaf_name(col("rel_path")))
 _one("group_dir", "instruments", "concat(split_part(rel_path, '/', 1), '\\', split_part(rel_path, '/', 2))", "instruments", "id", lambda: S.group_dir(col("rel_path")))
 _case = " ".join(f"WHEN regexp_matches(lower(name), '{S.any_of(w)}') THEN '{n}'" for n, w in S.CATEGORY_RULES)
