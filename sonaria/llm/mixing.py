@@ -47,15 +47,17 @@ def capped_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (place + 1).cast("int"))
     rows = sizes.withColumn("weight", w).withColumn("top", F.col("source_size") * F.lit(cap)).withColumn("ratio", F.col("top") / F.col("weight"))
     everything = Window.partitionBy(F.lit(1))
-    before = Window.orderBy("ratio", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
+    filling = Window.orderBy("ratio", F.col("source").isNull(), "source")
+    before = filling.rowsBetween(Window.unboundedPreceding, -1)
     rows = (
-        rows.withColumn("total", F.sum("source_size").over(everything) * share)
+        rows.withColumn("turn", F.row_number().over(filling))
+        .withColumn("total", F.sum("source_size").over(everything) * share)
         .withColumn("filled", F.coalesce(F.sum("top").over(before), F.lit(0.0)))
         .withColumn("open_weight", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("level", (F.col("total") - F.col("filled")) / F.col("open_weight"))
         .withColumn("open", F.col("level") < F.col("ratio"))
     )
-    level = F.min(F.when(F.col("open"), F.struct("ratio", "level"))).over(everything)["level"]
+    level = F.min(F.when(F.col("open"), F.struct("turn", "level"))).over(everything)["level"]
     return rows.withColumn("at", level).select("source", "source_size", F.when(F.col("at").isNull(), F.col("top")).otherwise(F.least(F.col("top"), F.col("at") * F.col("weight"))).alias("target"))
 
 
