@@ -102,23 +102,28 @@ class ArchiveWriter(DataSourceArrowWriter):
         store, path = _file_system(self.path)
         store.create_dir(path, recursive=True)
         name = f"part-{uuid.uuid4().hex}.zip"
+        n = 0
         with store.open_output_stream(f"{path}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
             for batch in iterator:
                 for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                    data, n = payload(text.as_py())
-                    archive.writestr(zipfile.ZipInfo(f"{doc_id.as_py()}_{n}.png"), encode_image(data))
+                    data, size = payload(text.as_py())
+                    archive.writestr(zipfile.ZipInfo(f"{doc_id.as_py()}_{size}.png"), encode_image(data))
+                    n += 1
+        if not n:  # a task without rows leaves no archive
+            store.delete_file(f"{path}/{name}")
+            return ArchiveWritten("", 0)
         return ArchiveWritten(name, store.get_file_info(f"{path}/{name}").size)
 
     def commit(self, messages) -> None:
         store, path = _file_system(self.path)
         store.create_dir(path, recursive=True)
         with store.open_output_stream(f"{path}/{MANIFEST}") as out:
-            out.write(json.dumps([[m.name, m.n_bytes] for m in messages if m]).encode())
+            out.write(json.dumps([[m.name, m.n_bytes] for m in messages if m and m.name]).encode())
 
     def abort(self, messages) -> None:
         store, path = _file_system(self.path)
         for m in messages:
-            if m:
+            if m and m.name:
                 store.delete_file(f"{path}/{m.name}")
 
 
