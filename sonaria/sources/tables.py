@@ -1,7 +1,7 @@
 """Catalog tables on disk: schemas, snapshots, upserts and exports."""
 
-from __future__ import annotations
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,9 +54,6 @@ def to_markdown(rows: DataFrame, most: int = 1000) -> str:
 
 def unpack_vectors(rows: DataFrame, blob: str, out: str = "vec") -> DataFrame:
     """Little-endian float32 blobs as arrays."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def read(b: pd.Series) -> pd.Series:
         return b.map(lambda x: np.frombuffer(x, "<f4") if x is not None else None)
