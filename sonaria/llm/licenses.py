@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sonaria.llm.common import table
 from sonaria.llm.multiset import let
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]++"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -136,10 +136,20 @@ def rules() -> list[tuple[int, str, str, str, float]]:
     return [(i, label.removesuffix("-short"), word, rf"(?<= )(?:{pattern})(?= )", score) for i, (label, word, pattern, score) in enumerate(found)]
 
 
-def gate() -> str:
-    """Expression of the words of which every detection has one."""
-    phrases = [p.replace(" ", GAP) for p in BASE]
-    return "(?i)licen[sc]|copyright|spdx|creative|public|reserved|warranty|permission|" + "|".join([*phrases, "bsd|gpl|cc0|cecill|wtfpl|mit|provided|redistribut|may" + GAP + "not|under" + GAP])
+#: Each detection has one of these parts of words; they are looked for before any rule.
+GATE = ["licen", "reserved", "spdx", "creative", "copyright", "warranty", "permission", "redistribut", "reproduced", "copied", "gpl", "bsd", "cc0", "cecill", "wtfpl", "domain", "provided", "under"]
+
+
+def gated(text: Column) -> Column:
+    """Whether a text may hold a detection, by plain search in its lower case."""
+
+    def any_part(low: Column) -> Column:
+        found = F.lit(False)
+        for part in GATE:
+            found = found | F.contains(low, F.lit(part))
+        return found | (F.contains(low, F.lit("cc")) & low.rlike(f"cc{GAP}by"))
+
+    return any_part(F.lower(text))
 
 
 def _spaces(text: Column) -> Column:
@@ -148,8 +158,12 @@ def _spaces(text: Column) -> Column:
 
 def _detections(line: Column, rule: Column) -> Column:
     """Intervals of words of a rule's matches on the line."""
-    between = F.split(line, rule["pattern"], F.lit(-1))
     hits = F.regexp_extract_all(line, rule["pattern"], F.lit(0))
+    return let(hits, lambda found: F.when(F.size(found) > 0, _intervals(line, rule, found)).otherwise(F.expr("cast(array() as array<struct<start:int,order:int,priority:int,label:string,score:double>>)")))
+
+
+def _intervals(line: Column, rule: Column, hits: Column) -> Column:
+    between = F.split(line, rule["pattern"], F.lit(-1))
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("found"))
 
     def step(acc: Column, pair: Column) -> Column:
@@ -165,7 +179,11 @@ def _detections(line: Column, rule: Column) -> Column:
 def detect(line: Column) -> Column:
     """struct(labels, score) of the detections that are not suppressed."""
     struct = ",".join(f"named_struct('priority',{p},'label','{label}','word',' {word}','pattern',r'{pattern}','score',{score}D)" for p, label, word, pattern, score in rules())
-    fitting = F.filter(F.expr(f"array({struct})"), lambda r: F.contains(line, r["word"]))
+    table = F.expr(f"array({struct})")
+    words = sorted({word for _, _, word, _, _ in rules()})
+    # the line is searched once for each keyword, not for each rule
+    present = F.filter(F.array(*[F.lit(f" {w}") for w in words]), lambda w: F.contains(line, w))
+    fitting = let(present, lambda ws: F.filter(table, lambda r: F.array_contains(ws, r["word"])))
     found = F.array_sort(F.flatten(F.transform(fitting, lambda r: _detections(line, r))))
     none = F.struct(F.lit(-1).alias("end"), F.expr("cast(array() as array<string>)").alias("labels"), F.lit(0.0).alias("score"))
 
@@ -195,7 +213,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return F.struct(places.alias("base"), let(line, detect).alias("more"))
 
     words = F.regexp_extract_all(F.translate(F.col("text"), UPPER, LOWER), F.lit(WORD), F.lit(0))
-    found = F.when(F.col("text").rlike(gate()), let(words, read))
+    found = F.when(gated(F.col("text")), let(words, read))
     rows = rows.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), found.alias("found"))
     places = F.coalesce(F.flatten(F.col("found.base.at")), F.expr("cast(array() as array<int>)"))
     base = F.coalesce(F.transform(F.filter("found.base", lambda b: F.size(b["at"]) > 0), lambda b: b["label"]), F.expr("cast(array() as array<string>)"))
