@@ -12,6 +12,8 @@ every row, repeated or with a null id, gives one row; other columns are ignored.
 
 from __future__ import annotations
 
+from re import _parser as parser
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,8 +138,56 @@ def rules() -> list[tuple[int, str, str, str, float]]:
     return [(i, label.removesuffix("-short"), word, rf"(?<= )(?:{pattern})(?= )", score) for i, (label, word, pattern, score) in enumerate(found)]
 
 
-#: Each detection has one of these parts of words; they are looked for before any rule.
-GATE = ["licen", "reserved", "spdx", "creative", "copyright", "warranty", "permission", "redistribut", "reproduced", "copied", "gpl", "bsd", "cc0", "cecill", "wtfpl", "domain", "provided", "under"]
+#: Parts of words that most detections have; they are looked for before any rule.
+_COMMON = ["licen", "reserved", "spdx", "creative", "copyright", "warranty", "permission", "redistribut", "reproduced", "copied", "gpl", "bsd", "cc0", "cecill", "wtfpl", "domain", "provided", "under"]
+#: Two words that the gate looks for together.
+_CC = "cc by"
+
+
+def required(pattern: str) -> list[list[str]]:
+    """Lists of literals within words; each match of the pattern has one or more of each list."""
+    return _required(parser.parse(pattern))
+
+
+def _required(items) -> list[list[str]]:
+    found, run = [], ""
+    for kind, what in [*items, (None, None)]:
+        if kind is parser.LITERAL:
+            run += chr(what)
+            continue
+        found += [[_CC]] * (_CC in run) + [[w] for w in run.split(" ") if w]
+        run = ""
+        if kind is parser.SUBPATTERN:
+            found += _required(what[-1])
+        elif kind is parser.MAX_REPEAT and what[0] > 0:
+            found += _required(what[2])
+        elif kind is parser.BRANCH:
+            parts = [_required(p) for p in what[1]]
+            if all(parts):
+                found.append([w for p in parts for w in _rarest(p)])
+    return found
+
+
+def _covered(words: list[str], gate: list[str]) -> bool:
+    return all(w == _CC or any(g in w for g in gate) for w in words)
+
+
+def _rarest(lists: list[list[str]]) -> list[str]:
+    return next((x for x in lists if _covered(x, _COMMON)), None) or max(lists, key=lambda x: min(map(len, x)))
+
+
+def _gate() -> list[str]:
+    """Each detection has one of these parts of words, or the two words beside them: the common
+    parts, and for each rule that they do not cover the literals that its matches must have."""
+    gate = list(_COMMON)
+    for _, _, _, pattern, _ in rules():
+        lists = required(pattern)
+        if not any(_covered(x, gate) for x in lists):
+            gate += _rarest(lists)
+    return gate
+
+
+GATE = _gate()
 
 
 def gated(text: Column) -> Column:
