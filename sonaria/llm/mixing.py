@@ -1,12 +1,13 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
-A schedule of ``slots`` blocks is drawn from the van der Corput sequence: each point falls in the
-interval of one source under the cumulative targets, and the slots of a source are ranked. Each
-source's documents are put in a seeded random order and laid end to end on a line of words, cut
-into blocks of equal size; the slot of rank k takes block k modulo the number of blocks. The
-place of a document on its line comes from sums by (source, bucket), so a source that holds a
-third of all rows is spread over all tasks. The schedule has a fixed number of slots whatever the
-input, so the table of blocks taken is bounded and broadcast.
+Each source's documents are put in a seeded random order and laid end to end on a line of words.
+A schedule of blocks is drawn from the van der Corput sequence: each point falls in the interval of
+one source under the cumulative targets, and the slot of rank k of a source takes block k modulo
+the number of its blocks. What a whole schedule takes of a source is thus some rounds of its line
+and the beginning of the line once more. ``mix`` computes that with blocks of one word, so that
+each source, however small, meets its target to the word and no table of slots is needed;
+``schedule`` gives the order of the slots. The place of a document on its line comes from sums by
+(source, bucket), so a source that holds a third of all rows is spread over all tasks.
 
 Rows: a null text has size 0 and takes nothing; a null source is a source of its own, last in
 order; repeated rows are separate documents that share an order by id and size; an empty table
@@ -67,11 +68,12 @@ def schedule(spark, targets: DataFrame, slots: int = SLOTS) -> DataFrame:
     up_to = Window.orderBy(F.col("source").isNull(), F.col("source"))
     parts = targets.withColumn("high", F.sum("target").over(up_to)).withColumn("sum", F.sum("target").over(Window.partitionBy(F.lit(1))))
     parts = parts.select("source", ((F.col("high") - F.col("target")) / F.col("sum")).alias("low"), (F.col("high") / F.col("sum")).alias("high"))
-    ladder = parts.agg(F.array_sort(F.collect_list(F.struct("low", "high", "source"))).alias("ladder"))
-    points = spark.range(slots).select(F.col("id").alias("slot"), ((van_der_corput(F.col("id"), bits) + 0.5) / (1 << bits)).alias("x"))
-    hit = points.crossJoin(F.broadcast(ladder)).withColumn("hit", F.element_at(F.filter("ladder", lambda p: (p["low"] <= F.col("x")) & (p["high"] > F.col("x"))), 1))
+    # the points of an interval are numbers in a row; the slot of each is its bits reversed
+    at = lambda edge: F.ceil(F.col(edge) * (1 << bits) - 0.5).cast("long")
+    parts = parts.select("source", at("low").alias("a"), (at("high") - 1).alias("b")).where("b >= a")
+    hit = parts.select("source", F.explode(F.sequence("a", "b")).alias("x")).select("source", van_der_corput(F.col("x"), bits).alias("slot"))
     rank = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1
-    return hit.where("hit is not null").select("slot", F.col("hit")["source"].alias("source")).withColumn("rank", rank.cast("long"))
+    return hit.where(F.col("slot") < slots).select("slot", "source").withColumn("rank", rank.cast("long"))
 
 
 def place_documents(rows: DataFrame, bucket_rows: int = 2000) -> DataFrame:
@@ -89,35 +91,20 @@ def place_documents(rows: DataFrame, bucket_rows: int = 2000) -> DataFrame:
     return local.join(starts, same).withColumn("at", F.col("start") + F.col("inner")).drop("key", "bucket", "inner", "start", "b_source", "b_bucket")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every document."""
-    spark = docs.sparkSession
     rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     targets = written(capped_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    total = targets.agg(F.sum("target")).first()[0] or 0.0
-    block = max(1, int(-(-total // slots)))
-    slots = int(-(-total // block))
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block))
-    # a source's slots draw from its blocks in turn; ranks beyond twice the blocks would break the cap
-    drawn = schedule(spark, targets, slots) if total > 0 else spark.createDataFrame([], "slot long, source string, rank long")
-    sized = targets.select(F.col("source").alias("t_source"), "source_size")
-    taken_blocks = (
-        drawn.join(F.broadcast(sized), F.col("source").eqNullSafe(F.col("t_source")))
-        .where(F.col("rank") < 2 * n_blocks)
-        .groupBy("source", (F.col("rank") % n_blocks).alias("block"))
-        .agg(F.count("*").alias("times"))
-        .select(F.col("source").alias("k_source"), F.col("block").alias("k_block"), "times")
-    )
     placed = place_documents(rows)
-    end = F.col("at") + F.col("size")
-    spans = placed.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))).otherwise(F.array(F.lit(-1).cast("long")))))
-    overlap = F.least(end, (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)
-    met = spans.join(F.broadcast(taken_blocks), F.col("source").eqNullSafe(F.col("k_source")) & (F.col("block") == F.col("k_block")), "left")
-    taken = met.groupBy("doc_id", "source", "size", "at").agg(F.coalesce(F.sum(overlap * F.col("times")), F.lit(0)).cast("long").alias("taken"), F.count(F.when(F.col("size") == 0, 1)).alias("empty"))
-    # empty documents share their place: each of them is a row of its own
-    taken = taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.col("empty"))))).drop("copy", "empty", "at")
     wide = targets.select(F.col("source").alias("t_source"), "source_size", "target")
-    return taken.join(F.broadcast(wide) if targets.limit(10_001).count() <= 10_000 else wide, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "source", "size", "source_size", "target", "taken")
+    met = placed.join(F.broadcast(wide) if targets.limit(10_001).count() <= 10_000 else wide, F.col("source").eqNullSafe(F.col("t_source")))
+    # ranks fall on blocks in turn: whole rounds of the line, and its beginning once more
+    goal = F.round("target").cast("long")
+    rounds = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
+    again = goal - rounds * F.col("source_size")
+    once_more = F.greatest(F.lit(0), F.least(F.col("at") + F.col("size"), again) - F.col("at"))
+    taken = (rounds * F.col("size") + once_more).cast("long")
+    return met.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
