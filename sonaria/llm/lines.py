@@ -6,8 +6,8 @@ by the estimate. A line on ``min_sites`` sites or more is cross-site boilerplate
 (smallest id, then smallest position) stays and all others are removed.
 
 Rows: a null text stays null and has no lines; lines are compared without outer spaces and blank
-lines are never removed; a null site counts for no site; repeated ids share their decisions; an
-empty table gives an empty result; other columns pass through unchanged.
+lines are never removed; a null site counts for no site; each row has a key of its own, written
+before the stage, so rows with null or repeated ids are decided one by one; an empty table gives an empty result; other columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ MIN_SITES = 5
 MARGIN = 0.4
 #: Boilerplate lines up to this number are broadcast (24 bytes each).
 BROADCAST_LINES = 500_000
-_KEY, _LOST = "__line_key", "__line_lost"
+_KEY, _LOST, _ROW = "__line_key", "__line_lost", "__line_row"
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """key, site, pos, h: one row per line that is not blank."""
-    rows = docs.select(_key(id_col).alias("key"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
-    return rows.withColumn("line", F.trim("line")).where("line <> ''").select("key", "site", "pos", F.xxhash64("line").alias("h"))
+    """key, row, site, pos, h: one row per line that is not blank."""
+    row = F.col(_ROW) if _ROW in docs.columns else F.lit(0).cast("long")
+    rows = docs.select(_key(id_col).alias("key"), row.alias("row"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
+    return rows.withColumn("line", F.trim("line")).where("line <> ''").select("key", "row", "site", "pos", F.xxhash64("line").alias("h"))
 
 
 def _key(id_col: str) -> Column:
@@ -36,7 +37,7 @@ def _key(id_col: str) -> Column:
 
 def wide_lines(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, log_k: int = 11) -> DataFrame:
     """h, first: the hashes of lines on ``min_sites`` distinct sites or more, and their first place."""
-    spread = lines.groupBy("h").agg(F.hll_sketch_agg("site", log_k).alias("sketch"), F.min(F.struct("key", "pos")).alias("first"))
+    spread = lines.groupBy("h").agg(F.hll_sketch_agg("site", log_k).alias("sketch"), F.min(F.struct("key", "row", "pos")).alias("first"))
     spread = spread.select("h", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - margin))
     spread = written(spread, "spread")
     sure = spread.where(F.col("sites") > min_sites * (1 + margin)).select("h", "first")
@@ -54,11 +55,12 @@ def _with(lines: DataFrame, hashes: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, counts: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines removed from the text; with ``counts`` also n_lines, n_removed."""
-    lines = written(lines_of(docs, id_col, text_col, site_col), "lines")
+    keyed = written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "keyed")
+    lines = written(lines_of(keyed, id_col, text_col, site_col), "lines")
     wide = written(wide_lines(lines, min_sites), "wide")
-    lost = _with(lines, wide).where((F.col("first.key") != F.col("key")) | (F.col("first.pos") != F.col("pos")))
-    lost = lost.groupBy("key").agg(F.collect_set("pos").alias(_LOST)).withColumnRenamed("key", _KEY)
-    joined = docs.join(lost, _key(id_col) == F.col(_KEY), "left")
+    lost = _with(lines, wide).where((F.col("first.row") != F.col("row")) | (F.col("first.pos") != F.col("pos")))
+    lost = lost.groupBy(F.col("row").alias(_KEY)).agg(F.collect_set("pos").alias(_LOST))
+    joined = keyed.join(lost, F.col(_ROW) == F.col(_KEY), "left")
     parts = F.split(text_col, "\n", -1)
     places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(_LOST))
     kept = F.get(F.transform(F.array(parts), lambda ls: F.array_join(F.transform(places, lambda i: F.get(ls, i)), "\n")), F.lit(0))

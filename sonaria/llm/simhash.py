@@ -25,6 +25,7 @@ from sonaria.llm.common import Written, written
 
 BITS = 64
 SEED = 42
+ROW = "__row"
 _BLOCK = 1 << 15
 
 
@@ -133,15 +134,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(groups, "fp").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The documents without all but the first of each near-duplicate group.
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` in a written table with a key for each row, whatever its id."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
 
-    Rows are told apart by id: where an id repeats, its first text in the order of (hash, text)
-    stays. Documents whose id is null are kept, for nothing names them.
-    """
-    groups = near_duplicates(docs, shingle=shingle)
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+def first_rows(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """``keyed`` without all but the first of each group (row, root): smallest id, then hash of the text; null ids last."""
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64("text").alias("c"), F.col(ROW).alias("row"))
+    ranked = keyed.select(F.col(ROW), order.alias("order")).join(groups.withColumnRenamed("row", ROW), ROW)
+    first = ranked.groupBy("root").agg(F.min("order").alias("first")).select("root", F.col("first.row").alias("first"))
+    dropped = groups.join(first, "root").where("row <> first").select(F.col("row").alias(ROW))
+    return keyed.join(dropped, ROW, "left_anti").drop(ROW)
+
+
+def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """The documents without all but the first of each near-duplicate group, each row on its own,
+    also where ids are null or repeat."""
+    keyed = keyed_rows(docs)
+    groups = near_duplicates(keyed, id_col=ROW, shingle=shingle)
+    return first_rows(keyed, written(groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("root")), "groups"))
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:
