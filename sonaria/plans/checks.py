@@ -101,10 +101,11 @@ def required_args(c):
 
 @query("snapshot_list", "registered", "SELECT count(*) FILTER (in64) + count(*) FILTER (in32) + count(*) FILTER (in_user) AS products FROM registered")
 def snapshot_list(c):
-    """Products of a snapshot over its views, read from the nested map of views."""
-    view = lambda v: F.map_from_entries(F.collect_list(F.when(F.col(v), F.struct("reg_key", "content_dir"))))
-    snap = c("registered").agg(F.create_map(*[x for v in ("in64", "in32", "in_user") for x in (F.lit(v), view(v))]).alias("views"))
-    return snap.select(F.aggregate(F.map_values("views"), F.lit(0), lambda a, m: a + F.size(m)).cast("long").alias("products"))
+    """Products of a snapshot over its views, counted by view."""
+    views = [F.when(F.col(v), F.lit(v)) for v in ("in64", "in32", "in_user")]
+    entries = c("registered").select("reg_key", F.explode(F.array_compact(F.array(*views))).alias("view"))
+    counts = entries.groupBy("view").agg(F.count("*").alias("n"))
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("products"))
 
 
 @query("repeat_suffix_stuck", "messages", "WITH r AS (SELECT session_id, id, content, right(content, 12) AS t FROM messages) SELECT session_id, id, len(list_filter(range(1, greatest(length(content) - length(t) + 2, 2)), lambda i: substring(content, i, 12) = t)) >= 2 AS stuck FROM r")
