@@ -6,8 +6,11 @@ import atexit
 import tempfile
 import uuid
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FOLDERS: dict[str, str] = {}
 
@@ -68,21 +71,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bisect_right(bounds: list[int], value: Column) -> Column:
-    """Number of sorted ``bounds`` not above ``value``, by binary search in an array literal."""
-    if not bounds:
-        return F.lit(0)
-    grid = F.array(*[F.lit(int(b)) for b in bounds]) if len(bounds) < 64 else F.expr(f"array({','.join(f'{int(b)}L' for b in bounds)})")
-    steps = len(bounds).bit_length()
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-
-    def halve(acc: Column, _: Column) -> Column:
-        middle = ((acc["lo"] + acc["hi"]) / 2).cast("int")
-        below = F.element_at(grid, F.least(middle + 1, F.lit(len(bounds)))) <= value
-        open_ = acc["lo"] < acc["hi"]
-        return F.struct(
-            F.when(open_ & below, middle + 1).otherwise(acc["lo"]).alias("lo"),
-            F.when(open_ & ~below, middle).otherwise(acc["hi"]).alias("hi"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"]
+#: Tables up to this number of rows (a few longs each) are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` (of a written table), marked for a broadcast only where a count shows that they are few."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], salt: Column, how: str = "inner", parts: int = 1000) -> DataFrame:
+    """``rows`` joined with ``other``, which has one row for each of ``keys``.
+
+    A key with more than 1/``parts`` of the rows is dealt out by ``salt`` to as many places as it has
+    such shares, and its row of ``other`` is copied to each; there are ``parts`` such keys at most.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    least = max(200, rows.count() // parts)
+    heavy = counts.where(F.col("__n") > least).select(*keys, F.ceil(F.col("__n") / least).cast("int").alias("__salts")).collect()  # ``parts`` rows
+    if not heavy:
+        return rows.join(other, keys, how)
+    shares = F.broadcast(rows.sparkSession.createDataFrame(heavy, reduce(lambda t, k: t.add(rows.schema[k]), keys, T.StructType()).add("__salts", "int")))
+    dealt = rows.join(shares, keys, "left").withColumn("__salt", F.pmod(salt, F.coalesce("__salts", F.lit(1)))).drop("__salts")
+    copied = other.join(shares, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return dealt.join(copied, [*keys, "__salt"], how).drop("__salt")

@@ -1,10 +1,17 @@
 """SimHash near-duplicate groups by multi-index hashing.
 
-Fingerprints are computed in the scan's own tasks, so texts are never shuffled. Two fingerprints
-at two or fewer differing bits share a value at one flipped bit from each, so every distinct
-fingerprint enumerates, segment by segment, the ball of radius one (65 values in all). The values
-are the keys of the index tables: the members of one key are at most 65 and each is linked to the
-smallest of them after its complete distance is verified. Nothing grows with the size of a group.
+Fingerprints are computed in the scan's own tasks, so texts are never shuffled. Each distinct
+fingerprint is cut into segments, and a table of each segment holds it under that segment's value.
+By the pigeonhole principle two fingerprints at two or fewer differing bits differ in at most one
+bit of the first half or in none of the second: so each one enumerates the ball of radius one
+within its first segment and of radius zero within its second, 34 values in all, fetches what the
+tables hold there, and verifies the complete distance of each pair.
+
+A value that more than ``crowd`` fingerprints share (near copies by the thousand have one half in
+common) is not compared pair by pair. Whatever probes such a value goes another exact way: its
+balls go on through the other segment too, so that the key is a whole fingerprint with one bit
+flipped. Two fingerprints at two or fewer bits share such a key, a key has at most 65 members, all
+within two bits of one another, and each is linked to the smallest of them.
 
 Rows: a null text counts as empty; texts without words have fingerprint zero and link like any
 other; repeated ids keep one row each; columns besides id and text are ignored; an empty table
@@ -14,6 +21,7 @@ gives an empty result. A null id gives a row whose id is null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonaria.llm.common import Written, written
+from sonaria.llm.common import Written, small, spread_join, written
 
 BITS = 64
+#: Fingerprints link at this many differing bits or fewer.
+DISTANCE = 2
+SEGMENTS = 2
+CROWD = 64
 SEED = 42
 ROW = "__row"
 _BLOCK = 1 << 15
@@ -73,39 +85,72 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def ball_masks(segments: int) -> list[int]:
-    """The flips of the radius-one ball, segment by segment, and no flip."""
-    width = BITS // segments
-    return [0] + [_signed(1 << bit) for s in range(segments) for bit in range(s * width, (s + 1) * width if s < segments - 1 else BITS)]
+def segment_bits(segments: int = SEGMENTS) -> list[range]:
+    """The bits of each segment of a fingerprint."""
+    cuts = [BITS * s // segments for s in range(segments + 1)]
+    return [range(a, b) for a, b in zip(cuts, cuts[1:])]
 
 
-def links(fps: DataFrame, segments: int = 4) -> DataFrame:
+def radii(segments: int = SEGMENTS, distance: int = DISTANCE) -> list[int]:
+    """Radii that sum up to distance - segments + 1: whatever lies within the distance lies within the
+    radius in one segment or more, or else its distance would be above. Below zero: no look-up."""
+    total = distance - segments + 1
+    return [total // segments + (s < total % segments) if total >= 0 else 0 if s < distance + 1 else -1 for s in range(segments)]
+
+
+def ball(bits: range, radius: int) -> list[int]:
+    """The flips of the Hamming ball within a segment."""
+    return [_signed(sum(1 << b for b in flips)) for r in range(radius + 1) for flips in combinations(bits, r)]
+
+
+def _looked_up(fps: DataFrame, flips: list[list[int]], segments: int) -> DataFrame:
+    """fp, segment, value: one row for each flip of each segment."""
+    masks = [_signed(sum(1 << b for b in bits)) for bits in segment_bits(segments)]
+    where = F.array(*[F.struct(F.lit(s).alias("segment"), F.lit(masks[s]).alias("mask"), F.lit(x).alias("flip")) for s in range(segments) for x in flips[s]])
+    value = F.col("fp").bitwiseXOR(F.col("at.flip")).bitwiseAND(F.col("at.mask"))
+    return fps.select("fp", F.explode(where).alias("at")).select("fp", "at.segment", value.alias("value"))
+
+
+def links(fps: DataFrame, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
     """Links (u, v), u > v, that connect all distinct fingerprints at two or fewer differing bits."""
-    masks = F.array(*[F.lit(m) for m in ball_masks(segments)])
-    probes = fps.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"))
-    first = F.min("fp").over(Window.partitionBy("key"))
-    met = probes.select("fp", first.alias("v")).where(F.col("fp") > F.col("v"))
-    exact = F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= 2
-    return met.where(exact).select(F.col("fp").alias("u"), "v").distinct()
+    reach = [r if r >= 0 else None for r in radii(segments)]
+    entries = _looked_up(fps, [[0] if r is not None else [] for r in reach], segments)
+    probes = _looked_up(fps, [ball(bits, r) if r is not None else [] for bits, r in zip(segment_bits(segments), reach)], segments)
+    place = ["segment", "value"]
+    crowded = written(entries.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select(*place), "crowded")
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("v")))
+    if crowded.isEmpty():
+        found = probes.join(entries.withColumnRenamed("fp", "v"), place)
+        return found.where(F.col("fp") > F.col("v")).where(far <= DISTANCE).select(F.col("fp").alias("u"), "v").distinct()
+    few = small(crowded)
+    found = probes.join(entries.join(few, place, "left_anti").withColumnRenamed("fp", "v"), place).where(F.col("fp") > F.col("v")).where(far <= DISTANCE)
+    # what meets a crowd: keys of whole fingerprints with a bit flipped, linked to the smallest of each key
+    crowd_fps = probes.join(few, place, "left_semi").select("fp").distinct()
+    keys = crowd_fps.select("fp", F.explode(F.array(*[F.lit(m) for m in ball(range(BITS), 1)])).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
+    met = keys.select("fp", F.min("fp").over(Window.partitionBy("key")).alias("v")).where(F.col("fp") > F.col("v"))
+    return found.select(F.col("fp").alias("u"), "v").union(met.select(F.col("fp").alias("u"), "v")).distinct()
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for all nodes of ``edges`` (u, v): root is the smallest node reachable.
 
-    Alternates large-star and small-star steps; each round is written to the shared folder and
-    costs joins and minima only, so that a node of any degree is spread over tasks.
+    Alternates large-star and small-star steps; each round is written to the shared folder. Minima
+    are merged before they are shuffled, and the links of a node of very many are dealt over tasks
+    where they meet its minimum, so a star of any size is no task's own.
     """
     now = Written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
     mark = _digest(now.df)
     while mark[0]:
         both = now.df.union(now.df.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hooked = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        met = spread_join(both.where("v > u"), least, ["u"], F.xxhash64("v"))
+        large = Written(met.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), label)
+        low = large.df.groupBy("u").agg(F.min("v").alias("m"))
+        hooked = spread_join(large.df, low, ["u"], F.xxhash64("v")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         step = Written(hooked.union(low).distinct(), label)
         new = _digest(step.df)
         now.drop()
+        large.drop()
         now = step
         if new == mark:
             break
@@ -123,15 +168,15 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, segments: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, segments: int = SEGMENTS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id of the near-duplicate group)."""
     marked = written(with_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     roots = connected_components(links(classes.select("fp"), segments))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = written(classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted")
     leaders = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    groups = rooted.join(leaders, "root").select("fp", "component_id")
-    return marked.join(groups, "fp").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+    groups = spread_join(rooted, leaders, ["root"], F.xxhash64("fp")).select("fp", "component_id")
+    return spread_join(marked, groups, ["fp"], F.xxhash64("doc_id")).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:

@@ -55,9 +55,23 @@ def test_links_of_random_fingerprints(spark):
     fps = sorted(set(fps))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(s,) for s in signed], "fp long")
-    roots = {r.node: r.root for r in simhash.connected_components(simhash.links(df)).collect()}
     want = brute_components(list(zip(signed, fps)))
-    assert [roots.get(s, s) for s in signed] == want
+    for segments, crowd in ((2, 64), (2, 0), (2, 2), (3, 64), (1, 64), (4, 3)):
+        roots = {r.node: r.root for r in simhash.connected_components(simhash.links(df, segments, crowd)).collect()}
+        assert [roots.get(s, s) for s in signed] == want
+
+
+def test_radii_and_balls():
+    assert simhash.radii(2, 2) == [1, 0] and simhash.radii(3, 2) == [0, 0, 0] and simhash.radii(4, 2) == [0, 0, 0, -1] and simhash.radii(1, 2) == [2]
+    for segments in (1, 2, 3, 4):
+        assert sorted(b for bits in simhash.segment_bits(segments) for b in bits) == list(range(64))
+    assert len(simhash.ball(range(32), 1)) == 33 and len(simhash.ball(range(64), 2)) == 1 + 64 + 64 * 63 // 2
+
+
+def test_star_of_many_links(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(2999, 5000), (7000, 7001)], "u long, v long")
+    roots = {r.node: r.root for r in simhash.connected_components(edges).collect()}
+    assert all(roots[i] == 0 for i in range(3000)) and roots[5000] == 0 and roots[7001] == 7000
 
 
 def test_long_chain(spark):
