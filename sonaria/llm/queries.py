@@ -32,6 +32,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The SQL of those that SQL can express; the others are tested against brute force."""
-    from sonaria.llm import lines
+    from sonaria.llm import lines, mixing
 
-    return {"op7_line_spread": lines.ORACLE_SQL}
+    return {"op7_line_spread": lines.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}

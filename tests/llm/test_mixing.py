@@ -1,8 +1,13 @@
+import os
 import re
 from collections import defaultdict
 
+import pytest
+
 from sonaria.llm import mixing
 
+SF = "/root/testdata/sf0.001"
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -49,15 +54,37 @@ def test_targets(spark):
 
 
 def test_schedule_is_even(spark):
-    targets = spark.createDataFrame([("a", 1, 50.0), ("b", 1, 30.0), (None, 1, 20.0)], "source string, source_size long, target double")
-    rows = sorted(((r.slot, r.source, r["rank"]) for r in mixing.schedule(spark, targets, 1000).collect()))
-    assert [r[0] for r in rows] == list(range(1000))
+    targets = spark.createDataFrame([(0, 5000.0), (1, 3000.0), (2, 1995.0)], "number long, target double")
+    rows = sorted((r.slot, r.number, r["rank"], r["first"], r["last"]) for r in mixing.schedule(targets, 10).collect())
+    assert len(rows) == len({r[0] for r in rows}) == 1000
     seen = defaultdict(int)
-    share = {"a": 0.5, "b": 0.3, None: 0.2}
-    for n, (_, s, rank) in enumerate(rows, 1):
-        assert rank == seen[s]
+    share = {0: 0.5, 1: 0.3, 2: 0.2}
+    for n, (_, s, rank, first, last) in enumerate(rows, 1):
+        assert rank == seen[s] and first == 10 * rank and last == (1995 if (s, rank) == (2, 199) else first + 10)
         seen[s] += 1
         assert all(abs(seen[x] - share[x] * n) < 8 for x in share)
+    assert dict(seen) == {0: 500, 1: 300, 2: 200}
+
+
+def test_slots_of_the_documents(awkward):
+    """Each document is first taken by the earliest of the slots whose block holds one of its words."""
+    got = mixing.mix(awkward, block=7).collect()
+    assert all((r.first_slot is None) == (r.taken == 0) for r in got)
+    assert len({r.first_slot for r in got if r.taken}) > 5
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_query_matches_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(mixing.ORACLE_SQL).df()
+    got = mixing.op10_query(spark, SF).toPandas()
+    assert sorted(got.columns) == sorted(want.columns)
+    order = sorted(got.columns)
+    rows = lambda f: sorted(map(str, f[order].astype(object).where(f[order].notna(), None).values.tolist()))
+    assert [eval(r) for r in rows(got)] == [eval(r) for r in rows(want)]
 
 
 def test_documents_of_the_mix(awkward, nothing):

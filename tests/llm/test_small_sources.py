@@ -14,7 +14,11 @@ def test_small_sources_meet_their_targets(spark):
     assert all(abs(taken[s] - t) <= 0.5 for s, t in target.items())
 
 
-def test_schedule_of_many_sources(spark):
-    targets = spark.createDataFrame([(f"s{i:05}", 1, 1.0) for i in range(3000)], "source string, source_size long, target double")
-    rows = mixing.schedule(spark, targets, 6000).collect()
-    assert len(rows) == len({r.slot for r in rows}) == 6000 and len({r.source for r in rows}) == 3000
+def test_many_small_sources_beside_a_large_one(spark):
+    rows = [(i, "word " * 2000, "big") for i in range(300)] + [(10_000 + i, "a b c d e", f"s{i % 2000:04}") for i in range(6000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), block=64).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(target) == 2001 and all(abs(taken[s] - t) <= 0.5 for s, t in target.items())
