@@ -1,8 +1,11 @@
 import hashlib
+import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sonaria.llm import licenses, lines, multiset
@@ -97,20 +100,57 @@ def test_line_oracle(awkward, spark):
     assert got[want.columns].equals(want.astype(got[want.columns].dtypes.to_dict()))
 
 
-def test_edited_texts(spark, awkward, rows_of):
-    rows = sorted(rows_of, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    texts = [t or "" for _, t, _ in rows]
-    want = []
-    for k, (i, _, _) in enumerate(rows):
+def text_hash(text):
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_edits(rows):
+    """(doc_id, n_chars, digest of the edited text) in ascending order of id, then hash of the text."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1])))
+    texts = [r[1] or "" for r in rows]
+    out = []
+    for k, r in enumerate(rows):
         text, following = texts[k], texts[(k + 1) % len(rows)]
         half = len(text) // 2
-        want.append((i, len(text), hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()))
-    docs = multiset.fingerprints(awkward).withColumn("key", F.coalesce("doc_id", F.lit(multiset.FIRST)))
+        out.append((r[0], len(text), hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_edited_texts(awkward, rows_of, monkeypatch):
     for size in (3, 1000):
-        made = multiset.with_next(docs, "key", ["text", "v", "vv"], ["text"], size)
-        half = F.floor(F.col("n_chars") / 2).cast("int")
-        edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next.text", F.lit(1), half))
-        assert sorted(map(tuple, made.select("doc_id", "n_chars", F.sha2(edited, 256)).collect()), key=str) == sorted(want, key=str)
+        monkeypatch.setattr(multiset.with_next, "__defaults__", (size,))
+        made = multiset.edited_neighbours(awkward).select("doc_id", "n_chars", "edited_sha256")
+        assert sorted(map(tuple, made.collect()), key=str) == brute_edits(rows_of)
+
+
+def test_edited_texts_of_null_and_repeated_ids(spark, monkeypatch):
+    rows = [(None, f"null id {i}. and more {i % 5}") for i in range(60)] + [(7, f"one id {i}. {i}") for i in range(40)] + [(9, "equal row. again")] * 25 + [(None, "also equal")] * 11 + [(3, "x"), (20, "last")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(multiset.with_next, "__defaults__", (4,))
+    for many in (1000, 10, 2):
+        made = multiset.edited_neighbours(docs, many=many).select("doc_id", "n_chars", "edited_sha256")
+        assert sorted(map(tuple, made.collect()), key=str) == brute_edits(rows)
+
+
+def sentences(text):
+    return Counter(x for x in re.split(r"\n+|(?<=[.!?])\s+", text) if x.strip(" "))
+
+
+def test_likeness_against_true_shares(spark):
+    """The cosine of the sentence counts, within five deviations for each pair and close on average."""
+    r = random.Random(5)
+    made = [" ".join(f"Sentence {r.randrange(60)} of {k}." if r.random() < 0.5 else f"Shared {r.randrange(40)}." for _ in range(r.randrange(1, 60))) for k in range(60)]
+    rows = [(i, a, made[(i * 7 + j) % 60]) for i, a in enumerate(made) for j in range(3)]
+    df = spark.createDataFrame([(a, b) for _, a, b in rows], "a string, b string").select("a", "b", multiset.vector(F.col("a")).alias("va"), multiset.vector(F.col("b")).alias("vb"))
+    dots = [multiset.dot(F.col(x), F.col(y)).alias(n) for x, y, n in (("va", "va", "aa"), ("vb", "vb", "bb"))]
+    got = df.select("*", *dots).select("a", "b", multiset.likeness(F.col("va"), F.col("vb"), F.col("aa"), F.col("bb")).alias("near")).collect()
+    errors = []
+    for row in got:
+        x, y = sentences(row.a), sentences(row.b)
+        true = sum(n * y[k] for k, n in x.items()) / (sum(n * n for n in x.values()) * sum(n * n for n in y.values())) ** 0.5
+        errors.append(row.near - true)
+    assert max(map(abs, errors)) < 0.36 and sum(e * e for e in errors) / len(errors) < 0.08**2
 
 
 def test_fingerprints_are_homomorphic(spark):
