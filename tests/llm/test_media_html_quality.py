@@ -83,7 +83,7 @@ def test_blocks_of_an_article():
     assert html.blocks("plain <b>text</b> a < b <unfinished")[0] == ["plain text a < b"]
     assert html.blocks("<article>x<p>y") == (["x", "y"], True)
     assert html.blocks("<main><p>m</p></main><p>out</p>") == (["m"], True)
-    assert html.blocks("<article><p class='notice'>n<p>kept</article>") == (["kept"], True)
+    assert html.blocks("<article><div class='notice'>n</div><p>kept</article>") == (["kept"], True)
     assert html.blocks("<article><article class='comment'>c</article>t</article>") == (["t"], True)
 
 
@@ -95,28 +95,69 @@ def test_main_text_query(spark):
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, host string")
     got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html.main_text(pages).collect()), key=str)
     alone = "Subscribe to our weekly letter and never miss a single story again\n" + own[0] + "\nShort"
-    texts = {0: own[0], 1: own[1], 2: own[2], 3: alone, 4: "", 5: "", None: "\n".join(html.blocks(PAGE)[0])}
+    texts = {k: f"{t}\nShort" for k, t in enumerate(own)} | { 3: alone, 4: "", 5: "", None: "\n".join(html.blocks(PAGE)[0])}
     assert got == sorted(((i, u, texts[i], len(texts[i])) for i, u, _ in rows), key=str)
 
 
-def test_windows_cover_what_repeated_substrings_cover():
-    r = np.random.default_rng(2)
-    pages = [[" ".join(r.choice(list("abc"), 40))] for _ in range(3)]
-    k = 4
-    seen = {}
-    for n, parts in enumerate(pages):
-        for h in html.windows(parts[0], k):
-            seen.setdefault(h, set()).add(n)
-    repeated = {h for h, p in seen.items() if len(p) > 1}
-    for n, parts in enumerate(pages):
-        t = parts[0].split()
-        brute = set()
+def brute_covered(streams, k):
+    """Token places of each stream within substrings of k tokens or more that another stream has too."""
+    out = []
+    for n, t in enumerate(streams):
+        covered = set()
         for i in range(len(t)):
-            for j in range(i + k, len(t) + 1):
-                if any(t[i:j] == o[0].split()[x : x + j - i] for m, o in enumerate(pages) if m != n for x in range(len(t))):
-                    brute.update(range(i, j))
-        covered = {i + d for i, h in enumerate(html.windows(parts[0], k)) if h in repeated for d in range(k)}
-        assert covered == brute
+            for o in (o for m, o in enumerate(streams) if m != n):
+                for x in range(len(o)):
+                    j = 0
+                    while i + j < len(t) and x + j < len(o) and t[i + j] == o[x + j]:
+                        j += 1
+                    if j >= k:
+                        covered.update(range(i, i + j))
+        out.append(covered)
+    return out
+
+
+def test_pages_without_an_article_against_brute_force(spark):
+    """Whole results: what repeats on another page of the host goes, within blocks as well, and all else stays."""
+    r = np.random.default_rng(2)
+    k, hosts = 4, {}
+    for n in range(24):
+        parts = [" ".join(r.choice(list("abcde"), int(r.integers(1, 16)))) for _ in range(4)]
+        hosts.setdefault(n % 3, {})[n] = parts
+    hosts[0][30] = list(hosts[0][0])  # a copy of a page is no evidence of boilerplate
+    rows, want = [], {}
+    for host, pages in hosts.items():
+        distinct = list({tuple(p): None for p in pages.values()})
+        covered = dict(zip(distinct, brute_covered([" ".join(p).split() for p in distinct], k)))
+        for n, parts in pages.items():
+            rows.append((n, f"https://h{host}.example/{n}", "".join(f"<div>{p}</div>" for p in parts)))
+            at, kept = 0, []
+            for block in parts:
+                tokens = block.split()
+                left = [t for i, t in enumerate(tokens, at) if i not in covered[tuple(parts)]]
+                at += len(tokens)
+                kept += [" ".join(left)] if left else []
+            want[n] = "\n".join(kept)
+    got = {x.page_id: x.text for x in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), depth=k).collect()}
+    assert got == want and any(want[n] != "\n".join(p) for n, p in hosts[0].items())
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p title=it's>Body one it's</p>", "Body one it's"),
+        ("<p title=\"a>b\" data-x='c>d' e=f>g>Body</p>", "g>Body"),
+        ('<p class="legal">Legal history of Rome</p>', "Legal history of Rome"),
+        ('<p id="section-search">Search for truth</p>', "Search for truth"),
+        ('<div id="section-search"><p>Kept</p></div><div class="search-box">Go</div>', "Kept"),
+        ('<h2 class="social">Social insects</h2><div class="article-related">Both stay</div>', "Social insects\nBoth stay"),
+        ('<div class="post share-bar">gone</div><ol class="comment_list"><li>gone</ol><div class=sidebar>gone</div><span class="ad-slot-3">gone</span>kept', "kept"),
+        ("<p =a b= c>text</p><p / class = 'x' >more</p>", "text\nmore"),
+        ('<p title="never closed>text</p>', "text"),
+        ("<script a='>'>var x = '<p>no</p>'</script ><p>yes", "yes"),
+    ],
+)
+def test_attributes_and_names(page, text):
+    assert "\n".join(html.blocks(f"<article>{page}</article>")[0]) == text
 
 
 def test_additive_model_learns_mains_and_pairs():
