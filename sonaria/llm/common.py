@@ -80,18 +80,20 @@ def small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], salt: Column, how: str = "inner", parts: int = 1000) -> DataFrame:
+def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], salt: Column, counted: DataFrame | None = None, n: int | None = None, parts: int = 1000) -> DataFrame:
     """``rows`` joined with ``other``, which has one row for each of ``keys``.
 
     A key with more than 1/``parts`` of the rows is dealt out by ``salt`` to as many places as it has
     such shares, and its row of ``other`` is copied to each; there are ``parts`` such keys at most.
+    ``counted`` may name the same keys with fewer columns, and ``n`` their number.
     """
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
-    least = max(200, rows.count() // parts)
+    counted = rows if counted is None else counted
+    counts = counted.groupBy(*keys).agg(F.count("*").alias("__n"))
+    least = max(200, (counted.count() if n is None else n) // parts)
     heavy = counts.where(F.col("__n") > least).select(*keys, F.ceil(F.col("__n") / least).cast("int").alias("__salts")).collect()  # ``parts`` rows
     if not heavy:
-        return rows.join(other, keys, how)
-    shares = F.broadcast(rows.sparkSession.createDataFrame(heavy, reduce(lambda t, k: t.add(rows.schema[k]), keys, T.StructType()).add("__salts", "int")))
+        return rows.join(other, keys)
+    shares = F.broadcast(rows.sparkSession.createDataFrame(heavy, reduce(lambda t, k: t.add(rows.schema[k]), keys, T.StructType()).add("__salts", T.IntegerType())))
     dealt = rows.join(shares, keys, "left").withColumn("__salt", F.pmod(salt, F.coalesce("__salts", F.lit(1)))).drop("__salts")
     copied = other.join(shares, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
-    return dealt.join(copied, [*keys, "__salt"], how).drop("__salt")
+    return dealt.join(copied, [*keys, "__salt"]).drop("__salt")

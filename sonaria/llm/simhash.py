@@ -143,10 +143,10 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     while mark[0]:
         both = now.df.union(now.df.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        met = spread_join(both.where("v > u"), least, ["u"], F.xxhash64("v"))
+        met = spread_join(both.where("v > u"), least, ["u"], F.xxhash64("v"), n=mark[0])
         large = Written(met.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), label)
         low = large.df.groupBy("u").agg(F.min("v").alias("m"))
-        hooked = spread_join(large.df, low, ["u"], F.xxhash64("v")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hooked = spread_join(large.df, low, ["u"], F.xxhash64("v"), n=mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         step = Written(hooked.union(low).distinct(), label)
         new = _digest(step.df)
         now.drop()
