@@ -3,11 +3,12 @@
 The lengths of all pieces form a histogram of at most ``capacity`` bins, whatever the input. The
 driver solves the fractional configuration program over it by multiplicative weights: each round
 prices the lengths, a knapsack dynamic program finds the most valuable configuration of a
-sequence, that configuration is used for a share of the demand and the weights of the lengths it
-holds fall. Rounding down leaves a bounded rest, packed by best fit. The plan is a table of
-ranges (length, first rank, count, first sequence, offset); pieces get their rank within their
-length from counts by (length, shard), so no length, however common, meets in one task, and look
-up their range in the plan, which is bounded by the capacity and broadcast.
+sequence, that configuration is used for an amount, and the weights of the lengths it holds fall.
+Prices give a lower bound on any packing. The amounts are rounded down, and what is left, which is
+a share kept back on purpose and the parts of sequences that rounding drops, goes by best fit. The
+plan is a table of ranges (length, first rank, count, first sequence, offset); pieces get their
+rank within their length from counts by (length, shard), so no length, however common, meets in
+one task, and look up their range in the plan, which is bounded by the capacity and broadcast.
 
 Rows: a null text counts as empty and packs its separator alone; repeated ids are separate
 documents; an empty table gives an empty result; other columns are ignored.
@@ -53,7 +54,8 @@ class WordIds(dict):
     The tokenizer drops white space and its pre-tokens never span it, so a text's ids are its
     words' ids one after the other. Words of plain Latin characters are merged by a byte-pair
     encoder over the same vocabulary, in which a byte that UTF-8 lacks ends a word; all others,
-    and those that may hold a special token, go to the library. ``limit`` bounds the cache.
+    those that may hold a special token, and all words of a vocabulary that the encoder does not
+    read as the library does (checked on loading), go to the library. ``limit`` bounds the cache.
     """
 
     def __init__(self, model_file: str, limit: int = 600_000):
@@ -73,12 +75,17 @@ class WordIds(dict):
         self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.parts = regex.compile(split).findall
+        # the short way holds only if it reads the vocabulary's own words, alone and joined, as the library does
+        words = [t.removesuffix(suffix) for t in spec["model"]["vocab"] if t.endswith(suffix) and _PLAIN.fullmatch(t.removesuffix(suffix)) and "<|" not in t][:: max(1, len(ranks) // 400)]
+        probes = words + [a.upper() + b for a, b in zip(words, words[7:])] + [f"{a}{b}.{a}" for a, b in zip(words, words[3:])]
+        self.short = all(self._merged(w) == self.library.encode(w, add_special_tokens=False).ids for w in probes)
+
+    def _merged(self, word: str) -> list[int]:
+        return [i for part in self.parts(word.lower()) for i in self.merge(part.encode() + END)]
 
     def __missing__(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word) and "<|" not in word:
-            found: list[int] = []
-            for part in self.parts(word.lower()):
-                found += self.merge(part.encode() + END)
+        if self.short and _PLAIN.fullmatch(word) and "<|" not in word:
+            found = self._merged(word)
         else:
             found = self.library.encode(word, add_special_tokens=False).ids
         ids = struct.pack(f"<{len(found)}I", *found)
@@ -178,54 +185,100 @@ def best_fit(groups: list[list], lengths: np.ndarray, rest: np.ndarray, capacity
     return [[items, room, count] for room, found in by_room.items() for items, count in found]
 
 
-def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = 2000, eta: float = 1.0, share: float = 0.5, priced: int = 48, reserve: float = 0.4) -> list[list]:
+def most_valuable(value: np.ndarray, lengths: np.ndarray, capacity: int) -> float:
+    """The greatest value of any configuration, however often a length occurs in it."""
+    price = np.full(capacity + 1, -np.inf)
+    price[lengths] = value
+    best = np.zeros(capacity + 1)
+    for c in range(1, capacity + 1):
+        best[c] = max(best[c - 1], float((best[c - 1 :: -1] + price[1 : c + 1]).max()))
+    return float(best[capacity])
+
+
+def fractional_cover(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, least: float = 0.95, rounds: int = 2000, eta: float = 2.0, priced: int = 12, spread: int = 40, seeded: bool = False) -> tuple[list[tuple[np.ndarray, np.ndarray, float]], float]:
+    """A fractional solution of the covering program, [(kinds, each, amount)], and a lower bound on any.
+
+    The program takes amounts x of configurations, multisets of lengths that fit a sequence, so that
+    every length is covered to the share ``least`` of its number, no length beyond its number, and the
+    sum of x is least. Weights begin high for long pieces, the hard ones. A round prices the ``priced``
+    heaviest lengths that are not covered yet and ``spread`` others, new ones each time, finds the most
+    valuable configuration by knapsack, uses it as often as one of its lengths still needs, and the
+    weight of each length it holds falls by exp(-eta * covered share). Prices are sizes, the dual of the
+    volume bound, plus a gain by weight, so weights decide among full sequences; the gain only grows
+    where no full one holds a length in need. With ``seeded`` the heaviest length is priced at a sequence
+    of its own instead, as pieces over half a sequence are worth, and the knapsack fills up beside it.
+    What ``rounds`` leave open is left to the rounding. Any prices give a bound by duality: the value
+    of all pieces over that of the most valuable configuration.
+    """
+    lengths, demand = np.asarray(lengths, np.int64), np.asarray(counts, float)
+    free = demand.copy()
+    weight = 4 * np.log(lengths / capacity)
+    found: dict[tuple, float] = {}
+    gain = start = 1 / (2 * capacity)
+    for turn in range(rounds):
+        needy = free > (1 - least) * demand + 1e-9
+        if not needy.any():
+            break
+        left, wanted = np.flatnonzero(free > 0), np.flatnonzero(needy)
+        heavy = wanted[np.argsort(-weight[wanted], kind="stable")[:priced]]
+        hop = max(1, len(left) // spread)
+        some = np.union1d(heavy, left[7 * turn % hop :: hop])
+        first = heavy[:1] if seeded else heavy[:0]
+        beside = capacity - int(lengths[first].sum())
+        value = lengths[some] * (1 + gain * needy[some] * np.exp(weight[some] - weight[wanted].max()))
+        most = np.ceil(free[some]).astype(np.int64) - np.isin(some, first)
+        fits = lengths[some] <= beside
+        more = some[fits][best_configuration(value[fits], most[fits], lengths[some][fits], beside)] if fits.any() else some[:0]
+        kinds, each = np.unique(np.append(more, first).astype(np.int64), return_counts=True)
+        if not needy[kinds].any():
+            gain *= 1.3
+            continue
+        gain = max(start, gain / 2)
+        # as much as a length needs, or a quarter of what is left of one that only fills up; a sequence at least
+        room = np.where(needy[kinds], free[kinds] - (1 - least) * demand[kinds], free[kinds] / 4) / each
+        amount = float(min(max(1.0, room.min()), (free[kinds] / each).min()))
+        free[kinds] = np.maximum(0.0, free[kinds] - amount * each)
+        free[free < 1e-9] = 0.0
+        weight[kinds] -= eta * amount * each / demand[kinds]
+        key = (tuple(kinds.tolist()), tuple(each.tolist()))
+        found[key] = found.get(key, 0.0) + amount
+    volume = float((demand * lengths).sum()) / capacity
+    if not len(lengths):
+        return [], 0.0
+    prices = lengths * np.exp(np.maximum(weight - weight.max(), -50))
+    bound = max(volume, float((demand * prices).sum()) / most_valuable(prices, lengths, capacity))
+    return [(np.array(k), np.array(e), x) for (k, e), x in found.items()], bound
+
+
+#: Shares kept back for the rounding, and whether the heaviest length is worth a sequence.
+TRIES = ((0.3, False), (0.3, True), (0.0, False), (0.0, True), (0.6, True))
+
+
+def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, tries: tuple[tuple[float, bool], ...] = TRIES) -> list[list]:
     """[[indices into lengths], room, count] of sequences that hold every piece once.
 
-    Multiplicative weights for the covering program: a round prices the ``priced`` heaviest
-    lengths and as many spread over the others, uses the best configuration for ``share`` of the
-    least demand in it, rounded to whole sequences, and lets the weights of what it covers fall. A
-    ``reserve`` of every length stays out, so that the best fit of the rounding has all sizes left.
+    The program is solved without a reserve of every length, so that pieces of all sizes are left for
+    the rounding; its amounts are rounded down and the rest goes by best fit, largest pieces first.
+    Where that is more than 0.1 % above the program's bound the next way of ``tries`` is taken too,
+    and the fewest sequences win.
     """
-    lengths, rest = np.asarray(lengths, np.int64), np.asarray(counts, np.int64).copy()
-    groups: dict[tuple[int, ...], int] = {}
-    for k in np.flatnonzero(lengths == capacity):  # these fill a sequence each
-        groups[(int(k),)] = int(rest[k])
-        rest[k] = 0
-    kept = np.ceil(rest * reserve).astype(np.int64)  # every length in this share, for the rounding at the end
-    rest -= kept
-    demand = np.maximum(rest, 1).astype(float)
-    weight = np.log1p(lengths / capacity)  # logarithms; long pieces are the hard ones
-    for _ in range(rounds):
-        open_ = np.flatnonzero(rest > 0)
-        if not len(open_):
+    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
+    best: list[list] = []
+    for reserve, seeded in tries:
+        kept = np.where(lengths < capacity, np.ceil(counts * reserve), 0).astype(np.int64)
+        cover, bound = fractional_cover(lengths, counts - kept, capacity, seeded=seeded)
+        groups, rest = [], counts - kept
+        for kinds, each, amount in cover:
+            whole = min(int(amount + 1e-9), int((rest[kinds] // each).min()))
+            if whole > 0:
+                rest[kinds] -= whole * each
+                groups.append([[int(k) for k, n in zip(kinds, each) for _ in range(n)], capacity - int((lengths[kinds] * each).sum()), whole])
+        made = best_fit(groups, lengths, rest + kept, capacity)
+        if not best or sum(g[2] for g in made) < sum(g[2] for g in best):
+            best = made
+        if sum(g[2] for g in best) <= 1 + 1.001 * max(bound, float((counts * lengths).sum()) / capacity):
             break
-        heavy = open_[np.argsort(-weight[open_], kind="stable")[:priced]]
-        spread = open_[np.linspace(0, len(open_) - 1, min(priced, len(open_))).astype(int)]
-        some = np.union1d(heavy, spread)
-        # near the volume bound all prices tend to the length; the weights decide among full sequences
-        value = lengths[some] * (1 + np.exp(weight[some] - weight[open_].max()) / (2 * capacity))
-        chosen = some[best_configuration(value, rest[some], lengths[some], capacity)].tolist()
-        room = capacity - int(lengths[chosen].sum())
-        kinds, each = np.unique(chosen, return_counts=True)
-        while room:  # lengths that were not priced fill what the knapsack left
-            left = rest.copy()
-            left[kinds] -= each
-            fits = np.flatnonzero((left > 0) & (lengths <= room))
-            if not len(fits):
-                break
-            chosen.append(int(fits[-1]))
-            room -= int(lengths[fits[-1]])
-            kinds, each = np.unique(chosen, return_counts=True)
-        if room:
-            break  # the rest no longer fills sequences to the last token; best fit takes it
-        most = int((rest[kinds] // each).min())
-        step = max(1, min(most, int(share * (demand[kinds] / each).min())))
-        rest[kinds] -= step * each
-        weight[kinds] -= eta * step * each / demand[kinds]
-        key = tuple(sorted(chosen))
-        groups[key] = groups.get(key, 0) + step
-    start = [[list(items), capacity - int(lengths[list(items)].sum()), n] for items, n in groups.items()]
-    return best_fit(start, lengths, rest + kept, capacity)
+    return best
 
 
 def plan_ranges(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> pd.DataFrame:
@@ -246,7 +299,7 @@ def plan_ranges(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACIT
 
 def ranked(cut: DataFrame, shards: int) -> DataFrame:
     """Adds ``rank``, a number from 0 within the length, from counts by (length, shard)."""
-    rows = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    rows = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
     inside = Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("length", "shard").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")

@@ -68,6 +68,40 @@ def test_configurations_hold_every_piece_and_beat_first_fit():
             assert sum(n for _, _, n in made) <= len(bins)
 
 
+def test_fractional_cover_is_a_solution_with_a_bound():
+    r = np.random.default_rng(4)
+    for lengths, counts in (
+        (np.array([492, 522, 532, 1033]), np.array([12000, 6000, 6000, 6000])),
+        (np.arange(1, 2048, 3), r.integers(1, 90, 683)),
+        (np.array([683, 1025]), np.array([5001, 5000])),
+    ):
+        cover, bound = packing.fractional_cover(lengths, counts)
+        covered = np.zeros(len(lengths))
+        for kinds, each, amount in cover:
+            assert amount > 0 and (lengths[kinds] * each).sum() <= 2048
+            np.add.at(covered, kinds, each * amount)
+        assert (covered <= counts + 1e-6).all()
+        found = sum(n for _, _, n in packing.configurations(lengths, counts))
+        alone = sum(n for _, _, n in packing.best_fit([], lengths, counts, 2048))
+        assert bound - 1e-6 <= found <= max(1.001 * bound, 1.005 * alone) + 1
+
+
+def test_program_where_best_fit_alone_fails():
+    lengths, counts = np.array([492, 522, 532, 1033]), np.array([12000, 6000, 6000, 6000])
+    assert sum(n for _, _, n in packing.configurations(lengths, counts)) <= 9001
+    assert sum(n for _, _, n in packing.best_fit([], lengths, counts, 2048)) > 10_000
+
+
+def test_short_way_is_checked_on_loading():
+    words = packing.WordIds(WB)
+    assert words.short
+    words.short = False
+    whole = {w: bytes(words[w]) for w in ("Hello", "café", "it's", "don't!!", "a1b2")}
+    words.clear()
+    words.short = True
+    assert whole == {w: bytes(words[w]) for w in whole}
+
+
 def test_pack_query(awkward, rows_of):
     library = Tokenizer.from_file(WB)
     got = packing.pack(awkward, WB).collect()
