@@ -2,14 +2,16 @@
 
 Features of the text are counted in the scan's tasks. Training rows, a sample of labelled rows of
 bounded size, go to the driver; there shallow trees are boosted on one feature at a time, in
-turn, each adding its leaves to that feature's lookup table, and then on the pairs of features
-that explain most of what is left. A score is the sum of the tables' entries at a text's bins,
+turn, each adding its leaves to that feature's lookup table, and then, in turn again, trees of two
+levels on the pairs of features that explain most of what is left. A score is the sum of the tables' entries at a text's bins,
 added for a whole batch at once.
 
 Rows: a null text counts as empty and is scored like any other; every row, repeated or with a
 null id, gives one row (a null id is never held out); rows of ``labels`` with nulls are unused and
-an id labelled twice takes the mean of its labels; without labels every score is 0.5; other
-columns are ignored.
+an id labelled twice takes the mean of its labels; where an id repeats in the documents, all its
+rows learn its label, up to twice ``sample_rows`` in the order of hashes; without a labelled row every
+score is 0.5 and the filter keeps all documents, for it has nothing against them; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -91,14 +93,40 @@ def _leaves(grad: np.ndarray, hess: np.ndarray, n_leaves: int, least: float, rid
     return out
 
 
+def _pair_leaves(grad: np.ndarray, hess: np.ndarray, ridge: float) -> np.ndarray:
+    """A tree of two levels over a grid of two ordered features: a split of one feature's bins, and on
+    each side the best split of the other's."""
+
+    def halves(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
+        """The best split over the last axis of sums over the first: its gain and its leaves."""
+        gl, hl = np.cumsum(g)[:-1], np.cumsum(h)[:-1]
+        gr, hr = g.sum() - gl, h.sum() - hl
+        gain = gl**2 / (hl + ridge) + gr**2 / (hr + ridge)
+        k = int(gain.argmax())
+        leaves = np.full(len(g), gr[k] / (hr[k] + ridge))
+        leaves[: k + 1] = gl[k] / (hl[k] + ridge)
+        return float(gain[k]), leaves
+
+    best, out = -1.0, np.zeros_like(grad)
+    for turned in (False, True):
+        g, h = (grad.T, hess.T) if turned else (grad, hess)
+        for cut in range(1, len(g)):
+            (a, low), (b, high) = halves(g[:cut].sum(axis=0), h[:cut].sum(axis=0)), halves(g[cut:].sum(axis=0), h[cut:].sum(axis=0))
+            if a + b > best:
+                tree = np.vstack([np.tile(low, (cut, 1)), np.tile(high, (len(g) - cut, 1))])
+                best, out = a + b, tree.T if turned else tree
+    return out
+
+
 class AdditiveModel:
     """Lookup tables over the bins of single features and of pairs; plain arrays, small to send."""
 
-    def __init__(self, bins: int = 32, rounds: int = 150, pair_rounds: int = 40, pairs: int = 6, rate: float = 0.1):
+    def __init__(self, bins: int = 32, rounds: int = 150, pair_rounds: int = 60, pairs: int = 6, rate: float = 0.1):
         self.bins, self.rounds, self.pair_rounds, self.n_pairs, self.rate = bins, rounds, pair_rounds, pairs, rate
         self.base, self.edges, self.tables = 0.0, [], []
         self.pairs: list[tuple[int, int]] = []
         self.pair_tables: list[np.ndarray] = []
+        self.trained = False
 
     def _binned(self, x: np.ndarray) -> list[np.ndarray]:
         return [np.searchsorted(e, x[:, j], "right") for j, e in enumerate(self.edges)]
@@ -107,7 +135,8 @@ class AdditiveModel:
         n, m = x.shape
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) if n else np.zeros(0) for j in range(m)]
         self.tables = [np.zeros(len(e) + 1) for e in self.edges]
-        if n == 0:
+        self.trained = n > 0
+        if not self.trained:
             return self
         share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.base = float(np.log(share / (1 - share)))
@@ -141,7 +170,7 @@ class AdditiveModel:
             for k, (a, b) in enumerate(self.pairs):
                 cell = coarse[a] * 8 + coarse[b]
                 r, w = state()
-                step = self.rate * np.bincount(cell, r, 64) / (np.bincount(cell, w, 64) + 5.0)
+                step = self.rate * _pair_leaves(np.bincount(cell, r, 64).reshape(8, 8), np.bincount(cell, w, 64).reshape(8, 8), 5.0).ravel()
                 self.pair_tables[k] += step
                 z += step[cell]
         return self
@@ -170,14 +199,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~is_held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.avg(label_col).alias("__label"))
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)  # the bound of the broadcast, 16 bytes a row
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id").select("__id", "__label", "__text")
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id").select("__id", "__label", "__text", F.xxhash64("__text").alias("__h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(list(x), pa.list_(pa.float64()))], ["id", "label", "h", "x"])
 
-    found = rows.mapInArrow(run, "id long, label double, x array<double>").limit(2 * sample_rows).toPandas().sort_values(["id", "label"], ignore_index=True)
+    made = rows.mapInArrow(run, "id long, label double, h long, x array<double>")
+    found = made.orderBy(F.xxhash64("id", "h"), "id", "h").limit(2 * sample_rows).toPandas()
     x = np.array(found["x"].tolist()) if len(found) else np.zeros((0, len(FEATURES)))
     return AdditiveModel().fit(x, found["label"].to_numpy(float))
 
@@ -196,11 +226,15 @@ def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier does not reject, with all their columns.
+    """The documents that the classifier does not reject, with all their columns; all of them where
+    no row is labelled.
 
     The score is computed in the row's own task, so the texts are not shuffled.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    learned = fit(docs, labels)
+    if not learned.trained:
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -185,6 +185,36 @@ def test_scores(spark, awkward, tmp_path):
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_without_labels_all_documents_stay(spark, awkward):
+    labels = spark.createDataFrame([(None, 1), (1, None)], "doc_id long, quality int")
+    assert sorted(map(str, quality.keep_good(awkward, labels).collect())) == sorted(map(str, awkward.collect()))
+
+
+def test_trees_on_pairs_have_two_levels():
+    r = np.random.default_rng(3)
+    g, h = r.normal(size=(8, 8)), r.uniform(1, 2, size=(8, 8))
+    tree = quality._pair_leaves(g, h, 5.0)
+    assert len(np.unique(tree)) <= 4
+    gains = []
+    for gt, ht in ((g, h), (g.T, h.T)):  # every tree of two levels
+        score = lambda a, b: a.sum() ** 2 / (b.sum() + 5.0)
+        side = lambda a, b: max(score(a[:, :k], b[:, :k]) + score(a[:, k:], b[:, k:]) for k in range(1, 8))
+        gains += [side(gt[:c], ht[:c]) + side(gt[c:], ht[c:]) for c in range(1, 8)]
+    leaves = {v: tree == v for v in np.unique(tree)}
+    assert abs(sum(g[m].sum() ** 2 / (h[m].sum() + 5.0) for m in leaves.values()) - max(gains)) < 1e-9
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_held_out_rows_are_told_apart(spark):
+    """Ranking and accuracy on labelled rows whose labels were never seen."""
+    folder = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [(r.score, labels[r.doc_id], r.predicted) for r in quality.op6_query(spark, folder).collect() if r.held_out and r.doc_id in labels]
+    good, bad = [s for s, y, _ in rows if y == 1], [s for s, y, _ in rows if y == 0]
+    area = np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
+    assert len(rows) >= 50 and area > 0.97 and np.mean([p == y for _, y, p in rows]) > 0.93
+
+
 def test_labels_of_held_out_rows_do_not_matter(spark):
     docs = spark.createDataFrame([(i, f"text {i} " * (i % 7)) for i in range(80)], "doc_id long, text string")
     held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
