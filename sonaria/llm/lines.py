@@ -1,11 +1,11 @@
 """Line dedup by the spread of a line over distinct sites.
 
-Every line's hash gets a HyperLogLog sketch of the sites it stands on, merged by aggregation.
+Every line's hashes, two of 64 bits, get a HyperLogLog sketch of the sites it stands on, merged by aggregation.
 Lines whose estimate lies near the threshold get exact distinct counts; the others are decided
 by the estimate. A line on ``min_sites`` sites or more is cross-site boilerplate: its first place
 (smallest id, then smallest position) stays and all others are removed.
 
-Rows: a null text stays null and has no lines; lines are compared without outer spaces and blank
+Rows: a null text stays null and has no lines; lines are compared by their hashes, without outer spaces and blank
 lines are never removed; a null site counts for no site; each row has a key of its own, written
 before the stage, so rows with null or repeated ids are decided one by one; an empty table gives an empty result; other columns pass through unchanged.
 """
@@ -15,20 +15,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonaria.llm.common import table, written
+from sonaria.llm.common import small, table, written
 
 MIN_SITES = 5
 MARGIN = 0.4
-#: Boilerplate lines up to this number are broadcast (24 bytes each).
-BROADCAST_LINES = 500_000
 _KEY, _LOST, _ROW = "__line_key", "__line_lost", "__line_row"
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """key, row, site, pos, h: one row per line that is not blank."""
+    """key, row, site, pos, h, h2: one row per line that is not blank, with two hashes of 64 bits."""
     row = F.col(_ROW) if _ROW in docs.columns else F.lit(0).cast("long")
     rows = docs.select(_key(id_col).alias("key"), row.alias("row"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
-    return rows.withColumn("line", F.trim("line")).where("line <> ''").select("key", "row", "site", "pos", F.xxhash64("line").alias("h"))
+    return rows.withColumn("line", F.trim("line")).where("line <> ''").select("key", "row", "site", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def _key(id_col: str) -> Column:
@@ -36,21 +34,15 @@ def _key(id_col: str) -> Column:
 
 
 def wide_lines(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, log_k: int = 11) -> DataFrame:
-    """h, first: the hashes of lines on ``min_sites`` distinct sites or more, and their first place."""
-    spread = lines.groupBy("h").agg(F.hll_sketch_agg("site", log_k).alias("sketch"), F.min(F.struct("key", "row", "pos")).alias("first"))
-    spread = spread.select("h", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - margin))
+    """h, h2, first: the hashes of lines on ``min_sites`` distinct sites or more, and their first place."""
+    spread = lines.groupBy("h", "h2").agg(F.hll_sketch_agg("site", log_k).alias("sketch"), F.min(F.struct("key", "row", "pos")).alias("first"))
+    spread = spread.select("h", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - margin))
     spread = written(spread, "spread")
-    sure = spread.where(F.col("sites") > min_sites * (1 + margin)).select("h", "first")
-    near = spread.where(F.col("sites") <= min_sites * (1 + margin)).select("h", "first")
-    pairs = _with(lines, near.select("h")).where("site is not null").groupBy("h", "site").count()
-    exact = pairs.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
-    return sure.union(near.join(exact, "h", "left_semi"))
-
-
-def _with(lines: DataFrame, hashes: DataFrame) -> DataFrame:
-    """The rows of ``lines`` with one of ``hashes``; these are broadcast only where they are few."""
-    few = hashes.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    return lines.join(F.broadcast(hashes) if few else hashes, "h")
+    sure = spread.where(F.col("sites") > min_sites * (1 + margin)).select("h", "h2", "first")
+    near = spread.where(F.col("sites") <= min_sites * (1 + margin)).select("h", "h2", "first")
+    pairs = lines.join(small(near.select("h", "h2")), ["h", "h2"]).where("site is not null").groupBy("h", "h2", "site").count()
+    exact = pairs.groupBy("h", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
+    return sure.union(near.join(exact, ["h", "h2"], "left_semi"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, counts: bool = False) -> DataFrame:
@@ -58,7 +50,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "keyed")
     lines = written(lines_of(keyed, id_col, text_col, site_col), "lines")
     wide = written(wide_lines(lines, min_sites), "wide")
-    lost = _with(lines, wide).where((F.col("first.row") != F.col("row")) | (F.col("first.pos") != F.col("pos")))
+    lost = lines.join(small(wide), ["h", "h2"]).where((F.col("first.row") != F.col("row")) | (F.col("first.pos") != F.col("pos")))
     lost = lost.groupBy(F.col("row").alias(_KEY)).agg(F.collect_set("pos").alias(_LOST))
     joined = keyed.join(lost, F.col(_ROW) == F.col(_KEY), "left")
     parts = F.split(text_col, "\n", -1)
