@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,14 +22,71 @@ CONDITIONS = {
     "name": lambda arg: F.contains(F.lower("name"), F.lit(str(arg).lower())),
     "min-size": lambda arg: F.col("size_bytes") >= int(arg),
 }
+#: Conditions that take a value.
+VALUED = frozenset({"category", "name", "min-size"})
+
+
+#: Rules of a collection reach the plan as literals; a table of more is an error, not cut.
+MAX_RULES = 10_000
+
+
+def rule_list(rules: DataFrame) -> list[tuple[str, list[str]]]:
+    """Ordered rules (class, words) from a table (rank, class, word): classes by rank, then name."""
+    rows = rules.select("rank", "class", "word").distinct().orderBy("rank", "class", "word").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    found: dict[tuple, list[str]] = {}
+    for rank, name, word in rows:
+        if name is not None and word:
+            found.setdefault((rank, name), []).append(word.lower())
+    return [(name, words) for (_, name), words in found.items()]
+
+
+# The actions and the phrases that may open a clause.
+ACTIONS = ("list", "register", "build-kb", "rescan-manuals", "tag")
+OPENINGS = ("foreach lib where ", "foreach library where ", "foreach lib ", "for lib where ")
+
+
+def parse_batch(text: str) -> list[tuple[dict[str, object], str, str]]:
+    """Rules for ``batch_rules`` from their text form, one clause a line or up to a semicolon.
+
+    A clause is ``[foreach lib where] condition [and condition ...] [: action[:argument]]``; a comma
+    may stand for "and", a line that starts with # is left out, and without an action it lists. A
+    clause without conditions, an unknown action or an unknown condition is an error.
+    """
+    rules = []
+    for clause in map(str.strip, re.split(r"[\n;]", text.replace("\r", ""))):
+        if not clause or clause.startswith("#"):
+            continue
+        opening = next((o for o in OPENINGS if clause.lower().startswith(o)), "")
+        wanted, _, does = clause[len(opening) :].partition(":")
+        action, _, arg = does.strip().partition(":")
+        action = action.strip().lower() or "list"
+        if action not in ACTIONS:
+            raise ValueError(f"unknown action {action!r}; known are {', '.join(ACTIONS)}")
+        conditions: dict[str, object] = {}
+        for part in filter(None, map(str.strip, re.split(r" and |,", wanted, flags=re.I))):
+            name, given, value = part.partition("=")
+            name = name.strip().lower()
+            if name not in CONDITIONS or (name in VALUED) != bool(given and value.strip()):
+                raise ValueError(f"unknown condition {part!r} in {clause!r}")
+            conditions[name] = value.strip() if given else None
+        if not conditions:
+            raise ValueError(f"no condition in {clause!r}")
+        rules.append((conditions, action, arg.strip()))
+    if not rules:
+        raise ValueError("no clause")
+    return rules
 
 
 def batch_rules(libraries: DataFrame, rules: list[tuple[dict[str, object], str, str]]) -> DataFrame:
     """library id, action, arg, reason: the first reason of each operation, from rules given as
-    (conditions that must all hold, action, argument). An unknown condition matches nothing."""
+    (conditions that must all hold, action, argument). An unknown condition is an error."""
     parts = []
     for order, (conditions, action, arg) in enumerate(rules):
-        tests = [CONDITIONS[k](v) if k in CONDITIONS else F.lit(False) for k, v in conditions.items()]
+        if unknown := set(conditions) - set(CONDITIONS):
+            raise ValueError(f"unknown conditions {sorted(unknown)}")
+        tests = [CONDITIONS[k](v) for k, v in conditions.items()]
         fits = reduce(lambda a, b: a & b, tests, F.lit(True))
         reason = " and ".join(k if v is None else f"{k}={v}" for k, v in conditions.items())
         parts.append(F.struct(fits.alias("fits"), F.lit(order).alias("rule"), F.lit(action).alias("action"), F.lit(arg).alias("arg"), F.lit(reason).alias("reason")))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sonaria.operators import rules as R
 from sonaria.plans.registry import query
 
-_RULES = [({"junk": None}, "clean", ""), ({"no-cover": None, "category": "NATION_3"}, "tag", "cover"), ({"name": "0007"}, "tag", "cover"), ({"nonstandard": None, "min-size": 50_000_000_000}, "register", ""), ({"unheard-of": None}, "clean", "")]
+_RULES = [({"junk": None}, "clean", ""), ({"no-cover": None, "category": "NATION_3"}, "tag", "cover"), ({"name": "0007"}, "tag", "cover"), ({"nonstandard": None, "min-size": 50_000_000_000}, "register", "")]
 
 
 @query("batch_dsl_expand", "libraries", """WITH o AS (SELECT id, 0 AS r, 'clean' AS action, '' AS arg, 'junk' AS reason FROM libraries WHERE junk_bytes > 52428800 UNION ALL SELECT id, 1, 'tag', 'cover', 'no-cover and category=NATION_3' FROM libraries WHERE cover_file = '' AND category = 'NATION_3'
@@ -15,6 +15,20 @@ def batch_expand(c):
     return R.batch_rules(c("libraries"), _RULES)
 
 
+_CLAUSES = """# clean up first
+foreach lib where junk: tag:clean; no-cover and category=NATION_3 : tag:cover
+name=0007, nonstandard
+FOREACH LIBRARY WHERE nonstandard AND min-size=50000000000: register"""
+
+
+@query("batch_dsl_parse", "libraries", """WITH o AS (SELECT id, 0 AS r, 'tag' AS action, 'clean' AS arg, 'junk' AS reason FROM libraries WHERE junk_bytes > 52428800 UNION ALL SELECT id, 1, 'tag', 'cover', 'no-cover and category=NATION_3' FROM libraries WHERE cover_file = '' AND category = 'NATION_3'
+    UNION ALL SELECT id, 2, 'list', '', 'name=0007 and nonstandard' FROM libraries WHERE contains(lower(name), '0007') AND NOT has_nicnt UNION ALL SELECT id, 3, 'register', '', 'nonstandard and min-size=50000000000' FROM libraries WHERE NOT has_nicnt AND size_bytes >= 50000000000)
+    SELECT id, action, arg, min_by(reason, r) AS reason FROM o GROUP BY 1, 2, 3""")
+def batch_parse(c):
+    """Rules in their text form, applied to all libraries."""
+    return R.batch_rules(c("libraries"), R.parse_batch(_CLAUSES))
+
+
 @query("health_issues", "libraries junk manuals", """SELECT library_id AS id, 'junk' AS issue, CAST(sum(size_bytes) AS BIGINT) AS detail FROM junk GROUP BY 1 HAVING sum(size_bytes) > 20000000
     UNION ALL SELECT id, 'no-manual', 0 FROM libraries WHERE id NOT IN (SELECT library_id FROM manuals) UNION ALL SELECT id, 'unknown-version', nki_count FROM libraries WHERE required_version = '' AND nki_count > 0 UNION ALL SELECT id, 'no-cover', 0 FROM libraries WHERE cover_file = ''""")
 def health_issues(c):
@@ -130,10 +144,10 @@ def diagnostics_parse(c):
     return rows.select("id", part(1).alias("severity"), part(2).cast("int").alias("line"), part(3).alias("message"))
 
 
-@query("plan_steps_normalise", "trace", "SELECT id, 'step ' || tool_name AS title, CASE WHEN id % 3 = 0 THEN 'done' ELSE 'pending' END AS status FROM trace WHERE session_id < 40")
+@query("plan_steps_normalise", "trace", "SELECT id, 'step ' || tool_name AS title, CASE WHEN id % 3 = 0 THEN 'done' ELSE 'pending' END AS status FROM trace")
 def plan_steps_normalise(c):
     """Steps from JSON; a status that is not known is pending; at most twenty steps of a plan."""
     js = F.to_json(F.array(F.struct(F.concat(F.lit("step "), "tool_name").alias("title"), F.when(F.col("id") % 3 == 0, "done").otherwise("odd").alias("status"))))
     steps = F.slice(F.from_json(js, "array<struct<title:string,status:string>>"), 1, 20)
-    rows = c("trace").where("session_id < 40").select("id", F.explode(steps).alias("s"))
+    rows = c("trace").select("id", F.explode(steps).alias("s"))
     return rows.select("id", "s.title", F.when(F.col("s.status").isin("pending", "running", "done", "failed"), F.col("s.status")).otherwise("pending").alias("status"))

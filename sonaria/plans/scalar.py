@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sonaria.functions import scalars as S
+from sonaria.operators.rules import rule_list
 from sonaria.plans.registry import query
 
 
@@ -14,18 +15,19 @@ col = F.col
 _one("parent_dir", "instruments", "replace(regexp_replace(rel_path, '/[^/]*$', ''), '/', '\\')", "instruments", "id", lambda: S.parent_dir(col("rel_path")))
 _one("leaf_name", "instruments", "split_part(rel_path, '/', 3)", "instruments", "id", lambda: S.leaf_name(col("rel_path")))
 _one("group_dir", "instruments", "concat(split_part(rel_path, '/', 1), '\\', split_part(rel_path, '/', 2))", "instruments", "id", lambda: S.group_dir(col("rel_path")))
-_case = " ".join(f"WHEN regexp_matches(lower(name), '{S.any_of(w)}') THEN '{n}'" for n, w in S.CATEGORY_RULES)
-_one("classify_library", "instruments", f"CASE {_case} ELSE 'Other' END", "instruments", "id", lambda: S.classify_library(col("name")))
 
 
-def _technique(words):
-    whole, phrases = S.any_of([w for w in words if " " not in w]), [w for w in words if " " in w]
-    sql = f"regexp_matches(lower(name), '(^|[^a-z0-9])({whole})([^a-z0-9]|$)')"
-    return f"({sql} OR regexp_matches(lower(name), '{S.any_of(phrases)}'))" if phrases else sql
+@query("classify_library", "instruments category_rules", "SELECT id, coalesce((SELECT min_by(class, rank) FROM category_rules WHERE contains(lower(name), word)), 'Other') AS value FROM instruments")
+def classify_library(c):
+    """The rules are a table of the collection, read once."""
+    return c("instruments").select("id", S.classify_library(F.col("name"), rule_list(c("category_rules"))).alias("value"))
+
+
+@query("classify_articulation", "instruments category_rules", "SELECT id, CASE WHEN kind = 'nkm' THEN 'multi' ELSE coalesce((SELECT min_by(class, rank) FROM category_rules WHERE list_contains(string_split(lower(name), ' '), word)), 'base') END AS value FROM instruments")
+def classify_articulation(c):
+    return c("instruments").select("id", S.classify_articulation(F.col("name"), F.col("kind"), rule_list(c("category_rules"))).alias("value"))
 
 
-_case = " ".join(f"WHEN {_technique(w)} THEN '{n}'" for n, w in S.TECHNIQUE_RULES)
-_one("classify_articulation", "instruments", f"CASE WHEN kind = 'nkm' THEN 'multi' {_case} ELSE 'base' END", "instruments", "id", lambda: S.classify_articulation(col("name"), col("kind")))
 _one(
     "looks_like_manual",
     "manuals",
@@ -39,7 +41,7 @@ _one("version_compare", "libraries", "CASE WHEN required_version = '' THEN false
 _one("version_valid", "libraries", "required_version <> ''", "libraries", "id", lambda: S.version_valid(col("required_version")))
 _one("version_guess", "libraries", "regexp_replace(regexp_extract(name, '[0-9][0-9][0-9]$'), '^(.)(.)(.)$', '\\1.\\2.\\3')", "libraries", "id", lambda: S.version_guess(F.regexp_replace(col("name"), r"^.*(\d\d\d)$", "x$1")))
 _one("version_sort_key", "libraries", "CASE WHEN required_version = '' THEN 0 ELSE CAST(split_part(required_version, '.', 1) AS BIGINT) * 1000000 + CAST(split_part(required_version, '.', 2) AS BIGINT) * 10000 + CAST(split_part(required_version, '.', 3) AS BIGINT) * 100 END", "libraries", "id", lambda: S.version_sort_key(col("required_version")))
-_one("normalize_name", "libraries", "regexp_replace(regexp_replace(lower(name), '^supplier', ''), '[^a-z0-9]', '', 'g')", "libraries", "id", lambda: S.normalize_name(col("name")))
+_one("normalize_name", "libraries", "regexp_replace(regexp_replace(lower(name), '^supplier', ''), '[^a-z0-9]', '', 'g')", "libraries", "id", lambda: S.normalize_name(col("name"), ["Supplier"]))
 _one("normalize_path", "libraries", "replace(path, '/', '\\')", "libraries", "id", lambda: S.normalize_path(col("path")))
 _one("full_path", "libraries", "concat_ws('\\', path, name)", "libraries", "id", lambda: S.full_path(col("path"), col("name")))
 _one("format_bytes", "libraries", "CASE WHEN size_bytes >= 1073741824 THEN printf('%.1f GB', size_bytes / 1073741824.0) WHEN size_bytes >= 1048576 THEN printf('%d MB', size_bytes // 1048576) WHEN size_bytes >= 1024 THEN printf('%d KB', size_bytes // 1024) ELSE printf('%d B', size_bytes) END", "libraries", "id", lambda: S.format_bytes(col("size_bytes")))
@@ -139,7 +141,8 @@ def overview_question(c):
     return c("messages").select("session_id", "id", S.overview_question(F.col("content"), ["the", "and"], ["tion"]).alias("value"))
 
 
-@query("strip_thinking", "messages", "SELECT session_id, id, trim(substring(content, 1, 40)) AS value FROM messages")
+@query("strip_thinking", "messages", "SELECT session_id, id, trim(content, chr(32)) AS value FROM messages")
 def strip_thinking(c):
-    text = F.concat(F.lit("<think>why</think>"), F.trim(F.substring("content", 1, 40)))
-    return c("messages").select("session_id", "id", S.strip_thinking(text).alias("value"))
+    """Reasoning goes, whether it is marked at both ends or at its end alone."""
+    marked = F.when(F.col("id") % 2 == 0, F.concat(F.lit("<think>why\nnot</think>"), "content")).otherwise(F.concat(F.lit("because </thinking>"), "content"))
+    return c("messages").select("session_id", "id", S.strip_thinking(marked).alias("value"))

@@ -14,6 +14,8 @@ VIEWS: dict[str, str] = {
         CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE 'cover.png' END AS cover_file FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "instruments": """SELECT p_partkey AS id, p_partkey % 90 AS library_id, p_name AS name, concat(p_brand, '/', p_type, '/', p_name) AS rel_path,
         CASE WHEN p_size % 5 = 0 THEN 'nkm' ELSE 'nki' END AS kind, p_size * 1024 AS size_bytes, CASE WHEN p_size % 2 = 0 THEN 'header' ELSE 'file' END AS name_source FROM part""",
+    "category_rules": """SELECT DISTINCT ascii(substring(word, 1, 1)) AS rank, upper(substring(word, 1, 1)) AS class, word
+        FROM (SELECT split_part(p_name, ' ', 1) AS word FROM part UNION ALL SELECT split_part(p_name, ' ', 2) AS word FROM part) WHERE substring(word, 1, 1) BETWEEN 'c' AND 'p'""",
     "clips": """SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS library_id, concat('clip ', CAST(l_partkey AS STRING), CASE WHEN l_linenumber = 1 THEN ' close' WHEN l_linenumber = 2 THEN ' hall' ELSE '' END) AS name,
         concat(l_linestatus, '/', CAST(l_partkey % 40 AS STRING), '/clip.wav') AS rel_path, CASE WHEN l_linenumber = 7 THEN 'nkx' ELSE 'wav' END AS ext,
         CASE l_returnflag WHEN 'A' THEN 'demo' WHEN 'R' THEN 'ncw' ELSE 'sample' END AS kind, CAST(l_quantity AS BIGINT) * 1024 AS size_bytes FROM lineitem""",
@@ -29,7 +31,7 @@ VIEWS: dict[str, str] = {
     "points": "SELECT vec_id AS clip_id, vec_id % 7 AS library_id, CAST({e}[{0}] AS DOUBLE) AS x, CAST({e}[{1}] AS DOUBLE) AS y, label AS cluster FROM embeddings",
     "names": "SELECT c_nationkey AS library_id, concat(c_mktsegment, CAST(CAST(floor(c_acctbal / 500) AS BIGINT) AS STRING)) AS name FROM customer",
     "registered": "SELECT concat('K', CAST(s_suppkey AS STRING)) AS reg_key, concat(n_name, '/', s_name, CASE WHEN s_suppkey % 3 = 0 THEN '/content' ELSE '' END) AS content_dir, s_suppkey % 2 = 0 AS in64, s_suppkey % 3 = 0 AS in32, s_suppkey % 5 = 0 AS in_user FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 4 <> 3",
-    "memory": "SELECT l.doc_id AS id, CASE WHEN l.doc_id % 2 = 0 THEN 'library' ELSE 'user' END AS scope, l.doc_id % 5 AS library_id, concat('k', CAST(l.doc_id % 50 AS STRING)) AS key, substring(d.text, 1, 200) AS content, 1 + l.quality * 2 + l.toxic AS importance, l.doc_id AS updated_at FROM labels l JOIN documents d ON l.doc_id = d.doc_id",
+    "memory": "SELECT l.doc_id AS id, CASE WHEN l.doc_id % 2 = 0 THEN 'library' ELSE 'user' END AS scope, l.doc_id % 5 AS library_id, concat('k', CAST(l.doc_id % 50 AS STRING)) AS key, d.text AS content, 1 + l.quality * 2 + l.toxic AS importance, l.doc_id AS updated_at FROM labels l JOIN documents d ON l.doc_id = d.doc_id",
 }
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
