@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonaria.functions.scalars import version_key
-from sonaria.operators.relational import pair_counts
+from sonaria.operators.relational import similar_pairs
 
 # Which pairs count and how depends on them.
 JACCARD_MIN, IDENTICAL, COVER, SIZE_TOLERANCE = 0.35, 0.95, 0.97, 0.05
@@ -27,10 +27,8 @@ def duplicate_files(files: DataFrame, content: str = "text", least: int = MIN_FI
 
 def library_similarity(names: DataFrame, least: float = JACCARD_MIN) -> DataFrame:
     """a, b, shared, ka, kb, jaccard, cover_a, cover_b of pairs at ``least`` or more."""
-    own = names.select("library_id", F.lower("name").alias("name")).distinct()
-    counts = own.groupBy("library_id").agg(F.count("*").alias("k"))
-    pairs = pair_counts(own, "library_id", "name")
-    pairs = pairs.join(counts.select(F.col("library_id").alias("a"), F.col("k").alias("ka")), "a").join(counts.select(F.col("library_id").alias("b"), F.col("k").alias("kb")), "b")
+    own = names.select("library_id", F.lower("name").alias("name"))
+    pairs = similar_pairs(own, "library_id", "name", least - 0.0005)  # the measures are rounded to three digits
     shared = F.col("shared")
     made = pairs.withColumn("jaccard", F.bround(shared / (F.col("ka") + F.col("kb") - shared), 3)).withColumn("cover_a", F.bround(shared / F.col("ka"), 3)).withColumn("cover_b", F.bround(shared / F.col("kb"), 3))
     return made.where(F.col("jaccard") >= least)

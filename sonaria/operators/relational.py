@@ -53,24 +53,53 @@ def zero_filled(rows: DataFrame, key: str, members: list[str], sums: dict[str, C
     return dimension.join(made, key, "full").select(key, *[F.coalesce(k, F.lit(0)).alias(k) for k in sums])
 
 
-def global_ranks(rows: DataFrame, value: str, parts: int = 32) -> DataFrame:
-    """Adds ``less``, the number of rows with a smaller value, and ``n``, the number of rows.
+def global_ranks(rows: DataFrame, value: str, group: list[str] | None = None, part_rows: int = 200_000) -> DataFrame:
+    """Adds ``less``, the number of rows of the group with a smaller value, and ``n``, the number of
+    its rows with a value; both are null for a row without one. Groups are few (names of dimensions).
 
     Counts of equal values are summed in ranges of values, ranges are totalled, and each value
     takes what lies before it in its range and before its range: no window holds all rows.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__c"))
-    cuts = rows.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    grid = F.array(*[F.lit(x) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    part = F.size(F.filter(grid, lambda x: x <= F.col(value)))
-    split = counts.withColumn("__part", part)
-    before = Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = split.withColumn("__in", F.coalesce(F.sum("__c").over(before), F.lit(0)))
-    totals = split.groupBy("__part").agg(F.sum("__c").alias("__t"))
-    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # ``parts`` rows
-    starts = totals.withColumn("__start", F.coalesce(F.sum("__t").over(ahead), F.lit(0))).withColumn("n", F.sum("__t").over(Window.partitionBy(F.lit(1)))).drop("__t")
-    ranked = local.join(F.broadcast(starts), "__part").select(F.col(value).alias("__v"), (F.col("__start") + F.col("__in")).alias("less"), "n")
-    return rows.join(ranked, F.col(value) == F.col("__v")).drop("__v")
+    group = group or []
+    known = rows.where(F.col(value).isNotNull())
+    parts = max(8, min(4096, known.count() // part_rows))
+    counts = known.groupBy(*group, value).agg(F.count("*").alias("__c"))
+    cuts = known.groupBy(*group).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], max(10_000, 20 * parts)).alias("__cuts"))
+    split = (counts.join(F.broadcast(cuts), group) if group else counts.crossJoin(F.broadcast(cuts))).withColumn("__part", F.size(F.filter("__cuts", lambda x: x <= F.col(value)))).drop("__cuts")  # a row a group
+    before = lambda *keys: Window.partitionBy(*(group or [F.lit(0)]), *keys)
+    inner = F.sum("__c").over(before("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    totals = split.groupBy(*group, "__part").agg(F.sum("__c").alias("__t"))  # ``parts`` rows a group
+    ahead = F.sum("__t").over(before().orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.select(*group, "__part", F.coalesce(ahead, F.lit(0)).alias("__start"), F.sum("__t").over(before()).alias("n"))
+    ranked = split.withColumn("__in", F.coalesce(inner, F.lit(0))).join(F.broadcast(starts), [*group, "__part"])
+    return rows.join(ranked.select(*group, value, (F.col("__start") + F.col("__in")).alias("less"), "n"), [*group, value], "left")
+
+
+def first_rows(rows: DataFrame, keys: list[str], order: str, most: int, shards: int = 16) -> DataFrame:
+    """The first ``most`` rows of each key: of each shard of a key first, so that no task holds a key."""
+    shard = F.pmod(F.xxhash64(order), F.lit(shards))
+    place = lambda *more: F.row_number().over(Window.partitionBy(*keys, *more).orderBy(order))
+    few = rows.withColumn("__shard", shard).withColumn("__rn", place("__shard")).where(F.col("__rn") <= most)
+    return few.withColumn("__rn", place()).where(F.col("__rn") <= most).drop("__shard", "__rn")
+
+
+def similar_pairs(rows: DataFrame, owner: str, name: str, least: float) -> DataFrame:
+    """a < b, shared, ka, kb for all owners whose sets of names have a Jaccard similarity of ``least`` or more.
+
+    Owners meet by the rarest of their names only: of k names in ascending order of frequency, two sets
+    that are alike share one among the first k - ceil(least * k) + 1 of each. Sizes are compared before
+    the names of candidates are intersected, so a name that all owners have makes no pairs.
+    """
+    own = rows.select(F.col(owner).alias("o"), F.col(name).alias("n")).where(F.col(name).isNotNull()).distinct()
+    rare = own.join(own.groupBy("n").agg(F.count("*").alias("f")), "n")
+    sets = rare.groupBy("o").agg(F.array_sort(F.collect_list(F.struct("f", "n"))).alias("s")).select("o", F.transform("s", lambda x: x["n"]).alias("s"), F.size("s").cast("long").alias("k"))
+    prefix = F.slice("s", F.lit(1), (F.col("k") - F.ceil(least * F.col("k") - 1e-9) + 1).cast("int"))
+    heads = sets.select("o", "k", F.explode(prefix).alias("n"))
+    side = lambda x: heads.select(F.col("o").alias(x), F.col("k").alias(f"k{x}"), "n")
+    met = side("a").join(side("b"), "n").where("a < b").where(F.least("ka", "kb") >= least * F.greatest("ka", "kb") - 1e-9).select("a", "b").distinct()
+    both = lambda x: sets.select(F.col("o").alias(x), F.col("s").alias(f"s{x}"), F.col("k").alias(f"k{x}"))
+    pairs = met.join(both("a"), "a").join(both("b"), "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("long"))
+    return pairs.where(F.col("shared") >= least * (F.col("ka") + F.col("kb") - F.col("shared")) - 1e-9).select("a", "b", "shared", "ka", "kb")
 
 
 def all_of(conditions: list[Column]) -> Column:

@@ -4,22 +4,30 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonaria.sources.shared import written
+
 # Ranking and cutting depend on them.
 K1, B = 1.2, 0.75
 CHUNK, OVERLAP, PAGE = 900, 120, 3000
 RRF_K, RECALL, MMR_LAMBDA, COSINE_FLOOR = 60, 50, 0.7, 0.05
 DIM = 512
+#: Candidates that meet in one task to be diversified.
+MMR_MOST = 2000
+
+
+LATIN = "[a-z0-9]{2,}"
 
 
 def latin_tokens(text: Column) -> Column:
     """Words of two or more letters or digits in lower case (JVM-side variant)."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: F.length(t) >= 2)
+    return F.regexp_extract_all(F.lower(text), F.lit(LATIN), F.lit(0))
 
 
 _CJK = "぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
@@ -103,28 +111,51 @@ def chunk_table(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, key: str, tokens: str, query: list[str], k: int) -> DataFrame:
-    """The ``k`` documents of highest BM25 score for the distinct query tokens.
-
-    Term frequencies of the query's own tokens are counted in each row, so the index is never
-    exploded; document frequencies and lengths are one small aggregate.
-    """
-    terms = sorted(set(query))
-    if not terms:
-        return docs.select(key, F.lit(0.0).alias("score")).orderBy(key).limit(k)
-    tf = [F.size(F.filter(tokens, lambda t: t == F.lit(q))).alias(f"__tf{i}") for i, q in enumerate(terms)]
-    rows = docs.select(key, F.size(tokens).alias("__len"), *tf)
-    stats = rows.agg(F.count("*").alias("n"), F.avg("__len").alias("avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
+    """The ``k`` documents of highest BM25 score for the distinct query tokens, from arrays of tokens."""
+    counts = {t: F.size(tokens) - F.size(F.array_remove(tokens, t)) for t in sorted(set(query))}
+    return _bm25(docs.select(key, F.size(tokens).alias("__len"), *[c.alias(f"__tf{i}") for i, c in enumerate(counts.values())]), key, len(counts), k)
+
+
+def bm25_text(docs: DataFrame, key: str, text: str, query: list[str], k: int) -> DataFrame:
+    """The same over Latin tokens, counted in the text itself: no array of tokens is made."""
+    low = F.lower(text)
+    counts = [F.regexp_count(low, F.lit(rf"(?<![a-z0-9]){t}(?![a-z0-9])")) for t in sorted(set(query))]
+    return _bm25(docs.select(key, F.regexp_count(low, F.lit(LATIN)).alias("__len"), *[c.alias(f"__tf{i}") for i, c in enumerate(counts)]), key, len(counts), k)
+
+
+def _bm25(rows: DataFrame, key: str, n: int, k: int) -> DataFrame:
+    """Texts are read once: lengths and term frequencies are written, a few numbers a row, and both the
+    statistics and the scores come from these."""
+    if not n:
+        return rows.select(key, F.lit(0.0).alias("score")).orderBy(key).limit(k)
+    rows = written(rows, "term-counts")
+    stats = rows.agg(F.count("*").alias("n"), F.avg("__len").alias("avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"d{i}") for i in range(n)]).first()
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(n):
         idf = float(np.log(1 + (stats["n"] - stats[f"d{i}"] + 0.5) / (stats[f"d{i}"] + 0.5)))
         f = F.col(f"__tf{i}").cast("double")
         score = score + F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__len") / F.lit(float(stats["avg"] or 1.0))))
     return rows.select(key, score.alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
 
 
+def token_runs(tokens: Column) -> Column:
+    """array<struct<token, tf>>: each distinct token of a row with its number, from the sorted tokens."""
+    held = F.transform(F.array(F.sort_array(tokens)), lambda s: F.struct(s.alias("s"), F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i)), lambda i: i.isNotNull()).alias("at")))
+    runs = F.transform(held, lambda h: F.transform(h["at"], lambda i, j: F.struct(F.get(h["s"], i).alias("token"), (F.coalesce(F.get(h["at"], j + 1), F.size(h["s"])) - i).cast("long").alias("tf"))))
+    return F.get(runs, F.lit(0))
+
+
 def postings(docs: DataFrame, key: str, tokens: str) -> DataFrame:
-    """key, token, tf: the inverted index, to be written once and read by later queries."""
-    return docs.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    """key, token, tf: the inverted index, to be written once and read by later queries. Tokens are
+    counted within their row, so nothing is shuffled."""
+    return docs.select(key, F.explode(token_runs(F.col(tokens))).alias("p")).select(key, "p.token", "p.tf")
+
+
+def document_frequencies(docs: DataFrame, tokens: str) -> DataFrame:
+    """token, df, cf: documents that hold a token, and how often it occurs; only partial sums by token
+    are shuffled."""
+    found = docs.select(F.explode(token_runs(F.col(tokens))).alias("p"))
+    return found.groupBy(F.col("p.token").alias("token")).agg(F.count("*").alias("df"), F.sum("p.tf").alias("cf"))
 
 
 def _fnv(text: str) -> int:
@@ -135,14 +166,23 @@ def _fnv(text: str) -> int:
     return h
 
 
+@lru_cache(maxsize=200_000)
+def _cells(token: str) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of a token and its character triples, and what each adds; kept for frequent tokens."""
+    at, add = [], []
+    for part, weight in [(token, 1.0)] + [(token[i : i + 3], 0.35) for i in range(len(token) - 2)]:
+        h = _fnv(part)
+        at += [(h >> (9 * j)) % DIM for j in range(3)]
+        add += [weight if h >> 63 else -weight] * 3
+    return np.array(at), np.array(add)
+
+
 def hashed_vector(tokens: list[str]) -> np.ndarray:
     """Signed hashes of tokens (weight 1) and of their character triples (0.35) in 512 dimensions."""
-    v = np.zeros(DIM)
-    for t in tokens:
-        for part, weight in [(t, 1.0)] + [(t[i : i + 3], 0.35) for i in range(len(t) - 2)]:
-            h = _fnv(part)
-            for j in range(3):
-                v[(h >> (9 * j)) % DIM] += weight if h >> 63 else -weight
+    if not len(tokens):
+        return np.zeros(DIM)
+    found = [_cells(t) for t in tokens]
+    v = np.bincount(np.concatenate([a for a, _ in found]), np.concatenate([w for _, w in found]), DIM)
     norm = np.sqrt((v * v).sum())
     return v / norm if norm else v
 
@@ -164,7 +204,10 @@ def fuse(sides: list[DataFrame], key: str, score: str = "score", k: int = RRF_K)
 
 
 def diversify(rows: DataFrame, key: str, relevance: str, vec: str, k: int, weight: float = MMR_LAMBDA) -> DataFrame:
-    """Greedy maximal marginal relevance over candidates of bounded number, as one group."""
+    """Greedy maximal marginal relevance over candidates, as one group: twice the recall of a retrieval
+    side at most, which is checked."""
+    if rows.limit(MMR_MOST + 1).count() > MMR_MOST:
+        raise ValueError(f"more than {MMR_MOST} candidates")
     kind = dict(rows.dtypes)[key]
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
@@ -185,10 +228,10 @@ def diversify(rows: DataFrame, key: str, relevance: str, vec: str, k: int, weigh
 
 
 def hybrid(chunks: DataFrame, key: str, text: str, query: str, k: int) -> DataFrame:
-    """BM25 and hashed-vector recall, fused by rank and diversified; all chunks where there are at most k."""
+    """BM25 and hashed-vector recall, fused by rank and diversified. Chunks are read by Python once."""
     from sonaria.operators.vectors import nearest
 
-    made = chunks.select(key, tokenize(F.col(text)).alias("tokens")).select(key, "tokens", hash_embed("tokens").alias("vec"))
+    made = written(chunks.select(key, tokenize(F.col(text)).alias("tokens")).select(key, "tokens", hash_embed("tokens").alias("vec")), "chunks")
     words = tokens_of(query)
     lexical = bm25(made, key, "tokens", words, RECALL)
     dense = nearest(made, hashed_vector(words).tolist(), RECALL, key, "vec").where(F.col("similarity") > COSINE_FLOOR).select(key, F.col("similarity").alias("score"))

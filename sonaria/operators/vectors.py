@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sonaria.functions.scalars import squared
 from sonaria.operators.relational import global_ranks
+from sonaria.sources.shared import written
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -43,13 +44,14 @@ def mean_vectors(rows: DataFrame, keys: list[str], vec: str) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, key: str, dims: dict[str, tuple[int, bool]], vec: str) -> DataFrame:
-    """``key`` and a percentile in 0..1 per named dimension (index, inverse); one row has 0.5."""
-    out = rows.select(key)
-    for name, (index, inverse) in dims.items():
-        ranked = global_ranks(rows.select(key, F.get(vec, F.lit(index)).cast("double").alias("v")), "v")
-        p = F.when(F.col("n") > 1, F.col("less") / (F.col("n") - 1)).otherwise(0.5)
-        out = out.join(ranked.select(key, F.round(1 - p if inverse else p, 6).alias(name)), key)
-    return out
+    """``key`` and a percentile in 0..1 per named dimension (index, inverse); one row has 0.5, and a
+    vector without the dimension none. All dimensions are ranked at once, by (dimension, value)."""
+    values = [F.struct(F.lit(name).alias("dim"), F.get(vec, F.lit(index)).cast("double").alias("v")) for name, (index, _) in dims.items()]
+    tall = rows.select(key, F.explode(F.array(*values)).alias("x")).select(key, "x.dim", "x.v")
+    ranked = global_ranks(tall, "v", ["dim"])
+    p = F.when(F.col("n") > 1, F.col("less") / (F.col("n") - 1)).when(F.col("n") == 1, 0.5)
+    shares = [F.max(F.when(F.col("dim") == name, F.round(1 - p if inverse else p, 6))).alias(name) for name, (_, inverse) in dims.items()]
+    return ranked.groupBy(key).agg(*shares)
 
 
 def cluster_meta(points: DataFrame) -> DataFrame:
@@ -115,7 +117,7 @@ def dense_clusters(points: DataFrame, cell: float, min_points: int = 5, min_size
         # follow the label's own label, so that chains halve
         roots = step.select(F.col("gx").alias("rx"), F.col("gy").alias("ry"), F.col("label").alias("root"))
         jumped = step.join(roots, (F.col("label.gx") == F.col("rx")) & (F.col("label.gy") == F.col("ry"))).select("gx", "gy", F.col("root").alias("label"), ((F.col("root") < F.col("label")) | F.col("moved")).alias("moved"))
-        jumped = jumped.checkpoint() if points.sparkSession.sparkContext.getCheckpointDir() else jumped.cache()
+        jumped = written(jumped, "labels")
         labels = jumped.select("gx", "gy", "label")
         if not jumped.where("moved").limit(1).count():
             break
@@ -124,6 +126,16 @@ def dense_clusters(points: DataFrame, cell: float, min_points: int = 5, min_size
     return at.join(named, ["gx", "gy"], "left").select("clip_id", F.coalesce("cluster", F.lit("-1")).alias("cluster"))
 
 
+def cluster_auto(points: DataFrame, cell: float, target: int = 5) -> tuple[DataFrame, str]:
+    """clip_id and cluster by density, or by the grid where that finds no cluster; and a summary."""
+    dense = written(dense_clusters(points, cell), "clusters")
+    found = dense.agg(F.countDistinct(F.when(F.col("cluster") != "-1", F.col("cluster"))).alias("clusters"), F.count_if(F.col("cluster") == "-1").alias("noise")).first()
+    if found["clusters"]:
+        return dense, f"density: {found['clusters']} clusters, {found['noise']} noise points"
+    grid = grid_cluster(points, target).select("clip_id", F.col("cluster").cast("string").alias("cluster"))
+    return grid, f"grid: {grid.select('cluster').distinct().count()} clusters"
+
+
 def diverse_picks(rows: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", first: int | None = None) -> DataFrame:
     """Farthest-point sampling: ``k`` rows, each the farthest by cosine from all picked before.
 

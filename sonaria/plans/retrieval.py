@@ -21,13 +21,13 @@ def _tokens(c):
 
 @query("bm25_search", "", _BM25 + " SELECT doc_id, round(score, 5) AS score FROM top")
 def bm25_search(c):
-    return T.bm25(_tokens(c), "doc_id", "tokens", _TERMS, 50).select("doc_id", F.round("score", 5).alias("score"))
+    return T.bm25_text(c.table("documents"), "doc_id", "text", _TERMS, 50).select("doc_id", F.round("score", 5).alias("score"))
 
 
 @query("rank_for_rrf", "", _BM25 + " SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM top")
 def rank_for_rrf(c):
     w = Window.orderBy(F.desc("score"), "doc_id")  # fifty rows
-    return T.bm25(_tokens(c), "doc_id", "tokens", _TERMS, 50).select("doc_id", (F.row_number().over(w) - 1).cast("long").alias("rank"))
+    return T.bm25_text(c.table("documents"), "doc_id", "text", _TERMS, 50).select("doc_id", (F.row_number().over(w) - 1).cast("long").alias("rank"))
 
 
 @query("rrf_fuse", "", _BM25 + """, other AS (SELECT doc_id FROM documents WHERE contains(lower(text), 'license') ORDER BY n_chars, doc_id LIMIT 50),
@@ -35,14 +35,19 @@ def rank_for_rrf(c):
     SELECT doc_id, round(sum(s)::DOUBLE, 6) AS fused FROM r GROUP BY 1""")
 def rrf_fuse(c):
     short = c.table("documents").where(F.contains(F.lower("text"), F.lit("license"))).orderBy("n_chars", "doc_id").limit(50)
-    sides = [T.bm25(_tokens(c), "doc_id", "tokens", _TERMS, 50), short.select("doc_id", (-F.col("n_chars")).cast("double").alias("score"))]
+    sides = [T.bm25_text(c.table("documents"), "doc_id", "text", _TERMS, 50), short.select("doc_id", (-F.col("n_chars")).cast("double").alias("score"))]
     return T.fuse(sides, "doc_id").select("doc_id", F.round("fused", 6).alias("fused"))
 
 
-@query("postings_df", "", "WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2)) AS token FROM documents) SELECT token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5")
+@query("postings_df", "", "WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2)) AS token FROM documents) SELECT token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY 1")
 def postings_df(c):
-    p = T.postings(_tokens(c), "doc_id", "tokens")
-    return p.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 5")
+    return T.document_frequencies(_tokens(c), "tokens")
+
+
+@query("postings", "", "WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2)) AS token FROM documents) SELECT doc_id, token, count(*) AS tf FROM t GROUP BY 1, 2")
+def postings(c):
+    """The inverted index of all documents."""
+    return T.postings(_tokens(c), "doc_id", "tokens")
 
 
 @query("tokenize")
@@ -62,29 +67,37 @@ def chunk_text(c):
 
 @query("hash_embed_512")
 def hash_embed(c):
-    v = T.hash_embed(T.latin_tokens(F.substring(F.col("text"), 1, 2000)))
-    return c.table("benchmark").select("item_id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))
+    v = T.hash_embed(T.latin_tokens(F.col("text")))
+    return c.table("documents").select("doc_id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))
+
+
+def _chunks(c):
+    """chunk_id, text: the chunks of all documents."""
+    return T.chunk_table(c.table("documents"), "doc_id", "text").select((F.col("doc_id") * 1_000_000 + F.col("part")).alias("chunk_id"), "text")
 
 
 @query("vector_recall")
 def vector_recall(c, question: str = "licensed under the apache license"):
     from sonaria.operators.vectors import nearest
 
-    made = c.table("benchmark").select("item_id", T.hash_embed(T.tokenize("text")).alias("vec"))
-    near = nearest(made, T.hashed_vector(T.tokens_of(question)).tolist(), T.RECALL, "item_id", "vec")
-    return near.where(F.col("similarity") > T.COSINE_FLOOR).select("item_id", F.round("similarity", 5).alias("similarity"))
+    made = _chunks(c).select("chunk_id", T.hash_embed(T.tokenize("text")).alias("vec"))
+    near = nearest(made, T.hashed_vector(T.tokens_of(question)).tolist(), T.RECALL, "chunk_id", "vec")
+    return near.where(F.col("similarity") > T.COSINE_FLOOR).select("chunk_id", F.round("similarity", 5).alias("similarity"))
 
 
 @query("hybrid_search")
 def hybrid_search(c, question: str = "general public license version", k: int = 8):
-    chunks = T.chunk_table(c.table("benchmark"), "item_id", "text").withColumn("chunk_id", F.col("item_id") * 1000 + F.col("part"))
-    return T.hybrid(chunks, "chunk_id", "text", question, k)
+    return T.hybrid(_chunks(c), "chunk_id", "text", question, k)
 
 
 @query("mmr_select")
 def mmr_select(c, k: int = 6):
-    rows = c.table("embeddings").where("vec_id < 100").select("vec_id", (1.0 / (1 + F.col("vec_id"))).alias("fused"), F.col("embedding").alias("vec"))
-    return T.diversify(rows, "vec_id", "fused", "vec", k)
+    """The neighbours of a seed that the recall finds among all vectors, diversified."""
+    from sonaria.operators.vectors import nearest
+
+    seed = c.table("embeddings").where("vec_id = 7").select("embedding").first()
+    near = nearest(c.table("embeddings"), list(seed["embedding"]), T.RECALL, without=7)
+    return T.diversify(near.select("vec_id", "similarity", F.col("embedding").alias("vec")), "vec_id", "similarity", "vec", k)
 
 
 @query("merge_kbs", "manuals", "SELECT concat('[', library_id, '] ', name) AS title, id FROM manuals WHERE library_id IN (1, 2)")
@@ -111,14 +124,21 @@ def memory_search(c, words=tuple(_MEM_WORDS), library: int = 3):
     return rows.select("id", score.cast("long").alias("score")).orderBy(F.desc("score"), "id").limit(8)
 
 
-@query("memory_budget_block", "memory", """WITH o AS (SELECT id, sum(length(content)) OVER (ORDER BY CASE WHEN library_id = 3 THEN 0 ELSE 1 END, importance DESC, updated_at DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM
-    (SELECT * FROM memory ORDER BY CASE WHEN library_id = 3 THEN 0 ELSE 1 END, importance DESC, updated_at DESC, id LIMIT 500)) SELECT id FROM o WHERE used <= 2000""")
-def memory_budget_block(c, budget: int = 2000, most: int = 500):
-    """Memories in order of fit until the first that would overflow; lengths sum over the first ``most``."""
+@query("memory_budget_block", "memory", """WITH o AS (SELECT id, sum(length(content)) OVER (ORDER BY CASE WHEN library_id = 3 THEN 0 ELSE 1 END, importance DESC, updated_at DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM memory)
+    SELECT id FROM o WHERE used <= 20000""")
+def memory_budget_block(c, budget: int = 20_000):
+    """Memories in order of fit until the first that would overflow.
+
+    Of rows without text as many fit as there are; of the others, each at least a character long, at
+    most ``budget``, so these alone are put in order to find the row where the budget ends.
+    """
     order = [F.when(F.col("library_id") == 3, 0).otherwise(1), F.desc("importance"), F.desc("updated_at"), F.asc("id")]
-    first = c("memory").orderBy(*order).limit(most)
-    used = F.sum(F.char_length("content")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return first.withColumn("used", used).where(F.col("used") <= budget).select("id")
+    place = F.struct(order[0].alias("a"), (-F.col("importance")).alias("b"), (-F.col("updated_at")).alias("c"), F.col("id").alias("d"))
+    rows = c("memory").select("*", F.coalesce(F.char_length("content"), F.lit(0)).alias("size"), place.alias("place"))
+    first = rows.where("size > 0").orderBy("place").limit(budget + 1)
+    used = F.sum("size").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))  # ``budget`` rows
+    end = first.select("place", used.alias("used")).where(F.col("used") > budget).agg(F.min("place").alias("end"))
+    return rows.crossJoin(end).where("end is null or place < end").select("id")  # one row
 
 
 @query("memory_upsert", "memory", "SELECT scope, key, library_id, max_by(id, updated_at) AS id, least(5, greatest(1, max_by(importance, updated_at))) AS importance FROM memory GROUP BY 1, 2, 3")

@@ -94,6 +94,19 @@ def density_clusters(c):
     return V.dense_clusters(c("points"), 0.05)
 
 
+@query("cluster_auto", "points", """WITH s AS (SELECT count(*) AS n FROM points), d AS (SELECT p.clip_id, (SELECT count(*) FROM points q WHERE abs(floor(q.x / 1e-6) - floor(p.x / 1e-6)) <= 1 AND abs(floor(q.y / 1e-6) - floor(p.y / 1e-6)) <= 1) AS near FROM points p)
+    SELECT CASE WHEN max(near) < 5 THEN 'grid' ELSE 'density' END AS kind, count(*) AS points FROM d""")
+def cluster_auto(c):
+    """A cell too small for any cluster: the grid decides, and every point has a cluster."""
+    rows, said = V.cluster_auto(c("points"), 1e-6)
+    return rows.groupBy(F.lit(said.split(":")[0]).alias("kind")).agg(F.count("cluster").alias("points"))
+
+
+@query("cluster_auto_density")
+def cluster_auto_density(c):
+    return V.cluster_auto(c("points"), 0.05)[0]
+
+
 @query("map_projection")
 def map_projection(c):
     return V.plane(c.table("embeddings")).select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

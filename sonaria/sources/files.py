@@ -10,10 +10,11 @@ from html import unescape
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonaria.functions.scalars import looks_like_manual, version_key
+from sonaria.operators.relational import first_rows
 
 # Which files count as what.
 JUNK = ["torrent", "url", "rar", "zip", "7z", "exe", "dmg", "iso", "nfo"]
@@ -43,13 +44,8 @@ def junk(files: DataFrame) -> DataFrame:
     return files.where(F.col("ext").isin(*JUNK)).withColumn("suggested_keep", F.lower("name").isin(*KEEP_NAMES))
 
 
-def _first(files: DataFrame, cap: int, order: str = "rel_path") -> DataFrame:
-    w = Window.partitionBy("root", "library").orderBy(order)
-    return files.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= cap).drop("__rn")
-
-
 def manuals(files: DataFrame, cap: int = MANUAL_CAP) -> DataFrame:
-    return _first(files.where(F.col("ext").isin(*MANUAL) & looks_like_manual(F.col("name"), F.col("size_bytes"))), cap)
+    return first_rows(files.where(F.col("ext").isin(*MANUAL) & looks_like_manual(F.col("name"), F.col("size_bytes"))), ["root", "library"], "rel_path", cap)
 
 
 def clips(files: DataFrame) -> DataFrame:
@@ -58,9 +54,9 @@ def clips(files: DataFrame) -> DataFrame:
     kind = F.when(F.col("ext").isin("ncw", "nkx"), F.col("ext")).when(F.lower("rel_path").rlike("demo|preview") | (F.col("ext") == "nksn"), "demo").otherwise("sample")
     rows = files.where(F.col("ext").isin(*AUDIO)).withColumn("kind", kind).where((F.col("kind") != "sample") | (F.col("size_bytes") > MIN_SAMPLE_BYTES))
     coded = F.col("kind").isin("ncw", "nkx")
-    w = Window.partitionBy("root", "library").orderBy("rel_path")
-    seen, encoded = F.count("*").over(w), F.sum(coded.cast("int")).over(w)
-    return rows.withColumn("__all", seen).withColumn("__coded", encoded).where(F.when(coded, F.col("__coded") <= ENCODED_CAP).otherwise(F.col("__all") <= CLIP_CAP)).drop("__all", "__coded")
+    # an ordinary clip counts all before it, so those within the cap are among the first of all
+    keys = ["root", "library"]
+    return first_rows(rows, keys, "rel_path", CLIP_CAP).where(~coded).unionByName(first_rows(rows.where(coded), keys, "rel_path", ENCODED_CAP))
 
 
 def newest_versions(instruments: DataFrame, key: str = "library", version: str = "engine_version") -> DataFrame:
@@ -142,6 +138,23 @@ def audio_features(files: DataFrame, seconds: float = 12.0) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, AUDIO_SCHEMA)
 
 
+def audio_samples(files: DataFrame, seconds: float = 12.0, to: int | None = None) -> DataFrame:
+    """path, rate, samples (mono, -1..1, resampled to the rate ``to`` if it is given) and an error per file."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for path, content in zip(frame["path"], frame["content"]):
+                try:
+                    rate, x = decode_wave(bytes(content), seconds)
+                    out.append((path, to or rate, resample(x, rate, to) if to else x, None))
+                except (ValueError, EOFError, wave.Error) as e:
+                    out.append((path, None, None, str(e)))
+            yield pd.DataFrame(out, columns=["path", "rate", "samples", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, rate int, samples array<double>, error string")
+
+
 def decode_wave(data: bytes, seconds: float) -> tuple[int, np.ndarray]:
     """The rate and the first seconds of a PCM file as mono samples in -1..1."""
     with wave.open(io.BytesIO(data)) as w:

@@ -26,10 +26,37 @@ def test_timbre_percentiles(spark):
 
 def test_global_ranks_against_sorting(spark):
     r = random.Random(4)
-    values = [float(r.randrange(20)) for _ in range(300)] + [7.0] * 200
+    values = [float(r.randrange(20)) for _ in range(300)] + [7.0] * 200 + [None] * 5
     df = spark.createDataFrame(list(enumerate(values)), "i long, v double")
-    for row in relational.global_ranks(df, "v", 7).collect():
-        assert row.less == sum(x < row.v for x in values) and row.n == 500
+    rows = relational.global_ranks(df, "v", part_rows=10).collect()
+    assert len(rows) == 505
+    for row in rows:
+        assert (row.less, row.n) == ((None, None) if row.v is None else (sum(x < row.v for x in values if x is not None), 500))
+
+
+def test_ranks_by_group_keep_rows_without_a_value(spark):
+    rows = [(i, [float(i % 5), float(-i)]) for i in range(40)] + [(40, [3.0]), (41, None), (42, [])]
+    df = spark.createDataFrame(rows, "vec_id long, vec array<double>")
+    got = {r.vec_id: (r.a, r.b) for r in vectors.percentiles(df, "vec_id", {"a": (0, False), "b": (1, True)}, "vec").collect()}
+    assert len(got) == 43 and got[41] == got[42] == (None, None) and got[40][1] is None
+    known = [v[0] for _, v in rows if v]
+    assert got[7][0] == round(sum(x < 2 for x in known) / 40, 6) and got[0][1] == 0.0 and got[39][1] == 1.0
+
+
+def test_first_rows_of_each_key(spark):
+    rows = [(k, f"{r:03}") for k in ("a", "b") for r in range(50)] + [("c", "x"), (None, "n")]
+    got = {tuple(r) for r in relational.first_rows(spark.createDataFrame(rows, "k string, r string"), ["k"], "r", 7).collect()}
+    assert got == {(k, f"{r:03}") for k in ("a", "b") for r in range(7)} | {("c", "x"), (None, "n")}
+
+
+@pytest.mark.parametrize("least", [0.2, 0.35, 0.8])
+def test_similar_pairs_against_all_pairs(spark, least):
+    r = random.Random(8)
+    sets = {o: {f"n{r.randrange(12)}" for _ in range(r.randrange(1, 9))} | {"everywhere"} for o in range(40)}
+    rows = [(o, n) for o, s in sets.items() for n in s for _ in range(2)] + [(3, None)]
+    got = {tuple(x) for x in relational.similar_pairs(spark.createDataFrame(rows, "o long, n string"), "o", "n", least).collect()}
+    want = {(a, b, len(x & y), len(x), len(y)) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) >= least * len(x | y) - 1e-9}
+    assert got == want
 
 
 def blobs():
@@ -116,9 +143,58 @@ def test_fusion_is_symmetric(spark):
     assert ab == ba and ab[3] == round(1 / 63 + 1 / 61, 9)
 
 
+def test_batch_text():
+    rules_ = rules.parse_batch("# note\r\nforeach lib where Junk AND no-cover, name = Ab c: TAG : a:b; category=x\n\nfor lib where nonstandard: build-kb")
+    assert rules_ == [({"junk": None, "no-cover": None, "name": "Ab c"}, "tag", "a:b"), ({"category": "x"}, "list", ""), ({"nonstandard": None}, "build-kb", "")]
+    for wrong in ("", "# only a note", "junk: sweep", ": list", "sparkling: list", "category: list", "junk=3", "name=: tag:x"):
+        with pytest.raises(ValueError):
+            rules.parse_batch(wrong)
+
+
+def test_cluster_auto_falls_back_to_the_grid(spark):
+    df = spark.createDataFrame([(i, 0, x, y, 0) for i, x, y in blobs()], "clip_id long, library_id int, x double, y double, cluster int")
+    rows, said = vectors.cluster_auto(df, 1.0)
+    assert said == "density: 2 clusters, 5 noise points" and rows.count() == 125
+    rows, said = vectors.cluster_auto(df, 1e-9)
+    assert said.startswith("grid: ") and rows.where("cluster = '-1'").count() == 0 and rows.count() == 125
+
+
+def test_density_agrees_with_neighbour_distances(spark):
+    """Against single links within the cell's side among points of five neighbours: the same parts, but for borders."""
+    r = random.Random(7)
+    pts = [(r.gauss(cx, 0.4), r.gauss(cy, 0.4)) for cx, cy in ((0, 0), (6, 0), (0, 7), (8, 8)) for _ in range(70)] + [(r.uniform(-4, 12), r.uniform(-4, 12)) for _ in range(25)]
+    df = spark.createDataFrame([(i, 0, x, y, 0) for i, (x, y) in enumerate(pts)], "clip_id long, library_id int, x double, y double, cluster int")
+    got = {x.clip_id: x.cluster for x in vectors.dense_clusters(df, 0.5).collect()}
+    agree = total = 0
+    for i in range(280):
+        for j in range(i):
+            if got[i] != "-1" and got[j] != "-1":
+                total += 1
+                agree += (got[i] == got[j]) == (i // 70 == j // 70)
+    assert agree / total > 0.99 and sum(got[i] == "-1" for i in range(280)) < 28
+
+
+def test_postings_and_frequencies(spark):
+    texts = ["b a b c1", "", None, "a-a A zz x", "b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", text.latin_tokens(F.col("text")).alias("tokens"))
+    docs = docs.union(spark.createDataFrame([(9, ["b", "a", "b", "q", "b"])], "id long, tokens array<string>"))
+    got = {tuple(r) for r in text.postings(docs, "id", "tokens").collect()}
+    assert got == {(0, "c1", 1), (3, "zz", 1), (9, "a", 1), (9, "b", 3), (9, "q", 1)}
+    assert {tuple(r) for r in text.document_frequencies(docs, "tokens").collect()} == {("c1", 1, 1), ("zz", 1, 1), ("a", 1, 1), ("b", 1, 3), ("q", 1, 1)}
+
+
+def test_both_ways_of_bm25_agree(spark):
+    docs = spark.createDataFrame([(0, "apache licence apache"), (1, "the licence of others"), (2, None), (3, "Apache; apache-2 xapache"), (4, "nothing here")], "id long, text string")
+    one = text.bm25_text(docs, "id", "text", ["apache", "licence"], 10).collect()
+    two = text.bm25(docs.select("id", F.coalesce(text.latin_tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens")), "id", "tokens", ["licence", "apache"], 10).collect()
+    assert [r.id for r in one] == [r.id for r in two] == [0, 3, 1]
+    with pytest.raises(ValueError):
+        text.diversify(spark.range(text.MMR_MOST + 1).selectExpr("id", "1.0D as fused", "array(1.0D) as vec"), "id", "fused", "vec", 3)
+
+
 def test_batch_rules(spark):
     libs = spark.createDataFrame([(1, "A", "x", 60 << 20, "", True, 5), (2, "B", "y", 0, "c", True, 9)], "id long, name string, category string, junk_bytes long, cover_file string, has_nicnt boolean, size_bytes long")
-    got = {tuple(r) for r in rules.batch_rules(libs, [({"junk": None}, "clean", ""), ({"category": "x", "no-cover": None}, "tag", "t"), ({"name": "a"}, "tag", "t"), ({"who": None}, "clean", "")]).collect()}
+    got = {tuple(r) for r in rules.batch_rules(libs, [({"junk": None}, "clean", ""), ({"category": "x", "no-cover": None}, "tag", "t"), ({"name": "a"}, "tag", "t")]).collect()}
     assert got == {(1, "clean", "", "junk"), (1, "tag", "t", "category=x and no-cover")}
 
 
