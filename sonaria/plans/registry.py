@@ -11,7 +11,7 @@ from sonaria.sources.views import oracle, view
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("browse", "joins", "rollups", "ordering", "scalar", "vector", "retrieval", "duplicates", "checks", "ingest")
+_MODULES = ("browse", "joins", "rollups", "ordering", "scalar", "vector", "retrieval", "duplicates", "checks", "ingest", "audio")
 
 
 class Catalog:

@@ -31,9 +31,15 @@ def schema(name: str) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS[name])
 
 
-def read_kb(spark: SparkSession, path: str) -> DataFrame:
-    """Nested knowledge documents, one per file."""
-    return spark.read.schema(KB_SCHEMA).json(path, multiLine=True)
+def read_kb(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Nested knowledge documents, one a line as ``write_kb`` saves them, or one a file."""
+    return spark.read.schema(KB_SCHEMA).json(path, multiLine=whole_files)
+
+
+def write_kb(docs: DataFrame, path: str) -> None:
+    """Save knowledge documents in the columns of KB_SCHEMA, one a line."""
+    names = [f.name for f in T.StructType.fromDDL(KB_SCHEMA).fields]
+    docs.select(*names).write.mode("overwrite").json(path)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

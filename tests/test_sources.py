@@ -96,7 +96,7 @@ def test_vectors_and_upserts(spark):
 
 def test_knowledge_documents(spark, tmp_path):
     (tmp_path / "kb.json").write_text('{"library_id": 4,\n "manual_name": "m", "page_count": 1, "pages": [{"n": 1, "text": "t", "source": "text"}], "chunks": [{"id": 0, "page": 1, "text": "t"}]}')
-    row = tables.read_kb(spark, str(tmp_path)).select("library_id", F.size("chunks").alias("n")).first()
+    row = tables.read_kb(spark, str(tmp_path), whole_files=True).select("library_id", F.size("chunks").alias("n")).first()
     assert tuple(row) == (4, 1)
 
 
@@ -110,6 +110,14 @@ def test_streams(spark, tmp_path):
     assert spark.sql("SELECT sum(calls) AS n, count(*) AS k FROM w").first() == (60, 24)
     q = incremental.upsert_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp", ["user_id"], "event_id")
     q.awaitTermination()
-    assert {(r.user_id, r.event_id) for r in spark.read.parquet(f"{tmp_path}/out/v=0").collect()} == {(0, 57), (1, 58), (2, 59)}
+    newest = lambda: {(r.user_id, r.event_id) for r in incremental.newest_snapshot(spark, f"{tmp_path}/out").collect()}
+    assert newest() == {(0, 57), (1, 58), (2, 59)}
+    # a new checkpoint goes on from the table that is there, and adds each of its batches once
+    spark.createDataFrame([(90, 1), (50, 2), (91, 7)], "event_id long, user_id long").selectExpr("event_id", "current_timestamp() ts", "user_id", "'click' event_type", "1.0D value").write.parquet(f"{tmp_path}/in2")
+    for _ in range(2):
+        more = spark.readStream.schema(schema).parquet(f"{tmp_path}/in2")
+        incremental.upsert_stream(more, f"{tmp_path}/out", f"{tmp_path}/cp2", ["user_id"], "event_id").awaitTermination()
+        assert newest() == {(0, 57), (1, 90), (2, 59), (7, 91)}
+        assert len(incremental.snapshots(spark, f"{tmp_path}/out")) == 2
     batch = spark.read.parquet(f"{tmp_path}/in")
     assert incremental.session_windows(batch, "2 minutes").count() == 60
