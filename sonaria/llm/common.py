@@ -2,56 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_FOLDERS: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application under ``spark.checkpoint.dir``.
+from sonaria.sources.shared import delete_path, new_path, written
 
-    Where the setting is missing a temporary folder is used, in local mode only: on a cluster
-    the driver's disk is not visible to the executors, so the missing setting is an error.
-    """
-    context = spark.sparkContext
-    app = context.applicationId
-    if app not in _FOLDERS:
-        base = context.getConf().get("spark.checkpoint.dir")
-        if not base:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="sonaria-")
-        _FOLDERS[app] = f"{base.rstrip('/')}/sonaria-{app}"
-        atexit.register(delete_path, spark, _FOLDERS[app])
-    return _FOLDERS[app]
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Delete a table that is no longer needed; a stopped session leaves it to the cluster."""
-    jvm = spark.sparkContext._jvm
-    if spark.sparkContext._jsc is None or jvm is None:
-        return
-    try:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session is ending; the shared folder has its own retention
-        return
+__all__ = ["BROADCAST_ROWS", "Written", "new_path", "small", "spread_join", "table", "written"]
 
 
 class Written:
-    """A DataFrame written as Parquet to the shared folder, so that lost executors cost no recomputation."""
+    """A DataFrame written as Parquet to the shared folder that can be dropped when it is used up."""
 
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
@@ -63,10 +26,6 @@ class Written:
         delete_path(self.spark, self.path)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    return Written(df, label).df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,11 +1,13 @@
 """Media columns: payloads stored losslessly as 8-bit images in archives, and read back by range.
 
 ``media_archive`` is a custom Spark data source. Its writer packs each row's payload as an 8-bit
-greyscale PNG of 192 samples a line into one archive per task and commits a manifest, so that
-files of failed attempts are never read. Its reader plans byte ranges over the archives of a
-directory from their sizes alone; a task takes the members whose headers begin in its range,
-reads each on its own by offset, tries a member again without touching the others, and hands out
-Arrow batches of bounded size. Archives go to the shared folder through Arrow's file systems.
+greyscale PNG of 192 samples a line into archives of ``ARCHIVE_BYTES`` or little more and commits a
+manifest, so that files of failed attempts, which an attempt deletes if it still can, are never
+read. Its reader plans byte ranges over the archives of a directory from their sizes alone; a task
+takes the members whose headers begin in its range, reads each on its own by offset, tries a member
+again after a pause without touching the others, and hands out Arrow batches of bounded size. A
+range reads the directory of its own archive, whose size is bounded as the archive's is. Archives
+go to the shared folder through Arrow's file systems.
 
 Rows: a null text counts as empty and gives a payload of 192 spaces; equal texts give equal
 stored bytes; repeated rows and null ids give one row each; other columns are ignored; an empty
@@ -17,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import time
 import uuid
 import zipfile
 import zlib
@@ -35,6 +38,9 @@ LINE = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 MANIFEST = "_manifest.json"
 BATCH_BYTES = 4 << 20
+ARCHIVE_BYTES = 64 << 20
+#: Seconds before a member is tried again; they double from try to try.
+PAUSE = 0.2
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -83,8 +89,7 @@ def _file_system(uri: str):
 
 @dataclass
 class ArchiveWritten(WriterCommitMessage):
-    name: str
-    n_bytes: int
+    archives: list[tuple[str, int]]
 
 
 @dataclass
@@ -95,36 +100,51 @@ class ArchiveRange(InputPartition):
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, archive_bytes: int):
+        self.path, self.archive_bytes = path, archive_bytes
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, path = _file_system(self.path)
         store.create_dir(path, recursive=True)
-        name = f"part-{uuid.uuid4().hex}.zip"
-        n = 0
-        with store.open_output_stream(f"{path}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
-            for batch in iterator:
-                for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                    data, size = payload(text.as_py())
-                    archive.writestr(zipfile.ZipInfo(f"{doc_id.as_py()}_{size}.png"), encode_image(data))
-                    n += 1
-        if not n:  # a task without rows leaves no archive
-            store.delete_file(f"{path}/{name}")
-            return ArchiveWritten("", 0)
-        return ArchiveWritten(name, store.get_file_info(f"{path}/{name}").size)
+        made: list[tuple[str, int]] = []
+        rows = ((doc_id.as_py(), text.as_py()) for batch in iterator for doc_id, text in zip(batch.column("doc_id"), batch.column("text")))
+        name = ""
+        try:
+            row = next(rows, None)
+            while row is not None:  # a task without rows leaves no archive
+                name = f"part-{uuid.uuid4().hex}.zip"
+                with store.open_output_stream(f"{path}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
+                    held = 0
+                    while row is not None and held < self.archive_bytes:
+                        data, size = payload(row[1])
+                        media = encode_image(data)
+                        archive.writestr(zipfile.ZipInfo(f"{row[0]}_{size}.png"), media)
+                        held += len(media)
+                        row = next(rows, None)
+                made.append((name, store.get_file_info(f"{path}/{name}").size))
+        except BaseException:
+            _delete(store, path, [*(n for n, _ in made), name])
+            raise
+        return ArchiveWritten(made)
 
     def commit(self, messages) -> None:
         store, path = _file_system(self.path)
         store.create_dir(path, recursive=True)
         with store.open_output_stream(f"{path}/{MANIFEST}") as out:
-            out.write(json.dumps([[m.name, m.n_bytes] for m in messages if m and m.name]).encode())
+            out.write(json.dumps([a for m in messages if m for a in m.archives]).encode())
 
     def abort(self, messages) -> None:
         store, path = _file_system(self.path)
-        for m in messages:
-            if m and m.name:
-                store.delete_file(f"{path}/{m.name}")
+        _delete(store, path, [name for m in messages if m for name, _ in m.archives])
+
+
+def _delete(store, path: str, names: list[str]) -> None:
+    """Delete archives that no manifest will name; one that is not there is no matter."""
+    for name in filter(None, names):
+        try:
+            store.delete_file(f"{path}/{name}")
+        except OSError:
+            continue
 
 
 class ArchiveReader(DataSourceReader):
@@ -145,26 +165,33 @@ class ArchiveReader(DataSourceReader):
         with store.open_input_file(source) as src:
             members = [m for m in zipfile.ZipFile(src).infolist() if partition.start <= m.header_offset < partition.end]
         rows, held = [], 0
-        src, archive = None, None
-        for member in members:
-            for attempt in range(self.attempts):
-                try:
-                    if archive is None:
-                        src = store.open_input_file(source)
-                        archive = zipfile.ZipFile(src)
-                    media = archive.read(member)  # checks the member's own checksum
-                    break
-                except (OSError, zipfile.BadZipFile):
-                    archive = None
-                    if attempt + 1 == self.attempts:
-                        raise
-            rows.append((member.filename, member.header_offset, media))
-            held += len(media)
-            if held >= BATCH_BYTES:
+        src = None
+        try:
+            for member in members:
+                for attempt in range(self.attempts):
+                    try:
+                        if src is None:
+                            src = store.open_input_file(source)
+                            archive = zipfile.ZipFile(src)
+                        media = archive.read(member)  # checks the member's own checksum
+                        break
+                    except (OSError, zipfile.BadZipFile):
+                        if src is not None:
+                            src.close()
+                        src = None
+                        if attempt + 1 == self.attempts:
+                            raise
+                        time.sleep(PAUSE * 2**attempt)
+                rows.append((member.filename, member.header_offset, media))
+                held += len(media)
+                if held >= BATCH_BYTES:
+                    yield self._batch(rows)
+                    rows, held = [], 0
+            if rows:
                 yield self._batch(rows)
-                rows, held = [], 0
-        if rows:
-            yield self._batch(rows)
+        finally:
+            if src is not None:
+                src.close()
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -173,7 +200,7 @@ class ArchiveReader(DataSourceReader):
 
 
 class MediaArchive(DataSource):
-    """format("media_archive"): option ``path``; ``range_bytes`` and ``attempts`` when reading."""
+    """format("media_archive"): option ``path``; ``archive_bytes`` when writing, ``range_bytes`` and ``attempts`` when reading."""
 
     @classmethod
     def name(cls) -> str:
@@ -183,17 +210,17 @@ class MediaArchive(DataSource):
         return "member string, offset long, media binary"
 
     def writer(self, schema, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options["path"])
+        return ArchiveWriter(self.options["path"], int(self.options.get("archive_bytes", ARCHIVE_BYTES)))
 
     def reader(self, schema) -> ArchiveReader:
         return ArchiveReader(self.options["path"], int(self.options.get("range_bytes", 16 << 20)), int(self.options.get("attempts", 3)))
 
 
-def store_payloads(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+def store_payloads(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write the payloads of all rows to archives under ``path``."""
     docs.sparkSession.dataSource.register(MediaArchive)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows.write.format("media_archive").mode("append").save(path)
+    rows.write.format("media_archive").option("archive_bytes", archive_bytes).mode("append").save(path)
 
 
 def media_rows(spark, path: str, range_bytes: int = 16 << 20) -> DataFrame:

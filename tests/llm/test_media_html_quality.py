@@ -4,10 +4,12 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from sonaria.llm import html, media, quality
+from sonaria.llm.common import written
 
 
 def test_media_round_trip(spark, awkward, rows_of, tmp_path):
@@ -39,9 +41,24 @@ def test_unfinished_archives_are_not_read(spark, awkward, tmp_path):
     assert media.media_rows(spark, path).count() == n == awkward.count()
 
 
+def test_archives_are_bounded_and_a_failed_attempt_leaves_none(spark, awkward, tmp_path):
+    media.store_payloads(awkward.coalesce(1), f"file://{tmp_path}/many", archive_bytes=400)
+    assert len(list((tmp_path / "many").glob("part-*.zip"))) > 3
+    rows = media.describe(media.media_rows(spark, f"file://{tmp_path}/many")).collect()
+    assert sorted(map(str, (r.doc_id for r in rows))) == sorted(map(str, (r.doc_id for r in awkward.collect())))
+
+    def broken():
+        yield pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a", "b" * 5000]})
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        media.ArchiveWriter(f"file://{tmp_path}/none", 100).write(broken())
+    assert not list((tmp_path / "none").iterdir())
+
+
 def test_members_are_retried_by_offset(awkward, tmp_path, monkeypatch):
-    writer = media.ArchiveWriter(f"file://{tmp_path}")
-    import pyarrow as pa
+    writer = media.ArchiveWriter(f"file://{tmp_path}", 1 << 20)
+    monkeypatch.setattr(media, "PAUSE", 0.001)
 
     message = writer.write(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["a", "b" * 500, None]})]))
     writer.commit([message])
@@ -235,7 +252,7 @@ def test_pipeline(spark, awkward, tmp_path):
     at = docs
     sizes = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        at = corpus_pipeline.written(stage(spark, at, str(tmp_path)), name)
+        at = written(stage(spark, at, str(tmp_path)), name)
         assert at.columns == docs.columns
         ids = [r.doc_id for r in at.collect()]
         sizes.append(len(ids))
