@@ -189,8 +189,9 @@ def first_rows(keyed: DataFrame, groups: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64("text").alias("c"), F.col(ROW).alias("row"))
     ranked = keyed.select(F.col(ROW), order.alias("order")).join(groups.withColumnRenamed("row", ROW), ROW)
     first = ranked.groupBy("root").agg(F.min("order").alias("first")).select("root", F.col("first.row").alias("first"))
-    dropped = groups.join(first, "root").where("row <> first").select(F.col("row").alias(ROW))
-    return keyed.join(dropped, ROW, "left_anti").drop(ROW)
+    others = spread_join(groups, written(first, "firsts"), ["root"], F.xxhash64("row")).where("row <> first")
+    dropped = written(others.select(F.col("row").alias(ROW)), "dropped")
+    return keyed.join(small(dropped), ROW, "left_anti").drop(ROW)  # where few rows go, no text is shuffled
 
 
 def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:

@@ -56,7 +56,7 @@ def test_links_of_random_fingerprints(spark):
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(s,) for s in signed], "fp long")
     want = brute_components(list(zip(signed, fps)))
-    for segments, crowd in ((2, 64), (2, 0), (2, 2), (3, 64), (1, 64), (4, 3)):
+    for segments, crowd in ((2, 64), (2, 2), (3, 64), (4, 0)):
         roots = {r.node: r.root for r in simhash.connected_components(simhash.links(df, segments, crowd)).collect()}
         assert [roots.get(s, s) for s in signed] == want
 
