@@ -64,11 +64,14 @@ def vector(text: Column) -> Column:
     def equality(hashes: Column) -> list[Column]:
         return [_sum(hashes, MASK32, lambda h, j=j: F.xxhash64(h, F.lit(j)).bitwiseAND(F.lit(MASK32))) for j in range(EQUAL_LANES)]
 
+    def rehashed(hashes: Column, word: int) -> Column:
+        return F.transform(hashes, lambda h: F.xxhash64(h, F.lit(word)))
+
     def counts(hashes: Column) -> Column:
         return F.array(*[_sum(hashes, LANES3, lambda h, i=i: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(ONES3))) for i in range(21)])
 
     whole = let(F.transform(paragraphs, lambda p: F.xxhash64(p)), lambda hs: F.array(*equality(hs)))
-    parts = let(sentences, lambda hs: F.concat(F.array(F.size(hs).cast("long").bitwiseAND(F.lit(LANE))), *[let(F.transform(hs, lambda h, w=w: F.xxhash64(h, F.lit(w))), counts) for w in range(WORDS)]))
+    parts = let(sentences, lambda hs: F.concat(F.array(F.size(hs).cast("long").bitwiseAND(F.lit(LANE))), *[let(rehashed(hs, w), counts) for w in range(WORDS)]))
     return F.concat(whole, parts)
 
 
