@@ -125,7 +125,7 @@ def mixed_rows(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     taking = parts.join(schedule(targets, block), ["number", "rank"], "left")
     words = F.least(F.col("a") + F.col("size"), F.col("last")) - F.greatest("a", "first")
     kept = [F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")]
-    return taking.groupBy("row").agg(*kept, F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"), F.min("slot").alias("first_slot"))
+    return taking.groupBy("row").agg(*kept, F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"), F.coalesce(F.min("slot"), F.lit(-1)).alias("first_slot"))
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, row: Column) -> DataFrame:
@@ -137,7 +137,8 @@ def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, row:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, first_slot (of the slots that take it, the first) for every row."""
+    """doc_id, source, size, source_size, target, taken, first_slot for every row: the first of the
+    slots that take it, -1 if none does."""
     return mixed_rows(measured(docs, id_col, text_col, source_col, F.monotonically_increasing_id()), block).drop("row")
 
 
@@ -194,6 +195,6 @@ WITH d AS (
    AND r.place + r.round * r.source_size + r.size > k.rank * {BLOCK} GROUP BY r.row
 )
 SELECT doc_id, size, source_size, target,
-       CASE WHEN size = 0 THEN 0 ELSE (goal // source_size) * size + greatest(0, least(place + size, goal % source_size) - place) END::BIGINT AS taken, first_slot
+       CASE WHEN size = 0 THEN 0 ELSE (goal // source_size) * size + greatest(0, least(place + size, goal % source_size) - place) END::BIGINT AS taken, coalesce(first_slot, -1) AS first_slot
 FROM p LEFT JOIN h USING (row)
 """

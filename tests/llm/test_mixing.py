@@ -69,7 +69,7 @@ def test_schedule_is_even(spark):
 def test_slots_of_the_documents(awkward):
     """Each document is first taken by the earliest of the slots whose block holds one of its words."""
     got = mixing.mix(awkward, block=7).collect()
-    assert all((r.first_slot is None) == (r.taken == 0) for r in got)
+    assert all((r.first_slot == -1) == (r.taken == 0) for r in got)
     assert len({r.first_slot for r in got if r.taken}) > 5
 
 
