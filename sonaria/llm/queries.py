@@ -19,6 +19,9 @@ _QUERIES = {
     "op8_token_counts": ("tokens", "op8_query"),
     "op9_licenses": ("licenses", "op9_query"),
     "op10_mixing": ("mixing", "op10_query"),
+    "op11_collocations": ("collocations", "op11_query"),
+    "op12_fill_in_middle": ("fim", "op12_query"),
+    "op13_byte_bpe": ("bpe", "op13_query"),
 }
 
 
@@ -32,6 +35,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The SQL of those that SQL can express; the others are tested against brute force."""
-    from sonaria.llm import lines, mixing
+    from sonaria.llm import collocations, fim, lines, mixing
 
-    return {"op7_line_spread": lines.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {"op7_line_spread": lines.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL, "op12_fill_in_middle": fim.ORACLE_SQL}
