@@ -18,19 +18,21 @@ gives an empty result; other columns are ignored; special strings in texts are o
 from __future__ import annotations
 
 import base64
-import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from sonaria.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Distinct pre-tokens of a batch are looked up in parts of this size.
 PART = 100_000
+_WORD = (1 << 64) - 1
 
 
 def read_ranks(file: str) -> dict[bytes, int]:
@@ -87,12 +89,11 @@ class PerfectHash:
         for b, slot in zip(single, np.flatnonzero(free)):
             self.seeds[b] = -slot - 1
             self.slot_of_key[order[starts[b]]] = slot
+        self.few_seeds = self.seeds.tolist()
 
     @staticmethod
     def hashes(keys: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+        return np.fromiter(map(xxh3_64_intdigest, keys), np.uint64, len(keys))
 
     def _bucket(self, h: np.ndarray) -> np.ndarray:
         return ((h >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
@@ -104,97 +105,112 @@ class PerfectHash:
         moved = (_mixed(h, np.maximum(seeds, 0)) % np.uint64(max(1, self.n))).astype(np.int64)
         return np.where(seeds < 0, -seeds - 1, moved)
 
+    def slot(self, key: bytes) -> int:
+        """The same of one key."""
+        h = xxh3_64_intdigest(key)
+        seed = self.few_seeds[(h >> 32) % self.buckets]
+        if seed < 0:
+            return -seed - 1
+        h = (h ^ (seed * 0x9E3779B97F4A7C15 & _WORD)) * 0xBF58476D1CE4E5B9 & _WORD
+        h = (h ^ h >> 29) * 0x94D049BB133111EB & _WORD
+        return (h ^ h >> 32) % self.n
+
+
+class _Met(dict):
+    """Ranks of byte strings met in merging, -1 for those that are no tokens; others are looked up."""
+
+    def __init__(self, rank: Callable[[bytes], int], limit: int):
+        super().__init__()
+        self.rank, self.limit = rank, limit
+
+    def __missing__(self, key: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        self[key] = rank = self.rank(key)
+        return rank
+
 
 class BytePairs:
     """The vocabulary of a rank file: ``encode`` and ``decode``, as ids of four bytes, lowest first."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 300_000):
-        import regex
-
-        self.find = regex.compile(pattern).findall
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 600_000):
+        self.pattern, self.limit = pattern, limit
         self.hash = PerfectHash(ranks)
         self.tokens: list[bytes] = [b""] * len(ranks)
         self.ids: list[int] = [0] * len(ranks)
         for slot, (token, rank) in zip(self.hash.slot_of_key.tolist(), ranks.items()):
             self.tokens[slot], self.ids[slot] = token, rank
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.limit = limit
-        self.missed: dict[str, bytes] = {}
-        self.met: dict[bytes, int] = {}  # ranks of byte strings met in merging, -1 for none
+        self._prepare()
+
+    def _prepare(self) -> None:
+        import regex
+
+        self.find = regex.compile(self.pattern).findall
+        self.bytes_of = dict(zip(self.ids, self.tokens))
+        self.known: dict[str, bytes] = {}
+        self.met = _Met(self.rank, self.limit)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "find"} | {"pattern": self.find.__self__.pattern}
+        return {k: getattr(self, k) for k in ("pattern", "limit", "hash", "tokens", "ids")}
 
     def __setstate__(self, state: dict) -> None:
-        import regex
-
-        self.find = regex.compile(state.pop("pattern")).findall
         self.__dict__.update(state)
+        self._prepare()
 
     def ranks(self, keys: list[bytes]) -> list[int]:
         """The rank of each byte string, -1 where it is no token."""
         tokens, ids = self.tokens, self.ids
-        if not tokens:
-            return [-1] * len(keys)
-        return [ids[s] if tokens[s] == key else -1 for s, key in zip(self.hash.slots(keys).tolist(), keys)]
+        return [ids[s] if tokens[s] == key else -1 for s, key in zip(self.hash.slots(keys).tolist(), keys)] if tokens else [-1] * len(keys)
 
-    def _pair_ranks(self, pairs: list[bytes]) -> None:
-        if len(self.met) > self.limit:
-            self.met.clear()
-        new = list({p for p in pairs if p not in self.met})
-        self.met.update(zip(new, self.ranks(new)))
+    def rank(self, key: bytes) -> int:
+        slot = self.hash.slot(key) if self.tokens else 0
+        return self.ids[slot] if self.tokens and self.tokens[slot] == key else -1
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of a piece that is no token itself: merges by a heap over its linked bytes."""
-        n = len(piece)
-        self._pair_ranks([piece[i : i + 1] for i in range(n)] + [piece[i : i + 2] for i in range(n - 1)])
-        met = self.met
-        following, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := met[piece[i : i + 2]]) >= 0]
-        heapq.heapify(heap)
+        n, met = len(piece), self.met
+        wide = n.bit_length() + 1
+        low = (1 << wide) - 1
+        # an entry is (rank, start of the left part, end of the right part) in one number
+        heap = [(rank << wide | i) << wide | i + 2 for i in range(n - 1) if (rank := met[piece[i : i + 2]]) >= 0]
+        heapify(heap)
+        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at a byte; the end is where the next starts
         while heap:
-            _, i, end = heapq.heappop(heap)
-            j = following[i] if i < n and ends[i] else n
-            if not ends[i] or j >= n or ends[j] != end:
+            entry = heappop(heap)
+            end, i = entry & low, entry >> wide & low
+            j = ends[i]
+            if not j or j >= n or ends[j] != end:
                 continue  # one of the two has been merged since
             ends[i], ends[j] = end, 0
-            following[i] = k = following[j]
-            if k < n:
-                before[k] = i
-            for left, right in ((before[i], i), (i, k)):
-                if left < 0 or right >= n:
-                    continue
-                pair = piece[left : ends[right]]
-                rank = met.get(pair)
-                if rank is None:
-                    rank = met[pair] = self.ranks([pair])[0]
-                if rank >= 0:
-                    heapq.heappush(heap, (rank, left, ends[right]))
+            if end < n:
+                before[end] = i
+                if (rank := met[piece[i : ends[end]]]) >= 0:
+                    heappush(heap, (rank << wide | i) << wide | ends[end])
+            left = before[i]
+            if left >= 0 and (rank := met[piece[left:end]]) >= 0:
+                heappush(heap, (rank << wide | left) << wide | end)
         out, i = [], 0
         while i < n:
-            out.append(met[piece[i : ends[i]]])
-            i = following[i]
+            if (rank := met[piece[i : ends[i]]]) < 0:
+                raise KeyError(piece[i : ends[i]])
+            out.append(rank)
+            i = ends[i]
         return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, four bytes each."""
+        """The ids of each text, four bytes each. What is met for the first time is looked up, all at
+        once; misses are merged. Both are kept up to ``limit`` pre-tokens."""
         found = [self.find(t) for t in texts]
-        known: dict[str, bytes] = {}
-        missed = self.missed
-        distinct = list({p for pieces in found for p in pieces}.difference(missed))
-        for at in range(0, len(distinct), PART):
-            part = distinct[at : at + PART]
+        if len(self.known) > self.limit:
+            self.known.clear()
+        known = self.known
+        new = list(set().union(*found).difference(known))
+        for at in range(0, len(new), PART):
+            part = new[at : at + PART]
             keys = [p.encode("utf-8") for p in part]
-            for piece, key, rank in zip(part, keys, self.ranks(keys)):
-                if rank >= 0:
-                    known[piece] = rank.to_bytes(4, "little")
-                else:
-                    missed[piece] = np.array(self.merged(key), "<u4").tobytes()
-        known.update((p, missed[p]) for pieces in found for p in set(pieces).difference(known))
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in found]
-        if len(missed) > self.limit:
-            missed.clear()
-        return out
+            ids = self.ranks(keys)
+            known.update((piece, rank.to_bytes(4, "little") if rank >= 0 else np.array(self.merged(key), "<u4").tobytes()) for piece, key, rank in zip(part, keys, ids))
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in found]
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_all([text or ""])[0], "<u4").tolist()
