@@ -3,17 +3,19 @@
 Texts are cut into blocks of bounded size. In a block every word has the ascending list of its
 positions (words are numbered through the block, with a gap after each piece), so a list's length
 is the word's exact frequency there and the sum over blocks its frequency. A level extends the
-lists of frequent phrases: the positions of all phrases, moved by one, are merge-joined with those
-of the phrases that start next, and two phrases of k words that overlap in k - 1 make one of k + 1.
-All lists of a block are joined at once, by one sort of its positions.
-
-Only phrases of frequent parts can be frequent. A list of ``least`` positions or more is frequent
-as it stands; shorter ones ask the table of frequent phrases, by an equi join of lists with fewer
-than ``least`` positions. Before the lists of a new level are spelled out, blocks exchange hashes
-of their phrases with counts, five bytes each, dealt out by hash; the sums tell each block which
-of its phrases may be frequent. Hashes that collide only let a rare phrase through, and exact
-counts follow. No word, phrase or language gathers in one task: blocks hold whole documents or
-cuts of very long ones, and counts are summed before they are shuffled.
+lists of a block's phrases: their positions, moved by one, are merge-joined with those of the
+phrases that start next, and two phrases of k words that overlap in k - 1 make one of k + 1. All
+lists of a block are joined at once, over its positions in order.
+
+Only phrases of frequent parts can be frequent, so the lists of longer phrases come from those of
+frequent ones. Before the lists of a new level are spelled out, blocks exchange hashes of their
+phrases with counts, five bytes each, dealt out by hash; the sums tell each block which of its
+phrases may be frequent. Hashes that collide only let a rare phrase through, and exact counts follow.
+No word, phrase or language gathers in one task: blocks hold whole documents or cuts of very long
+ones, and counts are summed before they are shuffled.
+
+A table of lists has a few thousand lists in a row: phrases joined by line feeds, which no phrase
+has, list lengths, and the positions' steps, byte by byte and compressed.
 
 Rows: a null text counts as empty and gives nothing; a null language is ``und``; every row counts,
 repeated or with a null id; very long texts are cut between pieces into several blocks; ties of
@@ -29,19 +31,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonaria.llm.common import Written, small, spread_join, table
 
 #: Characters of a block: about a million words.
 BLOCK_CHARS = 6_000_000
+#: Lists of a row.
+PACK = 5_000
 #: Hashes that one group of the exchange sums, about.
 GROUP_HASHES = 1_000_000
 MARKS = ".,;:!?\n\x0b\x0c\r"
 _MARK = re.compile(f"[{re.escape(MARKS)}]")
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)} | {"\t": " "})
-LISTS = "block long, lang string, phrase string, n int, at array<int>"
+#: Bytes: A-Z in lower case, tabulators as spaces, marks as line feeds; other bytes, UTF-8's above all, stay.
+_BYTES = bytes.maketrans(bytes(range(65, 91)) + b"\t" + MARKS.encode(), bytes(range(97, 123)) + b" " + b"\n" * len(MARKS))
+LISTS = "block long, lang string, phrases string, n array<int>, at binary"
+_NAMES = ["block", "lang", "phrases", "n", "at"]
 
 
 def cuts(text: str, most: int) -> Iterator[str]:
@@ -56,39 +62,61 @@ def cuts(text: str, most: int) -> Iterator[str]:
     yield text[at:]
 
 
-def words_of(text: str) -> list[str]:
-    """Words in lower case, and a line feed after each piece."""
-    text = text.translate(_LOWER)
-    for mark in MARKS:
-        text = text.replace(mark, " \n ")
-    return text.split(" ")
+def _steps(positions: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending lists of ``n`` positions each as steps from one to the next, low bytes first, compressed."""
+    steps = np.diff(positions, prepend=0)
+    starts = np.cumsum(n) - n
+    steps[starts] = positions[starts]
+    return pa.compress(steps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _positions(steps: bytes, n: np.ndarray) -> np.ndarray:
+    total = int(n.sum())
+    planes = np.frombuffer(pa.decompress(steps, 4 * total, "zstd", asbytes=True), np.uint8).reshape(4, total)
+    sums = np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
+    ends = np.cumsum(n)
+    return sums - np.repeat(np.concatenate([[0], sums[ends[:-1] - 1]]), n)
+
+
+def _packed(block: int, lang: np.ndarray, names: list[str], phrases: pa.Array, n: np.ndarray, positions: np.ndarray) -> pa.RecordBatch:
+    """Rows of up to ``PACK`` lists of one language; ``lang`` numbers the ``names``, ascending."""
+    turns = np.flatnonzero(np.diff(lang)) + 1
+    bounds = [0, *turns.tolist(), len(n)]
+    spans = [(at, min(at + PACK, b)) for a, b in zip(bounds, bounds[1:]) for at in range(a, b, PACK)]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    columns = [
+        pa.array([block] * len(spans), pa.int64()), pa.array([names[lang[a]] for a, _ in spans], pa.string()),
+        pa.array(["\n".join(phrases.slice(a, b - a).to_pylist()) for a, b in spans], pa.string()), pa.array([n[a:b] for a, b in spans], pa.list_(pa.int32())),
+        pa.array([_steps(positions[ends[a] : ends[b]], n[a:b]) for a, b in spans], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, _NAMES)
 
 
 def word_lists(block: int, texts: dict[str, list[str]]) -> pa.RecordBatch:
     """The lists of a block's words; positions run on through its languages."""
-    start, columns = 0, [[] for _ in range(4)]
-    for lang, parts in texts.items():
-        coded = pa.array(words_of("\n".join(parts) + "\n"), pa.string()).dictionary_encode()
-        words, codes = coded.dictionary, coded.indices.to_numpy()
+    start, langs, phrases, counts, places = 0, [], [], [], []
+    for number, parts in enumerate(texts.values()):
+        data = ("\n".join(parts) + "\n").encode("utf-8").translate(_BYTES).replace(b"\n", b" \n ")
+        words = pc.split_pattern(pa.array([data], pa.large_binary()).cast(pa.large_string()), " ").flatten()
+        coded = words.dictionary_encode()
+        words, codes = coded.dictionary.cast(pa.string()), coded.indices.to_numpy()
         blank, gap = (pc.index(words, w).as_py() for w in ("", "\n"))  # -1 is no word's code
         codes = codes[codes != blank]
-        order = np.argsort(codes, kind="stable").astype(np.int32)
         n = np.bincount(codes, minlength=len(words))
         n[gap] = 0
-        order = order[codes[order] != gap] + np.int32(start)
+        order = np.argsort(codes, kind="stable")
+        places.append(order[codes[order] != gap] + start)
         start += len(codes)
         held = np.flatnonzero(n)
-        offsets = np.concatenate([[0], np.cumsum(n[held])]).astype(np.int32)
-        columns[0].append(pa.array([lang] * len(held), pa.string()))
-        columns[1].append(words.take(pa.array(held)))
-        columns[2].append(pa.array(n[held], pa.int32()))
-        columns[3].append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(order)))
-    lang, words, n, at = (pa.concat_arrays(c) for c in columns)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), lang, words, n, at], ["block", "lang", "phrase", "n", "at"])
+        langs.append(np.full(len(held), number))
+        phrases.append(words.take(pa.array(held)))
+        counts.append(n[held])
+    lang, n, positions = (np.concatenate(x) for x in (langs, counts, places))
+    return _packed(block, lang, list(texts), pa.concat_arrays(phrases), n, positions)
 
 
 def blocks(docs: DataFrame, text_col: str, lang_col: str, block_chars: int) -> DataFrame:
-    """block, lang, phrase, n, at: the list of each word of each block."""
+    """block, lang, phrases, n, at: the lists of the words of each block."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where(F.length("text") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,57 +139,62 @@ def blocks(docs: DataFrame, text_col: str, lang_col: str, block_chars: int) -> D
     return rows.mapInArrow(run, LISTS)
 
 
-def _last(phrase: Column) -> Column:
-    return F.substring_index(phrase, " ", -1)
+def _hashes(values: list[str]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, values), np.uint64, len(values))
 
 
 class Joined:
     """The phrases one word longer that a block's lists make, by a merge join of their positions."""
 
-    def __init__(self, lists: pa.Table, groups: int):
-        lists = lists.combine_chunks()
-        positions, n = pc.list_flatten(lists["at"]).to_numpy(), lists["n"].to_numpy()
-        owner = np.repeat(np.arange(len(n), dtype=np.int64), n)
-        order = np.argsort(positions, kind="stable")
-        positions, owner = positions[order], owner[order]
-        met = np.flatnonzero(positions[1:] == positions[:-1] + 1)
-        pair = owner[met] * max(1, len(n)) + owner[met + 1]
+    def __init__(self, rows: pa.Table, groups: int):
+        self.block, langs = rows["block"][0].as_py(), rows["lang"].to_pylist()
+        self.names = sorted(set(langs))
+        lists = [x.values.to_numpy() for x in rows["n"]]
+        spelled = [x.split("\n") for x in rows["phrases"].to_pylist()]
+        order = sorted(range(len(langs)), key=lambda i: langs[i])
+        self.lang = np.repeat([self.names.index(langs[i]) for i in order], [len(lists[i]) for i in order])
+        phrases = [p for i in order for p in spelled[i]]
+        last = [p.rsplit(" ", 1)[-1] for p in phrases]
+        positions = np.concatenate([_positions(rows["at"][i].as_py(), lists[i]) for i in order])
+        n = np.concatenate([lists[i] for i in order])
+        # the phrase that starts at each place; no two phrases of a level do
+        owner = np.full(int(positions.max()) + 2, -1, np.int64)
+        owner[positions] = np.repeat(np.arange(len(n)), n)
+        starts = np.flatnonzero((owner[:-1] >= 0) & (owner[1:] >= 0))
+        pair = owner[starts] * len(n) + owner[starts + 1]
         order = np.argsort(pair, kind="stable")
-        pair, self.starts = pair[order], positions[met][order]
-        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-        self.n = np.diff(np.concatenate([first, [len(pair)]])).astype(np.int32)
-        self.left, self.right = pair[first] // max(1, len(n)), pair[first] % max(1, len(n))
-        hashes = lists["hash"].to_numpy()[self.left].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lists["last_hash"].to_numpy()[self.right].view(np.uint64)
+        pair, self.starts = pair[order], starts[order]
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        self.n = np.diff(first, append=len(pair))
+        self.left, self.right = pair[first] // len(n), pair[first] % len(n)
+        self.phrases, self.last = pa.array(phrases, pa.string()), pa.array(last, pa.string())
+        seeds = _hashes(self.names)[self.lang] * np.uint64(0x9E3779B97F4A7C15)
+        hashes = (_hashes(phrases) + seeds)[self.left] * np.uint64(0xBF58476D1CE4E5B9) + _hashes(last)[self.right]
         hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         self.group = ((hashes >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
         self.key = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        self.lists = lists
 
-    def spelled(self, block: int, kept: np.ndarray) -> pa.Table:
-        """block, lang, phrase, n, at of the phrases marked in ``kept``."""
-        left, right = pa.array(self.left[kept]), pa.array(self.right[kept])
-        phrase = pc.binary_join_element_wise(self.lists["phrase"].take(left), self.lists["last"].take(right), " ")
-        n = self.n[kept]
-        offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-        at = pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.starts[np.repeat(kept, self.n)].astype(np.int32)))
-        return pa.Table.from_arrays([pa.array(np.full(len(n), block)), self.lists["lang"].take(left), phrase, pa.array(n), at], ["block", "lang", "phrase", "n", "at"])
+    def spelled(self, kept: np.ndarray) -> pa.RecordBatch:
+        """The lists of the phrases marked in ``kept``."""
+        left, right = self.left[kept], self.right[kept]
+        phrase = pc.binary_join_element_wise(self.phrases.take(pa.array(left)), self.last.take(pa.array(right)), " ")
+        return _packed(self.block, self.lang[left], self.names, phrase, self.n[kept], self.starts[np.repeat(kept, self.n)])
 
 
 def longer(lists: DataFrame, groups: int, least: int) -> DataFrame:
     """The lists of phrases one word longer, without those that cannot reach ``least`` in all blocks."""
-    hashed = lists.select("block", "lang", "phrase", _last(F.col("phrase")).alias("last"), "n", "at")
-    hashed = hashed.withColumn("hash", F.xxhash64("lang", "phrase")).withColumn("last_hash", F.xxhash64("last"))
 
-    def told(lists: pa.Table) -> pa.Table:
-        """block, group, keys, counts: the hashes of a block's phrases, by group; counts stop at ``least``."""
-        made = Joined(lists, groups)
+    def told(rows: pa.Table) -> pa.Table:
+        """block, grp, keys, counts: the hashes of a block's phrases, by group; counts stop at ``least``."""
+        made = Joined(rows, groups)
         order = np.argsort(made.group, kind="stable")
         group, key, n = made.group[order], made.key[order], np.minimum(made.n[order], min(least, 255)).astype(np.uint8)
-        ends = np.flatnonzero(np.concatenate([group[1:] != group[:-1], [True]])) + 1 if len(group) else np.zeros(0, np.int64)
-        spans = list(zip([0, *ends[:-1]], ends))
-        block = lists["block"][0].as_py()
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        spans = list(zip(starts, [*starts[1:], len(group)]))
         return pa.table({
-            "block": pa.array([block] * len(spans), pa.int64()), "grp": pa.array(group[ends - 1] if len(ends) else [], pa.int64()),
+            "block": pa.array([made.block] * len(spans), pa.int64()), "grp": pa.array(group[starts]),
             "keys": pa.array([key[a:b].tobytes() for a, b in spans], pa.binary()), "counts": pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()),
         })
 
@@ -176,40 +209,38 @@ def longer(lists: DataFrame, groups: int, least: int) -> DataFrame:
         made = pa.table({"block": rows["block"], "grp": rows["grp"], "keys": pa.array(kept, pa.binary())})
         return made.filter(pc.greater(pc.binary_length(made["keys"]), 0))
 
-    def spelled(lists: pa.Table, kept: pa.Table) -> pa.Table:
-        if not len(lists) or not len(kept):
-            return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()))], ["block", "lang", "phrase", "n", "at"])
-        made = Joined(lists, groups)
+    def spelled(rows: pa.Table, kept: pa.Table) -> pa.Table:
+        if not len(rows) or not len(kept):
+            return pa.table({c: pa.array([], t) for c, t in zip(_NAMES, (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()))})
+        made = Joined(rows, groups)
         wanted = np.concatenate([np.frombuffer(k.as_py(), np.uint32).astype(np.uint64) | np.uint64(g.as_py() << 32) for g, k in zip(kept["grp"], kept["keys"])])
-        return made.spelled(lists["block"][0].as_py(), np.isin(made.key.astype(np.uint64) | made.group.astype(np.uint64) << np.uint64(32), wanted))
+        return pa.Table.from_batches([made.spelled(np.isin(made.key.astype(np.uint64) | made.group.astype(np.uint64) << np.uint64(32), wanted))])
 
-    hashes = hashed.drop("last").groupBy("block").applyInArrow(told, "block long, grp long, keys binary, counts binary")
+    hashes = lists.groupBy("block").applyInArrow(told, "block long, grp long, keys binary, counts binary")
     kept = hashes.groupBy("grp").applyInArrow(summed, "block long, grp long, keys binary")
-    return hashed.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(spelled, LISTS)
+    return lists.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(spelled, LISTS)
 
 
 def _frequent(lists: DataFrame, least: int) -> DataFrame:
-    return lists.groupBy("lang", "phrase").agg(F.sum("n").cast("long").alias("f")).where(F.col("f") >= least)
+    each = F.explode(F.arrays_zip(F.split("phrases", "\n", -1).alias("phrase"), F.col("n").alias("n"))).alias("x")
+    return lists.select("lang", each).groupBy("lang", F.col("x.phrase").alias("phrase")).agg(F.sum("x.n").cast("long").alias("f")).where(F.col("f") >= least)
 
 
 def frequent_phrases(docs: DataFrame, longest: int, least: int, text_col: str = "text", lang_col: str = "lang", block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, words, f of all phrases of 1 to ``longest`` words and ``least`` places or more;
     and lang, n, the number of words of each language."""
     lists = Written(blocks(docs, text_col, lang_col, block_chars), "word-lists")
-    sizes = Written(lists.df.groupBy("lang").agg(F.sum("n").cast("long").alias("n")), "languages").df
+    total = F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")
+    sizes = Written(lists.df.groupBy("lang").agg(total), "languages").df
     groups = max(64, (sizes.agg(F.sum("n")).first()[0] or 0) // GROUP_HASHES)
     found = []
     for words in range(1, longest + 1):
         frequent = Written(_frequent(lists.df, least), "phrases").df
         found.append(frequent.select("lang", "phrase", F.lit(words).alias("words"), "f"))
-        if words == longest:
-            break
-        # short lists only: their rows are small, however common the phrase
-        sure, rest = lists.df.where(F.col("n") >= least), lists.df.where(F.col("n") < least)
-        kept = sure.unionByName(rest.join(small(frequent.select("lang", "phrase")), ["lang", "phrase"], "left_semi").select(*lists.df.columns))
-        made = Written(longer(kept, groups, least), "phrase-lists")
-        lists.drop()
-        lists = made
+        if words < longest:
+            made = Written(longer(lists.df, groups, least), "phrase-lists")
+            lists.drop()
+            lists = made
     lists.drop()
     every = found[0]
     for f in found[1:]:
