@@ -126,13 +126,16 @@ def dense_clusters(points: DataFrame, cell: float, min_points: int = 5, min_size
     return at.join(named, ["gx", "gy"], "left").select("clip_id", F.coalesce("cluster", F.lit("-1")).alias("cluster"))
 
 
-def cluster_auto(points: DataFrame, cell: float, target: int = 5) -> tuple[DataFrame, str]:
-    """clip_id and cluster by density, or by the grid where that finds no cluster; and a summary."""
-    dense = written(dense_clusters(points, cell), "clusters")
-    found = dense.agg(F.countDistinct(F.when(F.col("cluster") != "-1", F.col("cluster"))).alias("clusters"), F.count_if(F.col("cluster") == "-1").alias("noise")).first()
-    if found["clusters"]:
+def cluster_auto(points: DataFrame, target: int = 5) -> tuple[DataFrame, str]:
+    """clip_id and cluster by density, or by the grid where there are too few points; and a summary."""
+    from sonaria.operators.density import hdbscan
+
+    dense = hdbscan(points)
+    if dense is not None:
+        dense = written(dense, "clusters")
+        found = dense.agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"), F.count_if(F.col("cluster") < 0).alias("noise")).first()
         return dense, f"density: {found['clusters']} clusters, {found['noise']} noise points"
-    grid = grid_cluster(points, target).select("clip_id", F.col("cluster").cast("string").alias("cluster"))
+    grid = grid_cluster(points, target).select("clip_id", F.col("cluster").cast("long").alias("cluster"))
     return grid, f"grid: {grid.select('cluster').distinct().count()} clusters"
 
 

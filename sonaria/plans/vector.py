@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from sonaria.operators import neighbours
 from sonaria.operators import vectors as V
+from sonaria.operators.density import hdbscan
+from sonaria.operators.layout import umap
 from sonaria.plans.registry import query
 
 _COS = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7))"
@@ -94,17 +97,29 @@ def density_clusters(c):
     return V.dense_clusters(c("points"), 0.05)
 
 
-@query("cluster_auto", "points", """WITH s AS (SELECT count(*) AS n FROM points), d AS (SELECT p.clip_id, (SELECT count(*) FROM points q WHERE abs(floor(q.x / 1e-6) - floor(p.x / 1e-6)) <= 1 AND abs(floor(q.y / 1e-6) - floor(p.y / 1e-6)) <= 1) AS near FROM points p)
-    SELECT CASE WHEN max(near) < 5 THEN 'grid' ELSE 'density' END AS kind, count(*) AS points FROM d""")
+@query("hdbscan_2d")
+def hdbscan_2d(c):
+    """Density clusters of the map's points; -1 is noise."""
+    return hdbscan(c("points"))
+
+
+@query("cluster_auto", "points", "SELECT CASE WHEN count(*) < 16 THEN 'grid' ELSE 'density' END AS kind, count(*) AS points FROM points")
 def cluster_auto(c):
-    """A cell too small for any cluster: the grid decides, and every point has a cluster."""
-    rows, said = V.cluster_auto(c("points"), 1e-6)
+    """Too few points for density clusters go by the grid; every point has a cluster."""
+    rows, said = V.cluster_auto(c("points"))
     return rows.groupBy(F.lit(said.split(":")[0]).alias("kind")).agg(F.count("cluster").alias("points"))
 
 
-@query("cluster_auto_density")
-def cluster_auto_density(c):
-    return V.cluster_auto(c("points"), 0.05)[0]
+@query("knn_graph")
+def knn_graph(c):
+    """The fifteen nearest neighbours of every vector."""
+    return neighbours.knn_graph(c.table("embeddings"))
+
+
+@query("umap_2d")
+def umap_2d(c):
+    """A layout of all vectors that keeps neighbours together."""
+    return umap(c.table("embeddings"))
 
 
 @query("map_projection")

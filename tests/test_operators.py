@@ -151,13 +151,6 @@ def test_batch_text():
             rules.parse_batch(wrong)
 
 
-def test_cluster_auto_falls_back_to_the_grid(spark):
-    df = spark.createDataFrame([(i, 0, x, y, 0) for i, x, y in blobs()], "clip_id long, library_id int, x double, y double, cluster int")
-    rows, said = vectors.cluster_auto(df, 1.0)
-    assert said == "density: 2 clusters, 5 noise points" and rows.count() == 125
-    rows, said = vectors.cluster_auto(df, 1e-9)
-    assert said.startswith("grid: ") and rows.where("cluster = '-1'").count() == 0 and rows.count() == 125
-
 
 def test_density_agrees_with_neighbour_distances(spark):
     """Against single links within the cell's side among points of five neighbours: the same parts, but for borders."""
