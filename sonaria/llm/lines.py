@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonaria.llm.common import small, table, written
+from sonaria.llm.common import small, spread_join, table, written
 
 MIN_SITES = 5
 MARGIN = 0.4
@@ -33,6 +33,13 @@ def _key(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
 
 
+def _met(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """``lines`` with the row of ``found`` of the same hashes: few rows are broadcast, and with more of them
+    a line that stands on very many places is dealt out over tasks."""
+    few = small(found)
+    return lines.join(few, ["h", "h2"]) if few is not found else spread_join(lines, found, ["h", "h2"], F.xxhash64("row", "pos"))
+
+
 def wide_lines(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, log_k: int = 11) -> DataFrame:
     """h, h2, first: the hashes of lines on ``min_sites`` distinct sites or more, and their first place."""
     spread = lines.groupBy("h", "h2").agg(F.hll_sketch_agg("site", log_k).alias("sketch"), F.min(F.struct("key", "row", "pos")).alias("first"))
@@ -40,7 +47,7 @@ def wide_lines(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MAR
     spread = written(spread, "spread")
     sure = spread.where(F.col("sites") > min_sites * (1 + margin)).select("h", "h2", "first")
     near = spread.where(F.col("sites") <= min_sites * (1 + margin)).select("h", "h2", "first")
-    pairs = lines.join(small(near.select("h", "h2")), ["h", "h2"]).where("site is not null").groupBy("h", "h2", "site").count()
+    pairs = _met(lines, near.select("h", "h2")).where("site is not null").groupBy("h", "h2", "site").count()
     exact = pairs.groupBy("h", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
     return sure.union(near.join(exact, ["h", "h2"], "left_semi"))
 
@@ -50,7 +57,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "keyed")
     lines = written(lines_of(keyed, id_col, text_col, site_col), "lines")
     wide = written(wide_lines(lines, min_sites), "wide")
-    lost = lines.join(small(wide), ["h", "h2"]).where((F.col("first.row") != F.col("row")) | (F.col("first.pos") != F.col("pos")))
+    lost = _met(lines, wide).where((F.col("first.row") != F.col("row")) | (F.col("first.pos") != F.col("pos")))
     lost = lost.groupBy(F.col("row").alias(_KEY)).agg(F.collect_set("pos").alias(_LOST))
     joined = keyed.join(lost, F.col(_ROW) == F.col(_KEY), "left")
     parts = F.split(text_col, "\n", -1)
