@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonaria.sources.shared import written
+
 
 def longest_prefix(rows: DataFrame, path: str, owners: DataFrame, prefix: str, sep: str = "/") -> DataFrame:
     """Rows with the columns of the owner whose path is theirs or the longest above it.
@@ -83,6 +85,25 @@ def first_rows(rows: DataFrame, keys: list[str], order: str, most: int, shards:
     return few.withColumn("__rn", place()).where(F.col("__rn") <= most).drop("__shard", "__rn")
 
 
+def spread_places(rows: DataFrame, key: str, order: str, label: str = "place") -> DataFrame:
+    """Adds the place of each row within its key, from 1, in the order of ``order``, which no two rows of a key share.
+
+    Rows are sorted in ranges; a range's places start after the key's rows in the ranges before it.
+    """
+    ranged = written(rows.repartitionByRange(key, order).withColumn("__part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(key, "__part").agg(F.count("*").alias("__n"))  # a row for each key and range
+    before = F.sum("__n").over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(key, "__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy(key, "__part").orderBy(order))
+    return ranged.withColumn("__inner", inner).join(starts, [key, "__part"]).withColumn(label, F.col("__inner") + F.col("__before")).drop("__part", "__inner", "__before")
+
+
+def numbered(rows: DataFrame, order: str, label: str, above: int = 0) -> DataFrame:
+    """Adds numbers above ``above``, ascending with ``order``, which no two rows share."""
+    placed = spread_places(rows.withColumn("__all", F.lit(0)), "__all", order, label)
+    return placed.withColumn(label, (F.col(label) + above).cast("long")).drop("__all")
+
+
 def similar_pairs(rows: DataFrame, owner: str, name: str, least: float) -> DataFrame:
     """a < b, shared, ka, kb for all owners whose sets of names have a Jaccard similarity of ``least`` or more.
 

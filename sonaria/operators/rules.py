@@ -12,18 +12,21 @@ JUNK_BYTES = 50 << 20
 #: The base weight of each suggestion decides the order of the report.
 WEIGHTS = {"register": 1_000_000, "kb": 900_000, "similar": 700_000, "junk": 600_000, "duplicates": 500_000, "cover": 300_000, "nonstandard": 200_000, "unclassified": 100_000}
 
-#: Conditions of batch rules by name; each takes the rule's argument and gives a predicate on libraries.
+#: Conditions of batch rules on a library's own row, by name; each takes the rule's value.
 CONDITIONS = {
     "junk": lambda _: F.col("junk_bytes") > JUNK_BYTES,
-    "no-cover": lambda _: F.col("cover_file") == "",
+    "no-cover": lambda _: F.col("has_nicnt") & (F.coalesce("cover_file", F.lit("")) == ""),
     "nonstandard": lambda _: ~F.col("has_nicnt"),
-    "uncategorized": lambda _: F.coalesce(F.col("category"), F.lit("")) == "",
-    "category": lambda arg: F.col("category") == arg,
-    "name": lambda arg: F.contains(F.lower("name"), F.lit(str(arg).lower())),
-    "min-size": lambda arg: F.col("size_bytes") >= int(arg),
+    "uncategorized": lambda _: F.trim(F.coalesce(F.col("category"), F.lit(""))) == "",
+    "category=": lambda arg: F.lower("category") == arg.lower(),
+    "name=": lambda arg: F.contains(F.lower("name"), F.lit(arg.lower())),
+    "name~": lambda arg: F.contains(F.lower("name"), F.lit(arg.lower())),
+    "min-size=": lambda arg: F.col("size_bytes") >= int(arg),
 }
-#: Conditions that take a value.
-VALUED = frozenset({"category", "name", "min-size"})
+#: Conditions on other tables; ``related_ids`` gives the libraries that meet each.
+RELATED = ("duplicate", "unregistered", "no-kb")
+#: Overlap of two libraries' names from which on both count as duplicates.
+DUPLICATE = 0.55
 
 
 #: Rules of a collection reach the plan as literals; a table of more is an error, not cut.
@@ -47,12 +50,12 @@ ACTIONS = ("list", "register", "build-kb", "rescan-manuals", "tag")
 OPENINGS = ("foreach lib where ", "foreach library where ", "foreach lib ", "for lib where ")
 
 
-def parse_batch(text: str) -> list[tuple[dict[str, object], str, str]]:
+def parse_batch(text: str) -> list[tuple[list[str], str, str]]:
     """Rules for ``batch_rules`` from their text form, one clause a line or up to a semicolon.
 
     A clause is ``[foreach lib where] condition [and condition ...] [: action[:argument]]``; a comma
     may stand for "and", a line that starts with # is left out, and without an action it lists. A
-    clause without conditions, an unknown action or an unknown condition is an error.
+    clause without conditions or with an unknown action is an error.
     """
     rules = []
     for clause in map(str.strip, re.split(r"[\n;]", text.replace("\r", ""))):
@@ -64,13 +67,7 @@ def parse_batch(text: str) -> list[tuple[dict[str, object], str, str]]:
         action = action.strip().lower() or "list"
         if action not in ACTIONS:
             raise ValueError(f"unknown action {action!r}; known are {', '.join(ACTIONS)}")
-        conditions: dict[str, object] = {}
-        for part in filter(None, map(str.strip, re.split(r" and |,", wanted, flags=re.I))):
-            name, given, value = part.partition("=")
-            name = name.strip().lower()
-            if name not in CONDITIONS or (name in VALUED) != bool(given and value.strip()):
-                raise ValueError(f"unknown condition {part!r} in {clause!r}")
-            conditions[name] = value.strip() if given else None
+        conditions = list(filter(None, map(str.strip, re.split(r" and |,", wanted, flags=re.I))))
         if not conditions:
             raise ValueError(f"no condition in {clause!r}")
         rules.append((conditions, action, arg.strip()))
@@ -79,18 +76,55 @@ def parse_batch(text: str) -> list[tuple[dict[str, object], str, str]]:
     return rules
 
 
-def batch_rules(libraries: DataFrame, rules: list[tuple[dict[str, object], str, str]]) -> DataFrame:
+def _condition(text: str) -> Column:
+    """The predicate of a condition; an unknown one, or one with a value too many or too few, fits nothing."""
+    found = re.fullmatch(r"([^=~]*)([=~]?)(.*)", text, re.S)
+    name, value = (found[1].strip().lower() + found[2]), found[3].strip()
+    if name in RELATED:
+        return F.coalesce(F.col(f"__{name}"), F.lit(False))
+    if name not in CONDITIONS or bool(found[2]) != bool(value) or (name == "min-size=" and not value.isdigit()):
+        return F.lit(False)
+    return F.coalesce(CONDITIONS[name](value), F.lit(False))
+
+
+def related_ids(libraries: DataFrame, names: DataFrame, products: DataFrame, manuals: DataFrame, bases: DataFrame) -> dict[str, DataFrame]:
+    """The ids of the libraries that meet each condition of ``RELATED``.
+
+    duplicate: another library shares ``DUPLICATE`` of their names (library_id, name) together;
+    unregistered: a container, but no product (reg_key) of its key (``product_key``); no-kb: manuals
+    (library_id, name, ext, size_bytes, is_primary, mtime), of whose best no base (library_id, manual_name,
+    built) is as new. Each is a join on the id or key.
+    """
+    from sonaria.functions.scalars import best_manual_score
+    from sonaria.operators.relational import similar_pairs
+
+    pairs = similar_pairs(names.select("library_id", F.lower("name").alias("name")), "library_id", "name", DUPLICATE)
+    score = best_manual_score(F.col("name"), F.col("ext"), F.col("size_bytes"), F.col("is_primary"))
+    best = manuals.groupBy("library_id").agg(F.min(F.struct((-score).alias("s"), "name", "mtime")).alias("m")).select("library_id", F.col("m.name").alias("manual_name"), "m.mtime")
+    fresh = best.join(bases, ["library_id", "manual_name"]).where(F.col("built") >= F.col("mtime"))
+    return {
+        "duplicate": pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(),
+        "unregistered": libraries.where("has_nicnt").join(products.select(F.lower("reg_key").alias("k")).distinct(), F.lower(F.coalesce("product_key", F.lit(""))) == F.col("k"), "left_anti").select("id"),
+        "no-kb": best.join(fresh.select("library_id"), "library_id", "left_anti").select(F.col("library_id").alias("id")),
+    }
+
+
+def batch_rules(libraries: DataFrame, rules: list[tuple[list[str], str, str]], related: dict[str, DataFrame] | None = None) -> DataFrame:
     """library id, action, arg, reason: the first reason of each operation, from rules given as
-    (conditions that must all hold, action, argument). An unknown condition is an error."""
+    (conditions that must all hold, action, argument). Of the conditions on other tables only those that
+    the rules name are joined; without ``related`` they fit nothing."""
+    named = {re.sub("[=~].*", "", c).strip().lower() for conditions, _, _ in rules for c in conditions}
+    rows = libraries
+    for name in RELATED:
+        if related and name in named:
+            rows = rows.join(related[name].select("id").distinct().withColumn(f"__{name}", F.lit(True)), "id", "left")
+        else:
+            rows = rows.withColumn(f"__{name}", F.lit(False))
     parts = []
     for order, (conditions, action, arg) in enumerate(rules):
-        if unknown := set(conditions) - set(CONDITIONS):
-            raise ValueError(f"unknown conditions {sorted(unknown)}")
-        tests = [CONDITIONS[k](v) for k, v in conditions.items()]
-        fits = reduce(lambda a, b: a & b, tests, F.lit(True))
-        reason = " and ".join(k if v is None else f"{k}={v}" for k, v in conditions.items())
-        parts.append(F.struct(fits.alias("fits"), F.lit(order).alias("rule"), F.lit(action).alias("action"), F.lit(arg).alias("arg"), F.lit(reason).alias("reason")))
-    ops = libraries.select("id", F.explode(F.filter(F.array(*parts), lambda p: p["fits"])).alias("op"))
+        fits = reduce(lambda a, b: a & b, map(_condition, conditions))
+        parts.append(F.struct(fits.alias("fits"), F.lit(order).alias("rule"), F.lit(action).alias("action"), F.lit(arg).alias("arg"), F.lit(" and ".join(conditions)).alias("reason")))
+    ops = rows.select("id", F.explode(F.filter(F.array(*parts), lambda p: p["fits"])).alias("op"))
     first = F.min(F.struct("op.rule", "op.reason"))["reason"]
     return ops.groupBy("id", F.col("op.action").alias("action"), F.col("op.arg").alias("arg")).agg(first.alias("reason"))
 

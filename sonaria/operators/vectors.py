@@ -139,27 +139,6 @@ def cluster_auto(points: DataFrame, target: int = 5) -> tuple[DataFrame, str]:
     return grid, f"grid: {grid.select('cluster').distinct().count()} clusters"
 
 
-def diverse_picks(rows: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", first: int | None = None) -> DataFrame:
-    """Farthest-point sampling: ``k`` rows, each the farthest by cosine from all picked before.
-
-    One distributed pass per pick keeps the distance to the nearest pick; only picks reach the driver.
-    """
-    k = max(1, min(12, k))
-    start = (rows.where(F.col(key) == first) if first is not None else rows.orderBy(key)).select(key, vec).first()
-    picked = [start] if start else []
-    distances = [1.0]
-    while picked and len(picked) < k:
-        far = F.lit(2.0)
-        for p in picked:
-            far = F.least(far, 1 - cosine(F.col(vec), F.array(*[F.lit(float(x)) for x in p[vec]])))
-        best = rows.where(~F.col(key).isin(*[p[key] for p in picked])).select(key, vec, F.round(far, 9).alias("d")).orderBy(F.desc("d"), key).first()
-        if best is None:
-            break
-        picked.append(best)
-        distances.append(float(best["d"]))
-    return rows.sparkSession.createDataFrame([(i, p[key], d) for i, (p, d) in enumerate(zip(picked, distances))], f"pick int, {key} long, distance double")
-
-
 def plane(rows: DataFrame, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """key, x, y: the two main axes of the vectors, from Spark's own principal components."""
     from pyspark.ml.feature import PCA

@@ -5,14 +5,26 @@ from pyspark.sql import functions as F
 from sonaria.operators import rules as R
 from sonaria.plans.registry import query
 
-_RULES = [({"junk": None}, "clean", ""), ({"no-cover": None, "category": "NATION_3"}, "tag", "cover"), ({"name": "0007"}, "tag", "cover"), ({"nonstandard": None, "min-size": 50_000_000_000}, "register", "")]
+_RULES = [(["junk"], "clean", ""), (["no-cover", "category=NATION_3"], "tag", "cover"), (["name~0007"], "tag", "cover"), (["nonstandard", "min-size=50000000000"], "register", ""), (["duplicate", "no-kb"], "build-kb", ""), (["unregistered"], "register", ""), (["duplicate"], "list", ""), (["sparkling"], "list", ""), (["junk=3"], "list", "")]
+_NAMES = "SELECT c_nationkey AS library_id, concat(c_mktsegment, CAST(CAST(floor(c_acctbal / 2000) AS BIGINT) AS STRING)) AS name FROM customer"
 
 
-@query("batch_dsl_expand", "libraries", """WITH o AS (SELECT id, 0 AS r, 'clean' AS action, '' AS arg, 'junk' AS reason FROM libraries WHERE junk_bytes > 52428800 UNION ALL SELECT id, 1, 'tag', 'cover', 'no-cover and category=NATION_3' FROM libraries WHERE cover_file = '' AND category = 'NATION_3'
-    UNION ALL SELECT id, 2, 'tag', 'cover', 'name=0007' FROM libraries WHERE contains(lower(name), '0007') UNION ALL SELECT id, 3, 'register', '', 'nonstandard and min-size=50000000000' FROM libraries WHERE NOT has_nicnt AND size_bytes >= 50000000000)
+@query("batch_dsl_expand", "libraries registered manuals", f"""WITH n AS (SELECT DISTINCT library_id, lower(name) AS name FROM ({_NAMES})), k AS (SELECT library_id, count(*) AS k FROM n GROUP BY 1), s AS (SELECT a.library_id AS a, b.library_id AS b, count(*) AS s FROM n a JOIN n b ON a.name = b.name AND a.library_id <> b.library_id GROUP BY 1, 2),
+    dup AS (SELECT DISTINCT a AS id FROM s JOIN k ka ON ka.library_id = a JOIN k kb ON kb.library_id = b WHERE s >= 0.55 * (ka.k + kb.k - s) - 1e-9),
+    nokb AS (SELECT library_id AS id FROM manuals GROUP BY 1 HAVING library_id % 4 <> 0),
+    o AS (SELECT id, 0 AS r, 'clean' AS action, '' AS arg, 'junk' AS reason FROM libraries WHERE junk_bytes > 52428800 UNION ALL SELECT id, 1, 'tag', 'cover', 'no-cover and category=NATION_3' FROM libraries WHERE has_nicnt AND cover_file = '' AND lower(category) = 'nation_3'
+    UNION ALL SELECT id, 2, 'tag', 'cover', 'name~0007' FROM libraries WHERE contains(lower(name), '0007') UNION ALL SELECT id, 3, 'register', '', 'nonstandard and min-size=50000000000' FROM libraries WHERE NOT has_nicnt AND size_bytes >= 50000000000
+    UNION ALL SELECT id, 4, 'build-kb', '', 'duplicate and no-kb' FROM libraries WHERE id IN (SELECT id FROM dup) AND id IN (SELECT id FROM nokb)
+    UNION ALL SELECT id, 5, 'register', '', 'unregistered' FROM libraries WHERE has_nicnt AND concat('k', CAST(id AS STRING)) NOT IN (SELECT lower(reg_key) FROM registered) UNION ALL SELECT id, 6, 'list', '', 'duplicate' FROM libraries WHERE id IN (SELECT id FROM dup))
     SELECT id, action, arg, min_by(reason, r) AS reason FROM o GROUP BY 1, 2, 3""")
 def batch_expand(c):
-    return R.batch_rules(c("libraries"), _RULES)
+    """Rules on libraries and on other tables; those with an unknown condition fit nothing. The knowledge base of
+    every fourth library is as new as its manual."""
+    libraries = c("libraries").withColumn("product_key", F.concat(F.lit("K"), F.col("id").cast("string")))
+    names = c.table("customer").select(F.col("c_nationkey").alias("library_id"), F.concat("c_mktsegment", F.floor(F.col("c_acctbal") / 2000).cast("string")).alias("name"))
+    manuals = c("manuals").withColumn("mtime", F.lit(5))
+    bases = manuals.select("library_id", F.col("name").alias("manual_name"), F.when(F.col("library_id") % 4 == 0, 5).otherwise(4).alias("built")).distinct()
+    return R.batch_rules(libraries, _RULES, R.related_ids(libraries, names, c("registered"), manuals, bases))
 
 
 _CLAUSES = """# clean up first
@@ -21,7 +33,7 @@ name=0007, nonstandard
 FOREACH LIBRARY WHERE nonstandard AND min-size=50000000000: register"""
 
 
-@query("batch_dsl_parse", "libraries", """WITH o AS (SELECT id, 0 AS r, 'tag' AS action, 'clean' AS arg, 'junk' AS reason FROM libraries WHERE junk_bytes > 52428800 UNION ALL SELECT id, 1, 'tag', 'cover', 'no-cover and category=NATION_3' FROM libraries WHERE cover_file = '' AND category = 'NATION_3'
+@query("batch_dsl_parse", "libraries", """WITH o AS (SELECT id, 0 AS r, 'tag' AS action, 'clean' AS arg, 'junk' AS reason FROM libraries WHERE junk_bytes > 52428800 UNION ALL SELECT id, 1, 'tag', 'cover', 'no-cover and category=NATION_3' FROM libraries WHERE has_nicnt AND cover_file = '' AND category = 'NATION_3'
     UNION ALL SELECT id, 2, 'list', '', 'name=0007 and nonstandard' FROM libraries WHERE contains(lower(name), '0007') AND NOT has_nicnt UNION ALL SELECT id, 3, 'register', '', 'nonstandard and min-size=50000000000' FROM libraries WHERE NOT has_nicnt AND size_bytes >= 50000000000)
     SELECT id, action, arg, min_by(reason, r) AS reason FROM o GROUP BY 1, 2, 3""")
 def batch_parse(c):

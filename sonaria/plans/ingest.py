@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from sonaria.sources import files, tables
+from sonaria.functions.scalars import squared
 from sonaria.plans.registry import query
+from sonaria.sources import files, tables
+from sonaria.sources.commits import Collection, extract, save_scan
+from sonaria.sources.shared import new_path
 
 
 def _files(c):
@@ -98,11 +101,33 @@ def replace_table(c):
     return c("points").where("cluster >= 0").select("clip_id", "cluster")
 
 
-@query("save_scan_result", "libraries", "SELECT path, CASE WHEN root_id = 1 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes FROM libraries")
+@query("save_scan_result", "roots libraries instruments", """SELECT l.path, CASE WHEN root_id = 1 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, (SELECT count(*) FROM instruments i WHERE i.library_id = l.id AND (root_id <> 1 OR i.kind = 'nki')) AS instruments, (SELECT count(*) FROM roots) AS roots FROM libraries l""")
 def save_scan_result(c):
-    rows = c("libraries").select("path", "root_id", "size_bytes")
-    scanned = rows.where("root_id = 1").withColumn("size_bytes", F.col("size_bytes") + 1)
-    return tables.save_scan(rows, scanned).select("path", "size_bytes")
+    """All roots are scanned and committed, then one of them again with other sizes and fewer instruments."""
+    store = Collection(c.spark, new_path(c.spark, "catalog"))
+    roots = c("roots").select("path", "label", F.col("id").alias("key"))
+    paths = c("roots").select(F.col("id").alias("root_id"), F.col("path").alias("root_path"))
+    libraries = c("libraries").join(F.broadcast(paths), "root_id").select("root_path", "path", "name", "size_bytes")  # one row a root
+    held = c("instruments").join(c("libraries").select(F.col("id").alias("library_id"), F.col("path").alias("library_path")), "library_id").select("library_path", "name", "kind")
+    save_scan(store, roots.drop("key"), libraries, {"instruments": held}, {"scan": "all"})
+    one = roots.where("key = 1").drop("key")
+    again = libraries.join(one.select(F.col("path").alias("root_path")), "root_path", "left_semi").withColumn("size_bytes", F.col("size_bytes") + 1)
+    save_scan(store, one, again, {"instruments": held.where("kind = 'nki'")}, {"scan": "one"})
+    counts = store.read("instruments").groupBy(F.col("library_id").alias("id")).agg(F.count("*").alias("n"))
+    n = store.read("roots").count()
+    return store.read("libraries").join(counts, "id", "left").select("path", "size_bytes", F.coalesce("n", F.lit(0)).alias("instruments"), F.lit(n).cast("long").alias("roots"))
+
+
+@query("resumed_extraction", "", "SELECT vec_id AS clip_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))), 4) AS norm FROM embeddings")
+def resumed_extraction(c):
+    """A feature of every vector, in commits of a bounded number; the first run stops after two of them."""
+    store = Collection(c.spark, new_path(c.spark, "features"))
+    jobs = c.table("embeddings").select(F.col("vec_id").alias("clip_id"), "embedding")
+    work = lambda part: part.select("clip_id", F.round(F.sqrt(squared(F.col("embedding"))), 4).alias("norm"))
+    n = max(1, jobs.count() // 4)
+    extract(store, jobs, work, batch=n, most_batches=2)
+    extract(store, jobs, work, batch=n)
+    return store.read("features")
 
 
 @query("export_map_selection", "points", "SELECT clip_id, round(x, 6) AS x, round(y, 6) AS y, cluster FROM points WHERE x BETWEEN 0 AND 0.1")

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from sonaria.functions import scalars as S
+from sonaria.operators.containment import find_hints, product_keys
 from sonaria.operators.relational import longest_prefix, pair_counts
+from sonaria.operators.trees import roots_and_depths
 from sonaria.plans.registry import query
 
 
@@ -109,18 +111,23 @@ def registered_prefix_join(c):
     return owned.groupBy("id").agg(F.min("reg_key").alias("reg_key"))
 
 
-@query("name_fallback_join", "libraries registered", """WITH e AS (SELECT l.id, min(r.reg_key) AS k FROM libraries l JOIN registered r ON r.content_dir = l.path GROUP BY l.id),
-    f AS (SELECT l.id, min(r.reg_key) AS k FROM libraries l JOIN registered r ON regexp_replace(lower(split_part(r.content_dir, '/', 2)), '[^a-z0-9]', '', 'g') = regexp_replace(lower(l.name), '[^a-z0-9]', '', 'g') GROUP BY l.id)
-    SELECT l.id, coalesce(e.k, f.k) AS reg_key, CASE WHEN e.k IS NOT NULL THEN 'path' WHEN f.k IS NOT NULL THEN 'name' ELSE 'none' END AS how FROM libraries l LEFT JOIN e ON l.id = e.id LEFT JOIN f ON l.id = f.id""")
+_N = lambda x: f"regexp_replace(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+@query("name_fallback_join", "libraries registered", f"""WITH p AS (SELECT DISTINCT l.id, r.reg_key FROM libraries l JOIN registered r ON r.content_dir = l.path OR starts_with(r.content_dir, l.path || '/')),
+    l AS (SELECT id, {_N("CASE WHEN id % 2 = 0 THEN concat('Vol ', name) ELSE substring(name, 5) END")} AS plain FROM libraries WHERE id NOT IN (SELECT id FROM p)),
+    k AS (SELECT DISTINCT reg_key, {_N("replace(reg_key, 'K', 'Supplier#00000000')")} AS key FROM registered),
+    n AS (SELECT l.id, k.reg_key FROM l JOIN k ON length(key) >= 8 AND plain <> '' AND (ends_with(plain, key) OR ends_with(key, plain))),
+    e AS (SELECT id, reg_key, 0 AS way FROM p UNION ALL SELECT id, reg_key, 1 FROM n UNION ALL SELECT id, concat('k', CAST(id AS STRING)), 2 FROM libraries WHERE has_nicnt)
+    SELECT id, min_by(reg_key, way) AS reg_key, ['path', 'name', 'container'][min(way) + 1] AS how FROM e GROUP BY id, lower(reg_key)""")
 def name_fallback_join(c):
-    """By path, else by normalised name: two equi joins of first keys."""
-    products = c("registered")
-    plain = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
-    by_path = products.groupBy(F.col("content_dir").alias("path")).agg(F.min("reg_key").alias("p_key"))
-    by_name = products.groupBy(plain(F.split_part("content_dir", F.lit("/"), F.lit(2))).alias("plain")).agg(F.min("reg_key").alias("n_key"))
-    rows = c("libraries").select("id", "path", plain(F.col("name")).alias("plain")).join(by_path, "path", "left").join(by_name, "plain", "left")
-    how = F.when(F.col("p_key").isNotNull(), "path").when(F.col("n_key").isNotNull(), "name").otherwise("none")
-    return rows.select("id", F.coalesce("p_key", "n_key").alias("reg_key"), how.alias("how"))
+    """By path; only without one by names of which one ends with the other; and the containers' keys besides."""
+    name = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Vol "), "name")).otherwise(F.substring("name", 5, 100))
+    libraries = c("libraries").select("id", name.alias("name"), "path")
+    products = c("registered").select(F.replace("reg_key", F.lit("K"), F.lit("Supplier#00000000")).alias("reg_key"), "content_dir")
+    containers = c("libraries").where("has_nicnt").select("id", F.concat(F.lit("supplier#00000000"), F.col("id").cast("string")).alias("key"))
+    found = product_keys(libraries, products, containers, [])
+    return found.withColumn("reg_key", F.replace(F.replace("reg_key", F.lit("Supplier#00000000"), F.lit("K")), F.lit("supplier#00000000"), F.lit("k")))
 
 
 @query("library_pair_selfjoin", "names", "WITH n AS (SELECT DISTINCT library_id, name FROM names) SELECT a.library_id AS a, b.library_id AS b, count(*) AS shared FROM n a JOIN n b ON a.name = b.name AND a.library_id < b.library_id GROUP BY 1, 2")
@@ -128,11 +135,25 @@ def library_pair_selfjoin(c):
     return pair_counts(c("names").select("library_id", "name"), "library_id", "name")
 
 
-@query("three_level_in", "messages trace", "SELECT m.session_id, count(DISTINCT m.id) AS messages, (SELECT count(*) FROM trace t WHERE t.session_id = m.session_id) AS steps FROM messages m WHERE m.category_id = 2 GROUP BY m.session_id")
+@query("branch_trees", "branches", """RECURSIVE WITH r(id, root, depth) AS (SELECT b.id, b.id, CAST(0 AS BIGINT) FROM branches b WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM branches)
+    UNION ALL SELECT b.id, r.root, r.depth + 1 FROM branches b JOIN r ON b.parent_id = r.id) SELECT id, root, depth FROM r""")
+def branch_trees(c):
+    """Every branch with the first branch of its tree and the number of steps to it."""
+    return roots_and_depths(c("branches"), "id", "parent_id").select(F.col("node").alias("id"), "root", "depth")
+
+
+@query("three_level_in", "branches messages trace", """RECURSIVE WITH r(id, root) AS (SELECT b.id, b.id FROM branches b WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM branches) UNION ALL SELECT b.id, r.root FROM branches b JOIN r ON b.parent_id = r.id),
+    m AS (SELECT session_id AS id, count(*) AS n FROM messages GROUP BY 1), t AS (SELECT session_id AS id, count(*) AS n FROM trace GROUP BY 1)
+    SELECT s.session_id, count(*) AS branches, CAST(coalesce(sum(m.n), 0) AS BIGINT) AS messages, CAST(coalesce(sum(t.n), 0) AS BIGINT) AS steps FROM r JOIN branches s ON s.id = r.root LEFT JOIN m ON m.id = r.id LEFT JOIN t ON t.id = r.id WHERE s.session_id % 5 = 2 GROUP BY 1""")
 def three_level_in(c):
-    chosen = c("messages").where("category_id = 2").groupBy("session_id").agg(F.countDistinct("id").alias("messages"))
-    steps = c("trace").groupBy("session_id").agg(F.count("*").alias("steps"))
-    return chosen.join(steps, "session_id", "left").select("session_id", "messages", F.coalesce("steps", F.lit(0)).alias("steps"))
+    """Branches, messages and tool calls of sessions: a branch is of the session its tree began in, and messages
+    and calls name their branch. Messages and calls are counted by branch before they are joined."""
+    branches = c("branches")
+    chosen = branches.where("session_id % 5 = 2").select(F.col("id").alias("root"), "session_id")
+    held = roots_and_depths(branches, "id", "parent_id").join(chosen, "root").select(F.col("node").alias("id"), "session_id")
+    count = lambda name, label: c(name).groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias(label))
+    rows = held.join(count("messages", "m"), "id", "left").join(count("trace", "t"), "id", "left")
+    return rows.groupBy("session_id").agg(F.count("*").alias("branches"), F.coalesce(F.sum("m"), F.lit(0)).alias("messages"), F.coalesce(F.sum("t"), F.lit(0)).alias("steps"))
 
 
 @query("installs_merge", "registered", """WITH r AS (SELECT content_dir AS path, 0 AS priority, reg_key FROM registered WHERE in64 UNION ALL SELECT content_dir, 1, reg_key FROM registered WHERE in32),
@@ -158,12 +179,14 @@ def registered_products_merge(c):
     return merged.groupBy("reg_key").agg(F.max("in64").alias("in64"), F.max("in32").alias("in32"), F.max("in_user").alias("in_user"), first.alias("content_dir"))
 
 
-@query("hint_match", "libraries tags", """WITH h AS (SELECT id AS hint, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS k FROM tags), l AS (SELECT id, regexp_replace(lower(category), '[^a-z0-9]', '', 'g') AS k FROM libraries)
-    SELECT l.id, min(h.hint) AS hint FROM l JOIN h ON l.k = h.k GROUP BY l.id""")
+@query("hint_match", "libraries tags", f"""WITH h AS (SELECT id AS hint, {_N('name')} AS o FROM tags), l AS (SELECT DISTINCT id, own FROM (SELECT id, unnest([{_N('CASE WHEN id % 3 = 0 THEN category ELSE path END')}, {_N('CASE WHEN id % 5 = 0 THEN substring(category, 1, 7) ELSE name END')}]) AS own FROM libraries) WHERE own <> ''),
+    m AS (SELECT id, hint, CASE WHEN own = o THEN 0 ELSE 1 END AS tier FROM l JOIN h ON o <> '' AND (own = o OR length(own) >= 4 AND length(o) >= 4 AND (contains(own, o) OR contains(o, own))))
+    SELECT id, min(hint) FILTER (tier = t) AS hint, CASE t WHEN 0 THEN 'equal' ELSE 'contains' END AS how FROM (SELECT *, min(tier) OVER (PARTITION BY id) AS t FROM m) GROUP BY id, t""")
 def hint_match(c):
-    plain = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
-    hints = c("tags").groupBy(plain(F.col("name")).alias("k")).agg(F.min("id").alias("hint"))
-    return c("libraries").select("id", plain(F.col("category")).alias("k")).join(hints, "k").select("id", "hint")
+    """The first hint of a library's name or key: an equal name, else one of which one contains the other."""
+    name = F.when(F.col("id") % 3 == 0, F.col("category")).otherwise(F.col("path"))
+    key = F.when(F.col("id") % 5 == 0, F.substring("category", 1, 7)).otherwise(F.col("name"))
+    return find_hints(c("libraries").select("id", name.alias("name"), key.alias("key")), c("tags").select(F.col("id").alias("hint"), "name"))
 
 
 @query("entry_fallback", "libraries registered", """SELECT l.id, coalesce(nullif(r.content_dir, ''), nullif(l.required_version, ''), 'unknown') AS entry FROM libraries l LEFT JOIN registered r ON r.reg_key = concat('K', CAST(l.id AS STRING)) AND r.in64""")

@@ -1,10 +1,10 @@
 """Sorts, limits, windows, ranks and set operations of the catalog."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sonaria.operators.relational import global_ranks, newest
+from sonaria.operators.relational import first_rows, global_ranks, newest
 from sonaria.plans.registry import query
+from sonaria.streaming.repeats import repeat_notices
 
 
 @query("multi_key_sort", "libraries", "SELECT id, name, category FROM libraries ORDER BY category DESC, lower(name), id LIMIT 40")
@@ -122,24 +122,30 @@ def percentile_rank(c):
 
 @query("per_library_cap", "clips", "WITH r AS (SELECT id, library_id, row_number() OVER (PARTITION BY library_id ORDER BY id) AS rn FROM clips) SELECT id, library_id FROM r WHERE rn <= 40")
 def per_library_cap(c, cap: int = 40):
-    w = Window.partitionBy("library_id").orderBy("id")
-    return c("clips").select("id", "library_id").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap).drop("rn")
+    return first_rows(c("clips").select("id", "library_id"), ["library_id"], "id", cap).select("id", "library_id")
 
 
 @query("latest_n_chronological", "messages", "SELECT session_id, id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS rn FROM messages) WHERE rn <= 3")
 def latest_n_chronological(c, n: int = 3):
-    w = Window.partitionBy("session_id").orderBy(F.desc("id"))
-    return c("messages").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).orderBy("session_id", "id").select("session_id", "id")
+    """The last messages of each session; of each shard of a session first."""
+    rows = c("messages").select("session_id", "id", (-F.col("id")).alias("back"))
+    return first_rows(rows, ["session_id"], "back", n).select("session_id", "id")
 
 
-@query("repeat_call_count", "trace", """WITH s AS (SELECT session_id, id, tool_name, row_number() OVER (PARTITION BY session_id ORDER BY id) AS seq FROM trace WHERE tool_name <> 'view'),
-    r AS (SELECT a.session_id, a.id, count(*) AS repeats FROM s a JOIN s b ON a.session_id = b.session_id AND a.tool_name = b.tool_name AND b.seq BETWEEN a.seq - 23 AND a.seq GROUP BY 1, 2) SELECT session_id, id, repeats FROM r WHERE repeats IN (3, 5, 8)""")
+@query("repeat_call_count", "trace", """WITH s AS (SELECT session_id, id, tool_name || '|' || args AS fp, row_number() OVER (PARTITION BY session_id ORDER BY id) AS seq FROM trace WHERE tool_name <> 'view'),
+    r AS (SELECT a.session_id, a.id, CAST(count(*) AS INT) AS repeats FROM s a JOIN s b ON a.session_id = b.session_id AND a.fp = b.fp AND b.seq BETWEEN a.seq - 23 AND a.seq GROUP BY 1, 2) SELECT session_id, id, repeats FROM r WHERE repeats IN (3, 5, 8)""")
 def repeat_call_count(c, last: int = 24):
-    """Calls that are the third, fifth or eighth of their kind among a session's last 24; some tools do not count."""
-    w = Window.partitionBy("session_id").orderBy("id")
-    calls = c("trace").where("tool_name <> 'view'").select("session_id", "id", "tool_name").withColumn("seq", F.row_number().over(w))
-    same = Window.partitionBy("session_id", "tool_name").orderBy("seq").rangeBetween(1 - last, 0)
-    return calls.withColumn("repeats", F.count("*").over(same)).where(F.col("repeats").isin(3, 5, 8)).select("session_id", "id", "repeats")
+    """Calls that are the third, fifth or eighth with the same arguments among a session's last 24; some tools do not count."""
+    return repeat_notices(c("trace"), ["view"], last)
+
+
+@query("repeat_call_few", "trace", """WITH s AS (SELECT session_id % 9 AS session_id, id, tool_name, id % 6 AS k, row_number() OVER (PARTITION BY session_id % 9 ORDER BY id) AS seq FROM trace WHERE tool_name <> 'view'),
+    r AS (SELECT a.session_id, a.id, CAST(count(*) AS INT) AS repeats FROM s a JOIN s b ON a.session_id = b.session_id AND a.tool_name = b.tool_name AND a.k = b.k AND b.seq BETWEEN a.seq - 23 AND a.seq GROUP BY 1, 2) SELECT session_id, id, repeats FROM r WHERE repeats IN (3, 5, 8)""")
+def repeat_call_few(c):
+    """The same of few long sessions with few arguments, with and without white space."""
+    k = (F.col("id") % 6).cast("string")
+    args = F.when(F.col("id") % 4 < 2, F.concat(F.lit('{"k": '), k, F.lit("}"))).otherwise(F.concat(F.lit('{"k":'), k, F.lit(" }")))
+    return repeat_notices(c("trace").withColumn("args", args).withColumn("session_id", F.col("session_id") % 9), ["view"])
 
 
 @query("kb_page_view", "manuals", "SELECT id FROM manuals ORDER BY id LIMIT 60 OFFSET 120")

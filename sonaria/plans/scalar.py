@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sonaria.functions import scalars as S
 from sonaria.operators.rules import rule_list
+from sonaria.operators.containment import related_terms as related
 from sonaria.plans.registry import query
 
 
@@ -127,13 +128,17 @@ def symbol_render(c):
     return c("trace").select("id", S.symbol_render(F.col("tool_name"), args).alias("value"))
 
 
-_FAMILIES = [("ring", "bell,chime"), ("gear", "cog,wheel"), ("rod", "stick")]
+_FAMILIES = [(0, "ring", ["bell", "chime", "ring"]), (1, "gear box", ["cog", "wheel"]), (2, "ed ro", ["stick", "red"]), (3, "rod", ["stick", "bar"])]
 
 
-@query("related_terms", "instruments", f"SELECT i.id, f.related FROM instruments i JOIN (VALUES {', '.join(repr(x) for x in _FAMILIES)}) f(word, related) ON split_part(i.name, ' ', 2) = f.word")
+@query("related_terms", "instruments", f"""WITH f(rank, word, related) AS (VALUES {', '.join(f"({r}, '{w}', {v})" for r, w, v in _FAMILIES)}), t AS (SELECT DISTINCT lower(trim(split_part(name, ' ', 2))) AS term FROM instruments UNION SELECT DISTINCT lower(trim(name)) FROM instruments),
+    m AS (SELECT term, min_by(related, rank) AS related FROM t JOIN f ON contains(term, word) OR contains(word, term) WHERE term <> '' GROUP BY 1)
+    SELECT term, array_to_string(list_filter(related, lambda w: NOT contains(term, w)), ',') AS related FROM m""")
 def related_terms(c):
-    families = c.spark.createDataFrame(_FAMILIES, "word string, related string")
-    return c("instruments").withColumn("word", F.split_part("name", F.lit(" "), F.lit(2))).join(F.broadcast(families), "word").select("id", "related")
+    """Related words of names and of their second words, from the first family that is, contains or lies in the term."""
+    terms = c("instruments").select(F.explode(F.array(F.split_part("name", F.lit(" "), F.lit(2)), "name")).alias("term"))
+    families = c.spark.createDataFrame(_FAMILIES, "rank int, word string, related array<string>")
+    return related(terms, families).select("term", F.array_join("related", ",").alias("related"))
 
 
 @query("overview_question", "messages", "SELECT session_id, id, regexp_matches(lower(content), 'the|and') AND NOT regexp_matches(lower(content), 'tion') AS value FROM messages")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sonaria.operators import neighbours
 from sonaria.operators import vectors as V
 from sonaria.operators.density import hdbscan
+from sonaria.operators.diverse import core_set, diverse_candidates
 from sonaria.operators.layout import umap
 from sonaria.plans.registry import query
 
@@ -127,6 +128,15 @@ def map_projection(c):
     return V.plane(c.table("embeddings")).select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
+@query("diverse_core_set")
+def diverse_core_set(c):
+    """Six vectors, each the farthest from all before, in one pass over all."""
+    return core_set(c.table("embeddings"), 6)
+
+
 @query("farthest_point_sampling")
 def farthest_point_sampling(c):
-    return V.diverse_picks(c.table("embeddings"), 6)
+    """Diverse clips for a question, with companions from their libraries and related words where libraries lack."""
+    clips = c("clips")
+    vectors = clips.select("id", (F.col("id") % 500).alias("vec_id")).join(c.table("embeddings").select("vec_id", F.col("embedding").alias("vec")), "vec_id")
+    return diverse_candidates(clips, vectors, "clip 1234", 8, 3, 4, related=["clip 432"])

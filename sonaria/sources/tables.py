@@ -77,8 +77,3 @@ def replace_children(table: DataFrame, new: DataFrame, library: int) -> tuple[Da
     gone = table.where(F.col("library_id") == library)
     counts = gone.agg(F.count("*").alias("removed")).crossJoin(new.agg(F.count("*").alias("added")))  # one row each
     return table.where(F.col("library_id") != library).unionByName(new), counts
-
-
-def save_scan(old: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Libraries after a scan: those of scanned roots as found, others as they were."""
-    return upsert(old, scanned, ["path"])

@@ -31,6 +31,7 @@ VIEWS: dict[str, str] = {
     "points": "SELECT vec_id AS clip_id, vec_id % 7 AS library_id, CAST({e}[{0}] AS DOUBLE) AS x, CAST({e}[{1}] AS DOUBLE) AS y, label AS cluster FROM embeddings",
     "names": "SELECT c_nationkey AS library_id, concat(c_mktsegment, CAST(CAST(floor(c_acctbal / 500) AS BIGINT) AS STRING)) AS name FROM customer",
     "registered": "SELECT concat('K', CAST(s_suppkey AS STRING)) AS reg_key, concat(n_name, '/', s_name, CASE WHEN s_suppkey % 3 = 0 THEN '/content' ELSE '' END) AS content_dir, s_suppkey % 2 = 0 AS in64, s_suppkey % 3 = 0 AS in32, s_suppkey % 5 = 0 AS in_user FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 4 <> 3",
+    "branches": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 40 <> 1 THEN o_orderkey - 1 END AS parent_id, o_custkey % 200 AS session_id FROM orders",
     "memory": "SELECT l.doc_id AS id, CASE WHEN l.doc_id % 2 = 0 THEN 'library' ELSE 'user' END AS scope, l.doc_id % 5 AS library_id, concat('k', CAST(l.doc_id % 50 AS STRING)) AS key, d.text AS content, 1 + l.quality * 2 + l.toxic AS importance, l.doc_id AS updated_at FROM labels l JOIN documents d ON l.doc_id = d.doc_id",
 }
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sonaria.operators import dedup, relational, rules, text, vectors
+from sonaria.operators import dedup, diverse, relational, rules, text, vectors
 
 
 def test_timbre_percentiles(spark):
@@ -87,7 +87,7 @@ def test_neighbours_and_diversity(spark):
     near = [x.vec_id for x in vectors.nearest(df, m[3].tolist(), 10, without=3).collect()]
     cos = m @ m[3] / np.linalg.norm(m, axis=1) / np.linalg.norm(m[3])
     assert near == [i for i in np.argsort(-cos, kind="stable") if i != 3][:10]
-    picks = [x.vec_id for x in vectors.diverse_picks(df.where("vec_id < 80"), 5).orderBy("pick").collect()]
+    picks = [x.vec_id for x in diverse.core_set(df.where("vec_id < 80").coalesce(1), 5).orderBy("pick").collect()]
     assert len(set(picks)) == 5 and picks[0] == 0
     unit = m / np.linalg.norm(m, axis=1)[:, None]
     want = [0]
@@ -145,8 +145,8 @@ def test_fusion_is_symmetric(spark):
 
 def test_batch_text():
     rules_ = rules.parse_batch("# note\r\nforeach lib where Junk AND no-cover, name = Ab c: TAG : a:b; category=x\n\nfor lib where nonstandard: build-kb")
-    assert rules_ == [({"junk": None, "no-cover": None, "name": "Ab c"}, "tag", "a:b"), ({"category": "x"}, "list", ""), ({"nonstandard": None}, "build-kb", "")]
-    for wrong in ("", "# only a note", "junk: sweep", ": list", "sparkling: list", "category: list", "junk=3", "name=: tag:x"):
+    assert rules_ == [(["Junk", "no-cover", "name = Ab c"], "tag", "a:b"), (["category=x"], "list", ""), (["nonstandard"], "build-kb", "")]
+    for wrong in ("", "# only a note", "junk: sweep", ": list", "foreach lib where : list"):
         with pytest.raises(ValueError):
             rules.parse_batch(wrong)
 
@@ -187,8 +187,10 @@ def test_both_ways_of_bm25_agree(spark):
 
 def test_batch_rules(spark):
     libs = spark.createDataFrame([(1, "A", "x", 60 << 20, "", True, 5), (2, "B", "y", 0, "c", True, 9)], "id long, name string, category string, junk_bytes long, cover_file string, has_nicnt boolean, size_bytes long")
-    got = {tuple(r) for r in rules.batch_rules(libs, [({"junk": None}, "clean", ""), ({"category": "x", "no-cover": None}, "tag", "t"), ({"name": "a"}, "tag", "t")]).collect()}
-    assert got == {(1, "clean", "", "junk"), (1, "tag", "t", "category=x and no-cover")}
+    got = {tuple(r) for r in rules.batch_rules(libs, [(["JUNK"], "clean", ""), (["category = X", "no-cover"], "tag", "t"), (["name~a"], "tag", "t")]).collect()}
+    assert got == {(1, "clean", "", "JUNK"), (1, "tag", "t", "category = X and no-cover")}
+    for nothing in ("sparkling", "category", "junk=3", "name=", "min-size=x", "duplicate", "no-kb", "=", "~"):
+        assert rules.batch_rules(libs, [([nothing], "list", ""), (["name~a", nothing], "list", "")]).count() == 0, nothing
 
 
 def test_suffix_repeats(spark):
