@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,7 +128,11 @@ def _bm25(rows: DataFrame, key: str, n: int, k: int) -> DataFrame:
     statistics and the scores come from these."""
     if not n:
         return rows.select(key, F.lit(0.0).alias("score")).orderBy(key).limit(k)
-    rows = written(rows, "term-counts")
+    return _scored(written(rows, "term-counts"), key, n, k)
+
+
+def _scored(rows: DataFrame, key: str, n: int, k: int) -> DataFrame:
+    """The best ``k`` of rows with a length and ``n`` term frequencies."""
     stats = rows.agg(F.count("*").alias("n"), F.avg("__len").alias("avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"d{i}") for i in range(n)]).first()
     score = F.lit(0.0)
     for i in range(n):
@@ -166,29 +170,67 @@ def _fnv(text: str) -> int:
     return h
 
 
-@lru_cache(maxsize=200_000)
-def _cells(token: str) -> tuple[np.ndarray, np.ndarray]:
-    """The cells of a token and its character triples, and what each adds; kept for frequent tokens."""
-    at, add = [], []
-    for part, weight in [(token, 1.0)] + [(token[i : i + 3], 0.35) for i in range(len(token) - 2)]:
-        h = _fnv(part)
-        at += [(h >> (9 * j)) % DIM for j in range(3)]
-        add += [weight if h >> 63 else -weight] * 3
-    return np.array(at), np.array(add)
+def _fnv_all(units: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The hashes of many runs of ``units``, a step of all runs at a time."""
+    h = np.full(len(starts), 0xCBF29CE484222325, np.uint64)
+    for i in range(int(sizes.max(initial=0))):
+        live = np.flatnonzero(sizes > i)
+        h[live] = (h[live] ^ units[starts[live] + i]) * np.uint64(0x100000001B3)
+    return h
+
+
+def _cells(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token number, cell and what it adds there, for each token and its character triples."""
+    points = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(points)) - np.repeat(starts, sizes)
+    triple = np.flatnonzero(place < np.repeat(sizes, sizes) - 2)
+    owner = np.concatenate([np.arange(len(tokens)), np.repeat(np.arange(len(tokens)), sizes)[triple]])
+    starts, sizes = np.concatenate([starts, triple]), np.concatenate([sizes, np.full(len(triple), 3)])
+    h = _fnv_all(points.astype(np.uint64), starts, sizes)
+    if len(points) and points.max() > 0xFFFF:  # characters of two units
+        text = "".join(tokens)
+        for i in np.flatnonzero([ord(max(text[a : a + n], default="a")) > 0xFFFF for a, n in zip(starts, sizes)]):
+            h[i] = _fnv(text[starts[i] : starts[i] + sizes[i]])
+    add = np.where(np.arange(len(owner)) < len(tokens), 1.0, 0.35) * np.where(h >> np.uint64(63) != 0, 1.0, -1.0)
+    cells = np.concatenate([(h >> np.uint64(9 * j)) % np.uint64(DIM) for j in range(3)]).astype(np.int64)
+    return np.tile(owner, 3), cells, np.tile(add, 3)
+
+
+def hashed_vectors(lists: list[list[str]]) -> np.ndarray:
+    """Signed hashes of tokens (weight 1) and of their character triples (0.35) in 512 dimensions, of unit
+    length, for each list of tokens; zeros for none. Distinct tokens are hashed once, all at a time."""
+    codes: dict[str, int] = {}
+    flat = np.fromiter((codes.setdefault(t, len(codes)) for tokens in lists for t in tokens), np.int64)
+    v = np.zeros((len(lists), DIM))
+    if len(flat):
+        owner, cells, add = _cells(list(codes))
+        order = np.argsort(owner, kind="stable")
+        cells, add = cells[order], add[order]
+        n = np.bincount(owner, minlength=len(codes))
+        first = np.cumsum(n) - n
+        rows = np.repeat(np.arange(len(lists)), [len(t) for t in lists])
+        for at in range(0, len(flat), 200_000):  # bounds what is spread out at once
+            part, own = flat[at : at + 200_000], rows[at : at + 200_000]
+            size = n[part]
+            spread = np.repeat(first[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            low = own[0]
+            sums = np.bincount((np.repeat(own, size) - low) * DIM + cells[spread], add[spread], (own[-1] - low + 1) * DIM)
+            v[low : own[-1] + 1] += sums.reshape(-1, DIM)
+    norms = np.sqrt((v * v).sum(1, keepdims=True))
+    return v / np.where(norms > 0, norms, 1.0)
 
 
 def hashed_vector(tokens: list[str]) -> np.ndarray:
-    """Signed hashes of tokens (weight 1) and of their character triples (0.35) in 512 dimensions."""
-    if not len(tokens):
-        return np.zeros(DIM)
-    found = [_cells(t) for t in tokens]
-    v = np.bincount(np.concatenate([a for a, _ in found]), np.concatenate([w for _, w in found]), DIM)
-    norm = np.sqrt((v * v).sum())
-    return v / norm if norm else v
+    return hashed_vectors([list(tokens)])[0]
 
 
 def hash_embed(tokens: Column | str) -> Column:
-    return _mapped(lambda t: hashed_vector(list(t)).astype(np.float32), "array<float>", tokens)
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series(list(hashed_vectors([list(t) if t is not None else [] for t in values]).astype(np.float32)))
+
+    return F.pandas_udf(run, "array<float>")(tokens)
 
 
 def fuse(sides: list[DataFrame], key: str, score: str = "score", k: int = RRF_K) -> DataFrame:
@@ -228,15 +270,27 @@ def diversify(rows: DataFrame, key: str, relevance: str, vec: str, k: int, weigh
 
 
 def hybrid(chunks: DataFrame, key: str, text: str, query: str, k: int) -> DataFrame:
-    """BM25 and hashed-vector recall, fused by rank and diversified. Chunks are read by Python once."""
-    from sonaria.operators.vectors import nearest
+    """BM25 and hashed-vector recall, fused by rank and diversified.
 
-    made = written(chunks.select(key, tokenize(F.col(text)).alias("tokens")).select(key, "tokens", hash_embed("tokens").alias("vec")), "chunks")
+    One pass over the chunks leaves a few numbers of each: its length, how often it has each word of the
+    question, and its likeness to the question. Vectors are made again for the fused candidates only.
+    """
     words = tokens_of(query)
-    lexical = bm25(made, key, "tokens", words, RECALL)
-    dense = nearest(made, hashed_vector(words).tolist(), RECALL, key, "vec").where(F.col("similarity") > COSINE_FLOOR).select(key, F.col("similarity").alias("score"))
-    fused = fuse([lexical, dense], key)
-    candidates = made.select(key, "vec").join(F.broadcast(fused), key)  # at most twice the recall
-    return diversify(candidates, key, "fused", "vec", k)
-
-
+    asked = sorted(set(words))
+    question = hashed_vector(words)
+    kind = dict(chunks.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [tokens_of(t.as_py()) for t in batch.column(1)]
+            columns = [batch.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array(hashed_vectors(lists) @ question)]
+            columns += [pa.array([x.count(w) for x in lists], pa.int64()) for w in asked]
+            yield pa.RecordBatch.from_arrays(columns, [key, "__len", "similarity", *[f"__tf{i}" for i in range(len(asked))]])
+
+    counts = "".join(f", __tf{i} long" for i in range(len(asked)))
+    made = written(chunks.select(key, text).mapInArrow(run, f"{key} {kind}, __len long, similarity double{counts}"), "chunk-counts")
+    lexical = _scored(made, key, len(asked), RECALL) if asked else made.select(key, F.lit(0.0).alias("score")).orderBy(key).limit(RECALL)
+    dense = made.where(F.col("similarity") > COSINE_FLOOR).orderBy(F.desc("similarity"), key).limit(RECALL).select(key, F.col("similarity").alias("score"))
+    fused = written(fuse([lexical, dense], key), "fused")  # at most twice the recall
+    candidates = chunks.select(key, text).join(F.broadcast(fused), key)
+    return diversify(candidates.select(key, hash_embed(tokenize(F.col(text))).alias("vec"), "fused"), key, "fused", "vec", k)
