@@ -98,6 +98,19 @@ def spread_places(rows: DataFrame, key: str, order: str, label: str = "place") -
     return ranged.withColumn("__inner", inner).join(starts, [key, "__part"]).withColumn(label, F.col("__inner") + F.col("__before")).drop("__part", "__inner", "__before")
 
 
+def spread_sums(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Adds ``__before``, the sum of ``value`` over the key's rows before this one, and ``__place``, its place from 1,
+    in the order of ``order``, which no two rows of a key share. Ranges as in ``spread_places``."""
+    ranged = written(rows.repartitionByRange(key, order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(key, "__part").agg(F.sum(value).alias("__s"), F.count("*").alias("__n"))  # a row for each key and range
+    above = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(key, "__part", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}0") for c in ("__s", "__n")])
+    inside = Window.partitionBy(key, "__part").orderBy(order)
+    inner = ranged.select("*", F.coalesce(F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__si"), F.row_number().over(inside).alias("__ni"))
+    met = inner.join(starts, [key, "__part"])
+    return met.select(*rows.columns, (F.col("__si") + F.col("__s0")).alias("__before"), (F.col("__ni") + F.col("__n0")).alias("__place"))
+
+
 def numbered(rows: DataFrame, order: str, label: str, above: int = 0) -> DataFrame:
     """Adds numbers above ``above``, ascending with ``order``, which no two rows share."""
     placed = spread_places(rows.withColumn("__all", F.lit(0)), "__all", order, label)

@@ -30,6 +30,11 @@ def latin_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(LATIN), F.lit(0))
 
 
+def latin_words(text: str | None) -> list[str]:
+    """The same in Python."""
+    return re.findall(LATIN, (text or "").lower())
+
+
 _CJK = "぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
 _RUN = re.compile(rf"[{_CJK}]+|[^\W_{_CJK}]+(?:[-_/.][^\W_{_CJK}]+)*")
 
@@ -294,3 +299,36 @@ def hybrid(chunks: DataFrame, key: str, text: str, query: str, k: int) -> DataFr
     fused = written(fuse([lexical, dense], key), "fused")  # at most twice the recall
     candidates = chunks.select(key, text).join(F.broadcast(fused), key)
     return diversify(candidates.select(key, hash_embed(tokenize(F.col(text))).alias("vec"), "fused"), key, "fused", "vec", k)
+
+
+#: The share of a context from which a history is compressed, what is kept of its end, and the
+#: characters from which a tool's result counts as long.
+TRIGGER, KEPT, LONG_RESULT = 0.7, 6, 200
+#: What stands for a result that is left out.
+BLANK = "(left out)"
+
+
+def compress_history(messages: DataFrame, trigger: int, long: Column | None = None, kept: int = KEPT) -> DataFrame:
+    """session_id, id, state, tokens of messages (session_id, id, role, content): what becomes of each.
+
+    A session of at most ``trigger`` tokens stays ``whole``. Of another the oldest long tool results (``long``)
+    are ``blanked`` until it fits, or all; if it does not fit then, and has more than ``kept`` + 1 messages, all
+    but the last ``kept`` are ``summarised``, left to the summary. Tokens are those of the state. Ids are unique in
+    a session and without nulls; no content counts as an empty one. Running sums go over ranges, so a session may
+    be of any length.
+    """
+    from sonaria.functions.scalars import estimate_tokens
+    from sonaria.operators.relational import spread_sums
+
+    long = F.coalesce(long if long is not None else (F.col("role") == "tool") & (F.char_length("content") > LONG_RESULT), F.lit(False))
+    content = F.coalesce(F.col("content"), F.lit(""))
+    size = F.when(content == "", 8).otherwise(estimate_tokens(content) + 8).cast("long")
+    blank = (estimate_tokens(F.lit(BLANK)) + 8).cast("long")
+    rows = messages.select("session_id", "id", long.alias("__long"), size.alias("__size"), blank.alias("__blank"))
+    placed = spread_sums(rows.withColumn("__own", F.when(F.col("__long"), F.col("__size") - F.col("__blank")).otherwise(0)), "session_id", "id", "__own")
+    totals = rows.groupBy("session_id").agg(F.sum("__size").alias("__used"), F.sum(F.when(F.col("__long"), F.col("__size") - F.col("__blank")).otherwise(0)).alias("__most"), F.count("*").alias("__n"))
+    over = F.col("__used") > trigger
+    gone = over & (F.col("__used") - F.col("__most") > trigger) & (F.col("__n") > kept + 1) & (F.col("__place") <= F.col("__n") - kept)
+    blanked = over & F.col("__long") & (F.col("__used") - F.col("__before") > trigger)
+    joined = placed.join(totals, "session_id")
+    return joined.select("session_id", "id", F.when(gone, "summarised").when(blanked, "blanked").otherwise("whole").alias("state"), F.when(gone, 0).when(blanked, F.col("__blank")).otherwise(F.col("__size")).cast("long").alias("tokens"))

@@ -50,6 +50,26 @@ def postings(c):
     return T.postings(_tokens(c), "doc_id", "tokens")
 
 
+_ASKED = [["theand", "tionre"], ["license", "apache"], ["the"]]
+_WORDS = ", ".join(f"({q}, '{w}')" for q, words in enumerate(_ASKED) for w in words)
+
+
+@query("block_index_search", "", f"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2) AS toks FROM documents),
+    s AS (SELECT count(*) AS n, avg(len(toks)) AS avg FROM t), q(question, term) AS (VALUES {_WORDS}),
+    tf AS (SELECT doc_id, question, term, len(toks) AS len, len(list_filter(toks, lambda x: x = term)) AS tf FROM t, q), df AS (SELECT question, term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY 1, 2),
+    sc AS (SELECT doc_id, question, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 5) AS score FROM tf JOIN df USING (question, term), s GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, doc_id) AS rn FROM sc WHERE score > 0) SELECT question, doc_id, score FROM r WHERE rn <= 20""")
+def block_index_search(c, questions=tuple(map(tuple, _ASKED)), k: int = 20):
+    """One index of all documents answers several questions, each from the blocks that can matter."""
+    from functools import reduce
+
+    from sonaria.operators import blocks as K
+
+    index = K.build(c.table("documents"), "doc_id", "text", T.latin_words)
+    answers = [K.search(c.spark, index, list(words), k).rows.select(F.lit(q).alias("question"), F.col("key").alias("doc_id"), F.round("score", 5).alias("score")) for q, words in enumerate(questions)]
+    return reduce(lambda a, b: a.unionByName(b), answers)
+
+
 @query("tokenize")
 def tokenize(c):
     return c.table("documents").select("doc_id", F.size(T.tokenize("text")).alias("n_tokens"))
@@ -155,11 +175,15 @@ def symbol_search(c):
     return names.orderBy(F.when(F.startswith("name", F.lit("i")), 0).otherwise(1), "name").limit(40)
 
 
-@query("compress_history", "messages", """WITH t AS (SELECT session_id, id, role, floor(length(content) / 4) + 9 AS tokens FROM messages),
-    r AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id ORDER BY id DESC ROWS UNBOUNDED PRECEDING) AS tail FROM t) SELECT session_id, id, CAST(CASE WHEN tail <= 700 THEN tokens ELSE 9 END AS BIGINT) AS tokens FROM r""")
-def compress_history(c, budget: int = 700):
-    """The newest messages of a session that fit stay whole; older ones are blanked to their frame."""
-    tokens = (F.floor(F.char_length("content") / 4) + 9).cast("long")
-    w = Window.partitionBy("session_id").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = c("messages").withColumn("tokens", tokens).withColumn("tail", F.sum("tokens").over(w))
-    return rows.select("session_id", "id", F.when(F.col("tail") <= budget, F.col("tokens")).otherwise(9).cast("long").alias("tokens"))
+_SIZE = "CASE WHEN coalesce(content, '') = '' THEN 8 ELSE floor(length(content) / 4) + 9 END"
+
+
+@query("compress_history", "messages", f"""WITH t AS (SELECT session_id, id, role, {_SIZE} AS tokens, role = 'assistant' AND length(content) > 60 AS long FROM messages),
+    u AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id) AS used, sum(CASE WHEN long THEN tokens - 11 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS freed, CASE WHEN long THEN tokens - 11 ELSE 0 END AS own,
+    sum(CASE WHEN long THEN tokens - 11 ELSE 0 END) OVER (PARTITION BY session_id) AS most, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS back, count(*) OVER (PARTITION BY session_id) AS n FROM t)
+    SELECT session_id, id, CASE WHEN used > 250 AND used - most > 250 AND n > 7 AND back > 6 THEN 'summarised' WHEN used > 250 AND long AND used - (freed - own) > 250 THEN 'blanked' ELSE 'whole' END AS state,
+    CAST(CASE WHEN used > 250 AND used - most > 250 AND n > 7 AND back > 6 THEN 0 WHEN used > 250 AND long AND used - (freed - own) > 250 THEN 11 ELSE tokens END AS BIGINT) AS tokens FROM u""")
+def compress_history(c, trigger: int = 250):
+    """The assistant's longer turns stand in for tool results, which these conversations lack."""
+    rows = c("messages").withColumn("long", (F.col("role") == "assistant") & (F.char_length("content") > 60))
+    return T.compress_history(rows, trigger, F.col("long"))
