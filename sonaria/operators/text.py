@@ -332,3 +332,32 @@ def compress_history(messages: DataFrame, trigger: int, long: Column | None = No
     blanked = over & F.col("__long") & (F.col("__used") - F.col("__before") > trigger)
     joined = placed.join(totals, "session_id")
     return joined.select("session_id", "id", F.when(gone, "summarised").when(blanked, "blanked").otherwise("whole").alias("state"), F.when(gone, 0).when(blanked, F.col("__blank")).otherwise(F.col("__size")).cast("long").alias("tokens"))
+
+
+WORD = "[A-Za-z][A-Za-z0-9-]+"
+#: Words of a line of keywords, least and most; the characters before which a colon ends a heading;
+#: and the words of the frequent ones.
+LINE_WORDS, HEADING, FREQUENT = (3, 16), 40, 12
+
+
+def sanitize_keywords(docs: DataFrame, key: str, text: str, noise: list[str], stop: list[str]) -> DataFrame:
+    """key, value: the words of the first line that looks like keywords, else the text's most frequent words.
+
+    Such a line holds none of ``noise`` (in any case) and no full stop, question or exclamation mark of CJK, and three
+    words or more after a colon near its beginning; its first sixteen count. Without one it is the twelve most
+    frequent words of three letters or more but ``stop``, in lower case, of equal ones the first to occur. A text
+    without words, an empty or a null one gives an empty value. ``key`` tells rows apart.
+    """
+    clean = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    body = F.coalesce(F.col(text), F.lit(""))
+    quiet = lambda x: ~F.array_contains(F.transform(F.array(*[F.lit(n.lower()) for n in [*noise, "。", "？", "！"]]), lambda n: F.contains(F.lower(x), n)), True)
+    lines = F.filter(F.transform(F.split(body, "\n"), clean), quiet)
+    words = F.transform(lines, lambda x: F.regexp_extract_all(F.regexp_replace(x, f"^[^:：]{{0,{HEADING - 1}}}[:：]", ""), F.lit(WORD), F.lit(0)))
+    first = F.get(F.filter(words, lambda w: F.size(w) >= LINE_WORDS[0]), F.lit(0))
+    rows = docs.select(F.col(key), body.alias("__text"), F.array_join(F.slice(first, 1, LINE_WORDS[1]), " ").alias("value"))
+    rest = rows.where("value is null").select(key, F.posexplode(F.regexp_extract_all("__text", F.lit(WORD), F.lit(0))).alias("__at", "__w")).withColumn("__w", F.lower("__w"))
+    kept = rest.where((F.char_length("__w") >= 3) & ~F.col("__w").isin(*stop))
+    counts = kept.groupBy(key, "__w").agg((-F.count("*")).alias("n"), F.min("__at").alias("at"))
+    named = counts.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "at", "__w"))), 1, FREQUENT).alias("s"))  # the words of one text
+    top = named.select(key, F.array_join(F.transform("s", lambda x: x["__w"]), " ").alias("__top"))
+    return rows.select(key, "value").join(top, key, "left").select(key, F.coalesce("value", "__top", F.lit("")).alias("value"))

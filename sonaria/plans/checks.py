@@ -9,6 +9,15 @@ _RULES = [(["junk"], "clean", ""), (["no-cover", "category=NATION_3"], "tag", "c
 _NAMES = "SELECT c_nationkey AS library_id, concat(c_mktsegment, CAST(CAST(floor(c_acctbal / 2000) AS BIGINT) AS STRING)) AS name FROM customer"
 
 
+def _related(c):
+    """The libraries with their keys, those that meet conditions on other tables, and the names."""
+    libraries = c("libraries").withColumn("product_key", F.concat(F.lit("K"), F.col("id").cast("string")))
+    names = c.table("customer").select(F.col("c_nationkey").alias("library_id"), F.concat("c_mktsegment", F.floor(F.col("c_acctbal") / 2000).cast("string")).alias("name"))
+    manuals = c("manuals").withColumn("mtime", F.lit(5))
+    bases = manuals.select("library_id", F.col("name").alias("manual_name"), F.when(F.col("library_id") % 4 == 0, 5).otherwise(4).alias("built")).distinct()
+    return libraries, R.related_ids(libraries, names, c("registered"), manuals, bases), names
+
+
 @query("batch_dsl_expand", "libraries registered manuals", f"""WITH n AS (SELECT DISTINCT library_id, lower(name) AS name FROM ({_NAMES})), k AS (SELECT library_id, count(*) AS k FROM n GROUP BY 1), s AS (SELECT a.library_id AS a, b.library_id AS b, count(*) AS s FROM n a JOIN n b ON a.name = b.name AND a.library_id <> b.library_id GROUP BY 1, 2),
     dup AS (SELECT DISTINCT a AS id FROM s JOIN k ka ON ka.library_id = a JOIN k kb ON kb.library_id = b WHERE s >= 0.55 * (ka.k + kb.k - s) - 1e-9),
     nokb AS (SELECT library_id AS id FROM manuals GROUP BY 1 HAVING library_id % 4 <> 0),
@@ -20,11 +29,8 @@ _NAMES = "SELECT c_nationkey AS library_id, concat(c_mktsegment, CAST(CAST(floor
 def batch_expand(c):
     """Rules on libraries and on other tables; those with an unknown condition fit nothing. The knowledge base of
     every fourth library is as new as its manual."""
-    libraries = c("libraries").withColumn("product_key", F.concat(F.lit("K"), F.col("id").cast("string")))
-    names = c.table("customer").select(F.col("c_nationkey").alias("library_id"), F.concat("c_mktsegment", F.floor(F.col("c_acctbal") / 2000).cast("string")).alias("name"))
-    manuals = c("manuals").withColumn("mtime", F.lit(5))
-    bases = manuals.select("library_id", F.col("name").alias("manual_name"), F.when(F.col("library_id") % 4 == 0, 5).otherwise(4).alias("built")).distinct()
-    return R.batch_rules(libraries, _RULES, R.related_ids(libraries, names, c("registered"), manuals, bases))
+    libraries, related, _ = _related(c)
+    return R.batch_rules(libraries, _RULES, related)
 
 
 _CLAUSES = """# clean up first
@@ -54,31 +60,61 @@ def health_summary(c):
     return c("libraries").agg(F.count("*").alias("libraries"), F.count_if(~there).alias("missing_path"), F.count_if(there & (F.col("cover_file") == "")).alias("no_cover"), F.count_if(there & (F.col("required_version") == "")).alias("unknown_version"), F.count_if(there & (F.col("junk_count") > 0)).alias("junk"))
 
 
-@query("suggestions", "libraries", """WITH p AS (SELECT 'junk' AS kind, 600000 AS base, name, junk_bytes // 1048576 AS m FROM libraries WHERE junk_bytes > 52428800 UNION ALL SELECT 'cover', 300000, name, 1 FROM libraries WHERE cover_file = '' UNION ALL SELECT 'nonstandard', 200000, name, 1 FROM libraries WHERE NOT has_nicnt)
-    SELECT kind, count(*) AS n, CAST(max(base) + sum(m) AS BIGINT) AS weight, array_to_string(list_slice(list(name ORDER BY name), 1, 8), ',') AS samples FROM p GROUP BY 1""")
+_DUPS = """g AS (SELECT sha256(text) AS fp, n_chars, count(*) AS files, min(source) AS library FROM documents WHERE n_chars >= 50 GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT source) >= 2),
+    dg AS (SELECT fp, library, n_chars * (files - 1) AS reclaimable FROM g)"""
+
+
+@query("suggestions", "libraries registered manuals", f"""WITH n AS (SELECT DISTINCT library_id, lower(name) AS name FROM ({_NAMES})), k AS (SELECT library_id, count(*) AS k FROM n GROUP BY 1), s AS (SELECT a.library_id AS a, b.library_id AS b, count(*) AS s FROM n a JOIN n b ON a.name = b.name AND a.library_id < b.library_id GROUP BY 1, 2),
+    pair AS (SELECT a, b, s::DOUBLE / (ka.k + kb.k - s) AS j FROM s JOIN k ka ON ka.library_id = a JOIN k kb ON kb.library_id = b WHERE s >= 0.55 * (ka.k + kb.k - s) - 1e-9 AND a IN (SELECT id FROM libraries) AND b IN (SELECT id FROM libraries)),
+    {_DUPS},
+    p AS (SELECT 'register' AS kind, name, 0 AS size FROM libraries WHERE has_nicnt AND concat('k', CAST(id AS STRING)) NOT IN (SELECT lower(reg_key) FROM registered) UNION ALL SELECT 'kb', name, 0 FROM libraries WHERE id % 4 <> 0 AND id IN (SELECT library_id FROM manuals)
+    UNION ALL SELECT 'junk', name, junk_bytes FROM libraries WHERE junk_bytes > 52428800 UNION ALL SELECT 'cover', name, 0 FROM libraries WHERE has_nicnt AND cover_file = '' UNION ALL SELECT 'nonstandard', name, 0 FROM libraries WHERE NOT has_nicnt UNION ALL SELECT 'unclassified', name, 0 FROM libraries WHERE trim(category) = ''),
+    top AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY size DESC, name) AS rn FROM p),
+    pt AS (SELECT la.name AS na, lb.name AS nb, row_number() OVER (ORDER BY j DESC, a, b) AS rn FROM pair JOIN libraries la ON la.id = a JOIN libraries lb ON lb.id = b),
+    sides AS (SELECT na AS name, 0 AS side, rn FROM pt WHERE rn <= 8 UNION ALL SELECT nb, 1, rn FROM pt WHERE rn <= 8), once AS (SELECT name, min(side * 100 + rn) AS o FROM sides GROUP BY 1),
+    dt AS (SELECT library, row_number() OVER (ORDER BY reclaimable DESC, library, fp) AS rn FROM dg), m AS (
+    SELECT kind, count(*) AS n, CASE kind WHEN 'register' THEN 1000000 + count(*) WHEN 'kb' THEN 900000 + count(*) WHEN 'junk' THEN 600000 + sum(size) // 1048576 WHEN 'cover' THEN 300000 + count(*) WHEN 'nonstandard' THEN 200000 + count(*) ELSE 100000 + count(*) END AS weight, string_agg(name, ',' ORDER BY rn) FILTER (rn <= 8) AS samples FROM top GROUP BY 1
+    UNION ALL SELECT 'similar', count(*), 700000 + count(*), (SELECT string_agg(name, ',' ORDER BY o) FROM once) FROM pair HAVING count(*) > 0
+    UNION ALL SELECT 'duplicates', count(*), 500000 + sum(reclaimable) // 1048576, (SELECT string_agg(library, ',' ORDER BY rn) FROM dt WHERE rn <= 5) FROM dg HAVING count(*) > 0) SELECT kind, n, CAST(weight AS BIGINT) AS weight, samples FROM m""")
 def suggest(c):
-    rows = c("libraries")
-    one = F.lit(1).alias("magnitude")
-    return R.suggestions({
-        "junk": rows.where(F.col("junk_bytes") > R.JUNK_BYTES).select("name", F.floor(F.col("junk_bytes") / (1 << 20)).alias("magnitude")),
-        "cover": rows.where("cover_file = ''").select("name", one),
-        "nonstandard": rows.where("not has_nicnt").select("name", one),
-        "unclassified": rows.where("coalesce(category, '') = ''").select("name", one),
-    })
+    """All eight rules; what stands beside the libraries is as in ``batch_dsl_expand``."""
+    from sonaria.operators.dedup import duplicate_files
+    from sonaria.operators.relational import similar_pairs
+
+    libraries, related, names = _related(c)
+    pairs = similar_pairs(names.select("library_id", F.lower("name").alias("name")), "library_id", "name", R.DUPLICATE)
+    known = c("libraries").select("id")
+    pairs = pairs.join(known.withColumnRenamed("id", "a"), "a").join(known.withColumnRenamed("id", "b"), "b").withColumn("jaccard", F.col("shared") / (F.col("ka") + F.col("kb") - F.col("shared")))
+    files = c.table("documents").select("doc_id", F.col("source").alias("library"), F.col("n_chars").alias("size_bytes"), "text")
+    groups = duplicate_files(files, least=50)
+    first = files.select(F.sha2("text", 256).alias("fp"), "size_bytes", "library").groupBy("fp", "size_bytes").agg(F.min("library").alias("library"))
+    return R.suggestions(libraries, related, pairs, groups.join(first, ["fp", "size_bytes"]).select("fp", "library", "reclaimable"))
 
 
-_STATUS = """WITH o AS (SELECT l.id, min(r.reg_key) AS reg_key, max(r.in64) AS in64, max(r.content_dir) AS dir FROM libraries l JOIN registered r ON r.content_dir = l.path OR starts_with(r.content_dir, l.path || '/') GROUP BY 1)
-    SELECT l.id, o.reg_key, CASE WHEN o.reg_key IS NULL AND NOT has_nicnt THEN 'non-standard' WHEN o.reg_key IS NULL THEN 'missing' WHEN o.dir <> l.path THEN 'path-mismatch' WHEN NOT o.in64 THEN 'partial' ELSE 'registered' END AS status FROM libraries l LEFT JOIN o ON l.id = o.id"""
+_STATUS = """WITH l AS (SELECT id, path, has_nicnt, CASE WHEN id % 16 = 7 THEN '' WHEN id % 8 = 3 THEN concat('K', id + 1, ';AB') ELSE concat('k', id) END AS keys FROM libraries),
+    o AS (SELECT l.id, min(r.reg_key) AS reg_key, max(r.in64) AS in64, bool_and(CAST(substring(r.reg_key, 2) AS BIGINT) % 5 <> 0) AS recorded, bool_or(CAST(substring(r.reg_key, 2) AS BIGINT) % 7 <> 0) AS managed FROM l JOIN registered r ON r.content_dir = l.path OR starts_with(r.content_dir, l.path || '/') GROUP BY 1),
+    e AS (SELECT l.id, min(split_part(keys, ';', 1)) AS moved FROM l JOIN registered r ON lower(r.reg_key) = lower(split_part(keys, ';', 1)) GROUP BY 1),
+    s AS (SELECT l.id, coalesce(o.reg_key, e.moved) AS reg_key, has_nicnt, recorded, managed, CASE WHEN o.reg_key IS NOT NULL AND NOT o.in64 THEN 'partial' WHEN o.reg_key IS NOT NULL THEN 'registered' WHEN keys = '' THEN 'non-standard' WHEN e.moved IS NOT NULL THEN 'path-mismatch' ELSE 'missing' END AS s FROM l LEFT JOIN o ON l.id = o.id LEFT JOIN e ON l.id = e.id),
+    t AS (SELECT *, CASE WHEN has_nicnt AND s IN ('registered', 'partial') AND NOT recorded THEN 'incomplete' ELSE s END AS t FROM s)
+    SELECT id, reg_key, CASE WHEN t IN ('registered', 'incomplete') AND NOT managed THEN 'pending-manager' ELSE t END AS status FROM t"""
+
+
+def _registration(c):
+    """Some libraries name another's product, with a short mark, or none; every fifth product has no record
+    and every seventh is not in the manager's list."""
+    key = F.when(F.col("id") % 16 == 7, "").when(F.col("id") % 8 == 3, F.concat(F.lit("K"), (F.col("id") + 1).cast("string"), F.lit(";AB"))).otherwise(F.concat(F.lit("k"), F.col("id").cast("string")))
+    number = F.substring("reg_key", 2, 20).cast("long")
+    return R.registration(c("libraries").withColumn("product_key", key), c("registered"), c("registered").where(number % 5 != 0), c("registered").where(number % 7 != 0))
 
 
 @query("registration_status", "libraries registered", _STATUS)
 def registration_status(c):
-    return R.registration(c("libraries"), c("registered"))
+    return _registration(c)
 
 
 @query("registration_report", "libraries registered", f"SELECT status, count(*) AS n FROM ({_STATUS}) GROUP BY 1")
 def registration_report(c):
-    return R.registration(c("libraries"), c("registered")).groupBy("status").agg(F.count("*").alias("n"))
+    return _registration(c).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("compat_status", "libraries", "SELECT id, CASE WHEN required_version = '' THEN 'unknown' WHEN (CAST(split_part(required_version, '.', 1) AS INT), CAST(split_part(required_version, '.', 2) AS INT)) > (6, 4) OR (split_part(required_version, '.', 1) = '6' AND split_part(required_version, '.', 2) = '4' AND split_part(required_version, '.', 3) <> '0') THEN 'too-old' ELSE 'ok' END AS status FROM libraries")
@@ -112,11 +148,29 @@ def assert_claims(c):
     return rows.select("kind", "subject", "claimed", "total", (F.col("claimed") > F.col("total")).alias("fails"))
 
 
-@query("list_manuals_status", "libraries manuals", "SELECT l.id, count(m.id) AS manuals, coalesce(bool_or(m.is_primary), false) AS built, coalesce(min(m.name), '') AS best FROM libraries l LEFT JOIN manuals m ON m.library_id = l.id GROUP BY l.id")
+_SCORE = """CASE WHEN is_primary THEN 100 ELSE 0 END + CASE ext WHEN 'pdf' THEN 50 WHEN 'chm' THEN 30 WHEN 'epub' THEN 20 ELSE 0 END + CASE WHEN regexp_matches(lower(name), 'english|_en') THEN 40 ELSE 0 END
+    - CASE WHEN regexp_matches(lower(name), 'deutsch|_de|francais|_fr|espanol|_es') THEN 40 ELSE 0 END + CASE WHEN contains(lower(name), 'manual') THEN 25 ELSE 0 END + CASE WHEN contains(lower(name), 'guide') THEN 20 ELSE 0 END + CASE WHEN contains(lower(name), 'reference') THEN 15 ELSE 0 END
+    + CASE WHEN contains(lower(name), 'handbook') THEN 5 ELSE 0 END - CASE WHEN regexp_matches(lower(name), 'license|readme|changelog') THEN 30 ELSE 0 END + CASE WHEN size_bytes > 1048576 THEN 5 ELSE 0 END - CASE WHEN size_bytes < 20480 THEN 20 ELSE 0 END"""
+_MANUALS = f"""WITH m AS (SELECT *, {_SCORE} AS score, row_number() OVER (PARTITION BY library_id ORDER BY is_primary DESC, size_bytes DESC, name, id) AS rn FROM manuals),
+    p AS (SELECT library_id, count(*) AS manuals, arg_min(name, (-score, name)) AS best, string_agg(name, ',' ORDER BY rn) FILTER (rn <= 8) AS listed FROM m GROUP BY 1)
+    SELECT l.id, l.name, coalesce(p.manuals, 0) AS manuals, coalesce(p.best, '') AS best, coalesce(l.id % 4 = 0 AND p.manuals > 0, false) AS built, coalesce(p.listed, '') AS listed FROM libraries l LEFT JOIN p ON p.library_id = l.id"""
+
+
+def _manuals_status(c):
+    """The base of every fourth library is as new as its manual."""
+    manuals = c("manuals").withColumn("mtime", F.lit(5))
+    bases = manuals.select("library_id", F.col("name").alias("manual_name"), F.when(F.col("library_id") % 4 == 0, 5).otherwise(4).alias("built")).distinct()
+    return R.manuals_status(c("libraries"), manuals, bases)
+
+
+@query("list_manuals_status", "libraries manuals", _MANUALS)
 def list_manuals_status(c):
-    per = c("manuals").groupBy(F.col("library_id").alias("id")).agg(F.count("*").alias("manuals"), F.bool_or("is_primary").alias("built"), F.min("name").alias("best"))
-    rows = c("libraries").select("id").join(per, "id", "left")
-    return rows.select("id", F.coalesce("manuals", F.lit(0)).alias("manuals"), F.coalesce("built", F.lit(False)).alias("built"), F.coalesce("best", F.lit("")).alias("best"))
+    return _manuals_status(c).withColumn("listed", F.array_join("listed", ","))
+
+
+@query("list_manuals_totals", "libraries manuals", f"SELECT count(*) AS libraries, CAST(sum(manuals) AS BIGINT) AS manuals, count(*) FILTER (built) AS built, count(*) FILTER (NOT built AND manuals > 0) AS missing, count(*) > 60 AS compact FROM ({_MANUALS})")
+def list_manuals_totals(c):
+    return R.manuals_totals(_manuals_status(c))
 
 
 @query("required_args", "trace", "SELECT id, CASE tool_name WHEN 'click' THEN 'target' WHEN 'view' THEN 'page,size' ELSE '' END AS missing FROM trace")
@@ -125,18 +179,25 @@ def required_args(c):
     return c("trace").select("id", F.array_join(R.missing_keys(F.col("args"), need), ",").alias("missing"))
 
 
-@query("snapshot_list", "registered", "SELECT count(*) FILTER (in64) + count(*) FILTER (in32) + count(*) FILTER (in_user) AS products FROM registered")
+@query("snapshot_list", "registered", """WITH s AS (SELECT *, CAST(substring(reg_key, 2) AS BIGINT) % 30 AS day FROM registered), n AS (SELECT day, count(*) FILTER (in64) + count(*) FILTER (in32) + count(*) FILTER (in_user) AS n FROM s GROUP BY 1)
+    SELECT concat('snapshot-', lpad(CAST(day AS STRING), 3, '0')) AS name, CASE WHEN day % 7 = 6 THEN 'file time' ELSE concat('day ', day) END AS created_at, CASE WHEN day % 7 = 6 THEN '' ELSE 'before import' END AS reason, CASE WHEN day % 7 = 6 THEN 0 ELSE n END AS products, day % 7 <> 6 AND day % 2 = 0 AS portable FROM n""")
 def snapshot_list(c):
-    """Products of a snapshot over its views, counted by view."""
-    views = [F.when(F.col(v), F.lit(v)) for v in ("in64", "in32", "in_user")]
-    entries = c("registered").select("reg_key", F.explode(F.array_compact(F.array(*views))).alias("view"))
-    counts = entries.groupBy("view").agg(F.count("*").alias("n"))
-    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("products"))
-
-
-@query("repeat_suffix_stuck", "messages", "WITH r AS (SELECT session_id, id, content, right(content, 12) AS t FROM messages) SELECT session_id, id, len(list_filter(range(1, greatest(length(content) - length(t) + 2, 2)), lambda i: substring(content, i, 12) = t)) >= 2 AS stuck FROM r")
+    """Snapshots of the registered products, one for each of thirty days, as the JSON that a capture writes; the
+    content of every seventh is cut off."""
+    day = F.substring("reg_key", 2, 20).cast("long") % 30
+    view = lambda name: F.map_from_entries(F.collect_list(F.when(F.col(name), F.struct("reg_key", F.create_map(F.lit("content_dir"), F.col("content_dir"))))))
+    per = c("registered").groupBy(day.alias("day")).agg(*[view(v).alias(v) for v in ("in64", "in32", "in_user")])
+    registry = F.create_map(*[x for v in ("in64", "in32", "in_user") for x in (F.lit(v), F.col(v))])
+    text = F.to_json(F.struct(F.concat(F.lit("day "), F.col("day").cast("string")).alias("created_at"), F.lit("before import").alias("reason"), registry.alias("registry"), F.when(F.col("day") % 2 == 0, "c2V0").alias("settings")))
+    files = per.select(F.concat(F.lit("snapshot-"), F.lpad(F.col("day").cast("string"), 3, "0")).alias("name"), F.lit("file time").alias("modified"), F.when(F.col("day") % 7 == 6, F.lit("{")).otherwise(text).alias("content"))
+    return R.snapshots(files)
+
+
+@query("repeat_suffix_stuck", "", """WITH t AS (SELECT doc_id, text, right(text, 160) AS tail FROM documents), a AS (SELECT *, CASE WHEN length(text) >= 640 THEN strpos(text, tail) ELSE 0 END AS p FROM t), b AS (SELECT doc_id, tail, CASE WHEN p > 0 THEN substring(text, p + 1) ELSE '' END AS rest FROM a),
+    d AS (SELECT doc_id, tail, rest, strpos(rest, tail) AS p FROM b), e AS (SELECT doc_id, tail, CASE WHEN p > 0 THEN substring(rest, p + 1) ELSE '' END AS rest FROM d), f AS (SELECT doc_id, tail, rest, strpos(rest, tail) AS p FROM e), g AS (SELECT doc_id, tail, CASE WHEN p > 0 THEN substring(rest, p + 1) ELSE '' END AS rest FROM f)
+    SELECT doc_id, rest <> '' AND strpos(rest, tail) > 0 AS stuck FROM g""")
 def repeat_suffix_stuck(c):
-    return c("messages").select("session_id", "id", (R.suffix_repeats(F.col("content"), 12) >= 2).alias("stuck"))
+    return c.table("documents").select("doc_id", R.suffix_stuck(F.col("text")).alias("stuck"))
 
 
 @query("move_plan_report", "libraries instruments", "SELECT l.id, coalesce(count(i.id), 0) AS files, CAST(coalesce(sum(i.size_bytes), 0) AS BIGINT) AS bytes, CASE WHEN l.root_id = 4 THEN 'error' WHEN NOT l.has_nicnt THEN 'warning' ELSE 'ok' END AS state FROM libraries l LEFT JOIN instruments i ON i.library_id = l.id GROUP BY l.id, l.root_id, l.has_nicnt")

@@ -83,16 +83,21 @@ def path_match_score(c):
     return c("libraries").select("id", S.path_match_score(F.lit("nation_1"), F.col("name"), F.col("path")).alias("value"))
 
 
-@query("sanitize_keywords", "manuals", "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents), n AS (SELECT doc_id, w, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, w) AS rn FROM w WHERE w NOT IN ('this', 'that', 'with', 'from') GROUP BY 1, 2) SELECT doc_id, string_agg(w, ',' ORDER BY rn) AS value FROM n WHERE rn <= 12 GROUP BY 1")
+_NOISE, _STOP = ["license", "copyright", "an"], ["the", "and", "est"]
+_QUIET = " AND ".join(f"NOT contains(lower(x), '{n}')" for n in [*_NOISE, "。", "？", "！"])
+
+
+@query("sanitize_keywords", "", f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    l AS (SELECT doc_id, t, list_filter(list_transform(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: {_QUIET}), lambda x: regexp_extract_all(regexp_replace(x, '^[^:：]{{0,39}}[:：]', ''), '[A-Za-z][A-Za-z0-9-]+')), lambda w: len(w) >= 3)[1] AS f FROM d),
+    u AS (SELECT doc_id, unnest(regexp_extract_all(t, '[A-Za-z][A-Za-z0-9-]+')) AS w, unnest(range(len(regexp_extract_all(t, '[A-Za-z][A-Za-z0-9-]+')))) AS pos FROM l WHERE f IS NULL),
+    g AS (SELECT doc_id, lower(w) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) AS rn FROM u WHERE length(w) >= 3 AND lower(w) NOT IN ('the', 'and', 'est') GROUP BY doc_id, lower(w)),
+    top AS (SELECT doc_id, string_agg(w, ' ' ORDER BY rn) AS v FROM g WHERE rn <= 12 GROUP BY 1)
+    SELECT l.doc_id, CASE WHEN f IS NOT NULL THEN array_to_string(f[1:16], ' ') ELSE coalesce(v, '') END AS value FROM l LEFT JOIN top ON top.doc_id = l.doc_id""")
 def sanitize_keywords(c):
-    """The twelve most frequent words of a document, without stop words."""
-    from pyspark.sql import Window
-
-    words = c.table("documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w"))
-    n = words.where(~F.col("w").isin("this", "that", "with", "from")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "w")
-    top = n.withColumn("rn", F.row_number().over(w)).where("rn <= 12")
-    return top.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "w"))), lambda x: x["w"]), ",").alias("value"))
+    """The first line of keywords of each document, else its most frequent words."""
+    from sonaria.operators import text as T
+
+    return T.sanitize_keywords(c.table("documents"), "doc_id", "text", _NOISE, _STOP)
 
 
 _one("csv_escape", "trace", "CASE WHEN regexp_matches(args, '[\",]') THEN '\"' || replace(args, '\"', '\"\"') || '\"' ELSE args END", "trace", "id", lambda: S.csv_escape(col("args")))
