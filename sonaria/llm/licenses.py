@@ -8,11 +8,14 @@ stays. Rules of notices come before identifiers, and these before mere names.
 Everything is DataFrame expressions on the row itself; nothing is shuffled.
 
 Rows: a null text counts as empty: no words, no labels (empty strings), score 0, null places;
-every row, repeated or with a null id, gives one row; other columns are ignored.
+every row, repeated or with a null id, gives one row; other columns are ignored. Of detections with the
+same words the one of higher priority counts, then the label first in order. A text of any length is read
+whole, at a cost linear in its words and detections of a rule.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
@@ -413,9 +416,27 @@ def _detections(line: Column, rule: Column) -> Column:
     return let(hits, lambda found: F.when(F.size(found) > 0, _intervals(line, rule, found)).otherwise(F.expr("cast(array() as array<struct<start:int,order:int,priority:int,label:string,score:double>>)")))
 
 
+#: Hits of a run; within a run each hit copies those before it, so a text's cost is linear in its hits.
+RUN = 64
+
+
+def _in_runs(step: Callable[[Column, Column], Column]) -> Callable[[Column], Column]:
+    """Folds pairs in runs by ``step``, each from the words before it, and joins what they found."""
+
+    def fold(pairs: Column) -> Column:
+        heads = F.sequence(F.lit(0), F.size(pairs) - 1, F.lit(RUN))
+        part = lambda h: F.slice(pairs, h + 1, F.lit(RUN))
+        sizes = F.transform(heads, lambda h: F.aggregate(part(h), F.lit(0), lambda n, p: n + _spaces(p["gap"]) + _spaces(p["hit"])))
+        before = F.aggregate(sizes, F.array(F.lit(0)).cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        empty = F.expr("cast(array() as array<struct<start:int,end:int,introduced:boolean>>)").alias("found")
+        starts = F.slice(before, F.lit(1), F.size(heads))
+        return F.flatten(F.zip_with(heads, starts, lambda h, at: F.aggregate(part(h), F.struct(at.alias("at"), empty), step)["found"]))
+
+    return fold
+
+
 def _intervals(line: Column, rule: Column, hits: Column) -> Column:
     between = F.split(line, rule["pattern"], F.lit(-1))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,introduced:boolean>>)").alias("found"))
 
     def step(acc: Column, pair: Column) -> Column:
         first = acc["at"] + _spaces(pair["gap"])
@@ -423,7 +444,7 @@ def _intervals(line: Column, rule: Column, hits: Column) -> Column:
         return F.struct(last.alias("at"), F.concat(acc["found"], F.array(F.struct((first - 1).alias("start"), last.alias("end"), pair["hit"].rlike(f"^{INTRO}").alias("introduced")))).alias("found"))
 
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    spans = F.aggregate(pairs, start, step)["found"]
+    spans = let(pairs, _in_runs(step))
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("order"), rule["priority"].alias("priority"), rule["label"].alias("label"), F.when(s["introduced"], F.greatest(rule["score"], F.lit(INTRO_SCORE))).otherwise(rule["score"]).alias("score")))
 
 
