@@ -98,6 +98,15 @@ def spread_places(rows: DataFrame, key: str, order: str, label: str = "place") -
     return ranged.withColumn("__inner", inner).join(starts, [key, "__part"]).withColumn(label, F.col("__inner") + F.col("__before")).drop("__part", "__inner", "__before")
 
 
+def nested_blocks(rows: DataFrame, key: str, order: str, item: Column, size: int = 100, label: str = "items") -> DataFrame:
+    """key, block (from 0), ``label``: the items of each key in the order of ``order``, which no two rows of a key
+    share, in arrays of at most ``size``; the arrays of a key, one after the other, hold all of them."""
+    placed = spread_places(rows.select(key, F.col(order).alias("__o"), item.alias("__i")), key, "__o")
+    parts = placed.groupBy(key, F.floor((F.col("place") - 1) / size).alias("block"))
+    sorted_ = F.array_sort(F.collect_list(F.struct("place", "__i")))  # ``size`` rows
+    return parts.agg(F.transform(sorted_, lambda x: x["__i"]).alias(label))
+
+
 def spread_sums(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Adds ``__before``, the sum of ``value`` over the key's rows before this one, and ``__place``, its place from 1,
     in the order of ``order``, which no two rows of a key share. Ranges as in ``spread_places``."""

@@ -236,6 +236,25 @@ def suggestions(libraries: DataFrame, related: dict[str, DataFrame], pairs: Data
     return out.select("kind", "n", (base + F.col("m")).cast("long").alias("weight"), F.coalesce("samples", F.lit("")).alias("samples")).orderBy(F.desc("weight"), "kind")
 
 
+#: What a step of a plan can be; any other status is the first of these.
+STATES = ("pending", "doing", "done", "blocked")
+STEPS = 20
+
+
+def plan_steps(text: Column, most: int = STEPS) -> Column:
+    """array<struct<title, status>> of a JSON array of steps, each a text or an object, in their order, ``most`` at most.
+
+    Texts are pending. Objects without a title are left out, and so is what is neither; titles and states are trimmed.
+    Null and what is no JSON array have no steps.
+    """
+    steps = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+    word = lambda x, path: F.trim(F.coalesce(F.try_variant_get(x, path, "string"), F.lit("")))
+    kind = lambda x, name: F.startswith(F.schema_of_variant(x), F.lit(name))
+    state = lambda x: F.when(word(x, "$.status").isin(*STATES), word(x, "$.status")).otherwise(STATES[0])
+    made = lambda x: F.when(kind(x, "STRING"), F.struct(word(x, "$").alias("title"), F.lit(STATES[0]).alias("status"))).when(kind(x, "OBJECT") & (word(x, "$.title") != ""), F.struct(word(x, "$.title").alias("title"), state(x).alias("status")))
+    return F.slice(F.array_compact(F.transform(steps, made)), 1, most)
+
+
 def missing_keys(args: Column, required: Column) -> Column:
     """The required keys that a JSON object lacks; all of them where it is no object."""
     return F.array_sort(F.array_except(required, F.coalesce(F.json_object_keys(args), F.array().cast("array<string>"))))

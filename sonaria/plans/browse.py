@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sonaria.functions import scalars as S
+from sonaria.operators import listing
 from sonaria.plans.registry import query
 
 
@@ -180,9 +181,27 @@ def audition_list(c, library: int = 3):
     return rows.orderBy(F.when(F.col("kind") == "demo", 0).otherwise(1), "id").limit(30).select("id")
 
 
-@query("directory_listing", "instruments", "SELECT rel_path, size_bytes FROM instruments WHERE regexp_matches(lower(rel_path), '^brand#1.*ring$') ORDER BY size_bytes DESC, id LIMIT 200")
-def directory_listing(c, pattern: str = "brand#1*ring", limit: int = 200):
-    return c("instruments").where(S.glob_match(F.col("rel_path"), pattern)).orderBy(F.desc("size_bytes"), "id").limit(limit).select("rel_path", "size_bytes")
+_LISTED = """WITH s AS (SELECT concat(CASE WHEN id % 5 = 0 THEN 'Deep/er/' ELSE '' END, replace(rel_path, ' ', '/')) AS p, string_split(p, '/') AS a, size_bytes FROM instruments),
+    d AS (SELECT DISTINCT array_to_string(a[1:n], '/') AS name FROM s, range(1, 8) AS r(n) WHERE n <= len(a) - 1),
+    folders AS (SELECT name FROM d WHERE {folders}), files AS (SELECT {name} AS name, size_bytes FROM s WHERE {files})
+    SELECT 'folder' AS kind, name, 0 AS size_bytes, (SELECT count(*) FROM folders) AS matched FROM (SELECT name FROM folders ORDER BY name LIMIT 200) UNION ALL
+    SELECT 'file', name, size_bytes, (SELECT count(*) FROM files) FROM (SELECT name, size_bytes FROM files ORDER BY size_bytes DESC, name LIMIT 200)"""
+
+
+def _tree(c):
+    """The instruments in deeper folders, some of them too deep for a listing."""
+    return c("instruments").select(F.concat(F.when(F.col("id") % 5 == 0, "Deep/er/").otherwise(""), F.replace("rel_path", F.lit(" "), F.lit("/"))).alias("path"), "size_bytes")
+
+
+@query("directory_listing", "instruments", _LISTED.format(folders="contains(lower(list_last(string_split(name, '/'))), 'e')", name="p", files="len(a) <= 7 AND contains(lower(a[-1]), 'e')"))
+def directory_listing(c):
+    return listing.directory_listing(_tree(c), "path", "size_bytes", "", "*E*", recursive=True)
+
+
+@query("directory_listing_one", "instruments", _LISTED.format(folders="len(string_split(name, '/')) = 2 AND starts_with(name, 'Brand#12/')", name="a[2]", files="len(a) = 2 AND a[1] = 'Brand#12'").replace("SELECT name FROM folders ORDER", "SELECT substring(name, 10) AS name FROM folders ORDER"))
+def directory_listing_one(c):
+    """One folder, without what lies below."""
+    return listing.directory_listing(_tree(c), "path", "size_bytes", "brand#12")
 
 
 @query("path_candidates", "roots libraries", """WITH p AS (SELECT path, label AS name FROM roots UNION SELECT path, name FROM libraries), s AS (SELECT path, name,

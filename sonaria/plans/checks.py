@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sonaria.operators import rules as R
+from sonaria.operators import moves as M
 from sonaria.plans.registry import query
 
 _RULES = [(["junk"], "clean", ""), (["no-cover", "category=NATION_3"], "tag", "cover"), (["name~0007"], "tag", "cover"), (["nonstandard", "min-size=50000000000"], "register", ""), (["duplicate", "no-kb"], "build-kb", ""), (["unregistered"], "register", ""), (["duplicate"], "list", ""), (["sparkling"], "list", ""), (["junk=3"], "list", "")]
@@ -130,10 +131,15 @@ def view_misplacement(c):
     return R.misplaced(c("registered")).select("reg_key")
 
 
-@query("orphan_products", "registered libraries", "SELECT reg_key FROM registered WHERE content_dir NOT IN (SELECT path FROM libraries WHERE root_id <> 3)")
+@query("orphan_products", "registered libraries", """WITH p AS (SELECT *, CAST(substring(reg_key, 2) AS BIGINT) AS n FROM registered), f AS (SELECT path FROM libraries WHERE root_id <> 3 UNION SELECT split_part(path, '/', 1) FROM libraries WHERE root_id <> 3),
+    o AS (SELECT reg_key, content_dir, in64, in32, in_user, CASE WHEN n % 3 = 1 THEN 'index' ELSE 'hint' END AS evidence FROM p WHERE content_dir NOT IN (SELECT path FROM f) AND (n % 3 = 1 OR n % 4 < 2))
+    SELECT view, reg_key, content_dir, evidence FROM (SELECT *, unnest(['in64', 'in32', 'in_user']) AS view, unnest([in64, in32, in_user]) AS held FROM o) WHERE held""")
 def orphan_products(c):
-    known = c("libraries").where("root_id <> 3").select(F.col("path").alias("content_dir"))
-    return c("registered").join(known, "content_dir", "left_anti").select("reg_key")
+    """Every third product is in the index; the hints of two in four say what they are."""
+    n = F.substring("reg_key", 2, 20).cast("long")
+    bodies = F.concat(F.lit("<Product><Type>"), F.when(n % 4 < 2, "Content").otherwise("Plugin"), F.lit("</Type></Product>"))
+    hints = c("registered").select("reg_key", bodies.alias("body"))
+    return M.orphan_products(c("registered"), c("libraries").where("root_id <> 3").select("path"), c("registered").where(n % 3 == 1), hints, ["<Type>Content</Type>"], ["in64", "in32", "in_user"])
 
 
 _CLAIMS = [("found_count", "NATION_1", 3), ("found_count", "NATION_2", 4000), ("found_count", "NATION_2", 4000), ("found_count", "none", 1)]
@@ -179,17 +185,19 @@ def required_args(c):
     return c("trace").select("id", F.array_join(R.missing_keys(F.col("args"), need), ",").alias("missing"))
 
 
-@query("snapshot_list", "registered", """WITH s AS (SELECT *, CAST(substring(reg_key, 2) AS BIGINT) % 30 AS day FROM registered), n AS (SELECT day, count(*) FILTER (in64) + count(*) FILTER (in32) + count(*) FILTER (in_user) AS n FROM s GROUP BY 1)
-    SELECT concat('snapshot-', lpad(CAST(day AS STRING), 3, '0')) AS name, CASE WHEN day % 7 = 6 THEN 'file time' ELSE concat('day ', day) END AS created_at, CASE WHEN day % 7 = 6 THEN '' ELSE 'before import' END AS reason, CASE WHEN day % 7 = 6 THEN 0 ELSE n END AS products, day % 7 <> 6 AND day % 2 = 0 AS portable FROM n""")
+@query("snapshot_list", "registered", """WITH s AS (SELECT *, CAST(substring(reg_key, 2) AS BIGINT) // 40 AS day FROM registered), n AS (SELECT day, count(*) FILTER (in64) + count(*) FILTER (in32) + count(*) FILTER (in_user) AS n FROM s GROUP BY 1)
+    SELECT concat('snapshot-', lpad(CAST(day AS STRING), 9, '0')) AS name, CASE WHEN day % 7 = 6 THEN 'file time' ELSE concat('day ', day) END AS created_at, CASE WHEN day % 7 = 6 THEN '' ELSE 'before import' END AS reason, CASE WHEN day % 7 = 6 THEN 0 ELSE n END AS products, day % 7 <> 6 AND day % 2 = 0 AS portable FROM n""")
 def snapshot_list(c):
-    """Snapshots of the registered products, one for each of thirty days, as the JSON that a capture writes; the
-    content of every seventh is cut off."""
-    day = F.substring("reg_key", 2, 20).cast("long") % 30
+    """Snapshots of the registered products, up to forty in each, as the JSON that a capture writes; the content of
+    every seventh is cut off. A product that is registered twice counts once in a view."""
+    day = F.floor(F.substring("reg_key", 2, 20).cast("long") / 40)
+    views = ("in64", "in32", "in_user")
+    once = c("registered").groupBy("reg_key").agg(F.min("content_dir").alias("content_dir"), *[F.max(F.coalesce(F.col(v), F.lit(False))).alias(v) for v in views])
     view = lambda name: F.map_from_entries(F.collect_list(F.when(F.col(name), F.struct("reg_key", F.create_map(F.lit("content_dir"), F.col("content_dir"))))))
-    per = c("registered").groupBy(day.alias("day")).agg(*[view(v).alias(v) for v in ("in64", "in32", "in_user")])
-    registry = F.create_map(*[x for v in ("in64", "in32", "in_user") for x in (F.lit(v), F.col(v))])
+    per = once.groupBy(day.alias("day")).agg(*[view(v).alias(v) for v in views])  # forty products
+    registry = F.create_map(*[x for v in views for x in (F.lit(v), F.col(v))])
     text = F.to_json(F.struct(F.concat(F.lit("day "), F.col("day").cast("string")).alias("created_at"), F.lit("before import").alias("reason"), registry.alias("registry"), F.when(F.col("day") % 2 == 0, "c2V0").alias("settings")))
-    files = per.select(F.concat(F.lit("snapshot-"), F.lpad(F.col("day").cast("string"), 3, "0")).alias("name"), F.lit("file time").alias("modified"), F.when(F.col("day") % 7 == 6, F.lit("{")).otherwise(text).alias("content"))
+    files = per.select(F.concat(F.lit("snapshot-"), F.lpad(F.col("day").cast("string"), 9, "0")).alias("name"), F.lit("file time").alias("modified"), F.when(F.col("day") % 7 == 6, F.lit("{")).otherwise(text).alias("content"))
     return R.snapshots(files)
 
 
@@ -200,11 +208,29 @@ def repeat_suffix_stuck(c):
     return c.table("documents").select("doc_id", R.suffix_stuck(F.col("text")).alias("stuck"))
 
 
-@query("move_plan_report", "libraries instruments", "SELECT l.id, coalesce(count(i.id), 0) AS files, CAST(coalesce(sum(i.size_bytes), 0) AS BIGINT) AS bytes, CASE WHEN l.root_id = 4 THEN 'error' WHEN NOT l.has_nicnt THEN 'warning' ELSE 'ok' END AS state FROM libraries l LEFT JOIN instruments i ON i.library_id = l.id GROUP BY l.id, l.root_id, l.has_nicnt")
+@query("move_plan_report", "libraries roots registered", """WITH m AS (SELECT l.id AS library_id, CASE WHEN l.id % 7 = 0 THEN 'nowhere' WHEN l.id % 7 = 1 THEN 'Shelf/New' WHEN l.id % 11 = 5 THEN l.path ELSE r.path END AS dest_root FROM libraries l JOIN roots r ON r.id = l.id % 5 UNION ALL SELECT id + 1000000, 'Shelf/New' FROM libraries WHERE id % 50 = 0),
+    f AS (SELECT path FROM libraries WHERE root_id <> 3 UNION SELECT path FROM roots UNION SELECT unnest(['Shelf', 'Shelf/New']) UNION SELECT concat(r.path, '/', l.name) FROM libraries l JOIN roots r ON r.id = l.id % 5 WHERE l.id % 10 = 0),
+    free AS (SELECT path, CASE WHEN id = 1 THEN 5000000000 ELSE 1000000000000 END AS free_bytes FROM roots WHERE id <> 2 UNION ALL SELECT 'Shelf/New', 1000000000000),
+    k AS (SELECT l.id, lower(r.reg_key) AS k FROM libraries l JOIN registered r ON r.content_dir = l.path OR starts_with(r.content_dir, l.path || '/') UNION SELECT id, CASE WHEN id % 16 = 7 THEN lower(name) ELSE concat('k', id) END FROM libraries WHERE has_nicnt),
+    n AS (SELECT id, count(*) AS n FROM k GROUP BY 1),
+    j AS (SELECT m.library_id, m.dest_root, l.id IS NOT NULL AS found, concat(m.dest_root, '/', l.name) AS dest_path, l.path, l.size_bytes, l.file_count, coalesce(n.n, 0) AS products, l.path IN (SELECT path FROM f) AS src, m.dest_root IN (SELECT path FROM f) AS root, concat(m.dest_root, '/', l.name) IN (SELECT path FROM f) AS dest, m.dest_root IN (SELECT path FROM roots) AS known, free.free_bytes AS free
+        FROM m LEFT JOIN libraries l ON l.id = m.library_id LEFT JOIN n ON n.id = m.library_id LEFT JOIN free ON free.path = m.dest_root)
+    SELECT library_id, dest_root, CASE WHEN found THEN dest_path ELSE '' END AS dest_path, coalesce(size_bytes, 0) AS size_bytes, coalesce(file_count, 0) AS file_count, products,
+        CASE WHEN NOT found THEN 'no-library' ELSE concat_ws(',', CASE WHEN NOT src THEN 'no-source' END, CASE WHEN NOT root THEN 'no-dest-root' END, CASE WHEN root AND dest THEN 'exists' END, CASE WHEN root AND starts_with(dest_path, path || '/') THEN 'nested' END, CASE WHEN root AND free < floor(size_bytes * 1.02::DOUBLE) + 52428800 THEN 'no-space' END) END AS errors,
+        CASE WHEN NOT found THEN '' ELSE concat_ws(',', CASE WHEN root AND NOT known THEN 'unknown-root' END, CASE WHEN root AND free IS NULL THEN 'free-space-unknown' END, 'running', CASE WHEN products = 0 THEN 'no-products' END) END AS warnings FROM j""")
 def move_plan_report(c):
-    sums = c("instruments").groupBy(F.col("library_id").alias("id")).agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
-    state = F.when(F.col("root_id") == 4, "error").when(~F.col("has_nicnt"), "warning").otherwise("ok")
-    return c("libraries").join(sums, "id", "left").select("id", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"), state.alias("state"))
+    """Every library to another place: roots, a shelf that is no root, a place that is not there, or into itself."""
+    paths = c("roots").select(F.col("id").alias("k"), F.col("path").alias("root"))
+    rows = c("libraries").withColumn("k", F.col("id") % 5).join(paths, "k")
+    to = F.when(F.col("id") % 7 == 0, "nowhere").when(F.col("id") % 7 == 1, "Shelf/New").when(F.col("id") % 11 == 5, F.col("path")).otherwise(F.col("root"))
+    moves = rows.select(F.col("id").alias("library_id"), to.alias("dest_root")).union(c("libraries").where("id % 50 = 0").select(F.col("id") + 1_000_000, F.lit("Shelf/New")))
+    taken = rows.where("id % 10 = 0").select(F.concat_ws("/", "root", "name").alias("path"))
+    shelf = c.spark.createDataFrame([("Shelf/New",)], "path string")
+    folders = c("libraries").where("root_id <> 3").select("path").union(c("roots").select("path")).union(shelf).union(taken)
+    free = c("roots").where("id <> 2").select("path", F.when(F.col("id") == 1, 5_000_000_000).otherwise(1_000_000_000_000).alias("free_bytes")).union(shelf.withColumn("free_bytes", F.lit(1_000_000_000_000)))
+    libraries = c("libraries").withColumn("product_key", F.when(F.col("id") % 16 == 7, "").otherwise(F.concat(F.lit("K"), F.col("id").cast("string"))))
+    made = M.move_plans(moves, libraries, c("roots"), folders, free, c("registered"), running=True)
+    return made.withColumns({k: F.array_join(k, ",") for k in ("errors", "warnings")})
 
 
 @query("diagnostics_parse", "trace", "SELECT id, CASE WHEN ok THEN 'warning' ELSE 'error' END AS severity, CAST(id % 100 AS INT) AS line, tool_name AS message FROM trace WHERE id % 5 <> 0")
@@ -217,10 +243,14 @@ def diagnostics_parse(c):
     return rows.select("id", part(1).alias("severity"), part(2).cast("int").alias("line"), part(3).alias("message"))
 
 
-@query("plan_steps_normalise", "trace", "SELECT id, 'step ' || tool_name AS title, CASE WHEN id % 3 = 0 THEN 'done' ELSE 'pending' END AS status FROM trace")
+@query("plan_steps_normalise", "messages", r"""WITH w AS (SELECT session_id, id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT session_id, id, regexp_split_to_array(content, '[ \t\n\r\f\x0B]+') AS ws FROM messages WHERE content IS NOT NULL)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY session_id, id ORDER BY i) AS step FROM w WHERE i % 2 = 1 OR w <> '')
+    SELECT session_id, id, CAST(step AS INT) AS step, w AS title, CASE WHEN i % 10 = 0 THEN 'doing' WHEN i % 10 = 2 THEN 'done' WHEN i % 10 = 4 THEN 'blocked' ELSE 'pending' END AS status FROM k WHERE step <= 20""")
 def plan_steps_normalise(c):
-    """Steps from JSON; a status that is not known is pending; at most twenty steps of a plan."""
-    js = F.to_json(F.array(F.struct(F.concat(F.lit("step "), "tool_name").alias("title"), F.when(F.col("id") % 3 == 0, "done").otherwise("odd").alias("status"))))
-    steps = F.slice(F.from_json(js, "array<struct<title:string,status:string>>"), 1, 20)
-    rows = c("trace").select("id", F.explode(steps).alias("s"))
-    return rows.select("id", "s.title", F.when(F.col("s.status").isin("pending", "running", "done", "failed"), F.col("s.status")).otherwise("pending").alias("status"))
+    """The words of each message as the JSON of a plan's steps: objects, with or without a known status, and texts."""
+    words = F.split("content", r"[ \t\n\r\f\x0B]+", -1)
+    status = lambda i: F.when(i % 10 == 0, "doing").when(i % 10 == 2, "done").when(i % 10 == 4, "blocked").when(i % 10 == 6, "odd")
+    step = lambda w, i: F.when(i % 2 == 0, F.to_json(F.struct(w.alias("title"), status(i).alias("status")))).otherwise(F.regexp_extract(F.to_json(F.array(w)), r"(?s)^\[(.*)\]$", 1))
+    text = F.concat(F.lit("["), F.array_join(F.transform(words, step), ","), F.lit("]"))
+    rows = c("messages").select("session_id", "id", F.posexplode(R.plan_steps(text)).alias("p", "s"))
+    return rows.select("session_id", "id", (F.col("p") + 1).alias("step"), "s.title", "s.status")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sonaria.functions.scalars import squared
+from sonaria.operators.listing import scan_jobs
 from sonaria.plans.registry import query
 from sonaria.sources import files, tables
 from sonaria.sources.commits import Collection, extract, save_scan
@@ -25,9 +26,13 @@ def scan_files_aggregate(c):
     return files.library_sums(_files(c)).select("library", "file_count", "size_bytes", "nki_count", "nkm_count")
 
 
-@query("scan_roots", "instruments manuals", _FILES + " SELECT DISTINCT library FROM files")
+@query("scan_roots", "roots libraries instruments", "SELECT r.path AS root_path, l.category AS library, concat(r.path, '/', l.category) AS path, count(*) AS files FROM roots r JOIN libraries l ON l.root_id = r.id JOIN instruments i ON i.library_id = l.id WHERE r.enabled AND i.id % 10 <> 0 GROUP BY 1, 2, 3")
 def scan_roots(c):
-    return _files(c).select("library").distinct()
+    """A job for each first-level folder of the roots that are on; every tenth file lies in its root itself."""
+    places = c("libraries").select(F.col("id").alias("library_id"), "root_id", "path").join(c("roots").select(F.col("id").alias("root_id"), F.col("path").alias("root_path")), "root_id")
+    own = F.when(F.col("id") % 10 == 0, F.col("name")).otherwise(F.concat_ws("/", "path", "rel_path"))
+    held = c("instruments").select("id", "library_id", "name", "rel_path").join(places, "library_id").select("root_path", own.alias("rel_path"))
+    return scan_jobs(c("roots"), held)
 
 
 @query("scan_manuals", "instruments manuals", _FILES + """, m AS (SELECT *, row_number() OVER (PARTITION BY library ORDER BY rel_path) AS rn FROM files WHERE ext IN ('pdf','rtf','chm','epub','docx','txt','html','htm') AND (contains(lower(name), 'manual') OR (NOT contains(lower(name), 'readme') AND size_bytes >= 51200)))
@@ -89,16 +94,26 @@ def upsert_feature(c):
     return tables.upsert_features(old, new).select("clip_id", F.col("created_at").alias("version"))
 
 
-@query("replace_manuals", "manuals", "SELECT (SELECT count(*) FROM manuals WHERE library_id = 6) AS removed, (SELECT count(*) FROM manuals WHERE library_id = 7) AS added")
+@query("replace_manuals", "manuals", """WITH n AS (SELECT CASE WHEN library_id = 7 THEN 6 ELSE library_id END AS library_id, 0 AS removed, 0 AS added FROM manuals WHERE library_id NOT IN (6, 7) UNION ALL SELECT unnest([6, 7]), 0, 0 FROM manuals WHERE library_id = 7)
+    SELECT library_id, count(*) AS n, (SELECT count(*) FROM manuals WHERE library_id = 6) AS removed, (SELECT count(*) FROM manuals WHERE library_id = 7) AS added FROM n GROUP BY 1""")
 def replace_manuals(c):
-    new = c("manuals").where("library_id = 7").withColumn("library_id", F.lit(6).cast("long"))
-    return tables.replace_children(c("manuals"), new, 6)[1]
+    """One library's manuals give way to copies of another's, as a commit; what the table then holds."""
+    store = Collection(c.spark, new_path(c.spark, "manuals"))
+    first = store.commit({"manuals": c("manuals")})
+    old = store.read("manuals")
+    new = old.where("library_id = 7").withColumn("library_id", F.lit(6).cast(old.schema["library_id"].dataType))
+    table, counts = tables.replace_children(old, new, 6)
+    store.commit({"manuals": table}, since=first)
+    return store.read("manuals").groupBy("library_id").agg(F.count("*").alias("n")).crossJoin(counts)  # one row
 
 
 @query("replace_table", "points", "SELECT clip_id, cluster FROM points WHERE cluster >= 0")
 def replace_table(c):
-    """The rows that overwrite the map's table."""
-    return c("points").where("cluster >= 0").select("clip_id", "cluster")
+    """The map's table, written in full and then in place of that the rows that have a cluster."""
+    store = Collection(c.spark, new_path(c.spark, "map"))
+    store.commit({"map_points": c("points").select("clip_id", "cluster")})
+    store.commit({"map_points": store.read("map_points").where("cluster >= 0")})
+    return store.read("map_points")
 
 
 @query("save_scan_result", "roots libraries instruments", """SELECT l.path, CASE WHEN root_id = 1 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, (SELECT count(*) FROM instruments i WHERE i.library_id = l.id AND (root_id <> 1 OR i.kind = 'nki')) AS instruments, (SELECT count(*) FROM roots) AS roots FROM libraries l""")
@@ -130,9 +145,16 @@ def resumed_extraction(c):
     return store.read("features")
 
 
-@query("export_map_selection", "points", "SELECT clip_id, round(x, 6) AS x, round(y, 6) AS y, cluster FROM points WHERE x BETWEEN 0 AND 0.1")
+@query("export_map_selection", "points libraries", """SELECT coalesce(l.name, '') AS library, concat('take "', clip_id, '", wav') AS file, CAST(cluster AS VARCHAR) AS cluster, round(x, 6) AS x, round(y, 6) AS y, CAST(clip_id AS VARCHAR) AS clip_id FROM points p LEFT JOIN libraries l ON l.id = p.library_id WHERE x BETWEEN 0 AND 0.1""")
 def export_map_selection(c):
-    return c("points").where(F.col("x").between(0, 0.1)).select("clip_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "cluster")
+    """The points in a box as a CSV file with a mark of its encoding, read back."""
+    path = new_path(c.spark, "selection")
+    libraries = c("libraries").select(F.col("id").alias("library_id"), F.col("name").alias("library"))
+    rows = c("points").where(F.col("x").between(0, 0.1)).join(libraries, "library_id", "left")
+    file = F.concat(F.lit('take "'), F.col("clip_id").cast("string"), F.lit('", wav'))
+    tables.write_csv(rows.select("library", file.alias("file"), "cluster", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "clip_id"), path, mark=True)
+    made = tables.read_csv(c.spark, path)
+    return made.withColumn("library", F.coalesce("library", F.lit(""))).withColumns({k: F.col(k).cast("double") for k in ("x", "y")})
 
 
 @query("nicnt_xml_read", "libraries", "SELECT id, name, CAST(id AS VARCHAR) AS reg_key FROM libraries")

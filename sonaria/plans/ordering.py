@@ -47,7 +47,8 @@ def distinct_case_insensitive(c):
 
 @query("dedupe_ops", "instruments", "SELECT library_id, kind, min(id) AS id FROM instruments GROUP BY 1, 2")
 def dedupe_ops(c):
-    return newest(c("instruments").select("library_id", "kind", "id"), ["library_id", "kind"], [F.asc("id")])
+    """The first operation of each library, action and argument."""
+    return c("instruments").groupBy("library_id", "kind").agg(F.min("id").alias("id"))
 
 
 @query("file_set_diff", "instruments", """WITH a AS (SELECT DISTINCT lower(name || size_bytes) AS f, size_bytes FROM instruments WHERE library_id = 3), b AS (SELECT DISTINCT lower(name || size_bytes) AS f, size_bytes FROM instruments WHERE library_id = 5)

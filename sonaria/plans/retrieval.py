@@ -4,6 +4,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sonaria.operators import text as T
+from sonaria.operators.bases import merged_chunks, merged_overview, merged_totals
+from sonaria.plans.documents import BASES, knowledge_bases
 from sonaria.plans.registry import query
 
 _TERMS = ["theand", "tionre", "license", "apache"]
@@ -120,10 +122,20 @@ def mmr_select(c, k: int = 6):
     return T.diversify(near.select("vec_id", "similarity", F.col("embedding").alias("vec")), "vec_id", "similarity", "vec", k)
 
 
-@query("merge_kbs", "manuals", "SELECT concat('[', library_id, '] ', name) AS title, id FROM manuals WHERE library_id IN (1, 2)")
+@query("merge_kbs", "", f"WITH {BASES}, c AS (SELECT doc_id, page, line, unnest(range(0, (length(line) - 1) // 900 + 1)) AS k FROM lines) SELECT row_number() OVER (ORDER BY doc_id, page, k) AS id, doc_id AS library_id, page, concat('[', source, '] ', substring(line, k * 900 + 1, 900)) AS text FROM c JOIN (SELECT doc_id, source FROM documents) USING (doc_id)")
 def merge_kbs(c):
-    one = lambda lib: c("manuals").where(F.col("library_id") == lib).select(F.concat(F.lit("["), F.col("library_id").cast("string"), F.lit("] "), "name").alias("title"), "id")
-    return one(1).unionByName(one(2))
+    """The chunks of all bases as one's."""
+    return merged_chunks(knowledge_bases(c))
+
+
+@query("merge_kbs_totals", "", f"WITH {BASES} SELECT (SELECT count(*) FROM documents) AS libraries, count(*) AS page_count, CAST(sum(length(line)) AS BIGINT) AS total_chars, CAST(sum((length(line) - 1) // 900 + 1) AS BIGINT) AS chunks, count(DISTINCT doc_id) AS overviews FROM lines")
+def merge_kbs_totals(c):
+    return merged_totals(knowledge_bases(c))
+
+
+@query("merge_kbs_overview", "", f"WITH {BASES} SELECT doc_id AS library_id, concat('[', any_value(source), '] ', arg_min(line, page)) AS text FROM lines GROUP BY 1")
+def merge_kbs_overview(c):
+    return merged_overview(knowledge_bases(c))
 
 
 @query("parse_prefix", "manuals", "SELECT id, CAST(library_id AS VARCHAR) AS library FROM manuals")

@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from sonaria.functions import scalars as S
+from sonaria.operators.bases import catalog
+from sonaria.operators.nested import counts_with_names, manuals_tree, manuals_tree_totals, sessions_tree
 from sonaria.operators.relational import zero_filled
+from sonaria.plans.documents import BASES, knowledge_bases
 from sonaria.plans.registry import query
 
 GIB = 1 << 30
@@ -53,14 +56,10 @@ def library_stats_top(c):
     return c("libraries").orderBy(F.desc("size_bytes"), "id").limit(10).select("id", "name", "size_bytes")
 
 
-@query("category_rollup_names", "libraries", "SELECT category, count(*) AS n, array_to_string(list_slice(list(name ORDER BY name), 1, 8), ',') AS names FROM libraries GROUP BY 1")
+@query("category_rollup_names", "libraries", "SELECT category, count(*) AS n, round(CAST(CAST(sum(size_bytes) AS BIGINT) / 107374182.4 AS DOUBLE)) / 10 AS gib, array_to_string(list_slice(list(name ORDER BY name), 1, 8), ',') AS names FROM libraries GROUP BY 1")
 def category_rollup_names(c, names: int = 8):
-    """The first names are chosen before they are gathered, so that a large category stays small."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("category").orderBy("name")
-    first = F.when(F.col("rn") <= names, F.col("name"))
-    return c("libraries").withColumn("rn", F.row_number().over(w)).groupBy("category").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(first)), ",").alias("names"))
+    made = counts_with_names(c("libraries").select("category", "id", "name", "size_bytes"), "category", names, {"gib": F.round(F.sum("size_bytes") / 107374182.4) / 10})
+    return made.withColumn("names", F.array_join("names", ","))
 
 
 @query("articulation_breakdown", "instruments", "WITH p AS (SELECT * FROM instruments ORDER BY id LIMIT 300) SELECT name_source AS articulation, count(*) AS n FROM p GROUP BY 1")
@@ -101,24 +100,38 @@ def junk_list_report(c):
     return c("junk").groupBy("kind").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"))
 
 
-@query("manuals_nested", "libraries manuals", """WITH m AS (SELECT library_id, count(*) AS n, bool_or(is_primary) AS built, list(name ORDER BY id)[1:5] AS names FROM manuals GROUP BY 1)
-    SELECT l.category, count(*) AS libraries, CAST(sum(m.n) AS BIGINT) AS manuals, bool_or(m.built) AS built, min(array_to_string(m.names, '|')) AS first_names FROM libraries l JOIN m ON l.id = m.library_id GROUP BY 1""")
+_TREE = """WITH b AS (SELECT library_id, min(id) AS source, library_id % 7 AS pages FROM manuals WHERE library_id % 4 = 0 GROUP BY 1 HAVING library_id % 7 > 0),
+    m AS (SELECT m.*, b.source IS NOT NULL AS built, CASE WHEN b.source = m.id THEN b.pages ELSE 0 END AS pages, row_number() OVER (PARTITION BY m.library_id ORDER BY is_primary DESC, m.name, m.id) - 1 AS rn, count(*) OVER (PARTITION BY m.library_id) AS n FROM manuals m LEFT JOIN b ON b.library_id = m.library_id)"""
+
+
+def _tree_bases(c):
+    """Every fourth library has a base, of its first manual; that of every seventh has no page."""
+    rows = c("manuals").where("library_id % 4 = 0").groupBy("library_id").agg(F.min("id").alias("manual_id"))
+    return rows.withColumn("pages", F.col("library_id") % 7)
+
+
+@query("manuals_nested", "libraries manuals", _TREE + """ SELECT coalesce(l.category, 'uncategorised') AS category, m.library_id, coalesce(l.name, '') AS library_name, n AS manuals, built, rn // 25 AS block, string_agg(concat(m.name, ':', pages), '|' ORDER BY rn) AS items
+    FROM m LEFT JOIN libraries l ON l.id = m.library_id GROUP BY ALL""")
 def manuals_nested(c):
-    """Manuals nested in libraries, libraries in categories; the first names of each library only."""
-    from pyspark.sql import Window
+    """Manuals nested in libraries, libraries in categories."""
+    rows = manuals_tree(c("manuals"), c("libraries"), _tree_bases(c), 25)
+    return rows.withColumn("items", F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["name"], x["pages"].cast("string"))), "|"))
+
 
-    w = Window.partitionBy("library_id").orderBy("id")
-    rows = c("manuals").withColumn("rn", F.row_number().over(w))
-    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= 5, F.struct("id", "name")))), lambda x: x["name"])
-    per = rows.groupBy("library_id").agg(F.count("*").alias("n"), F.bool_or("is_primary").alias("built"), first.alias("names"))
-    both = c("libraries").select(F.col("id").alias("library_id"), "category").join(per, "library_id")
-    return both.groupBy("category").agg(F.count("*").alias("libraries"), F.sum("n").alias("manuals"), F.bool_or("built").alias("built"), F.min(F.array_join("names", "|")).alias("first_names"))
+@query("manuals_nested_totals", "manuals", _TREE + " SELECT count(*) AS manuals, count(*) FILTER (built) AS built, count(DISTINCT library_id) AS libraries FROM m")
+def manuals_nested_totals(c):
+    return manuals_tree_totals(c("manuals"), _tree_bases(c))
 
 
-@query("chat_sessions_grouped", "messages", "SELECT category_id, count(DISTINCT session_id) AS sessions, max(session_id) AS newest, count(*) AS messages FROM messages GROUP BY 1")
+@query("chat_sessions_grouped", "messages", """WITH s AS (SELECT CASE category_id WHEN 0 THEN 'uncategorised' ELSE concat('c', category_id) END AS category, session_id, count(*) AS n, session_id * 37 % 1000 * 100 + count(*) AS updated FROM messages GROUP BY 1, 2),
+    p AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY updated DESC, session_id) - 1 AS rn, count(*) OVER (PARTITION BY category) AS sessions, max(updated) OVER (PARTITION BY category) AS newest FROM s)
+    SELECT category, sessions, newest, rn // 20 AS block, string_agg(concat(session_id, ':', n), '|' ORDER BY rn) AS items FROM p GROUP BY ALL""")
 def chat_sessions_grouped(c):
-    per = c("messages").groupBy("category_id", "session_id").agg(F.count("*").alias("n"))
-    return per.groupBy("category_id").agg(F.count("*").alias("sessions"), F.max("session_id").alias("newest"), F.sum("n").alias("messages"))
+    """Sessions nested in categories, those changed last first."""
+    name = F.when(F.col("category_id") == 0, "").otherwise(F.concat(F.lit("c"), F.col("category_id").cast("string")))
+    per = c("messages").groupBy(name.alias("category"), "session_id").agg(F.count("*").alias("messages"))
+    rows = sessions_tree(per.withColumn("updated_at", F.col("session_id") * 37 % 1000 * 100 + F.col("messages")), 20)
+    return rows.withColumn("items", F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["session_id"].cast("string"), x["messages"].cast("string"))), "|"))
 
 
 @query("session_stats", "messages trace", "SELECT m.session_id, count(*) FILTER (role = 'user') AS turns, coalesce((SELECT count(*) FROM trace t WHERE t.session_id = m.session_id), 0) AS steps FROM messages m GROUP BY m.session_id")
@@ -159,19 +172,21 @@ def cluster_meta(c):
     return meta(c("points"))
 
 
-@query("symbol_categories", "trace", "SELECT CASE WHEN contains(tool_name, 'e') THEN 'events' ELSE 'general' END AS category, count(DISTINCT tool_name) AS n FROM trace GROUP BY 1")
+@query("symbol_categories", "instruments", """WITH s AS (SELECT DISTINCT concat(CASE size_bytes // 1024 % 4 WHEN 0 THEN 'set_' WHEN 1 THEN 'get_' WHEN 2 THEN 'note_' ELSE '' END, split_part(name, ' ', 1)) AS name, CASE WHEN size_bytes // 1024 % 6 = 0 THEN 'callback' ELSE 'command' END AS kind FROM instruments)
+    SELECT CASE WHEN kind <> 'command' THEN kind WHEN name LIKE 'set\\_%' ESCAPE '\\' THEN 'setter' WHEN name LIKE 'get\\_%' ESCAPE '\\' THEN 'getter' WHEN regexp_matches(lower(name), 'array|list') THEN 'arrays' WHEN regexp_matches(lower(name), 'midi|note|event') THEN 'events' ELSE 'general' END AS category, count(*) AS n FROM s GROUP BY 1""")
 def symbol_categories(c):
-    names = c("trace").select("tool_name").distinct()
-    return names.groupBy(F.when(F.contains("tool_name", F.lit("e")), "events").otherwise("general").alias("category")).agg(F.count("*").alias("n"))
+    """Symbols of each category, the most first."""
+    size = F.floor(F.col("size_bytes") / 1024)
+    start = F.when(size % 4 == 0, "set_").when(size % 4 == 1, "get_").when(size % 4 == 2, "note_").otherwise("")
+    symbols = c("instruments").select(F.concat(start, F.split_part("name", F.lit(" "), F.lit(1))).alias("name"), F.when(size % 6 == 0, "callback").otherwise("command").alias("kind")).distinct()
+    return symbols.groupBy(S.symbol_category(F.col("name"), F.col("kind")).alias("category")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category")
 
 
 @query("batch_by_action", "libraries", "WITH o AS (SELECT CASE WHEN junk_bytes > 52428800 THEN 'clean' WHEN cover_file = '' THEN 'cover' ELSE 'tag' END AS action, name FROM libraries) SELECT action, count(*) AS n, array_to_string(list_slice(list(name ORDER BY name), 1, 10), ',') AS samples FROM o GROUP BY 1")
 def batch_by_action(c):
-    from pyspark.sql import Window
-
     action = F.when(F.col("junk_bytes") > 52428800, "clean").when(F.col("cover_file") == "", "cover").otherwise("tag")
-    rows = c("libraries").select(action.alias("action"), "name").withColumn("rn", F.row_number().over(Window.partitionBy("action").orderBy("name")))
-    return rows.groupBy("action").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("rn") <= 10, F.col("name")))), ",").alias("samples"))
+    made = counts_with_names(c("libraries").select(action.alias("action"), "id", "name"), "action", 10)
+    return made.select("action", "n", F.array_join("names", ",").alias("samples"))
 
 
 @query("map_stats", "points clips", "SELECT (SELECT count(*) FROM points) AS points, (SELECT count(DISTINCT cluster) FROM points WHERE cluster >= 0) AS clusters, round(100.0 * (SELECT count(*) FROM points) / (SELECT count(*) FROM clips), 3) AS coverage")
@@ -181,9 +196,11 @@ def map_stats(c):
     return p.crossJoin(n).select("points", "clusters", F.round(100.0 * F.col("points") / F.col("__n"), 3).alias("coverage"))  # one row each
 
 
-@query("kb_catalog", "manuals", "SELECT id, name, size_bytes // 900 AS chunks, substring(name, 1, 240) AS overview FROM manuals WHERE is_primary ORDER BY id DESC LIMIT 100")
+@query("kb_catalog", "manuals", f"""WITH {BASES}, p AS (SELECT doc_id, count(*) AS page_count, CAST(sum(length(line)) AS BIGINT) AS total_chars, CAST(sum((length(line) - 1) // 900 + 1) AS BIGINT) AS chunk_count, arg_min(line, page) AS first FROM lines GROUP BY 1)
+    SELECT doc_id AS library_id, name AS library_name, ext AS category, concat('m', doc_id % 11) AS manual_name, page_count, total_chars, chunk_count, doc_id * 7919 % 100003 AS built_at, CASE WHEN length(first) > 240 THEN concat(first[1:240], '…') ELSE first END AS overview FROM p JOIN manuals m ON m.id = p.doc_id""")
 def kb_catalog(c):
-    return c("manuals").where("is_primary").orderBy(F.desc("id")).limit(100).select("id", "name", F.floor(F.col("size_bytes") / 900).alias("chunks"), F.substring("name", 1, 240).alias("overview"))
+    """Every document is a base; its library is the manual of the same number."""
+    return catalog(knowledge_bases(c), c("manuals").select("id", "name", F.col("ext").alias("category")))
 
 
 @query("export_libraries", "libraries manuals junk", """SELECT l.name, l.category, l.size_bytes, coalesce((SELECT count(*) FROM manuals m WHERE m.library_id = l.id), 0) AS manuals, coalesce((SELECT count(*) FROM junk j WHERE j.library_id = l.id), 0) AS junk FROM libraries l""")

@@ -46,8 +46,14 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, quote='"', escape='"')
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+def write_csv(rows: DataFrame, path: str, mark: bool = False) -> None:
+    """Fields are quoted where they hold a comma, a quote or a line end. With ``mark`` every file begins with the mark
+    of its encoding, for programs that need it, and empty fields stay empty."""
+    options = {"header": True, "quote": '"', "escape": '"'}
+    if mark:
+        rows = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
+        options["emptyValue"] = ""
+    rows.write.mode("overwrite").options(**options).csv(path)
 
 
 def to_markdown(rows: DataFrame, most: int = 1000) -> str:

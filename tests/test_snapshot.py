@@ -13,9 +13,8 @@ class Catalog:
 
 
 def test_products_are_counted_by_view(spark):
-    rows = [("K1", "a", True, True, False), ("K1", "a", True, False, None), ("K2", "b", False, False, True), ("K3", "c", None, None, None)]
+    rows = [("K1", "a", True, True, False), ("K1", "b", True, False, None), ("K2", "b", False, False, True), ("K3", "c", None, None, None), ("K81", "d", True, True, True), ("K270", "e", True, False, False)]
     df = spark.createDataFrame(rows, "reg_key string, content_dir string, in64 boolean, in32 boolean, in_user boolean")
-    made = checks.snapshot_list(Catalog(df))
-    assert [tuple(r) for r in made.collect()] == [(4,)]
-    assert "collect_list" not in made._jdf.queryExecution().toString()
-    assert [tuple(r) for r in checks.snapshot_list(Catalog(df.where(F.lit(False)))).collect()] == [(0,)]
+    made = checks.snapshot_list(Catalog(df)).collect()
+    assert [tuple(r) for r in made] == [("snapshot-000000006", "file time", "", 0, False), ("snapshot-000000002", "day 2", "before import", 3, True), ("snapshot-000000000", "day 0", "before import", 3, True)]
+    assert checks.snapshot_list(Catalog(df.where(F.lit(False)))).collect() == []
