@@ -4,14 +4,16 @@ The lengths of all pieces form a histogram of at most ``capacity`` bins, whateve
 driver solves the fractional configuration program over it by multiplicative weights: each round
 prices the lengths, a knapsack dynamic program finds the most valuable configuration of a
 sequence, that configuration is used for an amount, and the weights of the lengths it holds fall.
-Prices give a lower bound on any packing. The amounts are rounded down, and what is left, which is
-a share kept back on purpose and the parts of sequences that rounding drops, goes by best fit. The
+Prices give a lower bound on any packing. The amounts are rounded down and the program is solved again
+for what is left, until too little is left for a whole sequence; that goes by best fit. The
 plan is a table of ranges (length, first rank, count, first sequence, offset); pieces get their
 rank within their length from counts by (length, shard), so no length, however common, meets in
 one task, and look up their range in the plan, which is bounded by the capacity and broadcast.
 
 Rows: a null text counts as empty and packs its separator alone; repeated ids are separate
-documents; an empty table gives an empty result; other columns are ignored.
+documents; an empty table gives an empty result; other columns are ignored. A text is read in one
+piece by one task, so the longest one bounds a task's memory; pieces of equal length are told apart by
+their number, so ties do not matter to the number of sequences.
 """
 
 from __future__ import annotations
@@ -195,13 +197,13 @@ def most_valuable(value: np.ndarray, lengths: np.ndarray, capacity: int) -> floa
     return float(best[capacity])
 
 
-def fractional_cover(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, least: float = 0.95, rounds: int = 2000, eta: float = 2.0, priced: int = 12, spread: int = 40, seeded: bool = False) -> tuple[list[tuple[np.ndarray, np.ndarray, float]], float]:
+def fractional_cover(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, least: float = 0.95, rounds: int = 400, eta: float = 2.0, priced: int = 12, spread: int = CAPACITY, seeded: bool = False) -> tuple[list[tuple[np.ndarray, np.ndarray, float]], float]:
     """A fractional solution of the covering program, [(kinds, each, amount)], and a lower bound on any.
 
     The program takes amounts x of configurations, multisets of lengths that fit a sequence, so that
     every length is covered to the share ``least`` of its number, no length beyond its number, and the
     sum of x is least. Weights begin high for long pieces, the hard ones. A round prices the ``priced``
-    heaviest lengths that are not covered yet and ``spread`` others, new ones each time, finds the most
+    heaviest lengths that are not covered yet and ``spread`` others, all of them or new ones each time, finds the most
     valuable configuration by knapsack, uses it as often as one of its lengths still needs, and the
     weight of each length it holds falls by exp(-eta * covered share). Prices are sizes, the dual of the
     volume bound, plus a gain by weight, so weights decide among full sequences; the gain only grows
@@ -227,6 +229,8 @@ def fractional_cover(lengths: np.ndarray, counts: np.ndarray, capacity: int = CA
         beside = capacity - int(lengths[first].sum())
         value = lengths[some] * (1 + gain * needy[some] * np.exp(weight[some] - weight[wanted].max()))
         most = np.ceil(free[some]).astype(np.int64) - np.isin(some, first)
+        if len(some) > FEW:  # so many lengths fill a sequence without many pieces of one
+            most = np.minimum(most, 3)
         fits = lengths[some] <= beside
         more = some[fits][best_configuration(value[fits], most[fits], lengths[some][fits], beside)] if fits.any() else some[:0]
         kinds, each = np.unique(np.append(more, first).astype(np.int64), return_counts=True)
@@ -250,35 +254,55 @@ def fractional_cover(lengths: np.ndarray, counts: np.ndarray, capacity: int = CA
     return [(np.array(k), np.array(e), x) for (k, e), x in found.items()], bound
 
 
-#: Shares kept back for the rounding, and whether the heaviest length is worth a sequence.
-TRIES = ((0.3, False), (0.3, True), (0.0, False), (0.0, True), (0.6, True))
+#: Lengths that a round prices (2048 are all), rounds, and whether the heaviest length is worth a sequence.
+TRIES = ((2048, 400, True), (200, 1000, True), (2048, 400, False))
+#: Lengths up to which a configuration holds any number of pieces of one; beyond that three.
+FEW = 256
+#: Times that the program is solved again for what rounding left.
+SOLVES = 6
 
 
-def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, tries: tuple[tuple[float, bool], ...] = TRIES) -> list[list]:
-    """[[indices into lengths], room, count] of sequences that hold every piece once.
+def rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int, spread: int, rounds: int, seeded: bool) -> tuple[list[list], np.ndarray, float]:
+    """Whole sequences [[indices into lengths], room, count] of the program, what is left of each length, the bound.
 
-    The program is solved without a reserve of every length, so that pieces of all sizes are left for
-    the rounding; its amounts are rounded down and the rest goes by best fit, largest pieces first.
-    Where that is more than 0.1 % above the program's bound the next way of ``tries`` is taken too,
-    and the fewest sequences win.
+    The amounts are rounded down, and the program is solved for what that leaves, until a solution has
+    no whole sequence any more.
     """
-    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
-    best: list[list] = []
-    for reserve, seeded in tries:
-        kept = np.where(lengths < capacity, np.ceil(counts * reserve), 0).astype(np.int64)
-        cover, bound = fractional_cover(lengths, counts - kept, capacity, seeded=seeded)
-        groups, rest = [], counts - kept
+    rest, groups, bound = counts.copy(), [], 0.0
+    for turn in range(SOLVES):
+        on = np.flatnonzero(rest)
+        cover, below = fractional_cover(lengths[on], rest[on], capacity, spread=spread, rounds=rounds, seeded=seeded)
+        bound, before = bound if turn else below, len(groups)
         for kinds, each, amount in cover:
-            whole = min(int(amount + 1e-9), int((rest[kinds] // each).min()))
+            at = on[kinds]
+            whole = min(int(amount + 1e-9), int((rest[at] // each).min()))
             if whole > 0:
-                rest[kinds] -= whole * each
-                groups.append([[int(k) for k, n in zip(kinds, each) for _ in range(n)], capacity - int((lengths[kinds] * each).sum()), whole])
-        made = best_fit(groups, lengths, rest + kept, capacity)
-        if not best or sum(g[2] for g in made) < sum(g[2] for g in best):
-            best = made
-        if sum(g[2] for g in best) <= 1 + 1.001 * max(bound, float((counts * lengths).sum()) / capacity):
+                rest[at] -= whole * each
+                groups.append([[int(k) for k, n in zip(at, each) for _ in range(n)], capacity - int((lengths[at] * each).sum()), whole])
+        if len(groups) == before:
             break
-    return best
+    return groups, rest, bound
+
+
+def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, tries: tuple[tuple[int, int, bool], ...] = TRIES) -> list[list]:
+    """[[indices into lengths], room, count] of sequences that hold every piece once.
+
+    What no whole sequence of the program holds goes by best fit, largest
+    pieces first. Where the sequences are more than 0.02 % above the bound the next way of ``tries`` is
+    taken too; the fewest win, and never are they more than best fit of all pieces makes.
+    """
+    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
+    number = lambda made: sum(g[2] for g in made)
+    best = None
+    for spread, rounds, seeded in tries:
+        groups, rest, bound = rounded(lengths, counts, capacity, spread, rounds, seeded)
+        made = best_fit(groups, lengths, rest, capacity)
+        if best is None or number(made) < number(best):
+            best = made
+        if number(best) <= 1 + 1.0002 * max(bound, float((counts * lengths).sum()) / capacity):
+            return best
+    alone = best_fit([], lengths, counts, capacity)
+    return alone if best is None or number(alone) < number(best) else best
 
 
 def plan_ranges(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> pd.DataFrame:

@@ -92,6 +92,31 @@ def test_program_where_best_fit_alone_fails():
     assert sum(n for _, _, n in packing.best_fit([], lengths, counts, 2048)) > 10_000
 
 
+def test_never_more_than_best_fit_and_near_the_bound():
+    for lengths, n, most in ((np.arange(1, 2048), 15, 15_353), (np.arange(400, 1500), 20, 10_243), (np.arange(500, 1200), 40, 11_674)):
+        counts = np.full(len(lengths), n)
+        made = packing.configurations(lengths, counts)
+        held = np.zeros(len(lengths), np.int64)
+        for items, room, times in made:
+            assert room == 2048 - lengths[items].sum() >= 0
+            np.add.at(held, items, times)
+        assert (held == counts).all()
+        number = sum(g[2] for g in made)
+        assert number <= most and number <= sum(g[2] for g in packing.best_fit([], lengths, counts, 2048))
+
+
+def test_what_the_program_leaves():
+    r = np.random.default_rng(8)
+    lengths, counts = np.arange(1, 2048, 9), r.integers(1, 120, 228)
+    groups, rest, bound = packing.rounded(lengths, counts, 2048, *packing.TRIES[0])
+    held = rest.copy()
+    for items, room, times in groups:
+        assert times > 0 and room == 2048 - lengths[items].sum() >= 0
+        np.add.at(held, items, times)
+    assert (held == counts).all() and (rest >= 0).all()
+    assert bound - 1e-6 <= sum(g[2] for g in packing.configurations(lengths, counts))
+
+
 def test_short_way_is_checked_on_loading():
     words = packing.WordIds(WB)
     assert words.short
