@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from sonaria.sources.shared import delete_path, new_path, written
 
-__all__ = ["BROADCAST_ROWS", "Written", "new_path", "small", "spread_join", "table", "written"]
+__all__ = ["BROADCAST_ROWS", "Written", "new_path", "small", "spread_join", "table", "unfolded", "written"]
 
 
 class Written:
@@ -39,6 +39,12 @@ def small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
+def unfolded(rows: DataFrame) -> DataFrame:
+    """``rows`` that an explode has made, marked for joins by shuffle: the planner takes their size from
+    before the explode and would send many times its broadcast limit to the driver."""
+    return rows.hint("merge")
+
+
 def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], salt: Column, counted: DataFrame | None = None, n: int | None = None, parts: int = 1000) -> DataFrame:
     """``rows`` joined with ``other``, which has one row for each of ``keys``.
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonaria.llm.common import Written, small, spread_join, written
+from sonaria.llm.common import Written, small, spread_join, unfolded, written
 
 BITS = 64
 #: Fingerprints link at this many differing bits or fewer.
@@ -108,7 +108,7 @@ def _looked_up(fps: DataFrame, flips: list[list[int]], segments: int) -> DataFra
     masks = [_signed(sum(1 << b for b in bits)) for bits in segment_bits(segments)]
     where = F.array(*[F.struct(F.lit(s).alias("segment"), F.lit(masks[s]).alias("mask"), F.lit(x).alias("flip")) for s in range(segments) for x in flips[s]])
     value = F.col("fp").bitwiseXOR(F.col("at.flip")).bitwiseAND(F.col("at.mask"))
-    return fps.select("fp", F.explode(where).alias("at")).select("fp", "at.segment", value.alias("value"))
+    return unfolded(fps.select("fp", F.explode(where).alias("at")).select("fp", "at.segment", value.alias("value")))
 
 
 def links(fps: DataFrame, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonaria.llm.common import Written, spread_join, written
+from sonaria.llm.common import Written, spread_join, unfolded, written
 from sonaria.llm.simhash import ROW, connected_components, first_rows, keyed_rows, shingle_hashes
 
 SHINGLE = 5
@@ -130,7 +130,7 @@ def near_copies(keyed: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     classes = written(named, "classes")
     texts = keyed.select(F.col(ROW).alias("node"), "text")
     pair = lambda u, v: [F.greatest(u, v).alias("u"), F.least(u, v).alias("v")]
-    buckets = classes.select("node", F.explode("bands").alias("key"))
+    buckets = unfolded(classes.select("node", F.explode("bands").alias("key")))
     order = F.struct(F.xxhash64("node", "key").alias("at"), "node")
     leaders = buckets.groupBy("key").agg(F.min(order)["node"].alias("leader"), F.count("*").alias("members")).where("members > 1")
     met = written(buckets.join(leaders, "key"), "buckets")
@@ -148,7 +148,7 @@ def near_copies(keyed: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     parts = F.ceil(F.col("members") / PART).cast("int")
     left = apart.where("root <> top").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).select(*side("u"))
     right = apart.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("top").select(*side("v")).drop("leader")
-    new = left.join(right, ["key", "part"]).where("u_root <> v_root and u <> leader and v <> leader").where(_within(similarity))
+    new = left.join(unfolded(right), ["key", "part"]).where("u_root <> v_root and u <> leader and v <> leader").where(_within(similarity))
     more = _verified(written(new.select(*pair("u", "v")).distinct(), "pairs"), texts, shingle, similarity)
     roots = written(connected_components(links.union(more)), "roots")
     grouped = classes.join(roots, "node", "left").where("copies > 1 or root is not null").select("digest", F.coalesce("root", "node").alias("root"))

@@ -1,6 +1,7 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from sonaria.llm import simhash
 
@@ -90,3 +91,10 @@ def test_keeps_one_of_each_group(awkward):
 
 def test_empty_table(nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_first(nothing).count() == 0
+
+
+def test_unfolded_segments_are_not_broadcast(spark):
+    # the planner knows the fingerprints' size only, not that of the 34 rows of each
+    fps = spark.range(0, 2000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
