@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Rejects documents of poor quality, removes cross-site boilerplate lines, keeps one document of
-each group of near copies (five-word shingles, similarity 0.8 or more), mixes the sources to their
+each group of near copies (fingerprints of five-word shingles, similarity 0.8 or more), mixes the sources to their
 target weights, and packs what is left into token sequences. Each stage's result is written as
 Parquet and read again by the next, and a stage's table is deleted once the next is written.
 
@@ -29,7 +29,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies (1): five-word shingles, 0.8 or more, verified."""
+    """The first document of each group of near copies: fingerprints of five-word shingles by the index of (1), bands for what they leave apart, 0.8 or more verified."""
     return similar.keep_one(docs)
 
 

@@ -59,7 +59,11 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
 
 def fingerprint(text: str | None, size: int) -> int:
     """Unsigned 64-bit fingerprint: a bit is set where over half of the shingles have it."""
-    hashes = shingle_hashes(text, size)
+    return majority(shingle_hashes(text, size))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; zero without any."""
     if not len(hashes):
         return 0
     counts = np.zeros(BITS, np.int64)

@@ -1,7 +1,10 @@
 """Near copies by the likeness of their word shingles, one document kept of each group.
 
 Two documents are near copies when the sets of their five-word shingles have a Jaccard similarity
-of ``similarity`` or more. Candidates share one of ``BANDS`` hashes of ``WIDTH`` minima each; a pair
+of ``similarity`` or more. Candidates come from the sets' fingerprints by multi-index hashing
+(``simhash.links``): sets of one fingerprint meet its first, and firsts meet at two or fewer differing
+bits. Pairs at 0.8 differ in about ten bits, which no index of 64 finds, so an exact check of what
+fingerprints leave apart follows: candidates that share one of ``BANDS`` hashes of ``WIDTH`` minima each; a pair
 at 0.8 shares none with a probability of 0.0002, one at 0.9 with less than 1e-7. Each set
 also has an odd sketch, the parity of its shingles in each of ``PARITIES`` cells: the cells in which
 two sketches differ are never more than the shingles that only one of the sets has, so a pair whose
@@ -30,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonaria.llm import simhash
 from sonaria.llm.common import Written, spread_join, unfolded, written
 from sonaria.llm.simhash import ROW, connected_components, first_rows, keyed_rows, shingle_hashes
 
@@ -37,6 +41,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, WIDTH = 16, 4
 PARITIES = 1024
+#: Segments of the fingerprints' index: with two bits at most, one of three is equal, so a look-up is three rows.
+SEGMENTS = 3
 #: Members of a bucket for which one more part of it is compared by another task.
 PART = 2000
 _CHUNK = 4096
@@ -64,15 +70,16 @@ def odd_sketch(hashes: np.ndarray) -> list[int]:
 
 
 def _marked(keyed: DataFrame, shingle: int) -> DataFrame:
-    """row, digest of the set, n (its size), bands, odd (its sketch)."""
-    schema = "row long, digest binary, n long, bands array<long>, odd array<long>"
+    """row, digest of the set, fp (its fingerprint), n (its size), bands, odd (its sketch)."""
+    schema = "row long, digest binary, fp long, n long, bands array<long>, odd array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            fps = pa.array(np.array(list(map(simhash.majority, sets)), np.uint64).view(np.int64))
             longs = [pa.array(list(map(f, sets)), pa.list_(pa.int64())) for f in (band_keys, odd_sketch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.array(list(map(len, sets)), pa.int64()), *longs], ["row", "digest", "n", "bands", "odd"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, fps, pa.array(list(map(len, sets)), pa.int64()), *longs], ["row", "digest", "fp", "n", "bands", "odd"])
 
     return keyed.select(F.col(ROW).alias("row"), F.col("text")).mapInArrow(run, schema)
 
@@ -86,6 +93,16 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, hashes array<long>")
 
 
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (u, v), u > v, of classes (node, fp) that connect all at two or fewer differing bits: the smallest node
+    of a fingerprint with its others, and with those of the fingerprints that the index links."""
+    firsts = classes.groupBy("fp").agg(F.min("node").alias("first"))
+    same = spread_join(classes.select("node", "fp"), firsts, ["fp"], F.xxhash64("node")).where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    met = written(simhash.links(firsts.select("fp"), SEGMENTS), "fingerprint-links")
+    near = _with_both(met, firsts.select(F.col("fp").alias("node"), "first"))
+    return same.union(near.select(F.greatest("u_first", "v_first"), F.least("u_first", "v_first")))
+
+
 def _apart(similarity: float) -> Column:
     """The most shingles that only one of two sets has, for sets u and v that are alike."""
     return F.floor((F.col("u_n") + F.col("v_n")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
@@ -126,7 +143,7 @@ def near_copies(keyed: DataFrame, shingle: int = SHINGLE, similarity: float = SI
         return held[-1].df
 
     marked = written(_marked(keyed, shingle), "marked")
-    named = marked.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "bands", "odd")])
+    named = marked.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("fp", "n", "bands", "odd")])
     classes = written(named, "classes")
     texts = keyed.select(F.col(ROW).alias("node"), "text")
     pair = lambda u, v: [F.greatest(u, v).alias("u"), F.least(u, v).alias("v")]
@@ -134,7 +151,8 @@ def near_copies(keyed: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     order = F.struct(F.xxhash64("node", "key").alias("at"), "node")
     leaders = buckets.groupBy("key").agg(F.min(order)["node"].alias("leader"), F.count("*").alias("members")).where("members > 1")
     met = written(buckets.join(leaders, "key"), "buckets")
-    stars = written(met.where("node <> leader").select(*pair("node", "leader")).distinct(), "stars")
+    stars = met.where("node <> leader").select(*pair("node", "leader"))
+    stars = written(fingerprint_pairs(classes.select("node", "fp")).union(stars).distinct(), "stars")
     near = written(_with_both(stars, classes.select("node", "n", "odd")).where(_within(similarity)).select("u", "v"), "pairs")
     links = _verified(near, texts, shingle, similarity)
     roots = written(connected_components(links), "roots")

@@ -82,3 +82,19 @@ def test_rows_are_decided_one_by_one(spark):
 
 def test_empty(nothing):
     assert similar.keep_one(nothing).count() == 0
+
+
+def test_fingerprints_give_the_pairs_within_two_bits(spark):
+    rng = random.Random(5)
+    fps = [rng.getrandbits(64) for _ in range(40)]
+    fps += [f ^ 1 << rng.randrange(64) ^ (1 << rng.randrange(64)) * (i % 2) for i, f in enumerate(fps * 3)] + fps[:10]
+    rows = [(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)]
+    found = [(r.u, r.v) for r in similar.fingerprint_pairs(spark.createDataFrame(rows, "node long, fp long")).collect()]
+    assert all(u > v and (fps[u] ^ fps[v]).bit_count() <= 2 for u, v in found)
+    root = list(range(len(fps)))
+    brute = root[:]
+    for names, pairs in ((root, found), (brute, [(u, v) for u in range(len(fps)) for v in range(u) if (fps[u] ^ fps[v]).bit_count() <= 2])):
+        for _ in names:
+            for u, v in pairs:
+                names[u] = names[v] = min(names[u], names[v])
+    assert root == brute
