@@ -4,6 +4,7 @@ import random
 import wave
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sonaria.sources import files, tables
@@ -121,3 +122,13 @@ def test_streams(spark, tmp_path):
         assert len(incremental.snapshots(spark, f"{tmp_path}/out")) == 2
     batch = spark.read.parquet(f"{tmp_path}/in")
     assert incremental.session_windows(batch, "2 minutes").count() == 60
+
+
+def test_audio_results_go_on_in_small_batches():
+    clip = tone(1, lambda t: 0.5, 8000)
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(600)], "content": [clip if i % 3 else None for i in range(600)]})
+    made = list(files.clip_batches(iter([batch]), 12.0, "path string, rate int, samples array<double>, error string", lambda rate, x: (rate, files.resample(x, rate, 16000))))
+    assert max(len(b.column("samples").flatten()) for b in made) <= files.HELD_SAMPLES + 16000
+    rows = [r for b in made for r in b.to_pylist()]
+    assert [r["path"] for r in rows] == [str(i) for i in range(600)]
+    assert all(len(r["samples"]) == 16000 and r["error"] is None if int(r["path"]) % 3 else r["samples"] is None and r["error"] is not None for r in rows)
