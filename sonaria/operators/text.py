@@ -231,11 +231,48 @@ def hashed_vector(tokens: list[str]) -> np.ndarray:
     return hashed_vectors([list(tokens)])[0]
 
 
+#: Tokens and rows that are turned to vectors at a time, about.
+HELD_TOKENS, HELD_ROWS = 100_000, 2048
+
+
+def vector_parts(lists: Iterator[list[str]]) -> Iterator[np.ndarray]:
+    """``hashed_vectors`` of many lists of tokens, a bounded part at a time."""
+    held: list[list[str]] = []
+    n = 0
+    for tokens in lists:
+        held.append(tokens)
+        n += len(tokens)
+        if n >= HELD_TOKENS or len(held) >= HELD_ROWS:
+            yield hashed_vectors(held)
+            held, n = [], 0
+    if held:
+        yield hashed_vectors(held)
+
+
 def hash_embed(tokens: Column | str) -> Column:
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series(list(hashed_vectors([list(t) if t is not None else [] for t in values]).astype(np.float32)))
+    def run(values: pa.Array) -> pa.Array:
+        parts = [v.astype(np.float32).ravel() for v in vector_parts(t.as_py() or [] for t in values)]
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, DIM, dtype=np.int32)), pa.array(flat))
+
+    return F.arrow_udf(run, "array<float>")(tokens)
+
+
+def likeness(rows: DataFrame, key: str, text: str, query: str) -> DataFrame:
+    """key, similarity: the cosine of each text's hashed vector to the question's; texts without tokens, and all for a
+    question without any, are left out. Vectors stay in the task that makes them."""
+    question = hashed_vector(tokens_of(query))
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for v in vector_parts(tokens_of(t.as_py()) for t in batch.column(1)):
+                fit = np.flatnonzero(v.any(axis=1) & question.any())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + fit)), pa.array(v[fit] @ question)], [key, "similarity"])
+                at += len(v)
 
-    return F.pandas_udf(run, "array<float>")(tokens)
+    return rows.select(key, text).mapInArrow(run, f"{key} {kind}, similarity double")
 
 
 def fuse(sides: list[DataFrame], key: str, score: str = "score", k: int = RRF_K) -> DataFrame:

@@ -100,10 +100,7 @@ def _chunks(c):
 
 @query("vector_recall")
 def vector_recall(c, question: str = "licensed under the apache license"):
-    from sonaria.operators.vectors import nearest
-
-    made = _chunks(c).select("chunk_id", T.hash_embed(T.tokenize("text")).alias("vec"))
-    near = nearest(made, T.hashed_vector(T.tokens_of(question)).tolist(), T.RECALL, "chunk_id", "vec")
+    near = T.likeness(_chunks(c), "chunk_id", "text", question).orderBy(F.desc("similarity"), "chunk_id").limit(T.RECALL)
     return near.where(F.col("similarity") > T.COSINE_FLOOR).select("chunk_id", F.round("similarity", 5).alias("similarity"))
 
 

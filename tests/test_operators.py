@@ -204,3 +204,14 @@ def test_repeat_reminders_at_three_five_eight(spark, tmp_path):
     events = [(i, 1, "view" if i % 4 == 3 else "click") for i in range(40)]
     spark.createDataFrame(events, "event_id long, user_id long, event_type string").selectExpr("event_id", "current_timestamp() ts", "user_id", "event_type", "1.0D value", "'{}' props").write.parquet(f"{tmp_path}/events.parquet")
     assert [r.repeats for r in queries()["repeat_call_count"](spark, str(tmp_path)).orderBy("id").collect()] == [3, 5, 8]
+
+
+def test_vectors_are_made_in_bounded_parts(spark):
+    lists = [[f"w{i % 97}", f"x{i}", "same"] for i in range(text.HELD_ROWS + 500)] + [[]]
+    parts = list(text.vector_parts(iter(lists)))
+    assert len(parts) == 2 and np.allclose(np.concatenate(parts), text.hashed_vectors(lists))
+    texts = ["apache license", "the license", None, "", "other words"]
+    found = text.likeness(spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(1), "id", "t", "apache license").collect()
+    q = text.hashed_vector(text.tokens_of("apache license"))
+    assert {r.id: round(r.similarity, 9) for r in found} == {i: round(float(text.hashed_vector(text.tokens_of(texts[i])) @ q), 9) for i in (0, 1, 4)}
+    assert text.likeness(spark.createDataFrame([(1, "a word")], "id long, t string"), "id", "t", "").count() == 0
