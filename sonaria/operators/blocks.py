@@ -19,6 +19,8 @@ from sonaria.sources.shared import delete_path, new_path, written
 BLOCK, SEGMENT_DOCS, SEGMENTS = 128, 4096, 4096
 #: Folders of the index, each with the tokens of a share of all hashes.
 BUCKETS = 64
+#: Postings that a task holds before it passes them on, about.
+HELD = 50_000
 #: Sums of the same parts in another order may differ by this share.
 SLACK = 1e-9
 
@@ -44,20 +46,25 @@ def weight(tf, length, mean):
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def _counted(cut: Callable[[str | None], list[str]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, tokens, tfs, lens = [], [], [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = cut(t.as_py())
-                found = Counter(words)
-                keys += [k] * max(1, len(found))  # a text without tokens counts as a document too
-                tokens += list(found) or [None]
-                tfs += list(found.values()) or [0]
-                lens += [len(words)] * max(1, len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tokens, pa.string()), pa.array(tfs, pa.int32()), pa.array(lens, pa.int32())], ["key", "token", "tf", "len"])
+def counted(batches: Iterator[pa.RecordBatch], cut: Callable[[str | None], list[str]]) -> Iterator[pa.RecordBatch]:
+    """key, token, tf, len of (key, text), passed on after ``HELD`` postings whatever a batch holds."""
+    keys, tokens, tfs, lens = [], [], [], []
 
-    return run
+    def passed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tokens, pa.string()), pa.array(tfs, pa.int32()), pa.array(lens, pa.int32())], ["key", "token", "tf", "len"])
+
+    for batch in batches:
+        for k, t in zip(batch.column(0), batch.column(1)):
+            words = cut(t.as_py())
+            found = Counter(words)
+            keys += [k.as_py()] * max(1, len(found))  # a text without tokens counts as a document too
+            tokens += list(found) or [None]
+            tfs += list(found.values()) or [0]
+            lens += [len(words)] * max(1, len(found))
+            if len(keys) >= HELD:
+                yield passed()
+                keys, tokens, tfs, lens = [], [], [], []
+    yield passed()
 
 
 def _blocked(cuts: np.ndarray, mean: float):
@@ -96,7 +103,7 @@ def build(docs: DataFrame, key: str, text: str, cut: Callable[[str | None], list
     spark = docs.sparkSession
     path = path or new_path(spark, "block-index")
     known = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null")
-    flat = written(known.mapInArrow(_counted(cut), "key long, token string, tf int, len int"), "counted")
+    flat = written(known.mapInArrow(lambda batches: counted(batches, cut), "key long, token string, tf int, len int"), "counted")
     whole = flat.groupBy("key").agg(F.max("len").alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
     segments = max(1, min(SEGMENTS, whole["n"] // SEGMENT_DOCS + 1))
     cuts = known.approxQuantile("key", [i / segments for i in range(1, segments)], 0.25 / segments) if segments > 1 else []

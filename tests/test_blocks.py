@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,11 @@ def test_a_hot_token_lies_in_several_blocks(spark):
     index = K.build(docs, "id", "text")
     rows = spark.read.parquet(index.path + "/blocks")
     assert rows.agg(F.max("n")).first()[0] <= K.BLOCK and rows.where("token = 'every'").agg(F.sum("n")).first()[0] == 1000
+
+
+def test_postings_are_passed_on_in_bounded_parts():
+    texts = [" ".join(f"w{i}x{j}" for j in range(1000)) for i in range(120)] + [None]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(121)), "text": texts})
+    made = list(K.counted(iter([batch]), T.latin_words))
+    assert max(b.num_rows for b in made) <= K.HELD + 1000 and sum(b.num_rows for b in made) == 120_001
+    assert made[-1].to_pylist()[-1] == {"key": 120, "token": None, "tf": 0, "len": 0}
