@@ -55,9 +55,10 @@ def _nearest(ids: np.ndarray, d: np.ndarray, k: int, below: np.ndarray | None =
 def _first_lists(rows: DataFrame, k: int, dim: int, metric: str, seed: int) -> DataFrame:
     """Neighbours within chunks of ``CHUNK`` rows along a random direction."""
     direction = np.random.default_rng(seed).standard_normal(dim)
-    along = F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in direction]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    v = F.col("v").cast("array<double>")
+    along = F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in direction]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     if metric == "cosine":
-        along = along / F.greatest(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-30))
+        along = along / F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-30))
     placed = rows.withColumn("along", along).withColumn("tie", F.xxhash64("id", F.lit(seed)))
     parts = max(1, rows.count() // (8 * CHUNK))
     placed = placed.repartitionByRange(parts, "along", "tie").sortWithinPartitions("along", "tie").select("id", "v")
@@ -79,10 +80,17 @@ def _best(lists: DataFrame, k: int) -> DataFrame:
     return once.withColumn("__r", place).where(F.col("__r") <= k).drop("__r")
 
 
+def vectors_of(rows: DataFrame, key: str, vec: str) -> DataFrame:
+    """id, v of the rows that have a vector, in the width they were given: single precision has half the bytes to
+    send, and tasks reckon in double."""
+    held = F.col(vec) if dict(rows.dtypes)[vec] == "array<float>" else F.col(vec).cast("array<double>")
+    return rows.where(F.size(vec) > 0).select(F.col(key).cast("long").alias("id"), held.alias("v"))
+
+
 def knn_graph(rows: DataFrame, k: int = 15, key: str = "vec_id", vec: str = "embedding", metric: str = "cosine", seed: int = 1) -> DataFrame:
     """id, nb, d: about the ``k`` nearest others of each row; rows without a vector, or of another
     dimension than the most frequent one, have none."""
-    sized = rows.where(F.size(vec) > 0).select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    sized = vectors_of(rows, key, vec)
     sizes = sized.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if sizes is None:
         return sized.select("id", F.col("id").alias("nb"), F.lit(0.0).alias("d"))
@@ -114,9 +122,13 @@ def knn_graph(rows: DataFrame, k: int = 15, key: str = "vec_id", vec: str = "emb
         some = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("fresh"), F.xxhash64("u", F.lit(round_))))
         named = named.withColumn("__r", some).where(F.col("__r") <= k).drop("__r")
         around = lists.select(F.col("id").alias("c"), F.col("nb").alias("u"), fresh.alias("fresh")).union(named).groupBy("c", "u").agg(F.max("fresh").alias("fresh"))
-        held = around.join(data.withColumnRenamed("id", "u"), "u").join(worst.withColumnRenamed("id", "u"), "u", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
+        # without a new member nothing of a point is compared, so no vector is sent to it
+        alive = around.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("u", "fresh"))).alias("l")).where(F.exists("l", lambda x: x["fresh"]))  # 2 k at most
+        around = alive.select("c", F.explode("l").alias("x")).select("c", "x.u", "x.fresh")
+        known = data.withColumnRenamed("id", "u").join(worst.withColumnRenamed("id", "u"), "u", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
+        held = around.join(known, "u")
         groups = held.groupBy("c").agg(F.sort_array(F.collect_list(own)).alias("members"))  # 2 k at most
-        found = groups.where(F.exists("members", lambda x: x["fresh"])).select("members").mapInArrow(compared, _LISTS)
+        found = groups.select("members").mapInArrow(compared, _LISTS)
         new = written(_best(lists.unionByName(found.withColumn("age", F.lit(round_))), k), "lists")
         lists = new
         if new.where(F.col("age") == round_).count() <= STILL * k * total:

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sonaria.operators import density, layout, neighbours, trees
 from sonaria.operators import vectors as V
@@ -250,3 +251,13 @@ def test_long_chains_in_few_rounds_and_cycles(spark):
     assert [got[n + i] for i in (1, 2, 3, 5)] == [(None, None)] * 4 and got[n + 4] == (n + 4, 0)
     assert len(got) == n + 5
     assert trees.roots_and_depths(spark.createDataFrame([], "id long, parent long"), "id", "parent").count() == 0
+
+
+def test_vectors_travel_in_the_width_they_were_given(spark):
+    # single precision rows are not widened before they are sent, and lists are those of wide ones
+    rng = np.random.default_rng(8)
+    wide = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.random((60, 6)).astype(np.float32))], "vec_id long, embedding array<double>")
+    narrow = wide.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    made = [sorted((r.id, r.nb) for r in neighbours.knn_graph(rows, k=4).collect()) for rows in (wide, narrow)]
+    assert made[0] == made[1]
+    assert dict(neighbours.vectors_of(narrow, "vec_id", "embedding").dtypes)["v"] == "array<float>"
