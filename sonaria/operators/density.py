@@ -11,8 +11,10 @@ one side is looked for, so three by three cells suffice; what an earlier round h
 part: points with a core distance, and points whose neighbourhood is one component. Cells are cut
 into 8 by 8 smaller ones whose boxes and counts bound all distances between two of them, and only
 pairs of small cells that may hold the nearest points are looked into. Points of one place are one
-location with a count, so no cell is crowded by copies. The tree is built by the components' nearest
-edges (Boruvka), and its hierarchy by ranges of edges of ascending length, one group for each component.
+location with a count, so no cell is crowded by copies. The tree is built from the components' nearest
+edges: blocks of neighbouring components are joined each for itself, as far as no edge that leaves the block
+is shorter, and only what lies at the blocks' borders meets again. Its hierarchy comes from ranges of edges of
+ascending length, one group for each component.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from functools import reduce
 from itertools import groupby
 
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +32,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from sonaria.operators.trees import highest
 from sonaria.sources.shared import written
 
-#: Edges of a round that the driver joins itself; with more of them it takes rounds of joins.
+#: Edges of a round that the driver joins itself; with more of them blocks are joined first.
 FEW_EDGES = 50_000
+#: Components of a block, and edges for each of them on the average.
+BLOCK_COMPONENTS = 25_000
+BLOCK_EDGES = 8 * BLOCK_COMPONENTS
 #: Edges of one range of the hierarchy: what one group holds at most, equal lengths apart.
 RANGE_EDGES = 2_000_000
 #: Cells of the first round hold so many locations at most.
@@ -151,10 +157,106 @@ def _renamed(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
     return rows.join(named, column, "left").withColumn(column, F.coalesce("__root", column)).drop("__root")
 
 
-def _joined(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _interleaved(rows: DataFrame, extent: float, bits: int = 26) -> DataFrame:
+    """id, z: a number of each location that neighbours in the plane mostly have near to one another."""
+
+    def spread(column: str) -> Column:
+        v = F.least(F.floor(F.col(column) / extent * 2**bits), F.lit(2**bits - 1)).cast("long")
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    return rows.select("id", spread("x").bitwiseOR(F.shiftleft(spread("y"), 1)).cast("double").alias("z"))
+
+
+_FOREST = "a long, b long, w double, comp long, root long"
+
+
+def _forest(block: pa.Table) -> pa.Table:
+    """The edges of a block that are in the tree for certain, and its components' roots.
+
+    A row without ``cb`` is the shortest edge by which ``ca`` leaves the block. Edges are taken as they ascend.
+    One that joins two components is the shortest that leaves one of them, and so in the tree, unless both have a
+    shorter one that leaves the block."""
+    rows = block.sort_by([(c, "ascending") for c in ("w", "d", "a", "b")])
+    root: dict[int, int] = {}
+    leaving: set[int] = set()
+    kept = []
+
+    def top(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for at, (a, b) in enumerate(zip(rows.column("ca").to_pylist(), rows.column("cb").to_pylist())):
+        a = top(a)
+        if b is None:
+            leaving.add(a)
+            continue
+        b = top(b)
+        if a == b or (a in leaving and b in leaving):
+            continue
+        low, high = min(a, b), max(a, b)
+        root[high] = low
+        if high in leaving:
+            leaving.add(low)
+        kept.append(at)
+    tree = rows.select(["a", "b", "w"]).take(pa.array(kept, pa.int64()))
+    comps, blank = list(root), [None] * len(kept)
+    ends = [pa.chunked_array([*tree.column(c).chunks, pa.nulls(len(comps), t)], t) for c, t in (("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64()))]
+    return pa.table(dict(zip(("a", "b", "w", "comp", "root"), [*ends, pa.array(blank + comps, pa.int64()), pa.array(blank + [top(c) for c in comps], pa.int64())])))
+
+
+def _joined_in_blocks(edges: DataFrame, codes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """a, b, w of edges that are in the tree, and comp, root of all components, from blocks of neighbours."""
+    ends = written(edges.select(F.col("ca").alias("id")).union(edges.select("cb")).distinct().join(codes, "id"), "block-ends")
+    parts = max(-(-ends.count() // BLOCK_COMPONENTS), -(-n // BLOCK_EDGES))
+    cuts = sorted(set(ends.approxQuantile("z", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    if cuts:
+        blocks = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="z", outputCol="block").transform(ends).select("id", F.col("block").cast("long").alias("block"))
+    else:
+        blocks = ends.select("id", F.lit(0).cast("long").alias("block"))
+    of = lambda c: blocks.select(F.col("id").alias(c), F.col("block").alias(f"block_{c}"))
+    placed = written(edges.join(of("ca"), "ca").join(of("cb"), "cb"), "block-edges")
+    inside = placed.where("block_ca = block_cb").select(F.col("block_ca").alias("block"), "ca", "cb", "best")
+    over = placed.where("block_ca <> block_cb")
+    over = over.select(F.col("block_ca").alias("block"), "ca", "best").union(over.select("block_cb", "cb", "best"))
+    over = over.groupBy("block", "ca").agg(F.min("best").alias("best")).select("block", "ca", F.lit(None).cast("long").alias("cb"), "best")
+    known = inside.unionByName(over).select("block", "ca", "cb", "best.w", "best.d", "best.a", "best.b")
+    out = written(known.groupBy("block").applyInArrow(_forest, _FOREST), "block-trees")
+    return out.where("comp is null").select("a", "b", "w"), out.where("comp is not null").select("comp", "root")
+
+
+def _joined_in_rounds(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b, w of the shortest edge of each component, and comp, root of all components (Boruvka)."""
+    ends = edges.select(F.col("ca").alias("comp"), "ca", "cb", "best").union(edges.select("cb", "ca", "cb", "best"))
+    chosen = written(ends.groupBy("comp").agg(F.min(F.struct("best", "ca", "cb")).alias("m")).select("m.best", "m.ca", "m.cb").distinct(), "chosen")
+    return chosen.select("best.a", "best.b", "best.w"), written(roots_of(chosen), "merged")
+
+
+def _joined(edges: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """a, b, w: the forest of ``edges`` (ca, cb, best) of least length; and comp, root."""
     spark = edges.sparkSession
-    if edges.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+    trees, moved = [], None
+
+    def follow(roots: DataFrame) -> DataFrame:
+        if moved is None:
+            return roots
+        new = roots.join(moved.select("comp"), "comp", "left_anti")
+        return written(_renamed(moved, roots, "root").select("comp", "root").union(new), "moved")
+
+    n, by_blocks = edges.count(), True
+    while n > FEW_EDGES:
+        tree, roots = _joined_in_blocks(edges, codes, n) if by_blocks else _joined_in_rounds(edges)
+        trees.append(tree)
+        moved = follow(roots)
+        left = _renamed(_renamed(edges, roots, "ca"), roots, "cb").where("ca <> cb")
+        left = left.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.min("best").alias("best"))
+        edges = written(left.select(F.col("x").alias("ca"), F.col("y").alias("cb"), "best"), "edges")
+        before, n = n, edges.count()
+        # where blocks part too much, a round in which every component is joined to another comes between
+        by_blocks = not by_blocks or n <= before / 2
+    if n:
         root: dict[int, int] = {}
 
         def top(c: int) -> int:
@@ -168,33 +270,20 @@ def _joined(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
             if a != b:
                 root[max(a, b)] = min(a, b)
                 kept.append((e.best.a, e.best.b, e.best.w))
-        return spark.createDataFrame(kept, "a long, b long, w double"), spark.createDataFrame([(c, top(c)) for c in root], "comp long, root long")
-    trees, moved = [], None
-    while True:
-        ends = edges.select(F.col("ca").alias("comp"), "ca", "cb", "best").union(edges.select("cb", "ca", "cb", "best"))
-        chosen = written(ends.groupBy("comp").agg(F.min(F.struct("best", "ca", "cb")).alias("m")).select("m.best", "m.ca", "m.cb").distinct(), "chosen")
-        trees.append(chosen.select("best.a", "best.b", "best.w"))
-        roots = written(roots_of(chosen), "merged")
-        if moved is None:
-            moved = roots
-        else:
-            new = roots.join(moved.select("comp"), "comp", "left_anti")
-            moved = written(_renamed(moved, roots, "root").select("comp", "root").union(new), "moved")
-        left = _renamed(_renamed(edges, roots, "ca"), roots, "cb").where("ca <> cb")
-        left = left.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.min("best").alias("best"))
-        edges = written(left.select(F.col("x").alias("ca"), F.col("y").alias("cb"), "best"), "edges")
-        if not edges.limit(1).count():
-            return reduce(DataFrame.union, trees), moved
+        trees.append(spark.createDataFrame(kept, "a long, b long, w double"))
+        moved = follow(spark.createDataFrame([(c, top(c)) for c in root], "comp long, root long"))
+    return reduce(DataFrame.union, trees), moved
 
 
 def spanning_tree(rows: DataFrame, side: float, extent: float) -> DataFrame:
     """a, b, w: a minimum spanning tree of the mutual reachability of rows id, x, y, core."""
     labels, edges = rows.select("id", F.col("id").alias("comp")), []
+    codes = _interleaved(rows, extent)
     while True:
         placed = written(_placed(rows.join(labels, "id"), side), "placed")
         found = written(_min_edges(placed, side), "min-edges")
         if found.limit(1).count():
-            tree, roots = _joined(found)
+            tree, roots = _joined(found, codes)
             edges.append(written(tree, "tree"))
             labels = written(_renamed(labels, roots, "comp").select("id", "comp"), "components")
         if side > 3 * extent or labels.select("comp").distinct().limit(2).count() < 2:

@@ -120,6 +120,26 @@ def test_spanning_tree_is_that_of_brute_force(spark, monkeypatch, few):
     assert np.allclose(sorted(r.w for r in tree), lengths, rtol=1e-9)
 
 
+@pytest.mark.parametrize("block,rounds", [(1000, 0), (25, None)])
+def test_many_edges_are_joined_in_blocks(spark, monkeypatch, block, rounds):
+    # no rounds of labels that go from neighbour to neighbour where a block holds all; the tree is that of brute force
+    made = []
+    keep = density.written
+    monkeypatch.setattr(density, "written", lambda df, label: made.append(label) or keep(df, label))
+    monkeypatch.setattr(density, "FEW_EDGES", 0)
+    monkeypatch.setattr(density, "BLOCK_COMPONENTS", block)
+    points = clouds(9, [60, 50], 40) + [(50.0 + i % 6, 50.0 + i // 6) for i in range(30)]  # many equal lengths
+    rows = frame(spark, points).selectExpr("clip_id AS id", "x", "y", "1L AS n").cache()
+    x0, y0, extent = density._box(rows)
+    rows = rows.selectExpr("id", f"x - ({x0}) AS x", f"y - ({y0}) AS y", "n")
+    side = density._first_side(rows, extent)
+    cores = density.core_distances(rows, 4, side, extent)
+    tree = density.spanning_tree(rows.select("id", "x", "y").join(cores, "id"), side, extent).collect()
+    assert len(tree) == len(points) - 1
+    assert np.allclose(sorted(r.w for r in tree), brute_tree(points, 5)[1], rtol=1e-9)
+    assert "block-trees" in made and (rounds is None or made.count("roots") == rounds)
+
+
 @pytest.mark.parametrize("seed,sizes,noise,ranges", [(2, [40, 60, 25], 30, 1), (3, [90], 20, 1), (4, [20, 20, 20, 20], 0, 1), (6, [30, 50], 10, 4)])
 def test_clusters_are_those_of_the_definition(spark, monkeypatch, seed, sizes, noise, ranges):
     points = clouds(seed, sizes, noise)
