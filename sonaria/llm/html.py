@@ -1,14 +1,18 @@
 """Main text of web pages.
 
-A page's markup is cut into blocks of text. Markup that names its role decides most of them:
-what stands in an article is kept, and menus, headers, footers, side bars, notices, adverts,
-forms and comments are not. Pages whose markup leaves that open (no article, no main) are decided
-by a suffix array over the token streams of all pages of a host, cut at a depth of ``depth``
-tokens: suffixes are grouped by their first tokens, and those that begin alike on two or more
-distinct pages start a repeated substring. The union of such beginnings is exactly what all
-repeated substrings of ``depth`` tokens or more cover. Covered tokens are boilerplate and go,
-within a block as well; the unique runs of a block stay together. Groups are merged as minima and
-maxima of page numbers, so a host or a phrase that fills a third of all pages never meets in one task.
+A page's markup is cut into blocks of text. The pages of a host are decided by a suffix array over their
+token streams, cut at a depth of ``depth`` tokens: suffixes are grouped by their first tokens, and those that
+begin alike on two or more distinct pages start a repeated substring. The union of such beginnings is exactly
+what all repeated substrings of ``depth`` tokens or more cover. Covered tokens are boilerplate and go, within
+a block as well; the unique runs of a block stay together. All pages take part with all their blocks, those
+that markup rules out as a stream of their own, so that no suffix runs from a menu into the text.
+
+Markup that names its role checks what the suffixes say. What stands in an article (or else in main) is kept,
+also where it repeats, and so is the same passage on a page without one; menus, headers, footers, side bars,
+notices, adverts, forms and comments go, also where they stand only once.
+
+Suffixes meet in buckets of their hashes, each of a bounded number of characters of pages, so a host or a
+phrase that fills a third of all pages never meets in one task.
 
 Rows: a null page counts as empty and has an empty text; every row, repeated or with null keys,
 gives one row; pages of a host with the same blocks count once as evidence, whatever their ids; a
@@ -21,6 +25,7 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,6 +34,10 @@ from pyspark.sql import functions as F
 from sonaria.llm.common import spread_join, table, written
 
 DEPTH = 8
+#: Characters of pages whose suffixes make one bucket, and the least number of buckets.
+BUCKET_CHARS = 16_000_000
+LEAST_BUCKETS = 16
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Attributes as browsers cut them: an unquoted value ends at white space or ">" and may hold quotes.
 _ATTRIBUTES = r"(?>[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?)*+"
 _TAG = re.compile(
@@ -84,9 +93,12 @@ def _is_noise(name: str, attributes: str, inside: bool) -> bool:
 
 def blocks(html: str) -> tuple[list[str], bool]:
     """The blocks of text that markup does not rule out, and whether an article decides them."""
-    whole: list[str] = []
-    main: list[str] = []
-    article: list[str] = []
+    return parts_of(html)[:2]
+
+
+def parts_of(html: str) -> tuple[list[str], bool, list[str]]:
+    """The blocks of text that markup does not rule out, whether an article decides them, and all other blocks."""
+    found: list[tuple[str, str]] = []  # a block, and what markup says of it
     text: list[str] = []
     deep = {"article": 0, "main": 0}
     skip, depth = "", 0  # the element that is left out, and how deep its own name is nested
@@ -94,18 +106,13 @@ def blocks(html: str) -> tuple[list[str], bool]:
     unclosed: set[str] = set()  # hidden elements that are not closed from here on
 
     def close() -> None:
-        if text:
-            block = " ".join(unescape("".join(text)).split())
-            text.clear()
-            if block:
-                whole.append(block)
-                if deep["main"]:
-                    main.append(block)
-                if deep["article"]:
-                    article.append(block)
+        block = " ".join(unescape("".join(text)).split())
+        text.clear()
+        if block:
+            found.append((block, "out" if skip else "article" if deep["article"] else "main" if deep["main"] else ""))
 
     while tag := _TAG.search(html, at):
-        if tag.start() > at and not skip:
+        if tag.start() > at:
             text.append(html[at : tag.start()])
         at = tag.end()
         opened = _NAME.match(html, tag.start())
@@ -128,7 +135,10 @@ def blocks(html: str) -> tuple[list[str], bool]:
                 if skip in ("p", "li") and not ends:
                     depth = 0
             if depth > 0 and not implied:
+                if name in BLOCKS:
+                    close()
                 continue
+            close()
             skip = ""
             if ends:
                 continue
@@ -144,41 +154,56 @@ def blocks(html: str) -> tuple[list[str], bool]:
         elif not ends and name not in VOID and _is_noise(name, tag.group(4), bool(deep["article"] or deep["main"])):
             close()
             skip, depth = name, 1
-    if at < len(html) and not skip:
+    if at < len(html):
         text.append(html[at:])
     close()
-    if article:
-        return article, True
-    return (main, True) if main else (whole, False)
+    said = {x for _, x in found}
+    chosen = {"article"} if "article" in said else {"main"} if "main" in said else {""}
+    return [b for b, x in found if x in chosen], chosen != {""}, [b for b, x in found if x not in chosen]
 
 
-def windows(parts: list[str], depth: int = DEPTH) -> list[int]:
-    """Hashes of the first ``depth`` tokens of each suffix of a page's token stream that has as many."""
+def windows(parts: list[str], depth: int = DEPTH) -> np.ndarray:
+    """Hashes of the first ``depth`` tokens of each suffix of a token stream that has as many."""
     tokens = "\n".join(parts).encode("utf-8", "surrogatepass").split()
-    return [xxhash.xxh64_intdigest(b" ".join(tokens[i : i + depth])) - (1 << 63) for i in range(len(tokens) - depth + 1)]
-
-
-def unique_runs(parts: list[str], repeated: set[int], depth: int = DEPTH) -> list[str]:
-    """The blocks without the tokens that repeated windows cover."""
-    if not repeated:
-        return parts
-    tokens = [block.split() for block in parts]
-    covered = [False] * sum(map(len, tokens))
-    for i, h in enumerate(windows(parts, depth)):
-        if h in repeated:
-            covered[i : i + depth] = [True] * depth
-    at, kept = iter(covered), []
-    for block in tokens:
-        if left := [t for t in block if not next(at)]:
+    n = max(0, len(tokens) - depth + 1)
+    h = np.array([xxhash.xxh64_intdigest(t) for t in tokens] if n else [], np.uint64)
+    out = np.zeros(n, np.uint64)
+    for i in range(depth if n else 0):
+        out = out * _FACTOR + h[i : i + n]
+    return out
+
+
+def covered(found: np.ndarray, repeated: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Which tokens of a stream of the windows ``found`` repeated ones cover."""
+    steps = np.zeros(len(found) + depth, np.int64)
+    starts = np.flatnonzero(np.isin(found, repeated))
+    steps[starts] += 1
+    steps[starts + depth] -= 1
+    return np.cumsum(steps)[:-1] > 0
+
+
+def unique_runs(parts: list[str], gone: np.ndarray) -> list[str]:
+    """The blocks without the tokens that are ``gone``; beyond its end none is."""
+    at, kept = 0, []
+    for block in parts:
+        tokens = block.split()
+        here = gone[at : at + len(tokens)]
+        at += len(tokens)
+        if left := [t for i, t in enumerate(tokens) if i >= len(here) or not here[i]]:
             kept.append(" ".join(left))
     return kept
 
 
-PARSED = "page_id long, url string, host string, page long, decided boolean, blocks array<string>"
+PARSED = "page_id long, url string, host long, page long, key long, decided boolean, blocks array<string>, others array<string>"
+
+
+def _number(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """The pages' blocks, whether markup has decided them, and a number of equal pages of a host."""
+    """The pages' blocks, whether markup has decided them, a number of equal pages of a host, and one of those
+    with equal other blocks."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = rows.select("page_id", "url", host.alias("host"), "html")
@@ -186,48 +211,105 @@ def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks(h) for h in batch.column("html").to_pylist()]
+            hosts = batch.column("host").to_pylist()
+            found = [parts_of(h) for h in batch.column("html").to_pylist()]
             # copies of a page under other ids on a host are one page as evidence
-            page = [xxhash.xxh64_intdigest("\n".join([host, *b]).encode("utf-8", "surrogatepass")) - (1 << 63) for host, (b, _) in zip(batch.column("host").to_pylist(), found)]
-            columns = [batch.column(n) for n in names[:3]] + [pa.array(page, pa.int64()), pa.array([d for _, d in found], pa.bool_()), pa.array([b for b, _ in found], pa.list_(pa.string()))]
+            page = [_number("\n".join([host, *b])) for host, (b, _, _) in zip(hosts, found)]
+            key = [_number("\n".join([str(p), *o])) for p, (_, _, o) in zip(page, found)]
+            longs = [pa.array(x, pa.int64()) for x in ([_number(h) for h in hosts], page, key)]
+            blocks, decided, others = zip(*found) if found else ((), (), ())
+            columns = [batch.column("page_id"), batch.column("url"), *longs, pa.array(decided, pa.bool_()), pa.array(blocks, pa.list_(pa.string())), pa.array(others, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return rows.mapInArrow(run, PARSED)
 
 
-def repeated_windows(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """page, hashes: for each page those of its windows that two or more pages of its host have."""
+def _streams(host: int, kept: list[str], others: list[str], depth: int) -> list[np.ndarray]:
+    """The windows of a page's blocks and those of its other blocks, told apart by host."""
+    return [windows(parts, depth) ^ np.uint64(host + (1 << 63)) for parts in (kept, others)]
+
+
+#: What markup says of the blocks that a row of suffixes comes from.
+_RULED_OUT, _PROVEN, _OPEN = range(3)
+_SUFFIXES = "bucket long, key long, page long, kind int, hashes binary"
+#: Pages, and bytes of hashes, up to which the answer is broadcast to the pages.
+SMALL_ROWS, SMALL_BYTES = 500_000, 64_000_000
+
+
+def _shared(rows: pa.Table) -> pa.Table:
+    """Of each page's hashes in a bucket: how many another page has too, and for pages that markup leaves open those
+    of them that no article holds."""
+    key, page, kind = (rows.column(c).to_numpy() for c in ("key", "page", "kind"))
+    hashes = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
+    ends = np.cumsum([len(x) for x in hashes])
+    out: dict[tuple[int, int], tuple[int, int, bytes]] = {}
+    h = np.concatenate(hashes)
+    order = np.argsort(h, kind="stable")
+    h, row = h[order], np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])[order]
+    twice = free = np.zeros(len(h), bool)
+    if len(h):
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+        repeated = np.minimum.reduceat(page[row], starts) != np.maximum.reduceat(page[row], starts)
+        held = np.logical_or.reduceat((kind == _PROVEN)[row], starts)
+        twice, free = np.empty(len(h), bool), np.empty(len(h), bool)
+        twice[order] = repeated[group]
+        free[order] = (repeated & ~held)[group]
+    for i, x in enumerate(hashes):
+        if (key[i], kind[i]) not in out:  # copies have the same
+            here = slice(ends[i] - len(x), ends[i])
+            out[key[i], kind[i]] = (key[i], int(twice[here].sum()), x[free[here]].tobytes() if kind[i] == _OPEN else b"")
+    return pa.table(list(zip(*out.values())), pa.schema([("key", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary())]))
+
+
+def repeated_windows(pages: DataFrame, buckets: int, depth: int = DEPTH) -> DataFrame:
+    """key, n, hashes: how many windows of each page two or more pages of its host have, and in several arrays those
+    that make boilerplate of what markup leaves open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(host, page, h) for host, page, parts in zip(*(batch.column(n).to_pylist() for n in ("host", "page", "blocks"))) for h in set(windows(parts, depth))]
-            host, page, h = list(zip(*rows)) or ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(h, pa.int64())], ["host", "page", "h"])
-
-    suffixes = written(pages.mapInArrow(run, "host string, page long, h long"), "suffixes")
-    shared = suffixes.groupBy("host", "h").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a <> b").select("host", "h")
-    return spread_join(suffixes, shared, ["host", "h"], F.xxhash64("page")).groupBy("page").agg(F.collect_set("h").alias("hashes"))
+            rows = []
+            for key, page, host, decided, kept, others in zip(*(batch.column(n).to_pylist() for n in ("key", "page", "host", "decided", "blocks", "others"))):
+                own, rest = _streams(host, kept, others, depth)
+                for kind, h in ((_PROVEN, own), (_RULED_OUT, rest)) if decided else ((_OPEN, np.concatenate([own, rest])),):
+                    h = np.unique(h)
+                    of = (h >> np.uint64(24)) % np.uint64(buckets)
+                    order = np.argsort(of, kind="stable")
+                    h, cuts = h[order], np.searchsorted(of[order], np.arange(buckets + 1))
+                    # each page has a row in the first bucket, so that none is missing from the answer
+                    rows += [(b, key, page, kind, h[cuts[b] : cuts[b + 1]].tobytes()) for b in {0, *np.unique(of).tolist()}]
+            columns = list(zip(*rows)) or [()] * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["bucket", "key", "page", "kind", "hashes"])
+
+    suffixes = pages.select("key", "page", "host", "decided", "blocks", "others").mapInArrow(run, _SUFFIXES)
+    shared = suffixes.groupBy("bucket").applyInArrow(_shared, "key long, n long, hashes binary")
+    return shared.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.length("hashes") > 0, F.col("hashes"))).alias("hashes"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", depth: int = DEPTH) -> DataFrame:
-    """page_id, url, text, n_chars for every page."""
-    parsed = written(parse(pages, id_col, url_col, html_col), "parsed-pages")
-    text = F.array_join("blocks", "\n")
-    open_ = parsed.where("not decided and size(blocks) > 0")
-    plain = parsed.where("decided or size(blocks) = 0").select("page_id", "url", text.alias("text"))
-    made = plain if open_.isEmpty() else plain.union(_unique_parts(open_, depth).select("page_id", "url", text.alias("text")))
-    return made.withColumn("n_chars", F.char_length("text").cast("long"))
-
-
-def _unique_parts(pages: DataFrame, depth: int) -> DataFrame:
-    joined = pages.join(repeated_windows(pages, depth), "page", "left").select("page_id", "url", "blocks", "hashes")
+    """page_id, url, text, n_chars for every page, and n_repeated: its windows that other pages of its host have."""
+    size = pages.agg(F.sum(F.char_length(F.col(html_col)))).first()[0] or 0
+    parsed = parse(pages, id_col, url_col, html_col)  # twice, as that is cheaper than to keep it
+    found = written(repeated_windows(parsed, max(LEAST_BUCKETS, -(-size // BUCKET_CHARS)), depth), "repeated-windows")
+    rows, held = found.agg(F.count("*"), F.sum(F.aggregate("hashes", F.lit(0), lambda s, x: s + F.length(x)))).first()
+    if rows <= SMALL_ROWS and (held or 0) <= SMALL_BYTES:
+        joined = parsed.join(F.broadcast(found), "key")
+    else:
+        joined = spread_join(parsed, found, ["key"], F.xxhash64("page_id", "url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [unique_runs(b, set(h or ()), depth) for b, h in zip(batch.column("blocks").to_pylist(), batch.column("hashes").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(kept, pa.list_(pa.string()))], ["page_id", "url", "blocks"])
-
-    return joined.mapInArrow(run, "page_id long, url string, blocks array<string>")
+            texts = []
+            for host, decided, kept, hashes in zip(*(batch.column(n).to_pylist() for n in ("host", "decided", "blocks", "hashes"))):
+                if not decided and hashes:
+                    own, _ = _streams(host, kept, [], depth)
+                    kept = unique_runs(kept, covered(own, np.frombuffer(b"".join(hashes), np.uint64), depth))
+                texts.append("\n".join(kept))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), batch.column("n")], ["page_id", "url", "text", "n_repeated"])
+
+    made = joined.select("page_id", "url", "host", "decided", "blocks", "hashes", "n").mapInArrow(run, "page_id long, url string, text string, n_repeated long")
+    return made.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated")
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:

@@ -21,3 +21,26 @@ def test_copies_of_a_page_are_one_page(spark):
     got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     whole = "A text of its own about many things that nobody else ever writes\nShort"
     assert got == {1: whole, 2: whole, 3: whole, 4: whole, 5: "Another text with other words that stand only here and nowhere else"}
+
+
+def test_windows_run_over_all_pages_and_markup_checks_them(spark):
+    menu, passage = "One two three four five six seven eight nine", "A passage that several pages of the host carry as their own words"
+    own = ["First page with an article of its own", "Second page with other words in it", "Third page without any article but with its own text"]
+    top = f"<nav>{menu}</nav>"
+    rows = [(i, f"http://h.example/{i}", f"{top}<article><p>{own[i]}</p><p>{passage}</p></article>") for i in (0, 1)]
+    # the same menu and passage where markup says nothing: the menu goes, what articles hold stays
+    rows += [(2, "http://h.example/2", f"<div>{menu}</div><p>{own[2]}</p><p>{passage}</p>")]
+    rows += [(3, "http://other.example/3", rows[0][2]), (4, "http://h.example/4", "")]
+    got = {r.page_id: (r.text, r.n_repeated) for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    n, m = (len(x.split()) - html.DEPTH + 1 for x in (passage, menu))
+    assert got == {0: (f"{own[0]}\n{passage}", n + m), 1: (f"{own[1]}\n{passage}", n + m), 2: (f"{own[2]}\n{passage}", n + m), 3: (f"{own[0]}\n{passage}", 0), 4: ("", 0)}
+
+
+def test_buckets_change_nothing(spark, monkeypatch):
+    pages = [(i, "http://h.example/", f"<p>{' '.join(f'w{(i * 7 + k) % 60}' for k in range(40))}</p><nav>a b c d e f g h i {i % 3}</nav>") for i in range(40)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    monkeypatch.setattr(html, "LEAST_BUCKETS", 1)
+    one = sorted(map(tuple, html.main_text(frame).collect()))
+    monkeypatch.setattr(html, "BUCKET_CHARS", 500)
+    monkeypatch.setattr(html, "SMALL_ROWS", 10)
+    assert sorted(map(tuple, html.main_text(frame).collect())) == one and any(r[4] for r in one)
