@@ -173,6 +173,16 @@ def test_auto_falls_back_to_the_grid_for_few_points_only(spark):
     assert said.startswith("density: 2 clusters") and rows.count() == 80
 
 
+def test_auto_joins_many_edges_without_rounds_of_labels(spark, monkeypatch):
+    made = []
+    keep = density.written
+    monkeypatch.setattr(density, "written", lambda df, label: made.append(label) or keep(df, label))
+    monkeypatch.setattr(density, "FEW_EDGES", 0)
+    rows, said = V.cluster_auto(frame(spark, clouds(7, [40, 40])))
+    assert said.startswith("density: 2 clusters") and rows.count() == 80
+    assert "block-trees" in made and "roots" not in made
+
+
 # neighbours and layout
 
 
