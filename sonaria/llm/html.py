@@ -12,7 +12,9 @@ also where it repeats, and so is the same passage on a page without one; menus,
 notices, adverts, forms and comments go, also where they stand only once.
 
 Suffixes meet in buckets of their hashes, each of a bounded number of characters of pages, so a host or a
-phrase that fills a third of all pages never meets in one task.
+phrase that fills a third of all pages never meets in one task. They meet twice: first a short hash of each
+suffix's anchor, which it shares with its neighbours and with all equal suffixes, then in whole those whose
+anchor may stand on another page.
 
 Rows: a null page counts as empty and has an empty text; every row, repeated or with null keys,
 gives one row; pages of a host with the same blocks count once as evidence, whatever their ids; a
@@ -162,14 +164,47 @@ def parts_of(html: str) -> tuple[list[str], bool, list[str]]:
     return [b for b, x in found if x in chosen], chosen != {""}, [b for b, x in found if x not in chosen]
 
 
-def windows(parts: list[str], depth: int = DEPTH) -> np.ndarray:
-    """Hashes of the first ``depth`` tokens of each suffix of a token stream that has as many."""
+class _Hashes(dict):
+    """Hashes of tokens, of the last 500,000 at most."""
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        self[token] = h = xxhash.xxh64_intdigest(token)
+        return h
+
+
+_HASHES = _Hashes()
+
+
+def _tokens(parts: list[str]) -> np.ndarray:
+    """Hashes of the tokens of a stream."""
     tokens = "\n".join(parts).encode("utf-8", "surrogatepass").split()
+    return np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def _rolled(tokens: np.ndarray, depth: int) -> np.ndarray:
+    """Hashes of all runs of ``depth`` tokens."""
     n = max(0, len(tokens) - depth + 1)
-    h = np.array([xxhash.xxh64_intdigest(t) for t in tokens] if n else [], np.uint64)
     out = np.zeros(n, np.uint64)
     for i in range(depth if n else 0):
-        out = out * _FACTOR + h[i : i + n]
+        out = out * _FACTOR + tokens[i : i + n]
+    return out
+
+
+def windows(parts: list[str], depth: int = DEPTH) -> np.ndarray:
+    """Hashes of the first ``depth`` tokens of each suffix of a token stream that has as many."""
+    return _rolled(_tokens(parts), depth)
+
+
+def anchors(tokens: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Of each window the smallest hash of the runs in it that are two tokens shorter: equal windows have equal ones,
+    and neighbouring windows mostly the same."""
+    runs = _rolled(tokens, max(1, depth - 2))
+    n, shorter = max(0, len(tokens) - depth + 1), min(2, depth - 1)
+    out = runs[:n]
+    for i in range(1, shorter + 1):
+        out = np.minimum(out, runs[i : i + n])
     return out
 
 
@@ -215,7 +250,7 @@ def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
             found = [parts_of(h) for h in batch.column("html").to_pylist()]
             # copies of a page under other ids on a host are one page as evidence
             page = [_number("\n".join([host, *b])) for host, (b, _, _) in zip(hosts, found)]
-            key = [_number("\n".join([str(p), *o])) for p, (_, _, o) in zip(page, found)]
+            key = [_number("\n".join([f"{p} {d}", *o])) for p, (_, d, o) in zip(page, found)]
             longs = [pa.array(x, pa.int64()) for x in ([_number(h) for h in hosts], page, key)]
             blocks, decided, others = zip(*found) if found else ((), (), ())
             columns = [batch.column("page_id"), batch.column("url"), *longs, pa.array(decided, pa.bool_()), pa.array(blocks, pa.list_(pa.string())), pa.array(others, pa.list_(pa.string()))]
@@ -224,87 +259,181 @@ def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
     return rows.mapInArrow(run, PARSED)
 
 
-def _streams(host: int, kept: list[str], others: list[str], depth: int) -> list[np.ndarray]:
-    """The windows of a page's blocks and those of its other blocks, told apart by host."""
-    return [windows(parts, depth) ^ np.uint64(host + (1 << 63)) for parts in (kept, others)]
+def _salted(host: int, hashes: np.ndarray) -> np.ndarray:
+    return hashes ^ np.uint64(host + (1 << 63))
 
 
-#: What markup says of the blocks that a row of suffixes comes from.
+#: What markup says of the blocks that a window comes from.
 _RULED_OUT, _PROVEN, _OPEN = range(3)
-_SUFFIXES = "bucket long, key long, page long, kind int, hashes binary"
-#: Pages, and bytes of hashes, up to which the answer is broadcast to the pages.
+_KINDS = 3
+#: Pages whose hashes go in one row to each bucket; a place, a page's with its kind, has two bytes.
+GROUP_PAGES = 20_000
+#: A row lists a group's keys, or holds its hashes in a bucket with their places and the numbers of the pages there.
+_DEALT = "bucket long, grp long, keys binary, pages binary, places binary, hashes binary"
+_ANSWERS = "grp long, keys binary, places binary, counts binary, free binary, hashes binary"
+#: Pages, and bytes of hashes, up to which an answer is broadcast to the pages.
 SMALL_ROWS, SMALL_BYTES = 500_000, 64_000_000
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The pages of a batch, each key once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, GROUP_PAGES):
+            columns = batch.slice(start, GROUP_PAGES).to_pydict()
+            yield list({row[0]: row for row in zip(*columns.values())}.values())
+
+
+def _dealt(pages: list[tuple], places: list[np.ndarray], hashes: list[np.ndarray], of: np.ndarray, buckets: int, named: bool) -> pa.RecordBatch:
+    """One row of a group for each bucket it has hashes in, and one that lists its keys."""
+    keys = np.array([p[0] for p in pages], np.int64)
+    group = xxhash.xxh64_intdigest(keys.tobytes()) - (1 << 63)
+    rows = [(group % buckets, group, keys.tobytes(), b"", b"", b"")]
+    order = np.argsort(of, kind="stable")
+    at, h, of = np.concatenate(places)[order], np.concatenate(hashes)[order], of[order]
+    numbers = np.array([p[1] for p in pages], np.int64)
+    for b, i, n in zip(*(x.tolist() for x in np.unique(of, return_index=True, return_counts=True))):
+        here = at[i : i + n]
+        rows.append((b, group, b"", numbers[np.unique(here // _KINDS)].tobytes() if named else b"", here.tobytes(), h[i : i + n].tobytes()))
+    types = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [c.split()[0] for c in _DEALT.split(", ")])
+
+
+def _bucket(rows: pa.Table, kind: type) -> tuple[list[tuple], list[tuple], np.ndarray, np.ndarray]:
+    """The lists of keys in a bucket, as answers; of each group its number, page numbers and places; all hashes, and
+    where each group's end. Groups of the same keys have the same hashes and count once."""
+    listed, held = {}, {}
+    for group, keys, pages, places, hashes in zip(*(rows.column(c).to_pylist() for c in ("grp", "keys", "pages", "places", "hashes"))):
+        if keys:
+            listed[group] = (group, keys, b"", b"", b"", b"")
+        else:
+            held[group] = (group, np.frombuffer(pages, np.int64), np.frombuffer(places, np.uint16), np.frombuffer(hashes, kind))
+    h = np.concatenate([np.zeros(0, kind), *[x[3] for x in held.values()]])
+    return list(listed.values()), list(held.values()), h, np.cumsum([0, *[len(x[3]) for x in held.values()]])
+
+
+def _answers(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * 6
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.binary()] * 5))], [c.split()[0] for c in _ANSWERS.split(", ")])
+
+
+def _met(rows: pa.Table) -> pa.Table:
+    """Of each group's anchors in a bucket those that stand there twice."""
+    out, held, h, ends = _bucket(rows, np.uint32)
+    ordered = np.sort(h)
+    twice = np.isin(h, ordered[1:][ordered[1:] == ordered[:-1]])
+    for (group, _, places, own), start, end in zip(held, ends, ends[1:]):
+        if (here := twice[start:end]).any():
+            out.append((group, b"", b"", b"", places[here].tobytes(), own[here].tobytes()))
+    return _answers(out)
+
+
 def _shared(rows: pa.Table) -> pa.Table:
-    """Of each page's hashes in a bucket: how many another page has too, and for pages that markup leaves open those
-    of them that no article holds."""
-    key, page, kind = (rows.column(c).to_numpy() for c in ("key", "page", "kind"))
-    hashes = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
-    ends = np.cumsum([len(x) for x in hashes])
-    out: dict[tuple[int, int], tuple[int, int, bytes]] = {}
-    h = np.concatenate(hashes)
+    """Of each group's windows in a bucket: how many of a page another page has too, and for pages that markup leaves
+    open those of them that no article holds."""
+    out, held, h, ends = _bucket(rows, np.uint64)
+    if not len(h):
+        return _answers(out)
+    page = np.concatenate([numbers[np.unique(places // _KINDS, return_inverse=True)[1]] for _, numbers, places, _ in held])
+    kind = np.concatenate([places % _KINDS for _, _, places, _ in held])
     order = np.argsort(h, kind="stable")
-    h, row = h[order], np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])[order]
-    twice = free = np.zeros(len(h), bool)
-    if len(h):
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        starts, group = np.flatnonzero(new), np.cumsum(new) - 1
-        repeated = np.minimum.reduceat(page[row], starts) != np.maximum.reduceat(page[row], starts)
-        held = np.logical_or.reduceat((kind == _PROVEN)[row], starts)
-        twice, free = np.empty(len(h), bool), np.empty(len(h), bool)
-        twice[order] = repeated[group]
-        free[order] = (repeated & ~held)[group]
-    for i, x in enumerate(hashes):
-        if (key[i], kind[i]) not in out:  # copies have the same
-            here = slice(ends[i] - len(x), ends[i])
-            out[key[i], kind[i]] = (key[i], int(twice[here].sum()), x[free[here]].tobytes() if kind[i] == _OPEN else b"")
-    return pa.table(list(zip(*out.values())), pa.schema([("key", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary())]))
-
-
-def repeated_windows(pages: DataFrame, buckets: int, depth: int = DEPTH) -> DataFrame:
-    """key, n, hashes: how many windows of each page two or more pages of its host have, and in several arrays those
-    that make boilerplate of what markup leaves open."""
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    starts, equal = np.flatnonzero(new), np.empty(len(h), np.int64)
+    equal[order] = np.cumsum(new) - 1
+    repeated = np.minimum.reduceat(page[order], starts) != np.maximum.reduceat(page[order], starts)
+    proven = np.logical_or.reduceat(kind[order] == _PROVEN, starts)
+    twice, free = repeated[equal], (repeated & ~proven)[equal] & (kind == _OPEN)
+    for (group, _, places, own), start, end in zip(held, ends, ends[1:]):
+        at, counts = np.unique(places[twice[start:end]] // _KINDS, return_counts=True)
+        here = free[start:end]
+        if len(at):
+            out.append((group, b"", at.tobytes(), counts.astype(np.uint32).tobytes(), places[here].tobytes(), own[here].tobytes()))
+    return _answers(out)
+
+
+def _by_key(rows: pa.Table, kind: type) -> pa.Table:
+    """key, n, hashes of the pages of a group, from its list of keys and the answers of all buckets."""
+    lists = [np.frombuffer(x, t) for c, t in (("keys", np.int64), ("places", np.uint16), ("counts", np.uint32), ("free", np.uint16), ("hashes", kind)) for x in [b"".join(rows.column(c).to_pylist() if c != "keys" else [max(rows.column(c).to_pylist(), key=len)])]]
+    keys, places, counts, free, hashes = lists
+    n = np.bincount(places, counts, len(keys)).astype(np.int64)
+    order = np.argsort(free // _KINDS, kind="stable")
+    hashes, cuts = hashes[order], np.searchsorted((free // _KINDS)[order], np.arange(len(keys) + 1))
+    return pa.table({"key": keys, "n": n, "hashes": pa.array([hashes[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())})
+
+
+def _told(dealt: DataFrame, bucket, kind: type) -> DataFrame:
+    """key, n, hashes: what the buckets say of each page; copies of a page are told the same."""
+    answers = dealt.groupBy("bucket").applyInArrow(bucket, _ANSWERS)
+    return answers.groupBy("grp").applyInArrow(lambda rows: _by_key(rows, kind), "key long, n long, hashes binary")
+
+
+def _joined(parsed: DataFrame, told: DataFrame) -> tuple[DataFrame, int]:
+    """The pages with what is told of each, and how many bytes of hashes that is."""
+    rows, held = told.agg(F.count("*"), F.sum(F.length("hashes"))).first()
+    told = told.groupBy("key").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    if rows <= SMALL_ROWS and (held or 0) <= SMALL_BYTES:
+        return parsed.join(F.broadcast(told), "key"), held or 0
+    return spread_join(parsed, told, ["key"], F.xxhash64("page_id", "url")), held or 0
+
+
+def repeated_anchors(parsed: DataFrame, buckets: int, depth: int = DEPTH) -> DataFrame:
+    """key, n, hashes: the low halves of the anchors of each page that may stand on another page of its host too.
+
+    A window on two pages has its anchor on both, so none is missed; what meets by chance, or only as an anchor, is
+    told apart by the whole windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for key, page, host, decided, kept, others in zip(*(batch.column(n).to_pylist() for n in ("key", "page", "host", "decided", "blocks", "others"))):
-                own, rest = _streams(host, kept, others, depth)
-                for kind, h in ((_PROVEN, own), (_RULED_OUT, rest)) if decided else ((_OPEN, np.concatenate([own, rest])),):
+        for pages in _groups(batches):
+            places, hashes = [], []
+            for i, (_, _, host, _, kept, others) in enumerate(pages):
+                h = np.unique(_salted(host, np.concatenate([anchors(_tokens(x), depth) for x in (kept, others)])))
+                hashes.append(h)
+                places.append(np.full(len(h), i * _KINDS, np.uint16))
+            of = (np.concatenate(hashes) >> np.uint64(32)) % np.uint64(buckets)
+            yield _dealt(pages, places, [h.astype(np.uint32) for h in hashes], of, buckets, False)
+
+    return _told(parsed.select("key", "page", "host", "decided", "blocks", "others").mapInArrow(run, _DEALT), _met, np.uint32)
+
+
+def repeated_windows(parsed: DataFrame, buckets: int, depth: int = DEPTH) -> DataFrame:
+    """key, n, hashes: how many windows of each page two or more pages of its host have, and those that make boilerplate
+    of what markup leaves open; of pages with the anchors that may stand on another page (hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pages in _groups(batches):
+            places, hashes = [], []
+            for i, (_, _, host, decided, kept, others, met) in enumerate(pages):
+                streams = []
+                for parts in (kept, others):
+                    tokens = _tokens(parts)
+                    may = np.isin(_salted(host, anchors(tokens, depth)).astype(np.uint32), np.frombuffer(met, np.uint32))
+                    streams.append(_salted(host, _rolled(tokens, depth)[may]))
+                for kind, h in zip((_PROVEN, _RULED_OUT), streams) if decided else ((_OPEN, np.concatenate(streams)),):
                     h = np.unique(h)
-                    of = (h >> np.uint64(24)) % np.uint64(buckets)
-                    order = np.argsort(of, kind="stable")
-                    h, cuts = h[order], np.searchsorted(of[order], np.arange(buckets + 1))
-                    # each page has a row in the first bucket, so that none is missing from the answer
-                    rows += [(b, key, page, kind, h[cuts[b] : cuts[b + 1]].tobytes()) for b in {0, *np.unique(of).tolist()}]
-            columns = list(zip(*rows)) or [()] * 5
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["bucket", "key", "page", "kind", "hashes"])
+                    hashes.append(h)
+                    places.append(np.full(len(h), i * _KINDS + kind, np.uint16))
+            of = (np.concatenate(hashes) >> np.uint64(24)) % np.uint64(buckets)
+            yield _dealt(pages, places, hashes, of, buckets, True)
 
-    suffixes = pages.select("key", "page", "host", "decided", "blocks", "others").mapInArrow(run, _SUFFIXES)
-    shared = suffixes.groupBy("bucket").applyInArrow(_shared, "key long, n long, hashes binary")
-    return shared.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.length("hashes") > 0, F.col("hashes"))).alias("hashes"))
+    return _told(parsed.select("key", "page", "host", "decided", "blocks", "others", "hashes").mapInArrow(run, _DEALT), _shared, np.uint64)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", depth: int = DEPTH) -> DataFrame:
     """page_id, url, text, n_chars for every page, and n_repeated: its windows that other pages of its host have."""
     size = pages.agg(F.sum(F.char_length(F.col(html_col)))).first()[0] or 0
-    parsed = parse(pages, id_col, url_col, html_col)  # twice, as that is cheaper than to keep it
-    found = written(repeated_windows(parsed, max(LEAST_BUCKETS, -(-size // BUCKET_CHARS)), depth), "repeated-windows")
-    rows, held = found.agg(F.count("*"), F.sum(F.aggregate("hashes", F.lit(0), lambda s, x: s + F.length(x)))).first()
-    if rows <= SMALL_ROWS and (held or 0) <= SMALL_BYTES:
-        joined = parsed.join(F.broadcast(found), "key")
-    else:
-        joined = spread_join(parsed, found, ["key"], F.xxhash64("page_id", "url"))
+    parsed = parse(pages, id_col, url_col, html_col)  # three times, as that is cheaper than to keep it
+    met = written(repeated_anchors(parsed, max(LEAST_BUCKETS, -(-size // BUCKET_CHARS)), depth), "repeated-anchors")
+    asked, held = _joined(parsed, met)
+    # an anchor has four bytes and stands for about two windows
+    found = written(repeated_windows(asked, max(LEAST_BUCKETS, -(-held // (BUCKET_CHARS // 4))), depth), "repeated-windows")
+    joined, _ = _joined(parsed, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for host, decided, kept, hashes in zip(*(batch.column(n).to_pylist() for n in ("host", "decided", "blocks", "hashes"))):
                 if not decided and hashes:
-                    own, _ = _streams(host, kept, [], depth)
-                    kept = unique_runs(kept, covered(own, np.frombuffer(b"".join(hashes), np.uint64), depth))
+                    own = _salted(host, windows(kept, depth))
+                    kept = unique_runs(kept, covered(own, np.frombuffer(hashes, np.uint64), depth))
                 texts.append("\n".join(kept))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), batch.column("n")], ["page_id", "url", "text", "n_repeated"])
 

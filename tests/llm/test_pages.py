@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from sonaria.llm import html
@@ -44,3 +45,31 @@ def test_buckets_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(html, "BUCKET_CHARS", 500)
     monkeypatch.setattr(html, "SMALL_ROWS", 10)
     assert sorted(map(tuple, html.main_text(frame).collect())) == one and any(r[4] for r in one)
+
+
+def test_equal_windows_have_equal_anchors_which_are_half_as_many():
+    r = np.random.default_rng(5)
+    tokens = r.integers(0, 2**63, 4000).astype(np.uint64)
+    tokens[3000:3100] = tokens[100:200]
+    found, stand = html._rolled(tokens, html.DEPTH), html.anchors(tokens)
+    assert len(found) == len(stand) and (stand[3000:3093] == stand[100:193]).all()
+    assert len(np.unique(stand)) < 0.55 * len(np.unique(found))
+    for depth in (1, 2, 3):
+        assert len(html.anchors(tokens[:5], depth)) == 6 - depth
+    assert len(html.anchors(tokens[:7])) == len(html.anchors(tokens[:0])) == 0
+
+
+def test_what_meets_in_buckets_is_less_than_all_windows(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    shared = " ".join(f"s{k}" for k in range(20))
+    pages = [(i, "http://h.example/", f"<p>{' '.join(f'w{k}' for k in r.integers(0, 10**9, 400))}</p><p>{shared}</p>") for i in range(60)]
+    # seven equal tokens meet as an anchor, but are no window
+    pages += [(i, "http://h.example/", f"<p>a{i} b{i} one two three four five six seven c{i} d{i}</p>") for i in (60, 61)]
+    moved = []
+    keep = html._told
+    monkeypatch.setattr(html, "_told", lambda dealt, *how: moved.append(dealt.selectExpr("count(*)", "sum(length(keys) + length(pages) + length(places) + length(hashes))").first()) or keep(dealt, *how))
+    rows = html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2)).collect()
+    assert [x.n_repeated for x in sorted(rows)] == [13] * 60 + [0, 0]
+    assert not any("s3" in x.text.split() for x in rows)
+    windows = 60 * (420 - html.DEPTH + 1)
+    assert len(moved) == 2 and sum(b for _, b in moved) < 5 * windows and max(n for n, _ in moved) <= 2 * (html.LEAST_BUCKETS + 1)
