@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,27 +37,65 @@ def latin_words(text: str | None) -> list[str]:
 
 _CJK = "぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
 _RUN = re.compile(rf"[{_CJK}]+|[^\W_{_CJK}]+(?:[-_/.][^\W_{_CJK}]+)*")
+_IDEOGRAPH, _MARK, _MARKS = re.compile(f"[{_CJK}]"), re.compile("[-_/.]"), re.compile("[-_/.]+")
+
+
+def _forms(word: str) -> list[str]:
+    """A word of two characters or more and what it may be a plural of; none for a shorter one."""
+    out = [word] if len(word) >= 2 else []
+    if not word.endswith("s"):
+        return out
+    if len(word) > 4 and word.endswith("es"):
+        out.append(word[:-2])
+    if len(word) > 3 and not word.endswith("ss"):
+        out.append(word[:-1])
+    return out
+
+
+def _pairs(run: str) -> list[str]:
+    """The pairs of neighbours in a run of CJK characters; a lone one as it is."""
+    return [run[i : i + 2] for i in range(len(run) - 1)] or [run]
 
 
 def tokens_of(text: str | None) -> list[str]:
     """Words, compounds whole and in parts, plural variants, and pairs of CJK characters."""
     out: list[str] = []
     for run in _RUN.findall((text or "").lower()):
-        if re.match(f"[{_CJK}]", run):
-            out += [run[i : i + 2] for i in range(len(run) - 1)] or [run]
-            continue
-        parts = [p for p in re.split(r"[-_/.]", run) if p]
-        for word in ([run] if len(parts) > 1 else []) + parts:
-            if len(word) < 2:
-                continue
-            out.append(word)
-            if len(word) > 4 and word.endswith("es"):
-                out.append(word[:-2])
-            if len(word) > 3 and word.endswith("s") and not word.endswith("ss"):
-                out.append(word[:-1])
+        if _IDEOGRAPH.match(run):
+            out += _pairs(run)
+        elif run.isalnum():
+            out += _forms(run)
+        else:
+            for word in [run, *_MARK.split(run)]:
+                out += _forms(word)
     return out
 
 
+_LINKED = re.compile(rf"[{_CJK}]+|[^\W_{_CJK}]+(?:[-_/.]+[^\W_{_CJK}]+)*")
+
+
+def embed_runs(text: str | None) -> list[str]:
+    """What a text's vector is made of: words and compounds as they stand, and pairs of CJK characters.
+
+    Case is lowered by character, so that no letter depends on its place (Σ) or comes apart (İ).
+    """
+    low = "İ".join(p.replace("Σ", "σ").lower() for p in (text or "").split("İ"))
+    runs = _LINKED.findall(low)
+    if _IDEOGRAPH.search(low):
+        runs = [x for run in runs for x in (_pairs(run) if _IDEOGRAPH.match(run) else [run])]
+    return runs
+
+
+def embed_tokens(run: str) -> list[str]:
+    """The tokens of one of these: a compound counts in one word and in its parts, each with plural variants."""
+    if _IDEOGRAPH.match(run):
+        return [run]
+    if run.isalnum():
+        return _forms(run)
+    parts = _MARKS.split(run)
+    return [form for word in ["".join(parts), *parts] for form in _forms(word)]
+
+
 def _mapped(function: Callable, kind: str, column: Column | str) -> Column:
     """A vectorised function of one column; made on use, for it needs a session."""
 
@@ -167,50 +205,66 @@ def document_frequencies(docs: DataFrame, tokens: str) -> DataFrame:
     return found.groupBy(F.col("p.token").alias("token")).agg(F.count("*").alias("df"), F.sum("p.tf").alias("cf"))
 
 
-def _fnv(text: str) -> int:
-    h = 0xCBF29CE484222325
-    data = text.encode("utf-16-le", "surrogatepass")
-    for i in range(0, len(data), 2):
-        h = ((h ^ (data[i] | data[i + 1] << 8)) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+# Vectors depend on them.
+FNV_START, FNV_PRIME, GOLDEN, MASK = 1469598103934665603, 1099511628211, 0x9E3779B97F4A7C15, 0xFFFFFFFFFFFFFFFF
+#: What a token and each of its triples of characters add, 1 to 0.35: whole numbers, whose sums are exact in any order.
+TOKEN, TRIPLE = 20.0, 7.0
+
+
+def _fnv(units: Iterable[int], h: int = FNV_START) -> int:
+    for u in units:
+        h = ((h ^ u) * FNV_PRIME) & MASK
     return h
 
 
-def _fnv_all(units: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The hashes of many runs of ``units``, a step of all runs at a time."""
-    h = np.full(len(starts), 0xCBF29CE484222325, np.uint64)
-    for i in range(int(sizes.max(initial=0))):
-        live = np.flatnonzero(sizes > i)
-        h[live] = (h[live] ^ units[starts[live] + i]) * np.uint64(0x100000001B3)
+def _fnv_all(units: np.ndarray, starts: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The hashes of many runs of ``units``, each from its value in ``h``, a step of all runs at a time, until a few
+    long ones are left."""
+    live, i = np.flatnonzero(sizes > 0), 0
+    while len(live) > 50:
+        h[live] = (h[live] ^ units[starts[live] + i]) * np.uint64(FNV_PRIME)
+        i += 1
+        live = live[sizes[live] > i]
+    for j in live:
+        h[j] = _fnv(units[starts[j] + i : starts[j] + sizes[j]].tolist(), int(h[j]))
     return h
 
 
 def _cells(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token number, cell and what it adds there, for each token and its character triples."""
-    points = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Token number, cell and what it adds there, for each token and its triples of characters (UTF-16 units).
+
+    Each has three cells, with a sign of its own in each; triples are marked, so that no word is taken for one.
+    """
+    units = np.frombuffer("".join(tokens).encode("utf-16-le", "surrogatepass"), np.uint16)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    if sizes.sum() < len(units):  # characters of two units
+        sizes = np.fromiter((len(t.encode("utf-16-le", "surrogatepass")) // 2 for t in tokens), np.int64, len(tokens))
     starts = np.cumsum(sizes) - sizes
-    place = np.arange(len(points)) - np.repeat(starts, sizes)
+    place = np.arange(len(units)) - np.repeat(starts, sizes)
     triple = np.flatnonzero(place < np.repeat(sizes, sizes) - 2)
     owner = np.concatenate([np.arange(len(tokens)), np.repeat(np.arange(len(tokens)), sizes)[triple]])
     starts, sizes = np.concatenate([starts, triple]), np.concatenate([sizes, np.full(len(triple), 3)])
-    h = _fnv_all(points.astype(np.uint64), starts, sizes)
-    if len(points) and points.max() > 0xFFFF:  # characters of two units
-        text = "".join(tokens)
-        for i in np.flatnonzero([ord(max(text[a : a + n], default="a")) > 0xFFFF for a, n in zip(starts, sizes)]):
-            h[i] = _fnv(text[starts[i] : starts[i] + sizes[i]])
-    add = np.where(np.arange(len(owner)) < len(tokens), 1.0, 0.35) * np.where(h >> np.uint64(63) != 0, 1.0, -1.0)
-    cells = np.concatenate([(h >> np.uint64(9 * j)) % np.uint64(DIM) for j in range(3)]).astype(np.int64)
-    return np.tile(owner, 3), cells, np.tile(add, 3)
+    first = np.repeat(np.array([FNV_START, _fnv(b"3:")], np.uint64), [len(tokens), len(triple)])
+    h = _fnv_all(units.astype(np.uint64), starts, sizes, first)
+    h = np.concatenate([h + np.uint64(j * GOLDEN & MASK) for j in range(3)])
+    weight = np.tile(np.repeat([TOKEN, TRIPLE], [len(tokens), len(triple)]), 3)
+    return np.tile(owner, 3), (h % np.uint64(DIM)).astype(np.int64), np.where(h >> np.uint64(63) == 0, weight, -weight)
 
 
-def hashed_vectors(lists: list[list[str]]) -> np.ndarray:
+def hashed_vectors(lists: list[list[str]], split: Callable[[str], list[str]] | None = None) -> np.ndarray:
     """Signed hashes of tokens (weight 1) and of their character triples (0.35) in 512 dimensions, of unit
-    length, for each list of tokens; zeros for none. Distinct tokens are hashed once, all at a time."""
+    length, for each list of tokens, or of what ``split`` takes into tokens; zeros for none. What is distinct
+    is hashed once, all at a time."""
     codes: dict[str, int] = {}
     flat = np.fromiter((codes.setdefault(t, len(codes)) for tokens in lists for t in tokens), np.int64)
     v = np.zeros((len(lists), DIM))
     if len(flat):
-        owner, cells, add = _cells(list(codes))
+        if split:
+            tokens = [split(t) for t in codes]
+            owner, cells, add = _cells([t for some in tokens for t in some])
+            owner = np.repeat(np.arange(len(codes)), [len(t) for t in tokens])[owner]
+        else:
+            owner, cells, add = _cells(list(codes))
         order = np.argsort(owner, kind="stable")
         cells, add = cells[order], add[order]
         n = np.bincount(owner, minlength=len(codes))
@@ -231,22 +285,40 @@ def hashed_vector(tokens: list[str]) -> np.ndarray:
     return hashed_vectors([list(tokens)])[0]
 
 
-#: Tokens and rows that are turned to vectors at a time, about.
-HELD_TOKENS, HELD_ROWS = 100_000, 2048
+#: Tokens, rows and characters of tokens that are turned to vectors at a time, about.
+HELD_TOKENS, HELD_ROWS, HELD_CHARS = 100_000, 2048, 1_000_000
 
 
-def vector_parts(lists: Iterator[list[str]]) -> Iterator[np.ndarray]:
+def vector_parts(lists: Iterator[list[str]], split: Callable[[str], list[str]] | None = None) -> Iterator[np.ndarray]:
     """``hashed_vectors`` of many lists of tokens, a bounded part at a time."""
     held: list[list[str]] = []
-    n = 0
+    n = chars = 0
     for tokens in lists:
         held.append(tokens)
         n += len(tokens)
-        if n >= HELD_TOKENS or len(held) >= HELD_ROWS:
-            yield hashed_vectors(held)
-            held, n = [], 0
+        chars += sum(map(len, tokens))
+        if n >= HELD_TOKENS or len(held) >= HELD_ROWS or chars >= HELD_CHARS:
+            yield hashed_vectors(held, split)
+            held, n, chars = [], 0, 0
     if held:
-        yield hashed_vectors(held)
+        yield hashed_vectors(held, split)
+
+
+def embed(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, embedding: the hashed vector of each whole text, in any script; zeros for a text without tokens or a null
+    one. Tokens stay in the task, which passes vectors on a bounded part at a time."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for v in vector_parts((embed_runs(t.as_py()) for t in batch.column(1)), embed_tokens):
+                ends = pa.array(np.arange(0, v.size + 1, DIM, dtype=np.int32))
+                vectors = pa.ListArray.from_arrays(ends, pa.array(v.astype(np.float32).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(v)), vectors], [key, "embedding"])
+                at += len(v)
+
+    return rows.select(key, text).mapInArrow(run, f"{key} {kind}, embedding array<float>")
 
 
 def hash_embed(tokens: Column | str) -> Column:

@@ -89,8 +89,9 @@ def chunk_text(c):
 
 @query("hash_embed_512")
 def hash_embed(c):
-    v = T.hash_embed(T.latin_tokens(F.col("text")))
-    return c.table("documents").select("doc_id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))
+    """The vector of every whole text, and its squared length: 1, or 0 of a text without tokens."""
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return T.embed(c.table("documents"), "doc_id", "text").select("doc_id", F.round(norm, 3).alias("norm"), "embedding")
 
 
 def _chunks(c):

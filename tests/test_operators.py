@@ -215,3 +215,71 @@ def test_vectors_are_made_in_bounded_parts(spark):
     q = text.hashed_vector(text.tokens_of("apache license"))
     assert {r.id: round(r.similarity, 9) for r in found} == {i: round(float(text.hashed_vector(text.tokens_of(texts[i])) @ q), 9) for i in (0, 1, 4)}
     assert text.likeness(spark.createDataFrame([(1, "a word")], "id long, t string"), "id", "t", "").count() == 0
+
+
+def embedded(value):
+    """One text's vector by its definition, a character at a time."""
+    import unicodedata
+
+    v = np.zeros(512)
+
+    def add(token, weight):
+        h = 1469598103934665603
+        for c in token:
+            h = ((h ^ ord(c)) * 1099511628211) % 2**64
+        for k in range(3):
+            hh = (h + k * 0x9E3779B97F4A7C15) % 2**64
+            v[hh % 512] += -weight if hh >> 63 else weight
+
+    def word(w):
+        if len(w) < 2:
+            return []
+        return [w] + ([w[:-1]] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else []) + ([w[:-2]] if len(w) > 4 and w.endswith("es") else [])
+
+    tokens, segments, held, cjk = [], [], "", ""
+    for c in (value or "") + "\n":
+        ideograph = any(a <= c <= b for a, b in ("一鿿", "㐀䶿", "぀ヿ", "가힯"))
+        letter = not ideograph and (unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd")
+        if letter:
+            held += c if c == "İ" else "σ" if c == "Σ" else c.lower()
+        elif held:
+            segments, held = [*segments, held], ""
+        if not letter and c not in "-_/." and segments:
+            tokens += [t for w in (["".join(segments)] if len(segments) > 1 else []) + segments for t in word(w)]
+            segments = []
+        if ideograph:
+            cjk += c
+        elif cjk:
+            tokens += [cjk[i : i + 2] for i in range(len(cjk) - 1)] or [cjk]
+            cjk = ""
+    for t in tokens:
+        add(t, 1.0)
+        for i in range(len(t) - 2):
+            add("3:" + t[i : i + 3], 0.35)
+    return v / (np.sqrt(v @ v) or 1.0)
+
+
+def test_whole_texts_of_any_script_are_embedded(spark, tmp_path):
+    from sonaria.plans.registry import queries
+
+    texts = ["Key-Switches, glasses: key--switch a/b.c _x_ key_", "", None, " \n\t", "a - b", "Où l'été s'achève; Größe, años", "汉字表", "汉 key漢字-pad 한국어", "Μέγας ΛΌΓΟΣ İstanbul", "привет мир", "the the cat 123 3:the"]
+    texts += ["word " * 30_000 + "end", "x" * 20_000, "字" * 3000, *(f"n{i} clip-{i % 7} été" for i in range(text.HELD_ROWS))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries()["hash_embed_512"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    for i, t in enumerate(texts):
+        want = embedded(t)
+        assert np.allclose(got[i].embedding, want, atol=1e-6), t and t[:60]
+        assert got[i].norm == (1.0 if want.any() else 0.0)
+
+
+def test_a_vector_does_not_depend_on_its_neighbours():
+    texts = [f"les étés n{i} d'une clé-{i % 5} 汉字" * (i % 9) for i in range(300)]
+    alone = np.concatenate([text.hashed_vectors([text.embed_runs(t)], text.embed_tokens) for t in texts])
+    assert (np.concatenate(list(text.vector_parts(map(text.embed_runs, texts), text.embed_tokens))) == alone).all()
+    assert text.hashed_vector(["𝒂b𝒄"]).any() and len(text.hashed_vectors([["a"], []], text.embed_tokens)) == 2
+
+
+def test_parts_are_bounded_by_characters():
+    long = [["x" * (text.HELD_CHARS // 2)]] * 5
+    assert [len(v) for v in text.vector_parts(iter(long))] == [2, 2, 1]
